@@ -18,6 +18,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumite.llm.token_files import token_files
+
+    return token_files(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumite.llm.quality import quality_verdicts
 
@@ -32,8 +44,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumite.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=0, capacity=2048)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op4_quality_rules, op5_simhash)}
+    return {f.__name__: f for f in (op1_url_filter, op3_token_files, op4_quality_rules, op5_simhash, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
