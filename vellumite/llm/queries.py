@@ -44,6 +44,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumite.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumite.llm.packing import pack
 
@@ -51,7 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_token_files, op4_quality_rules, op5_simhash, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op3_token_files, op4_quality_rules, op5_simhash, op8_mixing, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
