@@ -50,6 +50,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumite.llm.substring import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "start", "bytes", "chunks", "kept_in")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumite.llm.packing import pack
 
@@ -57,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_token_files, op4_quality_rules, op5_simhash, op8_mixing, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op3_token_files, op4_quality_rules, op5_simhash, op8_mixing, op9_substring_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
