@@ -79,10 +79,15 @@ def _star(points: DataFrame) -> DataFrame:
     return points.join(least.select(F.col("point").alias("_p"), "b"), F.col("point") == F.col("_p")).where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """Deals fingerprints over all tasks before each becomes many rows; their files are few and small."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def _near_points(fps: DataFrame, flips: int) -> DataFrame:
     """(fp, point): the points within `flips` (1 or 2) flipped bits of each fingerprint."""
     one = F.array(F.lit(0).cast("long"), *[F.lit(x).cast("long") for x in _single()])
-    out = fps.select("fp", F.posexplode(one).alias("i", "x")).select("fp", "i", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
+    out = _spread(fps).select("fp", F.posexplode(one).alias("i", "x")).select("fp", "i", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
     if flips == 1:
         return out.select("fp", "point")
     more = F.filter(F.transform(one, lambda x, j: F.when((j == 0) | (j > F.col("i")), x)), lambda x: x.isNotNull())
@@ -95,7 +100,7 @@ def _variants(fps: DataFrame) -> DataFrame:
     for at, size in SEGMENTS:
         whole = ((1 << size) - 1) << at
         keys += [F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(_bits(whole & ~(1 << i))).cast("long")).alias("rest")) for i in range(at, at + size)]
-    return fps.select("*", F.explode(F.array(*keys)).alias("k")).select(*fps.columns, "k.slot", "k.rest")
+    return _spread(fps).select("*", F.explode(F.array(*keys)).alias("k")).select(*fps.columns, "k.slot", "k.rest")
 
 
 def _first_slot(x: Column) -> Column:
@@ -124,9 +129,6 @@ def near_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
         members = keyed.join(hot, (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r")), "left_semi").select("fp").distinct()
         links = links.unionAll(_star(_near_points(members, 2)))
         keyed = keyed.join(hot, (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r")), "left_anti")
-    # Only keys under which members of different parts meet can give a new link.
-    mixed = keyed.groupBy("slot", "rest").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("slot").alias("_s"), F.col("rest").alias("_r"))
-    keyed = written(keyed.join(mixed, (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r")), "left_semi"), "keyed")
     x, y = keyed.alias("x"), keyed.alias("y")
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     same = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.rest") == F.col("y.rest"))
