@@ -44,6 +44,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumite.llm.langid import fit, held_out_fold, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    models = fit(docs.where(held_out_fold() != 2))
+    held = F.coalesce(held_out_fold() == 2, F.lit(False)).alias("held_out")
+    return identify(docs, models).select("doc_id", held, "lang_pred", "score", "rejected")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumite.llm.mixing import mix
 
@@ -63,7 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_token_files, op4_quality_rules, op5_simhash, op8_mixing, op9_substring_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op3_token_files, op4_quality_rules, op5_simhash, op7_language_id, op8_mixing, op9_substring_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
