@@ -18,6 +18,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumite.llm.lm_score import cross_entropy_difference
+
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -44,6 +51,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumite.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumite.llm.langid import fit, held_out_fold, identify
 
@@ -72,7 +85,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_token_files, op4_quality_rules, op5_simhash, op7_language_id, op8_mixing, op9_substring_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_token_files, op4_quality_rules, op5_simhash, op6_nearest, op7_language_id, op8_mixing, op9_substring_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
