@@ -83,7 +83,10 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("n_symbols", F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
     out = out.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0).cast("long")).otherwise(_covered(F.col("_h")))).drop("_h")
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    # A generator of one row: no filter on a measure is moved below it, where the measure would be taken again and again.
+    found = (*MEASURES, "base_failed")
+    return out.select(*[c for c in out.columns if c not in found], F.inline(F.array(F.struct(*found))))
 
 
 def _log_factorial(n: Column) -> Column:
