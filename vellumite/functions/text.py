@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Schemes that are never linked.
 UNSAFE_SCHEMES = ("javascript", "vbscript", "data", "file")
 # The named entities that are decoded without a parser.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&middot;": "·", "&nbsp;": " ", "&amp;": "&"}
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&middot;": "·", "&nbsp;": "\u00a0", "&amp;": "&"}
 
 
 def collapse(text: Column) -> Column:

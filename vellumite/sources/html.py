@@ -145,10 +145,12 @@ class _Tree(HTMLParser):
         if last and last["tag"] == "#text" and last["exit"] == self.clock:
             last["text"] += data
             return
-        self._add("#text", {}, data)["exit"] = self._tick()
+        row = self._add("#text", {}, data)
+        row["exit"] = self._tick()
 
     def handle_comment(self, data: str) -> None:
-        self._add("#comment", {}, data)["exit"] = self._tick()
+        row = self._add("#comment", {}, data)
+        row["exit"] = self._tick()
 
     def finish(self) -> list[dict]:
         self.close()
