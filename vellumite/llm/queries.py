@@ -89,4 +89,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others the fingerprints, digests, tokens and trained models are not SQL; tests hold them against plain Python."""
+    from vellumite.llm import oracles
+
+    return {"op1_url_filter": oracles.url_filter(), "op4_quality_rules": oracles.quality_rules(), "op6_nearest": oracles.nearest()}
