@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vellumite.functions import colours, lengths, numbers, text
+from vellumite.functions import colours, formulas, lengths, numbers, text
 from vellumite.operators import annotations, css, lists, paragraphs, tables
 from vellumite.plans.catalog import oracle_sql, queries
 from vellumite.sources import docx, html
@@ -160,6 +160,22 @@ def test_packages():
     assert docx.resolve("word", "../a/./b.xml") == "a/b.xml" and docx.resolve("word", "../../x") is None and docx.resolve("w", "/m.xml") == "m.xml"
 
 
+FORMULAS = [r"x^{2}", r"\frac{a}{b}", r"\sqrt{x}", r"\sqrt[3]{x}", r"\sum_{i=1}^{n}i", r"\int_{0}^{1}x", r"\left(\frac{a}{b}\right)", r"\sin x", r"\hat{x}", r"\begin{pmatrix}a&b\\c&d\end{pmatrix}", r"\begin{aligned}a&=b\\c&=d\end{aligned}", r"\alpha+\beta", r"x_{i}^{2}", r"\mathbb{R}", r"\text{if }x", r"\overline{z}", r"\begin{cases}1&x\\2&y\end{cases}"]
+
+
+@pytest.mark.parametrize("latex", FORMULAS)
+def test_formulas_round_trip(latex):
+    from xml.etree import ElementTree
+
+    assert formulas.latex_of(formulas.omml(latex)) == latex
+    ElementTree.fromstring(formulas.mathml(latex, True))
+
+
+def test_broken_formulas_are_read():
+    for latex in ("", "{", "}", "\frac", "x^", "\left(", "\begin{matrix}a", "\unknown{x}", "&"):
+        formulas.latex_of(formulas.omml(latex))
+
+
 def test_hostile_packages(spark):
     bomb = BytesIO()
     with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:

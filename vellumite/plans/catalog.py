@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellumite.functions import colours, lengths, numbers, text
-from vellumite.operators import annotations, css, lists, paragraphs, tables
+from vellumite.functions import colours, formulas, lengths, numbers, text
+from vellumite.operators import annotations, css, lists, paragraphs, render, tables
 from vellumite.sources import docx, html
 
 
@@ -255,6 +255,27 @@ def docx_parts(spark, sf):
     return docx.package_parts(docx.to_docx(_blocks(spark, sf))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
+def turns_html(spark, sf):
+    """Conversations as documents: a paragraph a turn, the user's turns bold."""
+    c = _t(spark, sf, "conversations")
+    no = F.lit(False)
+    runs = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("paragraph"), F.lit(1).alias("run"), "text", (F.col("role") == "user").alias("bold"), no.alias("italic"), no.alias("underline"), no.alias("strike"), F.lit(None).cast("string").alias("href"))
+    return render.documents_html(render.paragraphs_html(runs)).select(F.col("doc_id").alias("conv_id"), F.length("html").alias("chars"), F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+def html_roundtrip(spark, sf):
+    """Paragraphs of pages written as HTML and read again: the same text."""
+    first = paragraphs.paragraphs(_nodes(spark, sf))
+    pages = render.documents_html(first.select("doc_id", F.col("ord").alias("paragraph"), F.concat(F.lit("<p>"), render.run_html(F.col("text"), {}), F.lit("</p>")).alias("html")))
+    again = paragraphs.paragraphs(html.html_nodes(pages, "doc_id", "html"))
+    return again.select(F.col("doc_id").alias("page_id"), "ord", "text")
+
+
+def formula_roundtrip(spark, sf):
+    p = _t(spark, sf, "part").select("p_partkey", F.format_string(r"\frac{%d}{x_{%d}^{2}}+\sqrt[3]{\alpha}", "p_size", (F.col("p_partkey") % 7)).alias("latex"))
+    return formulas.convert_formulas(p).select("p_partkey", F.col("back").alias("latex"))
+
+
 def event_windows(spark, sf):
     from vellumite.streaming.documents import event_windows as windows
 
@@ -262,7 +283,7 @@ def event_windows(spark, sf):
     return got.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = (page_title, page_title_nodes, page_lang, page_links, link_kinds, link_targets_distinct, tag_counts, stylesheet_rules, cascade_winner, specificity, inherit_nearest, visible_paragraphs, paragraph_lengths, bold_text_share, text_collapse, whitespace_pre, text_capitalise, number_formats, number_words, length_to_twips, colour_to_hex, run_merge, list_items_numbered, word_numbering, feature_filter_links, table_html, column_widths, table_slots, note_numbers, comment_ranges, comment_intervals, comment_threads, bookmark_names, style_chain, toggle_xor, media_dedup, furniture_last, docx_roundtrip_text, docx_parts, event_windows)
+QUERIES = (page_title, page_title_nodes, page_lang, page_links, link_kinds, link_targets_distinct, tag_counts, stylesheet_rules, cascade_winner, specificity, inherit_nearest, visible_paragraphs, paragraph_lengths, bold_text_share, text_collapse, whitespace_pre, text_capitalise, number_formats, number_words, length_to_twips, colour_to_hex, run_merge, list_items_numbered, word_numbering, feature_filter_links, table_html, column_widths, table_slots, note_numbers, comment_ranges, comment_intervals, comment_threads, bookmark_names, style_chain, toggle_xor, media_dedup, furniture_last, docx_roundtrip_text, docx_parts, turns_html, html_roundtrip, formula_roundtrip, event_windows)
 
 
 def queries() -> dict:
@@ -347,5 +368,8 @@ def oracle_sql() -> dict[str, str]:
         "furniture_last": "SELECT conv_id AS doc_id, role AS kind, 'default' AS type, CAST(arg_max(length(text), turn) AS INTEGER) AS target FROM conversations WHERE length(text) % 2 = 0 GROUP BY 1, 2",
         "docx_roundtrip_text": "SELECT doc_id, CAST(ord AS INTEGER) AS ord, length(t) AS chars, md5(t) AS digest, CAST(NULL AS VARCHAR) AS error FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
         "docx_parts": "SELECT part, (SELECT count(*) FROM documents) AS n FROM (VALUES ('[content_types].xml'), ('_rels/.rels'), ('word/document.xml'), ('word/_rels/document.xml.rels'), ('word/styles.xml'), ('docprops/core.xml')) AS v(part)",
+        "turns_html": "SELECT conv_id, length(h) AS chars, md5(h) AS digest FROM (SELECT conv_id, string_agg('<p>' || CASE WHEN text = '' THEN CASE WHEN role = 'user' THEN '<strong></strong>' ELSE '<br>' END WHEN role = 'user' THEN '<strong>' || e || '</strong>' ELSE e END || '</p>', '' ORDER BY turn) AS h FROM (SELECT *, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') AS e FROM conversations) GROUP BY 1)",
+        "html_roundtrip": f"WITH {_PARAGRAPHS} SELECT page_id, ord, text FROM par",
+        "formula_roundtrip": "SELECT p_partkey, printf('\\frac{%d}{x_{%d}^{2}}+\\sqrt[3]{\\alpha}', p_size, p_partkey % 7) AS latex FROM part",
         "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     }
