@@ -172,7 +172,7 @@ def test_formulas_round_trip(latex):
 
 
 def test_broken_formulas_are_read():
-    for latex in ("", "{", "}", "\frac", "x^", "\left(", "\begin{matrix}a", "\unknown{x}", "&"):
+    for latex in ("", "{", "}", r"\frac", "x^", r"\left(", r"\begin{matrix}a", r"\unknown{x}", "&"):
         formulas.latex_of(formulas.omml(latex))
 
 
