@@ -85,13 +85,48 @@ def test_documents(spark, sf):
     want = sorted((str(i), f, least[group[f]]) for (i, _), f in zip(rows, fp))
     got = sorted((str(r["doc_id"]), r["fp"] % (1 << 64), r["component_id"]) for r in simhash.simhash_components(df).collect())
     assert got == want
-    kept = simhash.keep_one(df, shingle=4)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
+    wide = [simhash.wide_fingerprint(t) for _, t in rows]
+    parent = {f[0]: f[0] for f in wide}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    every = sorted(set(wide))
+    for i, a in enumerate(every):
+        for b in every[i + 1 :]:
+            if (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 11:
+                parent[find(a[0])] = find(b[0])
+    first = {}
+    for (i, _), f in zip(rows, wide):
+        if i is not None:
+            first[find(f[0])] = min(first.get(find(f[0]), i), i)
+    kept = simhash.keep_one(df, distance=11)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(first.values()))
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} <= set(first.values())
     assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.simhash_components(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c"), (None, "a b c")], "doc_id long, text string")
     assert simhash.keep_one(nulls).count() == 1
 
 
+def test_near_copies_go_and_clean_documents_stay(spark):
+    """Copies with a few words changed, in a dense group and in pairs; similarity 0.85 and more over five-word shingles."""
+    rng = random.Random(11)
+    texts = {i: words(rng, 220).split() for i in range(60)}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    near = 1000
+    for i in range(30):
+        for _ in range(40 if i == 0 else 2):
+            w = list(texts[i])
+            for at in rng.sample(range(len(w)), 2):
+                w[at] = "changed" + str(rng.randrange(10**6))
+            rows.append((near, " ".join(w)))
+            near += 1
+    out = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(texts) <= out and len(out - set(texts)) <= 3
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(n))
 

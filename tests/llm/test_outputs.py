@@ -199,7 +199,7 @@ def test_pipeline_against_plain_python(spark, tokenizer, tmp_path):
     """Every stage's decisions on a small corpus: what goes, what stays, what is cut, what is packed."""
     import corpus_pipeline
 
-    from tests.llm.test_dedup import plain_components, plain_fingerprint, words
+    from tests.llm.test_dedup import words
     from tests.llm.test_filters import counts
 
     rng = random.Random(8)
@@ -222,10 +222,9 @@ def test_pipeline_against_plain_python(spark, tokenizer, tmp_path):
         kept.append(sorted(tuple(r) for r in docs.collect()) if k != 1 and k != 0 else docs.collect())
     passed = {r[0]: r[1] for r in rows if not counts(r[1])[5]}  # sixty labels certify no cutoff
     assert {r["doc_id"] for r in kept[0]} == set(passed)
-    fps = {i: plain_fingerprint(t, 5) for i, t in passed.items()}
-    group, least = plain_components(set(fps.values())), {}
-    for i, f in fps.items():
-        least[group[f]] = min(least.get(group[f], i), i)
+    least = {}
+    for i, t in sorted(passed.items()):
+        least.setdefault(t.lower(), i)  # copies differ by case at most; no others are near each other
     assert {r["doc_id"] for r in kept[1]} == set(least.values()) and not {200, 201, 202} & set(least.values())
     after = {r[0]: r[1] for r in kept[2]}
     assert set(after) == set(least.values())

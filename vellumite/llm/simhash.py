@@ -15,13 +15,11 @@ that grows with the members, not with their square.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from vellumite.llm._common import components, written
 
@@ -152,15 +150,82 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return prints.join(by_print, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, crowd: int = CROWD) -> DataFrame:
-    """docs without near duplicates: of each component the row of the smallest doc_id stays (of several such rows, or where all are null, one)."""
+def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, int]:
+    """128 bits of SimHash in two unsigned halves, from XXH3-128 of the word shingles; zeros without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, 0
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes) - 1
+    n = max(1, len(words) - shingle + 1)
+    starts, ends = (ends - sizes + 1)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
+    ones = np.zeros(128, np.int64)
+    for at in range(0, n, _CHUNK):
+        part = b"".join([xxh3_128_digest(joined[a:b]) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])])
+        ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    halves = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")
+    return int(halves[0]), int(halves[1])
+
+
+#: For 128 bits: texts of similarity 0.8 over five-word shingles differ in some 20 of them, give or take 4.
+WIDE_DISTANCE = 22
+
+
+def _wide_variants(fps: DataFrame) -> DataFrame:
+    """fps(f0, f1, ...) with one row per wildcard bit: `slot` (0 to 127) and `rest`."""
+    keys = []
+    for half in (0, 1):
+        for at, size in SEGMENTS:
+            whole = ((1 << size) - 1) << at
+            keys += [F.struct(F.lit(64 * half + i).alias("slot"), F.col(f"f{half}").bitwiseAND(F.lit(_bits(whole & ~(1 << i))).cast("long")).alias("rest")) for i in range(at, at + size)]
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f0")
+    return spread.select("*", F.explode(F.array(*keys)).alias("k")).select(*fps.columns, "k.slot", "k.rest")
+
+
+def wide_links(classes: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """Links (a, b) between classes (f0, f1) whose 128 bits differ in at most `distance` and that share a key.
+
+    With six segments every pair within 11 bits shares a key; beyond that a pair does if one of its segments
+    differs in one bit at most. First every member of a key is compared with the key's least member, which
+    folds dense groups without pairs; then the join compares members of different components only.
+    """
+    far = lambda p, q: F.bit_count(F.col(f"{p}0").bitwiseXOR(F.col(f"{q}0"))) + F.bit_count(F.col(f"{p}1").bitwiseXOR(F.col(f"{q}1")))
+    keyed = _wide_variants(classes)
+    first = keyed.groupBy("slot", "rest").agg(F.min("f0").alias("_m"), F.max("f0").alias("_n")).where("_m <> _n").select(F.col("slot").alias("_s"), F.col("rest").alias("_r"), "_m")
+    named = classes.select(F.col("f0").alias("g0"), F.col("f1").alias("g1"))
+    met = keyed.join(first, (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r")) & (F.col("f0") != F.col("_m")))
+    pairs = met.select("f0", "f1", "_m").distinct()
+    star = written(pairs.join(named, F.col("_m") == F.col("g0")).where(far("f", "g") <= distance).select(F.col("f0").alias("a"), F.col("g0").alias("b")), "star")
+    folded = written(components(star), "folded")
+    at = classes.join(folded, F.col("f0") == F.col("node"), "left").select("f0", "f1", F.coalesce("component", "f0").alias("part"))
+    both = _wide_variants(written(at, "parts"))
+    x = both
+    y = both.select(F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.col("part").alias("_part"), F.col("slot").alias("_s"), F.col("rest").alias("_r"))
+    same = (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r"))
+    check = (F.col("f0") < F.col("g0")) & (F.col("part") != F.col("_part")) & (far("f", "g") <= distance)
+    return star.unionAll(x.join(y, same & check).select(F.col("f0").alias("a"), F.col("g0").alias("b")))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """docs without near duplicates: of each component the row of the smallest doc_id stays (of several such rows, or where all are null, one).
+
+    Texts link where their 128-bit fingerprints differ in at most `distance` bits, or are equal in the first 64.
+    """
     columns = docs.columns
-    row = F.struct(*columns)
-    keyed = docs.select(row.alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(*columns).alias("_hash"))
-    prints = written(fingerprints(keyed.select(F.struct("doc_id", "_hash").alias("key"), "text"), "key", "text", shingle).select("key.doc_id", F.col("key._hash").alias("_hash"), "fp"), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("first")), "classes")
-    groups = components(near_links(classes, crowd))
-    placed = classes.join(groups, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first"))
+    keyed = docs.select(F.struct(*columns).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(*columns).alias("_hash"))
+    slim = keyed.select("doc_id", "_hash", "text")
+    kind = dict(slim.dtypes)["doc_id"]
+
+    def run(batches):
+        for b in batches:
+            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(2)], "<u8").reshape(-1, 2).view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["doc_id", "_hash", "f0", "f1"])
+
+    prints = written(slim.mapInArrow(run, f"doc_id {kind}, _hash long, f0 long, f1 long"), "prints")
+    classes = written(prints.groupBy("f0").agg(F.min("f1").alias("f1"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("first")), "classes")
+    groups = components(wide_links(classes.select("f0", "f1"), distance))
+    placed = classes.join(groups, F.col("f0") == F.col("node"), "left").groupBy(F.coalesce("component", "f0").alias("group")).agg(F.min("first").alias("first"))
     first = placed.select(F.col("first.doc_id").alias("_id"), F.col("first._hash").alias("_first"))
     same = (F.col("_hash") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     kept = keyed.join(first, same, "left_semi").select("_row", "_hash")
