@@ -28,8 +28,19 @@ def shared_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders that this process has made; results are read from them lazily, so they stay until release().
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/vellumite-{uuid.uuid4().hex}/{name}"
+    _MADE.append(f"{shared_root(spark)}/vellumite-{uuid.uuid4().hex}")
+    return f"{_MADE[-1]}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediates of this process; results not yet written elsewhere are lost."""
+    while _MADE:
+        remove_path(spark, _MADE.pop())
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
