@@ -333,7 +333,7 @@ def oracle_sql() -> dict[str, str]:
         "specificity": "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {i}, {c}, {t})" for s, i, c, t in [("*", 0, 0, 0), ("p", 0, 0, 1), ("div p", 0, 0, 2), (".a", 0, 1, 0), ("p.a.b", 0, 2, 1), ("#x", 1, 0, 0), ("#x .y p", 1, 1, 1), ("a[href]:hover", 0, 2, 1), ("ul li:first-child", 0, 1, 2), ("#a#b .c", 2, 1, 0)]) + ") AS v(selector, ids, classes, types)",
         "inherit_nearest": rf"""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS value, len(regexp_extract_all({_CLEAN}, '<h1[ >]')) AS n FROM pages WHERE len(regexp_extract_all({_CLEAN}, '<h1[ >]')) > 0""",
         "visible_paragraphs": f"WITH {_PARAGRAPHS} SELECT page_id, ord, text FROM par",
-        "paragraph_lengths": f"WITH {_PARAGRAPHS} SELECT page_id, count(*) AS n, sum(length(text)) AS chars, max(length(text)) AS longest FROM par GROUP BY 1",
+        "paragraph_lengths": f"WITH {_PARAGRAPHS} SELECT page_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest FROM par GROUP BY 1",
         "text_collapse": r"SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'), ' ') AS t FROM documents)",
         "whitespace_pre": "SELECT doc_id, count(*) AS lines, max(length(l)) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1",
         "number_formats": f"""WITH o AS (SELECT DISTINCT o_orderkey % 4200 + 1 AS n FROM orders)
