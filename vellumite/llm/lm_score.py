@@ -23,6 +23,7 @@ from vellumite.llm._common import SPACE_RUN, SPACES
 VOCABULARY, DISCOUNT = 1536, 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOW = str.maketrans(UPPER, LOWER)
+_PLACE = np.dtype("<u2")
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY, text: str = "text") -> list[str]:
@@ -85,18 +86,35 @@ class MatchedModels:
 
 def fit(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> MatchedModels:
     """Models of docs; the target is the rows whose doc_id is in the column of `target_ids` (nulls are in none)."""
+    if size >= 1 << 16:
+        raise ValueError("the vocabulary's places have 16 bits")
     words = vocabulary(docs, size, text)
     chosen = target_ids.toDF("_target").where("_target is not null").distinct()
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    marked = slim.join(chosen, F.col("doc_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("good"))
     shared, n = docs.sparkSession.sparkContext.broadcast(Words(words)), len(words) + 1
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    kind = dict(slim.dtypes)["doc_id"]
+
+    def encode(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                places, sizes = shared.value.encode(part.column(1))
+                ends = np.concatenate([[0], np.cumsum(sizes)]) * _PLACE.itemsize
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(places.astype(_PLACE))])
+                yield pa.RecordBatch.from_arrays([part.column(0), raw.cast(pa.binary())], names=["doc_id", "places"])
+
+    # Places in the vocabulary meet the target's ids, not texts: a fraction of the bytes. The same join at every size.
+    encoded = slim.mapInArrow(encode, f"doc_id {kind}, places binary")
+    marked = encoded.join(chosen.hint("merge"), F.col("doc_id") == F.col("_target"), "left").select("places", F.col("_target").isNotNull().alias("good"))
 
     def count(batches):
         sums = np.zeros((2, (n + 1) * n), np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                places, sizes = shared.value.encode(part.column(0))
+                rows = [x.as_buffer() for x in part.column(0)]
+                sizes = np.fromiter((r.size // _PLACE.itemsize for r in rows), np.int64, len(rows))
+                places = np.frombuffer(b"".join(rows), _PLACE).astype(np.int32)
                 cells = bigrams(places, sizes, n)
                 good = np.repeat(part.column(1).to_numpy(zero_copy_only=False), sizes)
                 for row, some in ((0, cells[good]), (1, cells)):
