@@ -183,27 +183,32 @@ def _wide_variants(fps: DataFrame) -> DataFrame:
     return spread.select("*", F.explode(F.array(*keys)).alias("k")).select(*fps.columns, "k.slot", "k.rest")
 
 
+def _wide_segments(fps: DataFrame) -> DataFrame:
+    """fps with one row per segment of the two halves: `slot` (0 to 5) and `rest`, the segment."""
+    keys = [F.struct(F.lit(3 * half + k).alias("slot"), F.col(f"f{half}").bitwiseAND(F.lit(_bits(((1 << size) - 1) << at)).cast("long")).alias("rest")) for half in (0, 1) for k, (at, size) in enumerate(SEGMENTS)]
+    return fps.select("*", F.explode(F.array(*keys)).alias("k")).select(*fps.columns, "k.slot", "k.rest")
+
+
 def wide_links(classes: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
     """Links (a, b) between classes (f0, f1) whose 128 bits differ in at most `distance` and that share a key.
 
     With six segments every pair within 11 bits shares a key; beyond that a pair does if one of its segments
-    differs in one bit at most. First every member of a key is compared with the key's least member, which
-    folds dense groups without pairs; then the join compares members of different components only.
+    differs in one bit at most. First every class is compared with the least of those that share a whole
+    segment with it, which folds dense groups without pairs; then the join over one-wildcard keys compares
+    members of different components only. Both joins check the distance, so chance meetings give no row, and
+    a pair is kept under the first key that it shares.
     """
     far = lambda p, q: F.bit_count(F.col(f"{p}0").bitwiseXOR(F.col(f"{q}0"))) + F.bit_count(F.col(f"{p}1").bitwiseXOR(F.col(f"{q}1")))
-    keyed = _wide_variants(classes)
-    first = keyed.groupBy("slot", "rest").agg(F.min("f0").alias("_m"), F.max("f0").alias("_n")).where("_m <> _n").select(F.col("slot").alias("_s"), F.col("rest").alias("_r"), "_m")
-    named = classes.select(F.col("f0").alias("g0"), F.col("f1").alias("g1"))
-    met = keyed.join(first, (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r")) & (F.col("f0") != F.col("_m")))
-    pairs = met.select("f0", "f1", "_m").distinct()
-    star = written(pairs.join(named, F.col("_m") == F.col("g0")).where(far("f", "g") <= distance).select(F.col("f0").alias("a"), F.col("g0").alias("b")), "star")
+    same = (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r"))
+    keyed = _wide_segments(classes)
+    first = keyed.groupBy("slot", "rest").agg(F.min("f0").alias("g0"), F.min_by("f1", "f0").alias("g1"), F.max("f0").alias("_n")).where("g0 <> _n").select(F.col("slot").alias("_s"), F.col("rest").alias("_r"), "g0", "g1")
+    star = written(keyed.join(first, same & (F.col("f0") != F.col("g0")) & (far("f", "g") <= distance)).select(F.col("f0").alias("a"), F.col("g0").alias("b")).distinct(), "star")
     folded = written(components(star), "folded")
     at = classes.join(folded, F.col("f0") == F.col("node"), "left").select("f0", "f1", F.coalesce("component", "f0").alias("part"))
-    both = _wide_variants(written(at, "parts"))
-    x = both
-    y = both.select(F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.col("part").alias("_part"), F.col("slot").alias("_s"), F.col("rest").alias("_r"))
-    same = (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r"))
-    check = (F.col("f0") < F.col("g0")) & (F.col("part") != F.col("_part")) & (far("f", "g") <= distance)
+    x = _wide_variants(written(at, "parts"))
+    y = x.select(F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.col("part").alias("_part"), F.col("slot").alias("_s"), F.col("rest").alias("_r"))
+    once = F.coalesce(_first_slot(F.col("f0").bitwiseXOR(F.col("g0"))), 64 + _first_slot(F.col("f1").bitwiseXOR(F.col("g1"))))
+    check = (F.col("f0") < F.col("g0")) & (F.col("part") != F.col("_part")) & (far("f", "g") <= distance) & (once == F.col("slot"))
     return star.unionAll(x.join(y, same & check).select(F.col("f0").alias("a"), F.col("g0").alias("b")))
 
 
