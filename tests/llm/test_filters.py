@@ -216,3 +216,37 @@ def test_word_places_of_slices():
         flat += [{"b": 1, "é": 2}.get(x.lower(), 0) for x in w]
         want.append(len(w))
     assert got.tolist() == flat and sizes.tolist() == want
+
+
+def test_lm_score_keeps_every_word(spark, monkeypatch):
+    """More words than any fixed vocabulary of 16 bits; documents that differ in rare words only differ in score."""
+    monkeypatch.setattr(lm_score, "BLOCK", 40_000)
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(i, 90_000)}" for i in range(0, 2000)) for _ in range(60)] + ["a W7 b", "a w8 b", "a w7 b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    chosen = {0, 5, 60}
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect()}
+    rows = [t.lower().split() for t in texts]
+
+    def losses(kept):
+        c, one = Counter(), Counter()
+        for i in kept:
+            c.update(zip(["", *rows[i]], rows[i]))
+            one.update(rows[i])
+        total, kinds = Counter(), Counter()
+        for (a, _), n in c.items():
+            total[a] += n
+            kinds[a] += 1
+        size, every = len({w for r in rows for w in r}) + 1, sum(one.values())
+
+        def p(a, b):
+            single = (one[b] + 1) / (every + size)
+            return max(c[a, b] - 0.75, 0) / total[a] + 0.75 * kinds[a] / total[a] * single if total[a] else single
+
+        return [-sum(math.log(p(a, b)) for a, b in zip(["", *r], r)) / len(r) for r in rows]
+
+    target, background = losses(chosen), losses(range(len(texts)))
+    assert len(got) == len(texts) and len({w for r in rows for w in r}) > 40_000
+    for i, r in got.items():
+        assert (r["target_loss"], r["background_loss"]) == (pytest.approx(target[i], rel=1e-9), pytest.approx(background[i], rel=1e-9))
+    assert got[60]["score"] == got[62]["score"] < got[61]["score"]

@@ -1,12 +1,15 @@
 """Cross-entropy difference (Moore and Lewis) of two matched bigram models.
 
-One vocabulary, the most frequent words of the whole corpus and <unk>, serves both models; order, discount
-and smoothing are the same. The target model counts the labelled good documents, the background model all
-documents. A document's score is its loss per token under the target less that under the background: the
-lower, the more it reads like the target.
+One vocabulary, all words of the corpus and <unk>, serves both models; order, discount and smoothing are the
+same. The target model counts the labelled good documents, the background model all documents. A document's
+score is its loss per token under the target less that under the background: the lower, the more it reads
+like the target. A `size` keeps the size - 1 most frequent words only; every other word is <unk> then.
 
-Words and bigrams of every document are counted. Tasks send sums of what they saw; the finished tables have
-`vocabulary`^2 cells at most, which bounds what the driver gathers and broadcasts.
+Words are known by 64-bit hashes, bigrams by a 64-bit hash of two of those. Documents are put in blocks of
+some megabytes. A block sends its distinct keys and their counts to shards by hash; a shard adds them up and
+sends each block the totals of the block's own keys. Bigrams go first, then words with their totals as
+contexts, then every block scores its documents. So no model is ever gathered or broadcast, what is kept
+grows with the corpus, and a key has one entry per block at most, however common it is.
 """
 
 from __future__ import annotations
@@ -14,25 +17,48 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from vellumite.llm._common import SPACE_RUN, SPACES
+from vellumite.llm._common import SPACE_RUN, SPACES, fresh_path, remove_path, written, written_at
 
-#: Words of the vocabulary with <unk>, which is word 0.
-VOCABULARY, DISCOUNT = 1536, 0.75
+DISCOUNT = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOW = str.maketrans(UPPER, LOWER)
-_PLACE = np.dtype("<u2")
+#: Bytes of text after which a block ends.
+BLOCK = 8 << 20
+#: The hashes of <unk> and of what stands before a text's first word.
+UNKNOWN, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_REQUEST = "shard int, block long, n int, keys binary, numbers binary"
+_REPLY = "block long, shard int, n int, sums binary, first binary, own array<long>, kinds array<long>"
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, text: str = "text") -> list[str]:
+def vocabulary(docs: DataFrame, size: int, text: str = "text") -> list[str]:
     """The size - 1 most frequent words, A-Z lower-cased (ties: the lesser word first)."""
     low = F.btrim(F.translate(F.col(text), UPPER, LOWER), F.lit(SPACES))
     words = docs.select(F.explode(F.split(low, SPACE_RUN, -1)).alias("w")).where("w <> ''").groupBy("w").count()
     return [r["w"] for r in words.orderBy(F.desc("count"), "w").limit(size - 1).collect()]
 
 
+def _split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct pieces between white space, place of every piece in them, offsets by text); empty pieces are no words."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    for c in SPACES[1:]:
+        texts = pc.replace_substring(texts, c, " ")
+    split = pc.split_pattern(texts, " ")
+    begin = split.offsets.to_numpy()
+    coded = split.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), begin - begin[0]
+
+
+def _drop_empty(found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    real = found >= 0
+    total = np.concatenate([[0], np.cumsum(real)])
+    return found[real], total[at[1:]] - total[at[:-1]]
+
+
 class Words:
     """Texts to places in the vocabulary."""
 
@@ -41,124 +67,206 @@ class Words:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(places of all words in a row, number of words by text)."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        for c in SPACES[1:]:
-            texts = pc.replace_substring(texts, c, " ")
-        split = pc.split_pattern(texts, " ")
-        begin = split.offsets.to_numpy()
-        coded = split.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words, indices, at = _split(texts)
         own = np.fromiter((-1 if w == "" else self.places.get(w.translate(_LOW), 0) for w in words), np.int32, len(words))
-        found = own[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)
-        real = found >= 0
-        total = np.concatenate([[0], np.cumsum(real)])
-        at = begin - begin[0]
-        return found[real], total[at[1:]] - total[at[:-1]]
-
-
-def bigrams(places: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
-    """Cell (word before) * size + word of every token; before a text's first word stands `size`."""
-    before = np.empty_like(places)
-    before[1:] = places[:-1]
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[starts] = size
-    return before.astype(np.int64) * size + places
-
-
-def log_probabilities(counts: np.ndarray, size: int, discount: float = DISCOUNT) -> np.ndarray:
-    """Cells' log probabilities: absolute discounting interpolated with an add-one unigram."""
-    c = counts.reshape(size + 1, size).astype(np.float64)
-    single = c.sum(0) + 1
-    single /= single.sum()
-    total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-    c -= discount
-    np.maximum(c, 0, out=c)
-    c /= np.maximum(total, 1)
-    c += np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0) * single
-    return np.log(c, out=c).astype(np.float32).reshape(-1)
-
-
-class MatchedModels:
-    def __init__(self, words: list[str], target: np.ndarray, background: np.ndarray):
-        self.words, self.size = Words(words), len(words) + 1
-        self.target, self.background = (log_probabilities(c, self.size) for c in (target, background))
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> MatchedModels:
-    """Models of docs; the target is the rows whose doc_id is in the column of `target_ids` (nulls are in none)."""
-    if size >= 1 << 16:
-        raise ValueError("the vocabulary's places have 16 bits")
-    words = vocabulary(docs, size, text)
-    chosen = target_ids.toDF("_target").where("_target is not null").distinct()
-    shared, n = docs.sparkSession.sparkContext.broadcast(Words(words)), len(words) + 1
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+        return _drop_empty(own[indices] if len(words) else np.zeros(0, np.int32), at)
+
+
+def hashed_words(texts: pa.Array, known: frozenset[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, the commonest first; place of every word in them; number of words by text)."""
+    words, indices, at = _split(texts)
+    low = [w.translate(_LOW) for w in words]
+    own = np.fromiter((UNKNOWN if known is not None and w not in known else xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in low), np.uint64, len(low))
+    hashes, place = np.unique(own, return_inverse=True)
+    place = np.where(np.array([w != "" for w in low], bool), place, -1).astype(np.int32)
+    tokens, sizes = _drop_empty(place[indices] if len(words) else np.zeros(0, np.int32), at)
+    times = np.bincount(tokens, minlength=len(hashes))
+    order = np.argsort(-times, kind="stable")
+    order = order[times[order] > 0]
+    rank = np.zeros(len(hashes), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return hashes[order], rank[tokens], sizes
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next: the high ones are zeros and compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(x.size, x.itemsize).T.tobytes()
+
+
+def _numbers(raw, size: int) -> np.ndarray:
+    raw = np.frombuffer(raw, np.uint8)
+    return np.ascontiguousarray(raw.reshape(-1, size).T).reshape(-1).view(f"<u{len(raw) // size}") if size else np.zeros(0, np.uint32)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9FB21C651E98DF25) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+class Block:
+    """A block's documents, their words, and its distinct bigrams in the order of their keys."""
+
+    def __init__(self, row: dict):
+        self.block = row["block"]
+        self.sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
+        self.words = np.append(np.frombuffer(row["words"], "<u8"), START)
+        self.tokens = _numbers(row["tokens"], int(self.sizes.sum())).astype(np.int64)
+        good = np.zeros(len(self.sizes), bool)
+        good[np.array(row["good"] or [], np.int64)] = True
+        self.good = np.repeat(good, self.sizes)
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = len(self.words) - 1
+        cells, self.cell = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
+        self.before, self.after = np.divmod(cells, len(self.words))
+        self.keys = _mixed(self.words[self.before], self.words[self.after])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def bigrams(self) -> list[np.ndarray]:
+        """Counts of the distinct bigrams in all documents and in the good ones."""
+        return [np.bincount(x, minlength=len(self.keys)) for x in (self.cell, self.cell[self.good])]
+
+    def contexts(self, first: np.ndarray) -> list[np.ndarray]:
+        """By word: its bigrams as a context, those bigrams that this block counts as kinds, its own count; each of all and of good documents."""
+        n, counts = len(self.words), self.bigrams()
+        return [np.bincount(by, weights=x, minlength=n).astype(np.int64) for by, what in ((self.before, counts), (self.before, first), (self.after, counts)) for x in what]
+
+    def request(self, keys: np.ndarray, order: np.ndarray, numbers: list[np.ndarray], shards: int):
+        """One row per shard that some key belongs to."""
+        keys, numbers = keys[order], np.stack([x[order] for x in numbers]).astype(np.uint32)
+        ends = np.searchsorted(keys >> np.uint64(64 - shards), np.arange((1 << shards) + 1, dtype=np.uint64))
+        at = np.flatnonzero(np.diff(ends))
+        parts = [slice(ends[i], ends[i + 1]) for i in at]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([self.block] * len(at), pa.int64()), pa.array([p.stop - p.start for p in parts], pa.int32()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([_planes(numbers[:, p]) for p in parts], pa.binary())], names=["shard", "block", "n", "keys", "numbers"])
+
+
+def _add_up(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Sums of a shard's keys over the blocks; `first` marks, per number, the one block that counts the key as a kind."""
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        distinct, place = np.unique(np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows]), return_inverse=True)
+        numbers = np.concatenate([_numbers(r["numbers"], r["n"] * width).reshape(width, -1) for r in rows], axis=1)
+        sums, first = np.empty(numbers.shape, np.uint64), np.zeros(numbers.shape, np.uint8)
+        for k in range(width):
+            sums[k] = np.bincount(place, weights=numbers[k])[place].astype(np.uint64)
+            held = np.flatnonzero(numbers[k])[::-1]
+            least = np.full(len(distinct), -1, np.int64)
+            least[place[held]] = held  # the last assignment stays: that of the least block
+            first[k, least[least >= 0]] = 1
+        sums = sums.astype(np.uint32) if sums.max() < 1 << 32 else sums
+        out, at = [], 0
+        for r in rows:
+            own = slice(at, at := at + r["n"])
+            out.append((r["block"], r["shard"], r["n"], _planes(sums[:, own]), first[:, own].tobytes(), numbers[:, own].sum(1, dtype=np.int64).tolist(), first[:, own].sum(1, dtype=np.int64).tolist()))
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "shard", "n", "sums", "first", "own", "kinds"])
+
+    return run
+
+
+def _replies(rows: list[dict], width: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, first) in the order of the block's own keys."""
+    rows = sorted(rows, key=lambda r: r["shard"])
+    sums, first = np.zeros((width, len(order)), np.uint64), np.zeros((width, len(order)), np.uint8)
+    if rows:
+        sums[:, order] = np.concatenate([_numbers(r["sums"], r["n"] * width).reshape(width, -1) for r in rows], axis=1)
+        first[:, order] = np.concatenate([np.frombuffer(r["first"], np.uint8).reshape(width, -1) for r in rows], axis=1)
+    return sums, first
+
+
+def blocks(docs: DataFrame, target_ids: DataFrame, known: frozenset[str] | None, doc_id: str, text: str) -> DataFrame:
+    """(block, doc_ids, sizes, tokens, words, good): documents by blocks; `good` has the places of the target's."""
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def encode(batches):
+        number = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+
+        def block():
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            words, tokens, sizes = hashed_words(pa.concat_arrays([b.column(1).cast(pa.large_string()) for b in held]), shared.value)
+            columns = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x], pa.binary()) for x in (sizes.astype("<i4").tobytes(), _planes(tokens), words.tobytes()))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "sizes", "tokens", "words"])
+
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                places, sizes = shared.value.encode(part.column(1))
-                ends = np.concatenate([[0], np.cumsum(sizes)]) * _PLACE.itemsize
-                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(places.astype(_PLACE))])
-                yield pa.RecordBatch.from_arrays([part.column(0), raw.cast(pa.binary())], names=["doc_id", "places"])
-
-    # Places in the vocabulary meet the target's ids, not texts: a fraction of the bytes. The same join at every size.
-    encoded = slim.mapInArrow(encode, f"doc_id {kind}, places binary")
-    marked = encoded.join(chosen.hint("merge"), F.col("doc_id") == F.col("_target"), "left").select("places", F.col("_target").isNotNull().alias("good"))
-
-    def count(batches):
-        sums = np.zeros((2, (n + 1) * n), np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                rows = [x.as_buffer() for x in part.column(0)]
-                sizes = np.fromiter((r.size // _PLACE.itemsize for r in rows), np.int64, len(rows))
-                places = np.frombuffer(b"".join(rows), _PLACE).astype(np.int32)
-                cells = bigrams(places, sizes, n)
-                good = np.repeat(part.column(1).to_numpy(zero_copy_only=False), sizes)
-                for row, some in ((0, cells[good]), (1, cells)):
-                    found, times = np.unique(some, return_counts=True)
-                    sums[row, found] += times
-        seen = np.flatnonzero(sums[1])
-        for at in range(0, len(seen), 100_000):
-            some = seen[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[0, some]), pa.array(sums[1, some])], names=["cell", "target", "background"])
-
-    summed = marked.mapInArrow(count, "cell int, target long, background long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    rows = summed.toArrow()  # (vocabulary + 1) * vocabulary rows at most
-    target, background = np.zeros((n + 1) * n, np.int64), np.zeros((n + 1) * n, np.int64)
-    cells = rows.column("cell").to_numpy()
-    target[cells], background[cells] = rows.column("target").to_numpy(), rows.column("background").to_numpy()
-    return MatchedModels(words, target, background)
-
-
-def score(docs: DataFrame, models: MatchedModels, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+            for at in range(0, b.num_rows, 64):
+                held.append(part := b.slice(at, 64))
+                size += pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+                if size >= BLOCK:
+                    yield block()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield block()
+
+    path = fresh_path(docs.sparkSession, "encoded")
+    coded = written_at(slim.mapInArrow(encode, f"block long, doc_ids array<{kind}>, sizes binary, tokens binary, words binary"), path)
+    # Ids meet the target's, not texts. The same join at every size.
+    chosen = target_ids.toDF("_target").where("_target is not null").distinct()
+    placed = coded.select("block", F.posexplode("doc_ids").alias("at", "doc_id")).join(chosen.hint("merge"), F.col("doc_id") == F.col("_target"))
+    good = placed.groupBy(F.col("block").alias("_block")).agg(F.collect_list("at").alias("good"))
+    marked = written(coded.join(good.hint("merge"), F.col("block") == F.col("_block"), "left").drop("_block"), "blocks")
+    remove_path(docs.sparkSession, path)
+    return marked
+
+
+def _loss(counts: np.ndarray, before: np.ndarray, after: np.ndarray, total: np.ndarray, kinds: np.ndarray, single: np.ndarray, every: int, size: int) -> np.ndarray:
+    """Losses of bigrams: absolute discounting interpolated with an add-one unigram."""
+    one = ((single + 1.0) / (every + size))[after]
+    total, kinds = total[before].astype(np.float64), kinds[before].astype(np.float64)
+    many = np.maximum(total, 1)
+    return -np.log(np.maximum(counts.astype(np.float64) - DISCOUNT, 0) / many + np.where(total > 0, DISCOUNT * kinds / many, 1.0) * one)
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, target_loss, background_loss (nats per token), score (their difference).
 
-    A null or wordless text has no tokens and null losses.
+    The target is the rows whose doc_id is in the column of `target_ids` (nulls are in none). A null or
+    wordless text has no tokens and null losses.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(slim.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    known = None if size is None else frozenset(vocabulary(docs, size, text))
+    kind = docs.select(doc_id).dtypes[0][1]
+    marked = blocks(docs, target_ids, known, doc_id, text)
+    # Blocks times shards are rows, so the shards' number stays the same until one would be too large for a task.
+    tokens = marked.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    shards = 4 if tokens < 4 << 20 else 10
+    while tokens >> shards > 32 << 20:
+        shards += 1
 
-    def run(batches):
-        m = shared.value
+    def ask_bigrams(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                places, sizes = m.words.encode(part.column(1))
-                cells, ends = bigrams(places, sizes, m.size), np.cumsum(sizes)
-                losses = []
-                for table in (m.target, m.background):
-                    total = np.concatenate([[0.0], np.cumsum(table[cells], dtype=np.float64)])
-                    losses.append((total[ends - sizes] - total[ends]) / np.maximum(sizes, 1))
-                none = sizes == 0
-                columns = [pa.array(x, pa.float64(), mask=none) for x in (*losses, losses[0] - losses[1])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return score(docs, fit(docs, target_ids, size, doc_id, text), doc_id, text)
+            for row in b.to_pylist():
+                own = Block(row)
+                yield from own.request(own.keys, own.order, own.bigrams(), shards)
+
+    bigrams = written(marked.drop("doc_ids").mapInArrow(ask_bigrams, _REQUEST).groupBy("shard").applyInArrow(_add_up(2), _REPLY), "bigrams")
+
+    def ask_words(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Block(left.to_pylist()[0])
+        _, first = _replies(right.to_pylist(), 2, own.order)
+        return pa.Table.from_batches(own.request(own.words, np.argsort(own.words), own.contexts(first), shards))
+
+    asked = marked.drop("doc_ids").groupBy("block").cogroup(bigrams.select("block", "shard", "n", "sums", "first").groupBy("block")).applyInArrow(ask_words, _REQUEST)
+    words = written(asked.groupBy("shard").applyInArrow(_add_up(6), _REPLY), "words")
+    kinds, every, good = words.agg(*[F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c, k in (("kinds", 4), ("own", 4), ("own", 5))]).first()
+    places = len(known) + 1 if known is not None else kinds + 1
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, rows = Block(left.to_pylist()[0]), right.to_pylist()
+        counts, _ = _replies([r for r in rows if r["level"] == 2], 2, own.order)
+        by_word, _ = _replies([r for r in rows if r["level"] == 6], 6, np.argsort(own.words))
+        ends, losses = np.cumsum(own.sizes), []
+        for k, n in ((1, good), (0, every)):
+            loss = _loss(counts[k], own.before, own.after, *by_word[k::2], n, places)
+            total = np.concatenate([[0.0], np.cumsum(loss[own.cell])])
+            losses.append((total[ends] - total[ends - own.sizes]) / np.maximum(own.sizes, 1))
+        none = own.sizes == 0
+        columns = [pa.array(x, pa.float64(), mask=none) for x in (*losses, losses[0] - losses[1])]
+        ids = left.column("doc_ids").combine_chunks().flatten()
+        return pa.Table.from_arrays([ids, pa.array(own.sizes, pa.int64()), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    sent = [df.select("block", "shard", "n", "sums", "first", F.lit(level).alias("level")) for df, level in ((bigrams, 2), (words, 6))]
+    return marked.groupBy("block").cogroup(sent[0].unionAll(sent[1]).groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
