@@ -1,6 +1,6 @@
 """The training-data pipeline: five stages over `documents`, each written as Parquet and read again.
 
-Quality rules drop what they reject, SimHash keeps one document of each near-duplicate group, substring dedup
+Quality rules drop what they reject, near-dedup keeps one document of each near-duplicate group, substring dedup
 cuts passages that an earlier document holds, the mix draws documents towards the sources' targets, and packing
 lays all tokens in sequences of 2048.
 """
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of fingerprints over five-word shingles."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each component of pairs of similarity 0.8 over five-word shingles."""
     return simhash.keep_one(docs, shingle=5)
 
 
@@ -44,13 +44,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", simhash_dedup),
+    ("near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("mixing sources", mix_sources),
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SimHash fingerprints, chunk digests and the tokenizer are not SQL; tests compare run() with a plain Python version.
+#: Shingle sets, chunk digests and the tokenizer are not SQL; tests compare run() with a plain Python version.
 ORACLE_SQL: str | None = None
 
 

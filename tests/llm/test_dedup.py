@@ -206,3 +206,37 @@ def test_nearest_with_copies_ties_and_odd_rows(spark):
     assert got == [(1, 101, 2.0), (2, 0, 1.0), (3, 1, 1.0), (4, 2, 1.0)]
     assert ann.nearest(df, F.col("id") == 100, k=60).count() == 41
     assert ann.nearest(df.limit(0), F.col("id") == 1).count() == 0 and ann.nearest(df, F.col("id") == 9999).count() == 0
+
+
+def test_keep_one_has_all_pairs_of_the_similarity_and_no_others(spark):
+    """At the production settings, against all pairs: similarities around 0.8, a dense group, chains."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(90):
+        base = words(rng, rng.choice([30, 120, 300])).split()
+        rows.append(" ".join(base))
+        for _ in range(25 if i == 0 else 2):
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.randint(1, 1 + len(w) // 25)):
+                w[at] = f"changed{rng.randrange(10**6)}"
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    between = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            s = len(a & sets[j]) / len(a | sets[j])
+            between.append(s)
+            if s >= 0.8:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert sum(0.8 <= s < 0.85 for s in between) > 15 and sum(0.7 <= s < 0.8 for s in between) > 15
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [i for i in range(len(rows)) if find(i) == i]
