@@ -66,7 +66,7 @@ def stylesheet_rules(spark, sf):
 
 
 def cascade_winner(spark, sf):
-    """The page's own p{margin:0} against two rules of ours on every paragraph: margin-top and color that win."""
+    """Three fixed color rules of ours on every paragraph and article: the colors that win. The pages' own style sheets are not matched."""
     nodes = _nodes(spark, sf).where("tag = 'p' or tag = 'article'")
     mine = spark.createDataFrame([(0, "p", "color", "red", False), (1, "article p", "color", "blue", False), (2, "p", "color", "green", False)], "rule_id int, selector string, property string, value string, important boolean")
     ids = nodes.select("doc_id").distinct()
