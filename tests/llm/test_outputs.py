@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from vellumite.llm import mixing, packing, token_files
 from vellumite.llm.tokens import Encoder
@@ -16,16 +17,47 @@ from vellumite.llm.tokens import Encoder
 ODD = [None, "", " ", "\n", "a", "\n\n", "a\n", " a", "a  b", "don't I'll", "x\ty", "<|endoftext|>", "é漢😀", "word, word.", "Straße!!", "ª²|", "x" * 400, "a b", "ń", "Ġ", "ﬀ"]
 
 
+class Library:
+    """The library as it comes: nothing is set on it."""
+
+    def __init__(self, path):
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def whole(self, text):
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_equals_the_library(tokenizer):
-    e, rng = Encoder(tokenizer, most=400), random.Random(4)
+    e, plain, rng = Encoder(tokenizer, most=400), Library(tokenizer), random.Random(4)
     bits = [x for x in ODD if x]
     texts = ODD + [rng.choice(["", " ", "\n"]).join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(1500)]
     ids, starts = e.encode(pa.array(texts).slice(3))
     for t, a, b in zip(texts[3:], starts, starts[1:]):
-        assert ids[a:b].tolist() == e.whole(t or ""), repr(t)
+        assert ids[a:b].tolist() == plain.whole(t or ""), repr(t)
     assert e.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
+def test_strings_of_special_tokens(tokenizer):
+    """At the start, the middle and the end, with and without white space around, in words and in long texts."""
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"{end} a", f"a {end}", f"a{end}b", f"a  {end}\n{end}\n\nb", f"a\n{end}", f"{end}{end}", "<|endof text|>", f"x\t{end} y", f"word {end} " * 3000]
+    e, plain = Encoder(tokenizer), Library(tokenizer)
+    ids, starts = e.encode(pa.array(texts))
+    for t, a, b in zip(texts, starts, starts[1:]):
+        assert ids[a:b].tolist() == plain.whole(t), t[:40]
+    assert 50256 in ids.tolist() and e.encode(pa.array([f"a {end} b"]))[0].tolist() == [64, 220, 50256, 275]
+    assert 50256 not in Encoder(tokenizer, special_as_text=True).encode(pa.array(texts))[0].tolist()
+
+
+def test_other_tokenizer_files_are_encoded_whole(tokenizer):
+    path = tokenizer.replace("byte_bpe_50k", "word_bpe_49k")
+    e, plain = Encoder(path), Library(path)
+    assert not e.plain
+    ids, starts = e.encode(pa.array(ODD))
+    for t, a, b in zip(ODD, starts, starts[1:]):
+        assert ids[a:b].tolist() == plain.whole(t or "")
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
 @pytest.mark.parametrize("high", [1, 2, 50_257, 70_000, 1 << 32])
 def test_blocks_round_trip(n, high):
@@ -49,7 +81,7 @@ def test_outliers_do_not_widen_a_block():
 def test_token_files(spark, tokenizer, tmp_path):
     rows = list(enumerate(ODD, 10)) + [(3, "again"), (3, "again"), (None, "last")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1))
-    e = Encoder(tokenizer)
+    e = Library(tokenizer)
     path = f"file://{tmp_path}/tokens"
     got = token_files.token_files(df.repartition(3), tokenizer, path, with_ids=True).orderBy("start").collect()
     want = {i: e.whole(t or "") + [2] for i, t in rows}
@@ -62,6 +94,22 @@ def test_token_files(spark, tokenizer, tmp_path):
     assert token_files.token_files(df.limit(0), tokenizer).count() == 0
 
 
+def test_token_files_roll(spark, tokenizer, monkeypatch):
+    """Files end after so many ids; starts go on over files and tasks; a very long text is in one file."""
+    texts = [f"{w} " * n for w, n in (("one", 300), ("two", 5), ("three", 20_000), ("four", 700), ("five", 0))] * 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    made = []
+    write = token_files.write_token_files
+    monkeypatch.setattr(token_files, "write_token_files", lambda *a: made.extend(write(*a)) or made)
+    got = token_files.token_files(df, tokenizer).orderBy("doc_id").collect()
+    assert len(made) > len({m[0].split("-")[1] for m in made}) and sum(m[1] for m in made) == len(texts)
+    plain, at = Library(tokenizer), 0
+    size = {t: len(plain.whole(t)) + 1 for t in set(texts)}
+    for r, t in zip(got, texts):
+        assert (r["start"], r["n_tokens"]) == (at, size[t])
+        at += size[t]
+
+
 def check_plan(histogram, capacity=2048):
     runs = packing.plan_runs(dict(histogram), capacity)
     got, numbers, sequences = Counter(), defaultdict(list), defaultdict(list)
@@ -101,7 +149,7 @@ def test_packing(spark, tokenizer):
     long = "word " * 5000
     rows = [(i, t) for i, t in enumerate(ODD)] + [(50, long), (50, long), (None, "x y"), (51, "same"), (51, "same")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("clash"))
-    e = Encoder(tokenizer)
+    e = Library(tokenizer)
     got = packing.pack(df, tokenizer, 0, 64).collect()
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for r in got:
@@ -234,7 +282,7 @@ def test_pipeline_against_plain_python(spark, tokenizer, tmp_path):
     for r in kept[3]:
         drawn[r[0]] += len(r[1].split())
     assert all(drawn[i] <= 2 * len(t.split()) for i, t in after.items()) and sum(drawn.values()) == pytest.approx(1.5 * sum(len(t.split()) for t in after.values()), rel=0.1)
-    e = Encoder(tokenizer)
+    e = Library(tokenizer)
     tokens = sum(len(e.whole(r[1])) + 1 for r in kept[3])
     for got in (corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect(), corpus_pipeline.run(spark, folder).collect()):
         assert sum(r["length"] for r in got) == tokens

@@ -9,7 +9,8 @@ A file holds documents in ascending doc_id order (nulls last, equal ids by a has
               128 differences of `width` bits (the low bits, where they do not fit), most significant first,
               then u8 place of each exception and its whole u32 difference
 
-All numbers are little-endian. The width is the number of bits of the 90th percentile of a block's
+A task closes a file after ROLL ids at the end of a document and begins the next, so neither writing nor reading
+holds more than that and one document. All numbers are little-endian. The width is the number of bits of the 90th percentile of a block's
 differences, so a few large ids do not widen it. Files are written by the tasks to the shared folder, under
 a name of the attempt first and renamed when whole, so a repeated or lost task leaves one whole file.
 """
@@ -31,6 +32,8 @@ from vellumite.llm.tokens import encoder
 MAGIC, BLOCK, PERCENTILE = b"VPFOR001", 128, 0.9
 _AT = int(np.ceil(PERCENTILE * BLOCK)) - 1
 _SOME = 1 << 12  # blocks at a time
+#: Ids after which a file ends.
+ROLL = 1 << 22
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -147,7 +150,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """Writes the ids of all texts (null: empty), each with `end_id` after it; (file, documents, ids) in order.
 
     Documents are dealt by ranges of doc_id and a hash of the text, so one id with many rows is not one task's.
-    A task holds the ids of its own range. An empty table writes no file.
+    A task writes its range as files of some ROLL ids. An empty table writes no file.
     """
     order = [F.col("doc_id").asc_nulls_last(), F.col("_hash").asc()]
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_hash"))
@@ -155,28 +158,35 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     def run(batches):
         import pyarrow.fs as fs
 
-        enc, keys, sizes, ids = encoder(tokenizer), [], [], []
+        store, folder = fs.FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        enc, number, rolled = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        keys, sizes, ids, held = [], [], [], 0
+
+        def close():
+            name, attempt = f"part-{number:06d}-{rolled:06d}.pfor", f"{folder}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(attempt) as out:
+                out.write(file_bytes(keys, np.concatenate(sizes), np.concatenate(ids)))
+            store.move(attempt, f"{folder}/{name}")
+            return pa.RecordBatch.from_pydict({"file": [name], "documents": [len(keys)], "ids": [held]})
+
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 got, starts = enc.encode(part.column(1))
                 keys += part.column(0).to_pylist()
                 sizes.append(np.diff(starts) + 1)
-                ids.append(np.insert(got, starts[1:], end_id))
-        if not keys:
-            return
-        store, folder = fs.FileSystem.from_uri(path)
-        store.create_dir(folder, recursive=True)
-        number = TaskContext.get().partitionId()
-        name, attempt = f"part-{number:06d}.pfor", f"{folder}/.{uuid.uuid4().hex}"
-        count = int(sum(map(len, ids)))
-        with store.open_output_stream(attempt) as out:
-            out.write(file_bytes(keys, np.concatenate(sizes), np.concatenate(ids).astype(np.uint32)))
-        store.move(attempt, f"{folder}/{name}")
-        yield pa.RecordBatch.from_pydict({"file": [name], "documents": [len(keys)], "ids": [count]})
+                ids.append(np.insert(got, starts[1:], end_id).astype(np.uint32))
+                held += len(ids[-1])
+                if held >= ROLL:
+                    yield close()
+                    keys, sizes, ids, held, rolled = [], [], [], 0, rolled + 1
+        if keys:
+            yield close()
 
     made = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "file string, documents long, ids long")
-    return sorted((r["file"], r["documents"], r["ids"]) for r in made.collect())  # one row a file
+    # Names sort as the files follow each other; one row a file.
+    return sorted((r["file"], r["documents"], r["ids"]) for r in made.collect())
 
 
 def read_token_files(spark: SparkSession, path: str, manifest: list[tuple[str, int, int]], with_ids: bool = True) -> DataFrame:

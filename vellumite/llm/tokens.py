@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import repeat
@@ -23,27 +24,50 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids equal to Tokenizer.encode(text, add_special_tokens=False) of each whole text.
+    """Ids equal to Tokenizer.from_file(path).encode(text, add_special_tokens=False) of each whole text.
+
+    So the string of an added token, such as `<|endoftext|>`, gives that token's id, as the library has it; with
+    `special_as_text` it is ordinary text.
 
     Byte-level BPE cuts a text by its pattern first and merges inside the pieces. A cut always falls before
     a single space and around a single line feed between two other characters. So texts are split there,
     each distinct word of a batch is looked up once, and only unknown words go to the tokenizers library: a
     Latin word as one piece straight to its BPE model, anything else through the whole tokenizer. Texts with
     other white space are cut at single spaces only and their parts encoded whole. The dictionary is a
-    cache; when `most` words are in it, it starts anew. Strings of special tokens are ordinary text.
+    cache; when `most` words are in it, it starts anew.
+
+    All this holds for a file without normalizer whose pre-tokenizer is the byte-level pattern and whose added
+    tokens hold no white space and take none from their neighbours. With any other file every text is encoded
+    whole by the library.
     """
 
-    def __init__(self, path: str, most: int = 2_500_000):
+    def __init__(self, path: str, most: int = 1_000_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.plain = self._by_words(told)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        #: Letters of added tokens alone must not go to the model directly.
+        self.added = {x["content"] for x in told.get("added_tokens", [])}
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.most = most
         self._reset()
 
+    @staticmethod
+    def _by_words(told: dict) -> bool:
+        """Whether a text's ids are those of its words, cut as above."""
+        before, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+        if told.get("normalizer") or told.get("truncation") or told.get("padding") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            return False
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")):
+            return False
+        tokens = told.get("added_tokens", [])
+        return not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or any(c.isspace() for c in x["content"]) for x in tokens)
+
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.marks: dict[str, list[int]] = {}
@@ -59,7 +83,7 @@ class Encoder:
         lead, before = ("", self.feed) if word[0] == "\n" else (" ", [])
         body = word[1:] if before else word
         core = body.rstrip(".,!?;:")
-        if core.isalpha() and max(core) < "ɐ":
+        if core.isalpha() and max(core) < "ɐ" and not any(a in core for a in self.added if a.isalpha()):
             piece = (lead + core).encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(piece)]
             if end := body[len(core) :]:
@@ -88,6 +112,9 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if len(texts) == 0:
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        if not self.plain:
+            found = [np.array(self.whole(t.as_py()), "<u4") for t in texts]
+            return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         cuts, parts = np.searchsorted(ends, np.arange(_SLICE_BYTES, ends[-1] + 1, _SLICE_BYTES), "right"), []
         cuts = [0, *sorted({int(c) for c in cuts if 0 < c < len(texts)}), len(texts)]
