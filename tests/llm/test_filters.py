@@ -107,24 +107,64 @@ def test_binomial_cdf(spark, n):
             assert r["c"] == pytest.approx(exact, rel=1e-9)
 
 
-def test_cutoffs_keep_their_promise(spark):
-    """A rule that would refuse too many good documents of a stratum gets a milder cutoff there."""
+def test_levels_keep_their_promise(spark):
+    """A level that would refuse too many good documents of a stratum is not reached there; small strata reach none."""
     rows, labels = [], []
     for i in range(8000):
         lang, noisy = ("a", 0) if i % 2 else (None, 1 if i % 20 == 0 else 0)
         rows.append((i, lang, 100, 500, 30 if noisy else 0, 0, 0, False))
         labels.append((i, 1))
-    rows += [(10_000 + k, s, 100, 500, 30, 0, 0, False) for k, s in enumerate(["a", None, "unseen"])]
+    rows += [(20_000 + i, "few", 100, 500, 0, 0, 0, False) for i in range(100)]
+    labels += [(20_000 + i, 1) for i in range(100)]
+    rows += [(10_000 + k, s, 100, 500, 30, 0, 0, False) for k, s in enumerate(["a", None, "unseen", "few"])]
     measured = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
     cuts = quality.certify(measured, spark.createDataFrame([*labels, *labels[:50], (None, 1)], "doc_id long, quality int"))
-    found = {r["stratum"]: r["cut_symbols"] for r in cuts.collect()}
-    assert found == {"a": 0.05, None: 0.3}  # a tenth of the good null ones have a share of 0.3: not above it
+    found = {r["stratum"]: (r["level"], r["n"], r["k"]) for r in cuts.collect()}
+    # A tenth of the good null ones have a share of symbols of 0.3: not above 0.3, the cutoff of level 6.
+    assert found == {"a": (10, 4000, 0), None: (6, 4000, 0)} and quality.RULES[0].cutoffs[6] == 0.3
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(measured, cuts).collect()}
-    assert not kept[10_000] and kept[10_001] and kept[10_002] and len(kept) == len(rows)
+    assert not kept[10_000] and kept[10_001] and kept[10_002] and kept[10_003] and len(kept) == len(rows)
     empty = quality.certify(measured, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.judge(measured, empty).where("kept").count() == len(rows)
 
 
+def test_certified_levels_against_a_plain_version(spark):
+    """Random measures and strata: the last level of the path whose exact tail is small enough."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(6000):
+        s = rng.choices(["x", "y", None], (12, 5, 2))[0]
+        n = rng.randint(20, 400)
+        rows.append((i, s, n, int(n * rng.gauss(6, 1.2)), int(n * rng.expovariate(30)), rng.choices([0, 1, 9], (90, 8, 2))[0], int(n * 0.2 * rng.random() ** 20), rng.random() < 0.1))
+    good = {i for i in range(6000) if rng.random() < 0.6}
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(6000)], "doc_id long, quality int")
+    held = [r for r in rows if r[0] in good and not r[7]]
+    want = {}
+    for s in {r[1] for r in held}:
+        own = [r for r in held if r[1] == s]
+        for level in range(quality.levels(quality.RULES)):
+            k = 0
+            for _, _, n, chars, symbols, lines, repeats, _ in own:
+                values = (symbols / n, 100 * lines / n, repeats / n, chars / n, chars / n)
+                k += any(v * r.sign > r.cutoffs[level] * r.sign for v, r in zip(values, quality.RULES))
+            tail = sum(math.comb(len(own), j) * 0.02**j * 0.98 ** (len(own) - j) for j in range(k + 1))
+            if tail > 0.05 * len(own) / len(held):
+                break
+            want[s] = (level, len(own), k)
+    got = {r["stratum"]: (r["level"], r["n"], r["k"]) for r in quality.certify(measured, labels).collect()}
+    assert got == want and len({w[0] for w in want.values()}) > 1
+    with pytest.raises(ValueError):
+        quality.levels((quality.Rule("a", "n_words", 1, (1.0, 2.0)),))
+
+
+def test_levels_are_certified_on_the_correctness_table(spark):
+    """At sf0.01 the method refuses documents that the base rules pass."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.quality_verdicts(docs, labels)
+    assert out.where("not base_failed and not kept").count() > 0 and out.where("kept").count() > 0.8 * out.where("not base_failed").count()
+
+
 def test_quality_filter_keeps_rows_and_columns(spark):
     good = " ".join(f"word{i}" for i in range(30))
     docs = spark.createDataFrame([(1, good, "en", "x"), (1, good, "en", "x"), (None, good, None, "y"), (2, "short", "en", None), (3, None, "en", None)], "doc_id long, text string, lang string, kept string")

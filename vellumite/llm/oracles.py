@@ -52,10 +52,10 @@ def url_filter() -> str:
 
 
 def quality_rules(alpha: float = quality.ALPHA, delta: float = quality.DELTA) -> str:
-    share = alpha / len(quality.RULES)
-    tests = " UNION ALL ".join(f"SELECT stratum, '{r.name}' AS rule, {i} AS i, {float(c)} AS cutoff, n, k{j} AS k FROM counted" for j, (r, i, c) in enumerate((r, i, c) for r in quality.RULES for i, c in enumerate(r.cutoffs)))
-    sums = ", ".join(f"sum(CASE WHEN {_double(r.measure)} * {r.sign} > {float(c)} * {r.sign} THEN 1 ELSE 0 END) AS k{j}" for j, (r, c) in enumerate((r, c) for r in quality.RULES for c in r.cutoffs))
-    crossed = " OR ".join(f"coalesce({_double(r.measure)} * {r.sign} > max(c.cutoff) FILTER (c.rule = '{r.name}') * {r.sign}, false)" for r in quality.RULES)
+    refused = ["(" + " OR ".join(f"coalesce({_double(r.measure)} * {r.sign} > {float(r.cutoffs[i])} * {r.sign}, false)" for r in quality.RULES) + ")" for i in range(quality.levels(quality.RULES))]
+    tests = " UNION ALL ".join(f"SELECT stratum, {i} AS level, n, k{i} AS k FROM counted" for i in range(len(refused)))
+    sums = ", ".join(f"sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS k{i}" for i, x in enumerate(refused))
+    crossed = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(refused))
     return f"""
       WITH w AS (SELECT rowid AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
       g AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
@@ -66,10 +66,10 @@ def quality_rules(alpha: float = quality.ALPHA, delta: float = quality.DELTA) ->
       b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
       counted AS (SELECT lang AS stratum, count(*) AS n, {sums} FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang),
       tests AS ({tests}),
-      passed AS (SELECT *, CASE WHEN k >= n * {share!r} THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r})))) END <= {delta!r} / ((SELECT count(*) FROM counted) * {len(quality.RULES)}) AS ok FROM tests),
-      certified AS (SELECT stratum, rule, arg_max(cutoff, i) AS cutoff FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY i) AS so_far FROM passed) WHERE so_far GROUP BY stratum, rule)
-      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({crossed}) AS kept
-      FROM b LEFT JOIN certified c ON b.lang IS NOT DISTINCT FROM c.stratum GROUP BY b.r, doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"""
+      passed AS (SELECT *, CASE WHEN k >= n * {alpha!r} THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r})))) END <= {delta!r} * n / (SELECT sum(n) FROM counted) AS ok FROM tests),
+      certified AS (SELECT stratum, max(level) AS level FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY level) AS so_far FROM passed) WHERE so_far GROUP BY stratum)
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(CASE c.level {crossed} END, false) AS kept
+      FROM b LEFT JOIN certified c ON b.lang IS NOT DISTINCT FROM c.stratum"""
 
 
 def _double(measure: str) -> str:

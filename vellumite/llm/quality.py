@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-Every rule rejects a document whose measure lies beyond a cutoff. For each stratum and rule the cutoffs
-are tried from the mildest to the strictest; a cutoff is certified while the exact binomial test rejects
-"the rule refuses more than its share of good documents" (that is, while the one-sided Clopper-Pearson
-bound on the false-rejection rate stays below the share). Testing in a fixed order needs no correction
-along the grid (learn-then-test); over strata and rules the level is divided (Bonferroni), and the share
-of a stratum is divided over its rules, so with probability 1 - delta no stratum loses more than alpha of
-its good documents. Everything is DataFrame code; no Python runs on the executors.
+Every rule rejects a document whose measure lies beyond a cutoff. The rules share one path of levels from mild
+to strict: at a level each rule has its cutoff, and a document is refused there if any rule refuses it. For
+each stratum the levels are tried in that order on the labelled good documents (the holdout), and a level is
+certified while the exact binomial test rejects "this level refuses more than alpha of the stratum's good
+documents" (that is, while the one-sided Clopper-Pearson bound on its false rejections stays below alpha).
+Testing in a fixed order needs no correction along the path (learn-then-test); as a level is tested as the
+union of its rules, none is needed over the rules; over the strata the error delta is divided by their shares
+of the holdout (weighted Bonferroni, the weights following from sizes only). So with probability 1 - delta no
+stratum loses more than alpha of its good documents to the rules. Everything is DataFrame code; no Python runs
+on the executors.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where the measure is above (sign 1) or below (sign -1) a cutoff; cutoffs from mild to strict."""
+    """Rejects where the measure is above (sign 1) or below (sign -1) a cutoff; one cutoff a level, from mild to strict."""
 
     name: str
     measure: str
@@ -35,14 +38,30 @@ class Rule:
 #: Measures are SQL over the columns of MEASURES; n_words is at least 1 where they are used.
 RULES = (
     Rule("symbols", "n_symbols / n_words", 1, (2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05)),
-    Rule("dup_lines", "100 * n_dup_lines / n_words", 1, (10.0, 7.5, 5.0, 4.0, 3.0, 2.0, 1.0)),
-    Rule("repeats", "n_repeat_words / n_words", 1, (0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06, 0.04)),
-    Rule("long_words", "word_chars / n_words", 1, (30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0)),
-    Rule("short_words", "word_chars / n_words", -1, (1.5, 2.0, 2.5, 3.0, 3.5, 4.0)),
+    Rule("dup_lines", "100 * n_dup_lines / n_words", 1, (10.0, 8.5, 7.5, 6.0, 5.0, 4.5, 4.0, 3.0, 2.0, 1.5, 1.0)),
+    Rule("repeats", "n_repeat_words / n_words", 1, (0.19, 0.18, 0.17, 0.16, 0.15, 0.14, 0.12, 0.1, 0.08, 0.06, 0.04)),
+    Rule("long_words", "word_chars / n_words", 1, (30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0, 9.0, 8.0)),
+    Rule("short_words", "word_chars / n_words", -1, (1.5, 1.75, 2.0, 2.25, 2.5, 2.75, 3.0, 3.25, 3.5, 3.75, 4.0)),
 )
 ALPHA, DELTA, WINDOW = 0.02, 0.05, 5
 
 
+def levels(rules: tuple[Rule, ...]) -> int:
+    """The number of levels, the same for all rules; cutoffs that do not grow stricter are refused."""
+    sizes = {len(r.cutoffs) for r in rules}
+    if len(sizes) > 1 or any(a * r.sign < b * r.sign for r in rules for a, b in zip(r.cutoffs, r.cutoffs[1:])):
+        raise ValueError("rules need equally many cutoffs, each at least as strict as the one before")
+    return sizes.pop() if sizes else 0
+
+
+def refused(rules: tuple[Rule, ...], level: int) -> Column:
+    """Whether any rule refuses a document at a level."""
+    out = F.lit(False)
+    for r in rules:
+        out |= F.coalesce(F.expr(r.measure) * r.sign > r.cutoffs[level] * r.sign, F.lit(False))
+    return out
+
+
 def _let(value: Column, body) -> Column:
     """Evaluates `value` once and hands it to `body`."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -115,38 +134,39 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def certify(measured: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", rules: tuple[Rule, ...] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum: `stratum` and for each rule its cutoff (null: none certified).
+    """One row per stratum with a certified level: `stratum`, `level` (from 0), `n` (good documents) and `k` (of them refused there).
 
     `measured` has `doc_id`, `stratum`, MEASURES and base_failed; `labels` has doc_id and quality.
     Good documents are those with a label of quality 1 (any of several) that pass the base rules. A null
     stratum is a stratum. Empty inputs give no row. Counts are summed before the shuffle; one row per
-    stratum and cutoff remains after it.
+    stratum and level remains after it.
     """
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
     held = measured.where(~F.col("base_failed")).join(good, F.col(doc_id) == F.col("_id"), "left_semi")
-    fires = [(r.name, i, c, F.expr(r.measure) * r.sign > c * r.sign) for r in rules for i, c in enumerate(r.cutoffs)]
-    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f.cast("long")).alias(f"k{j}") for j, (_, _, _, f) in enumerate(fires)])
-    tests = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"k{j}").alias("k")) for j, (r, i, c, _) in enumerate(fires)])).alias("t")
-    level = delta / (F.count(F.lit(1)).over(Window.partitionBy()) * len(rules))
-    counts = counts.withColumn("level", level)
-    long = counts.select("stratum", "n", "level", tests).select("stratum", "n", "level", "t.*")
-    passed = long.withColumn("ok", (binomial_cdf(F.col("k"), F.col("n"), alpha / len(rules)) <= F.col("level")).cast("int"))
-    so_far = passed.withColumn("ok", F.min("ok").over(Window.partitionBy("stratum", "rule").orderBy("i")))
-    best = [F.max(F.when((F.col("rule") == r.name) & (F.col("ok") == 1), F.struct("i", "cutoff")))["cutoff"].alias(f"cut_{r.name}") for r in rules]
-    return so_far.groupBy("stratum").agg(*best)
-
-
-def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """measured with `kept`: base rules passed and no certified cutoff crossed; a stratum without cutoffs has the base rules only."""
-    cuts = cutoffs.withColumnRenamed("stratum", "_stratum")
+    several = range(levels(rules))
+    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(refused(rules, i).cast("long")) for i in several]).alias("k"))
+    counts = written(counts, "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tests = counts.select("stratum", "n", F.posexplode("k").alias("level", "k"))
+    error = F.lit(delta) * F.col("n") / F.lit(max(total, 1))
+    passed = tests.withColumn("ok", (binomial_cdf(F.col("k"), F.col("n"), alpha) <= error).cast("int"))
+    so_far = passed.withColumn("ok", F.min("ok").over(Window.partitionBy("stratum").orderBy("level"))).where("ok = 1")
+    best = so_far.groupBy("stratum").agg(F.max(F.struct("level", "n", "k")).alias("b"))
+    return best.select("stratum", "b.*")
+
+
+def judge(measured: DataFrame, certified: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """measured with `kept`: base rules passed and not refused at the stratum's level; a stratum without one has the base rules only."""
+    cuts = certified.select(F.col("stratum").alias("_stratum"), F.col("level").alias("_level"))
     if cuts.count() <= 10_000:
         cuts = F.broadcast(cuts)
     out = measured.join(cuts, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     crossed = F.lit(False)
     for r in rules:
-        crossed |= F.coalesce(F.expr(r.measure) * r.sign > F.col(f"cut_{r.name}") * r.sign, F.lit(False))
+        cutoff = F.get(F.array(*[F.lit(float(c)) for c in r.cutoffs]), F.col("_level"))
+        crossed |= F.coalesce(F.expr(r.measure) * r.sign > cutoff * r.sign, F.lit(False))
     kept = F.when(F.col("base_failed"), False).otherwise(~crossed)
-    return out.withColumn("kept", kept).drop("_stratum", *[f"cut_{r.name}" for r in rules])
+    return out.withColumn("kept", kept).drop("_stratum", "_level")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
