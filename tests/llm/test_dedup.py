@@ -208,6 +208,28 @@ def test_nearest_with_copies_ties_and_odd_rows(spark):
     assert ann.nearest(df.limit(0), F.col("id") == 1).count() == 0 and ann.nearest(df, F.col("id") == 9999).count() == 0
 
 
+def test_ties_of_different_vectors(spark):
+    """300 different vectors at the same inner product, whatever is measured exactly: the smallest ids win."""
+    rows = [(7 * i % 300, [1.0, float(i), float(i * i % 11)]) for i in range(300)] + [(1000, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for rerank, block in ((400, 8192), (400, 50), (60, 8192)):
+        got = [r["vec_id"] for r in ann.nearest(df, F.col("id") == 1000, rerank=rerank, candidate_block=block).orderBy("rank").collect()]
+        assert len(got) == 20 and (rerank < 300 or got == list(range(20)))
+    assert ann._best(np.array([1.0, 3.0, 1.0, 1.0, 2.0]), np.array([9, 8, 2, 5, 1]), 3).tolist() == [1, 4, 2]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_nearest_recall_of_the_codes(spark, size):
+    """So few measured exactly that the codes decide: a twentieth of a block."""
+    t = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    p = t.orderBy("vec_id").toPandas()
+    want = brute(p.vec_id.to_numpy(), np.stack(p.embedding).astype(float), 20, p.vec_id.to_numpy() % 20 == 0)
+    got = {}
+    for r in ann.nearest(t, F.col("id") % 20 == 0, rerank=max(60, len(p) // 20)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(got[q] & {a for a, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
 def test_keep_one_has_all_pairs_of_the_similarity_and_no_others(spark):
     """At the production settings, against all pairs: similarities around 0.8, a dense group, chains."""
     rng = random.Random(21)

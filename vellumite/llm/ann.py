@@ -8,13 +8,18 @@ codewords. Next to the codes the norms of the vector and of its decoded sum are
 A query has a table of its inner products with all codewords; a candidate's score is the sum of one entry per
 codebook, scaled by the stored norms. In each block of candidates the best `rerank` are measured on the
 original vectors in double precision. Blocks of queries meet blocks of candidates: nothing is compared row by
-row in a join, and every query meets every candidate.
+row in a join, and every query meets every candidate's codes. Work so grows with queries times candidates.
+Inverted lists would cut it, but at a price in results: on the test vectors (64 dimensions, little structure)
+0.91 of the true neighbours lie in the 64 best of 128 lists, half of all vectors, and 0.71 in a quarter.
+
+Ties go to the smaller id throughout: in the choice of what is measured, in a block's best, and in the end.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,9 +95,9 @@ def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") ->
 
 
 def _packed(rows: DataFrame, count: int, size: int, encode: AdditiveQuantiser | None, name: str) -> tuple[DataFrame, int]:
-    """Blocks of some `size` rows as bytes (n, ids, vectors, codes, scale) numbered from 0 in `block`, and how many there are.
+    """Blocks of some `size` rows as bytes (block, ids, vectors, codes, scale), and a number that all of `block` are below.
 
-    A block has one row in the table, so there are thousands of times fewer than vectors.
+    A block is what one task gets of rows dealt evenly, and is written once, so its number is that of the task.
     """
     parts = max(1, -(-count // size))
     shared = rows.sparkSession.sparkContext.broadcast(encode)
@@ -103,24 +108,25 @@ def _packed(rows: DataFrame, count: int, size: int, encode: AdditiveQuantiser |
             return
         ids = np.concatenate([b.column(0).to_numpy() for b in got])
         x = np.concatenate([b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in got])
-        order = np.lexsort((*x.T[::-1], ids))
-        ids, x = ids[order], x[order]
-        for at in range(0, len(ids), 2 * size):
-            i, part = ids[at : at + 2 * size], np.ascontiguousarray(x[at : at + 2 * size])
-            codes, scale = np.zeros((len(i), 0), np.int16), np.zeros(len(i), np.float32)
-            if shared.value is not None:
-                codes = shared.value.encode(part)
-                norm, made = np.linalg.norm(part, axis=1), np.linalg.norm(shared.value.decode(codes), axis=1)
-                scale = (norm / np.maximum(made, 1e-12)).astype(np.float32)
-                codes = codes.astype("<i2")
-            yield pa.RecordBatch.from_pydict({"n": [len(i)], "ids": [i.astype("<i8").tobytes()], "vectors": [part.astype("<f8").tobytes()], "codes": [codes.tobytes()], "scale": [scale.tobytes()]})
-
-    blocks = written(rows.repartition(parts).mapInArrow(run, "n long, ids binary, vectors binary, codes binary, scale binary"), name)
-    # No two blocks are equal, as no two rows are; one number on the driver stands for thousands of vectors.
-    names = sorted((r["h"], r["n"]) for r in blocks.select(F.xxhash64("ids", "vectors").alias("h"), "n").collect())
-    table = rows.sparkSession.createDataFrame([(h, n, k) for k, (h, n) in enumerate(names)], "_h long, _n long, block long")
-    joined = blocks.withColumn("_own", F.xxhash64("ids", "vectors")).join(table, (F.col("_own") == F.col("_h")) & (F.col("n") == F.col("_n")))
-    return joined.drop("_h", "_own", "_n"), len(names)
+        codes, scale = np.zeros((len(ids), 0), np.int16), np.zeros(len(ids), np.float32)
+        if shared.value is not None:
+            codes = shared.value.encode(x)
+            norm, made = np.linalg.norm(x, axis=1), np.linalg.norm(shared.value.decode(codes), axis=1)
+            scale = (norm / np.maximum(made, 1e-12)).astype(np.float32)
+            codes = codes.astype("<i2")
+        yield pa.RecordBatch.from_pydict({"block": [TaskContext.get().partitionId()], "ids": [ids.astype("<i8").tobytes()], "vectors": [np.ascontiguousarray(x, "<f8").tobytes()], "codes": [codes.tobytes()], "scale": [scale.tobytes()]})
+
+    return written(rows.repartition(parts).mapInArrow(run, "block long, ids binary, vectors binary, codes binary, scale binary"), name), parts
+
+
+def _best(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n greatest scores, ties to the smaller id, in no order."""
+    if n >= len(score):
+        return np.arange(len(score))
+    edge = np.partition(score, len(score) - n)[len(score) - n]
+    above, at = np.flatnonzero(score > edge), np.flatnonzero(score == edge)
+    lack = n - len(above)
+    return np.concatenate([above, at if lack == len(at) else at[np.argsort(ids[at], kind="stable")[:lack]]])
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.ndarray, books: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
@@ -134,6 +140,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.nd
     new[1:] = (x[1:] != x[:-1]).any(1)
     first = np.flatnonzero(new)
     many = np.diff(np.append(first, len(ids)))
+    least = ids[first]
     distinct, c, s = x[first], codes[order][first].astype(np.int64), scale[order][first]
     flat = books.reshape(-1, books.shape[2])
     out = []
@@ -144,12 +151,17 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.nd
         for b in range(c.shape[1]):
             guess += table[:, c[:, b]]
         guess *= s
-        some = min(rerank, len(distinct))
-        best = np.argpartition(-guess, some - 1, axis=1)[:, :some] if some < len(distinct) else np.broadcast_to(np.arange(len(distinct)), guess.shape)
-        for j, near in enumerate(best):
-            # Products are added from the first component to the last, as a plain loop would.
+        for j in range(len(q)):
+            near = _best(guess[j], least, rerank)
+            # First by a fast product; what may be among the best by it is measured with the products added from
+            # the first component to the last, as a plain loop would.
+            rough = distinct[near] @ q[j]
+            if len(near) > k + 1:
+                edge = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+                near = near[rough >= edge - 1e-9 * (1 + np.abs(rough).max())]
             exact = np.cumsum(distinct[near] * q[j], axis=1)[:, -1]
-            near, exact = near[top := np.argsort(-exact, kind="stable")[: k + 1]], exact[top]
+            top = np.lexsort((least[near], -exact))[: k + 1]
+            near, exact = near[top], exact[top]
             take = np.minimum(many[near], k + 1)
             place = np.repeat(first[near] - np.cumsum(take) + take, take) + np.arange(take.sum())
             got, score = ids[place], np.repeat(exact, take)
@@ -175,12 +187,12 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id",
         return spark.createDataFrame([], schema)
     first = good.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]  # `sample` rows at most
     quantiser = AdditiveQuantiser.train(np.stack(first.to_numpy()), books, words)
-    index, n_candidates = _packed(good, count, candidate_block, quantiser, "index")
+    index, n_blocks = _packed(good, count, candidate_block, quantiser, "index")
     asked = good.where(queries)
     if asked.isEmpty():
         return spark.createDataFrame([], schema)
     asking, _ = _packed(asked, asked.count(), query_block, None, "queries")
-    sent = asking.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_candidates - 1).cast("long"))).alias("to"))
+    sent = asking.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("to"))
     met = index.join(sent, F.col("block") == F.col("to")).select("ids", "vectors", "codes", "scale", "q_ids", "q_vectors")
     shared = spark.sparkContext.broadcast(quantiser.books)  # books * words * dimensions
 
