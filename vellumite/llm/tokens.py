@@ -34,14 +34,14 @@ class Encoder:
     each distinct word of a batch is looked up once, and only unknown words go to the tokenizers library: a
     Latin word as one piece straight to its BPE model, anything else through the whole tokenizer. Texts with
     other white space are cut at single spaces only and their parts encoded whole. The dictionary is a
-    cache; when `most` words are in it, it starts anew.
+    cache; when `most` words are in it, those that were met in one batch only leave it.
 
     All this holds for a file without normalizer whose pre-tokenizer is the byte-level pattern and whose added
     tokens hold no white space and take none from their neighbours. With any other file every text is encoded
     whole by the library.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, most: int = 2_000_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,8 +73,23 @@ class Encoder:
         self.marks: dict[str, list[int]] = {}
         self.tokens = np.empty(1 << 16, "<u4")
         self.starts = np.zeros((1 << 14) + 1, np.int64)
+        self.again = np.zeros(1 << 14, bool)
         self.feed = self.whole("\n")
 
+    def _forget(self) -> None:
+        """Keeps the words met in several batches, if they are fewer than half of `most`."""
+        keep = np.flatnonzero(self.again[: len(self.known)])
+        if not 0 < len(keep) < self.most // 2:
+            return self._reset()
+        words = list(self.known)  # in the order of their numbers
+        size = self.starts[keep + 1] - self.starts[keep]
+        total = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.starts[keep] - total[:-1], size) + np.arange(total[-1])
+        self.tokens = np.append(self.tokens[at], np.empty(1 << 16, "<u4"))
+        self.starts = np.append(total, np.zeros(1 << 14, np.int64))
+        self.again = np.zeros(len(self.starts), bool)
+        self.known = {words[k]: i for i, k in enumerate(keep.tolist())}
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
 
@@ -101,6 +116,7 @@ class Encoder:
         ends = at + np.cumsum(sizes)
         while n + len(words) >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+            self.again = np.concatenate([self.again, np.zeros(len(self.starts) - len(self.again), bool)])
         while ends[-1] > len(self.tokens):
             self.tokens = np.concatenate([self.tokens, np.empty(len(self.tokens), "<u4")])
         self.starts[n + 1 : n + 1 + len(words)] = ends
@@ -137,8 +153,9 @@ class Encoder:
         hit = odd[places] & ~first
         strange = np.flatnonzero(np.bincount(np.searchsorted(begin, np.flatnonzero(hit), "right") - 1, minlength=len(texts)))
         if len(self.known) + len(words) > self.most:
-            self._reset()
+            self._forget()
         gids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        self.again[gids[gids >= 0]] = True
         missing = np.flatnonzero((gids < 0) & ~odd).tolist()
         if missing:
             n = len(self.known)
