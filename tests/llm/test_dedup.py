@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_64_digest, xxh64_intdigest
 
 from vellumite.llm import ann, simhash, substring
 
@@ -72,6 +72,99 @@ def test_links_give_all_components(spark, crowd):
     assert {f: find(f) for f in fps} == plain_components(fps)
 
 
+def shingle_set(text, shingle=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset(tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def least_of_components(items, linked, ids):
+    """The smallest id (None last) of each component, by all pairs."""
+    parent = list(range(len(items)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(items):
+        for j in range(i):
+            if linked(a, items[j]):
+                parent[find(i)] = find(j)
+    out = {}
+    for i, name in enumerate(ids):
+        g = find(i)
+        out[g] = name if g not in out or out[g] is None else out[g] if name is None else min(out[g], name)
+    return list(out.values())
+
+
+def test_wide_fingerprints_and_their_keys(spark):
+    """Votes bit by bit, and the keys of a segment, against a plain version."""
+    rng = random.Random(14)
+    for t in ("", "one", " ".join(f"w{rng.randrange(50)}" for _ in range(3)), " ".join(f"w{rng.randrange(90)}" for _ in range(700))):
+        node, raw, parts, weak, c0, c1 = simhash.shingle_sketch(t)
+        hashes = sorted({int.from_bytes(xxh3_64_digest(b" ".join(g)), "little") for g in shingle_set(t)})
+        mixed = []
+        for h in hashes:
+            word = []
+            for k in range(10):
+                x = (h ^ int(simhash._XOR[k])) * int(simhash._TIMES[k]) % 2**64
+                x = (x ^ (x >> 32)) * 0x94D049BB133111EB % 2**64
+                word.append(x ^ (x >> 29))
+            mixed.append(word)
+        margin = [sum(1 if w[b // 64] >> (b % 64) & 1 else -1 for w in mixed) for b in range(640)]
+        assert simhash.votes(np.array(hashes, np.uint64)).tolist() == margin
+        assert np.frombuffer(raw, "<u4").tolist() == sorted({h % 2**32 for h in hashes})
+        keys = set()
+        for s in range(24):
+            own = margin[20 * s : 20 * s + 20]
+            value = sum(1 << i for i in range(20) if own[i] > 0)
+            worst = sorted(range(20), key=lambda i: (abs(own[i]), i))[:8]
+            assert (parts[s], weak[s]) == (value, sum(1 << i for i in worst))
+            keys |= {(s * 20 + i) << 20 | value & ~(1 << i) for i in worst}
+        assert [sum(1 << b for b in range(64) if margin[480 + 64 * h + b] > 0) for h in (0, 1)] == [c0 % 2**64, c1 % 2**64]
+        df = spark.createDataFrame([(node, list(map(int, parts)), list(map(int, weak)))], "node long, parts array<int>, weak array<int>")
+        assert {r["key"] for r in simhash._keys(df).collect()} == keys and len(keys) == 192
+
+
+def test_recall_of_pairs_at_the_similarity(spark):
+    """Pairs whose similarity lies from 0.8 to 0.83, where keys are shared least: 0.95 of them and more are found."""
+    rng = random.Random(31)
+    rows = []
+    while len(rows) < 800:
+        base = [f"w{rng.randrange(10**7)}" for _ in range(rng.choice([40, 150, 400]))]
+        other = list(base)
+        while jaccard(shingle_set(" ".join(base)), shingle_set(" ".join(other))) > 0.83:
+            other[rng.randrange(len(other))] = f"x{rng.randrange(10**7)}"
+        if jaccard(shingle_set(" ".join(base)), shingle_set(" ".join(other))) >= 0.8:
+            rows += [" ".join(base), " ".join(other)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert {i for i in range(0, 800, 2)} <= kept and len(kept) - 400 <= 0.05 * 400
+
+
+def test_crowded_keys(spark):
+    """A thousand near copies of one text, and texts near one of them only; nothing is emitted pair by pair."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**7)}" for _ in range(300)]
+    rows = []
+    for _ in range(1000):
+        w = list(base)
+        w[rng.randrange(300)] = f"x{rng.randrange(10**7)}"
+        rows.append(" ".join(w))
+    for i in range(3):
+        w = rows[i].split()
+        for at in (20, 60, 100, 140, 180)[: 3 + i]:
+            w[at] = f"y{rng.randrange(10**7)}"
+        rows.append(" ".join(w))
+    rows += [" ".join(f"z{rng.randrange(10**7)}" for _ in range(200)) for _ in range(20)]
+    least = least_of_components([shingle_set(t) for t in rows[:3] + rows[1000:]], lambda a, b: jaccard(a, b) >= 0.8, [*range(3), *range(1000, len(rows))])
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert kept == {0, *range(1003, 1023)} | ({i for i in (1000, 1001, 1002) if i in least})
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     rows = [(r["doc_id"], r["text"]) for r in docs] + [(9001, None), (9002, ""), (9002, ""), (None, docs[0]["text"])]
@@ -85,26 +178,10 @@ def test_documents(spark, sf):
     want = sorted((str(i), f, least[group[f]]) for (i, _), f in zip(rows, fp))
     got = sorted((str(r["doc_id"]), r["fp"] % (1 << 64), r["component_id"]) for r in simhash.simhash_components(df).collect())
     assert got == want
-    wide = [simhash.wide_fingerprint(t) for _, t in rows]
-    parent = {f[0]: f[0] for f in wide}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    every = sorted(set(wide))
-    for i, a in enumerate(every):
-        for b in every[i + 1 :]:
-            if (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 11:
-                parent[find(a[0])] = find(b[0])
-    first = {}
-    for (i, _), f in zip(rows, wide):
-        if i is not None:
-            first[find(f[0])] = min(first.get(find(f[0]), i), i)
-    kept = simhash.keep_one(df, distance=11)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(first.values()))
-    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} <= set(first.values())
+    sets = [shingle_set(t) for _, t in rows]
+    least = least_of_components([(len(a), a) for a in sets], lambda a, b: jaccard(a[1], b[1]) >= 0.8, [i for i, _ in rows])
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(least)
     assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.simhash_components(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c"), (None, "a b c")], "doc_id long, text string")
     assert simhash.keep_one(nulls).count() == 1

@@ -17,11 +17,13 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's spark.checkpoint.dir. Where that is unset (tests, a single machine) a
-    temporary folder is made and set on the context.
+    It is the session's spark.checkpoint.dir. Where that is unset on a single machine (tests) a temporary
+    folder is made and set on the context; on a cluster such a folder would be no shared one, so that is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not (spark.sparkContext.master or "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="vellumite-")
         spark.sparkContext.setCheckpointDir(f"file://{named}")
         named = spark.sparkContext.getCheckpointDir()
@@ -59,6 +61,20 @@ def written_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As written(), in as many buckets of `key` as there are shuffle partitions: joins on the key then move the other side only.
+
+    After a shuffle on `key` each task already holds whole buckets. The table's entry in the catalog is needed
+    to read buckets; it is dropped at once and its files stay.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    entry = f"vellumite_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return out.select(*df.columns)
+
+
 def distributed_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], to: str, weight: Column | None = None) -> DataFrame:
     """Adds `to`: the number of rows (or sum of `weight`) of the same `keys` before this row in (bucket, order).
 

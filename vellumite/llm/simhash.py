@@ -12,8 +12,12 @@ than `crowd` members leave the join: two members at distance 4 or less have a po
 from both, so linking every member to the minimum of its 2081 points finds the same components with work
 that grows with the members, not with their square.
 
-keep_one, the pipeline's near-dedup, wants a similarity of 0.8, which fingerprints tell too roughly. Its
-candidates share a band of minima over their shingle sets, and the sets themselves decide.
+keep_one, the pipeline's near-dedup, wants all pairs whose word shingles have a Jaccard similarity of 0.8. Such
+sets differ in 15 % of a SimHash's bits, so no few segments of 64 bits would do. It makes 640 bits: 24 segments
+of 20, and 128 that only the check sees. A segment's wildcard is put on its 8 weakest bits in turn (those whose
+votes were closest to even; a bit that differs between near copies is one of these), so a class has 192 keys.
+A pair meets where in some segment at most one bit differs: from 0.85 on practically always, at exactly 0.8 in
+some 98 of 100 pairs. What meets is checked by the 128 bits, then by the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_digest, xxh3_64_intdigest, xxh3_128_digest, xxh64_intdigest
+from pyspark.sql.window import Window
+from xxhash import xxh3_64_digest, xxh3_64_intdigest, xxh64_intdigest
 
-from vellumite.llm._common import components, written
+from vellumite.llm._common import bucketed, components, fresh_path, remove_path, written, written_at
 
 DISTANCE = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -153,76 +158,33 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return prints.join(by_print, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, int]:
-    """128 bits of SimHash in two unsigned halves, from XXH3-128 of the word shingles; zeros without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0, 0
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts, ends = (ends - sizes + 1)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    ones = np.zeros(128, np.int64)
-    for at in range(0, n, _CHUNK):
-        part = b"".join([xxh3_128_digest(joined[a:b]) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])])
-        ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    halves = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")
-    return int(halves[0]), int(halves[1])
-
-
-#: For 128 bits: texts of similarity 0.8 over five-word shingles differ in some 20 of them, give or take 4.
-WIDE_DISTANCE = 22
-
-
-def _wide_variants(fps: DataFrame) -> DataFrame:
-    """fps(f0, f1, ...) with one row per wildcard bit: `slot` (0 to 127) and `rest`."""
-    keys = []
-    for half in (0, 1):
-        for at, size in SEGMENTS:
-            whole = ((1 << size) - 1) << at
-            keys += [F.struct(F.lit(64 * half + i).alias("slot"), F.col(f"f{half}").bitwiseAND(F.lit(_bits(whole & ~(1 << i))).cast("long")).alias("rest")) for i in range(at, at + size)]
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f0")
-    return spread.select("*", F.explode(F.array(*keys)).alias("k")).select(*fps.columns, "k.slot", "k.rest")
-
-
-def _wide_segments(fps: DataFrame) -> DataFrame:
-    """fps with one row per segment of the two halves: `slot` (0 to 5) and `rest`, the segment."""
-    keys = [F.struct(F.lit(3 * half + k).alias("slot"), F.col(f"f{half}").bitwiseAND(F.lit(_bits(((1 << size) - 1) << at)).cast("long")).alias("rest")) for half in (0, 1) for k, (at, size) in enumerate(SEGMENTS)]
-    return fps.select("*", F.explode(F.array(*keys)).alias("k")).select(*fps.columns, "k.slot", "k.rest")
-
+#: Texts of this similarity over their shingles are near duplicates.
+SIMILARITY = 0.8
+#: Segments of the wide fingerprint, bits of each, how many of them take the wildcard, and the bits of the check.
+PARTS, PART_BITS, WEAKEST, CHECK_BITS = 24, 20, 8, 128
+#: Sets of similarity 0.8 differ in some 20 of the check's bits, give or take 4; unlike ones in 64, give or take 6.
+CHECK_MOST = 36
+_WORDS = (PARTS * PART_BITS + CHECK_BITS + 63) // 64
+_XOR, _TIMES = (np.array([xxh64_intdigest(bytes([k, side])) for k in range(_WORDS)], np.uint64) for side in (0, 1))
+_TIMES |= np.uint64(1)
+_PLACES = np.int32(1) << np.arange(PART_BITS, dtype=np.int32)
+_COLUMNS = "node long, shingles binary, parts array<int>, weak array<int>, c0 long, c1 long"
 
-def wide_links(classes: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """Links (a, b) between classes (f0, f1) whose 128 bits differ in at most `distance` and that share a key.
 
-    With six segments every pair within 11 bits shares a key; beyond that a pair does if one of its segments
-    differs in one bit at most. First every class is compared with the least of those that share a whole
-    segment with it, which folds dense groups without pairs; then the join over one-wildcard keys compares
-    members of different components only. Both joins check the distance, so chance meetings give no row, and
-    a pair is kept under the first key that it shares.
-    """
-    far = lambda p, q: F.bit_count(F.col(f"{p}0").bitwiseXOR(F.col(f"{q}0"))) + F.bit_count(F.col(f"{p}1").bitwiseXOR(F.col(f"{q}1")))
-    same = (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r"))
-    keyed = _wide_segments(classes)
-    first = keyed.groupBy("slot", "rest").agg(F.min("f0").alias("g0"), F.min_by("f1", "f0").alias("g1"), F.max("f0").alias("_n")).where("g0 <> _n").select(F.col("slot").alias("_s"), F.col("rest").alias("_r"), "g0", "g1")
-    star = written(keyed.join(first, same & (F.col("f0") != F.col("g0")) & (far("f", "g") <= distance)).select(F.col("f0").alias("a"), F.col("g0").alias("b")).distinct(), "star")
-    folded = written(components(star), "folded")
-    at = classes.join(folded, F.col("f0") == F.col("node"), "left").select("f0", "f1", F.coalesce("component", "f0").alias("part"))
-    x = _wide_variants(written(at, "parts"))
-    y = x.select(F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.col("part").alias("_part"), F.col("slot").alias("_s"), F.col("rest").alias("_r"))
-    once = F.coalesce(_first_slot(F.col("f0").bitwiseXOR(F.col("g0"))), 64 + _first_slot(F.col("f1").bitwiseXOR(F.col("g1"))))
-    check = (F.col("f0") < F.col("g0")) & (F.col("part") != F.col("_part")) & (far("f", "g") <= distance) & (once == F.col("slot"))
-    return star.unionAll(x.join(y, same & check).select(F.col("f0").alias("a"), F.col("g0").alias("b")))
-
-
-#: Texts of this similarity over their shingles are near duplicates. A pair at 0.8 shares none of the bands once in 38,000 pairs.
-SIMILARITY, BANDS, BAND_ROWS = 0.8, 20, 4
-_XOR, _TIMES = (np.array([xxh64_intdigest(bytes([k, side])) for k in range(BANDS * BAND_ROWS)], np.uint64)[:, None] for side in (0, 1))
-_TIMES |= np.uint64(1)
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """Ones less zeros at every bit of the wide fingerprint, over a set of 64-bit hashes."""
+    ones = np.zeros(64 * _WORDS, np.int64)
+    for at in range(0, len(hashes), 4080):
+        x = (hashes[at : at + 4080, None] ^ _XOR) * _TIMES
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return 2 * ones - len(hashes)
 
 
-def shingle_sketch(text: str | None, shingle: int = 5) -> tuple[int, bytes, list[int]]:
-    """(hash of the set of word shingles, the set as sorted 32-bit hashes, a key per band of minima over the set)."""
+def shingle_sketch(text: str | None, shingle: int = 5) -> tuple:
+    """Of the set of word shingles: a 64-bit hash, the set as sorted 32-bit hashes, the segments, masks of their weakest bits, the check's halves."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -230,11 +192,19 @@ def shingle_sketch(text: str | None, shingle: int = 5) -> tuple[int, bytes, list
     n = max(1, len(words) - shingle + 1) if words else 0
     starts, ends = (ends - sizes + 1)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist() if words else []
     whole = np.unique(np.frombuffer(b"".join([xxh3_64_digest(joined[a:b]) for a, b in zip(starts, ends)]), "<u8"))
-    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(whole), 4096):
-        np.minimum(least, ((whole[at : at + 4096] ^ _XOR) * _TIMES).min(1), out=least)
-    bands = [_bits(xxh3_64_intdigest(x.tobytes(), seed=k)) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return _bits(xxh3_64_intdigest(whole.tobytes())), np.unique(whole.astype("<u4")).tobytes(), bands
+    found = votes(whole)
+    lead = found[: PARTS * PART_BITS].reshape(PARTS, PART_BITS)
+    weak = np.argsort(np.abs(lead), axis=1, kind="stable")[:, :WEAKEST]
+    check = np.packbits(found[PARTS * PART_BITS :][:CHECK_BITS] > 0, bitorder="little").view("<i8")
+    return _bits(xxh3_64_intdigest(whole.tobytes())), np.unique(whole.astype("<u4")).tobytes(), (lead > 0) @ _PLACES, _PLACES[weak].sum(1, dtype=np.int32), int(check[0]), int(check[1])
+
+
+def _keys(classes: DataFrame) -> DataFrame:
+    """(key, node): each segment without one of its weakest bits, beside which bit of which segment it is."""
+    bits = f"filter(sequence(0, {PART_BITS - 1}), i -> (shiftright(weak[s], i) & 1) = 1)"
+    key = f"shiftleft(s * {PART_BITS} + i, {PART_BITS}) | (v & ~shiftleft(1, i))"
+    spread = classes.select("node", "parts", "weak").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    return spread.select(F.explode(F.expr(f"flatten(transform(parts, (v, s) -> transform({bits}, i -> {key})))")).alias("key"), "node")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -254,37 +224,51 @@ def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
     return met.mapInArrow(check, "a long, b long")
 
 
-def similar_links(classes: DataFrame, similarity: float = SIMILARITY, stars: int = 2) -> DataFrame:
-    """Links (a, b) between classes (node, size, shingles, bands) that share a band and have the similarity, enough for all components.
+def similar_links(classes: DataFrame, similarity: float = SIMILARITY, stars: int = 3) -> DataFrame:
+    """Links (a, b) between classes (node, shingles, parts, weak, c0, c1) that share a key and have the similarity, enough for all components.
 
-    First every class is compared with one member of each of its bands, which folds dense groups without
-    pairs; that is done `stars` times with other members. Then members of different components meet.
+    First every class is compared with one other of those it shares keys with, which folds dense groups without
+    pairs; that is done `stars` times, each time with others. Then members of different components meet. Under
+    a key the largest component's members are compared with the rest only, so a key that a dense group fills
+    costs its members times the few that are not of it.
     """
-    keyed = classes.select("node", "size", F.explode("bands").alias("key"))
-    several = keyed.groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("_key")
-    keyed = written(keyed.join(several.hint("merge"), F.col("key") == F.col("_key"), "left_semi").withColumn("part", F.col("node")), "keyed")
-    close = F.least("size", "_size") >= F.lit(similarity) * F.greatest("size", "_size")
-    links, seen = None, keyed
+    every = Window.partitionBy("key")
+    keyed = _keys(classes).withColumn("lo", F.min("node").over(every)).withColumn("hi", F.max("node").over(every)).where("lo <> hi")
+    keyed = written(keyed.select("key", "node"), "keyed")
+    own = classes.select(F.col("node").alias("_n"), (F.octet_length("shingles") / 4).cast("int").alias("size"), "c0", "c1")
+    keyed = written(keyed.join(own.hint("merge"), F.col("node") == F.col("_n")).drop("_n"), "checked")
+    fields = ("node", "size", "c0", "c1", "part")
+    far = F.bit_count(F.col("c0").bitwiseXOR(F.col("_c0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("_c1")))
+    close = (F.least("size", "_size") >= F.lit(similarity) * F.greatest("size", "_size")) & (far <= CHECK_MOST)
+    other = (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part"))
+    links, seen = None, keyed.withColumn("part", F.col("node"))
     for k in range(stars):
-        heads = seen.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "size", "part")).alias("m")).select("_key", F.col("m.node").alias("b"), F.col("m.size").alias("_size"), F.col("m.part").alias("_part"))
-        met = seen.join(heads, (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part")) & close)
-        found = written(_alike(met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), classes, similarity), "star")
+        heads = seen.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), *fields)).alias("m"))
+        heads = heads.select("_key", "m.order", *[F.col(f"m.{c}").alias(f"_{c}") for c in fields])
+        met = seen.join(heads, other & close).groupBy("node").agg(F.min(F.struct("order", "_node")).alias("m"))
+        found = written(_alike(met.select(F.col("node").alias("a"), F.col("m._node").alias("b")), classes, similarity), "star")
         links = found if links is None else links.unionAll(found)
-        folded = written(components(links), "folded")
-        seen = written(keyed.drop("part").join(folded.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "size", "key", F.coalesce("component", "node").alias("part")), "parts")
-    other = seen.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("size").alias("_size"), F.col("part").alias("_part"))
-    met = seen.join(other, (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part")) & (F.col("node") > F.col("b")) & close)
-    return links.unionAll(_alike(met.select(F.col("node").alias("a"), "b").distinct(), classes, similarity))
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
+        folded = written(components(links), "folded").select(F.col("node").alias("_n"), "component")
+        seen = written(keyed.join(folded, F.col("node") == F.col("_n"), "left").withColumn("part", F.coalesce("component", "node")).select("key", *fields), "parts")
+    by_part = seen.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_part.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("large"), F.count(F.lit(1)).alias("several")).where("several > 1").select(F.col("key").alias("_k"), "large")
+    mixed = written(seen.join(mixed.hint("merge"), F.col("key") == F.col("_k")).drop("_k"), "mixed")
+    rest = mixed.where("part <> large").select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in fields])
+    # A pair of which neither is of the largest component is met from both sides.
+    once = (F.col("part") == F.col("large")) | (F.col("node") > F.col("_node"))
+    met = mixed.join(rest, other & once & close).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+    return links.unionAll(_alike(met, classes, similarity))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near duplicates: of each component the row of the smallest doc_id stays (of several such rows, or where all are null, one).
 
-    Texts link where their word shingles have this Jaccard similarity. With a `distance` they link by their
-    128-bit fingerprints instead: where these differ in at most so many bits, or are equal in the first 64.
+    Texts link where the sets of their word shingles have this Jaccard similarity and their fingerprints share a
+    key; texts with equal sets always do. Null and wordless texts have the empty set, so one of them stays. An
+    empty table gives no row.
     """
     columns = docs.columns
-    keyed = docs.select(F.struct(*columns).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(*columns).alias("_hash"))
+    keyed = docs.select(F.struct(*columns).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(*columns).alias("_hash"), F.xxhash64(F.lit(1), *columns).alias("_more"))
     slim = keyed.select("doc_id", "_hash", "text")
     kind = dict(slim.dtypes)["doc_id"]
 
@@ -292,35 +276,24 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                nodes, sets, bands = zip(*[shingle_sketch(t.as_py(), shingle) for t in part.column(2)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "_hash", "node", "shingles", "bands"])
-
-    def run(batches):
-        for b in batches:
-            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(2)], "<u8").reshape(-1, 2).view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["doc_id", "_hash", "f0", "f1"])
-
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("first")
-    if distance is None:
-        prints = written(slim.mapInArrow(sketch, f"doc_id {kind}, _hash long, node long, shingles binary, bands array<long>"), "prints")
-        # Rows of a class have equal sets; any of them stands for the others.
-        classes = written(prints.groupBy("node").agg(first, F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "classes")
-        sets = classes.select("node", (F.octet_length("shingles") / 4).cast("int").alias("size"), "shingles", "bands")
-        links = similar_links(sets, similarity)
-    else:
-        prints = written(slim.mapInArrow(run, f"doc_id {kind}, _hash long, f0 long, f1 long"), "prints")
-        classes = written(prints.groupBy("f0").agg(F.min("f1").alias("f1"), first).withColumnRenamed("f0", "node"), "classes")
-        links = wide_links(classes.select(F.col("node").alias("f0"), "f1"), distance)
-    groups = components(links).withColumnRenamed("node", "_node")
-    placed = classes.join(groups, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
+                nodes, sets, parts, weak, c0, c1 = zip(*[shingle_sketch(t.as_py(), shingle) for t in part.column(2)])
+                several = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x).astype(np.int32)), PARTS).cast(pa.list_(pa.int32())) for x in (parts, weak)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), *several, pa.array(c0, pa.int64()), pa.array(c1, pa.int64())], names=["doc_id", "_hash", "node", "shingles", "parts", "weak", "c0", "c1"])
+
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "sketches")
+    sketched = written_at(slim.mapInArrow(sketch, f"doc_id {kind}, _hash long, {_COLUMNS}"), path)
+    # Rows of a class have equal sets; any of them stands for the others.
+    alike = [F.first(c).alias(c) for c in ("shingles", "parts", "weak", "c0", "c1")]
+    classes = bucketed(sketched.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("first"), *alike), "node", "classes")
+    different = sketched.groupBy("doc_id", "_hash").count().where("count > 1").limit(1).isEmpty()
+    remove_path(spark, path)
+    groups = components(similar_links(classes, similarity)).withColumnRenamed("node", "_node")
+    placed = classes.select("node", "first").join(groups, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
     first = placed.select(F.col("first.doc_id").alias("_id"), F.col("first._hash").alias("_first"))
     same = (F.col("_hash") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    kept = keyed.join(first, same, "left_semi").select("_row", "_hash")
+    kept = keyed.join(first, same, "left_semi").select("_row", "_hash", "_more")
     # Rows equal in every column are one document.
-    twice = prints.groupBy("doc_id", "_hash").count().where("count > 1").limit(1)
-    if not twice.isEmpty():
-        kept = kept.dropDuplicates(["_hash"])
-    return kept.select("_row.*")
+    return (kept if different else kept.dropDuplicates(["_hash", "_more"])).select("_row.*")
 
 
 def hex_digits(fp: Column) -> Column:
