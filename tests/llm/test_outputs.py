@@ -243,6 +243,35 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_small_sources_come_near_their_targets(spark):
+    """Five sources of 120 words in documents of 1 to 7 words, and one of three words; the numbers of a plain version."""
+    rng, rows = random.Random(3), []
+    for s in "abcde":
+        left = 120
+        while left:
+            n = min(left, rng.randint(1, 7))
+            rows.append((len(rows), "w " * n, s))
+            left -= n
+    rows.append((len(rows), "x y z", "f"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, by_source = mixing.mix(df).collect(), Counter()
+    for r in got:
+        by_source[r["source"]] += r["taken"]
+    want = plain_targets({**dict.fromkeys("abcde", 120), "f": 3}, dict(zip("abcdef", (5, 2, 1, 5, 2, 1))), 1.5)
+    assert all(abs(by_source[s] - want[s]) <= 2 for s in want) and all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
+
+
+def test_many_sources(spark):
+    """More sources than the places of points are compared with one by one."""
+    rows = [(i, "w " * (40 + i % 9), f"s{i % 150:03d}") for i in range(900)]
+    got, taken, size = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect(), Counter(), Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        size[r["source"]] += r["size"]
+    want = plain_targets(size, {f"s{i:03d}": (5, 2, 1)[i % 3] for i in range(150)}, 1.5)
+    assert all(abs(taken[s] - want[s]) <= 0.02 * size[s] for s in want)
+
+
 def test_pipeline_against_plain_python(spark, tokenizer, tmp_path):
     """Every stage's decisions on a small corpus: what goes, what stays, what is cut, what is packed."""
     import corpus_pipeline

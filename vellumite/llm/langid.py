@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ORDER, SAMPLE_DOCS, MOST_LANGUAGES = 4, 400, 500
+ORDER, SAMPLE_DOCS, MOST_LANGUAGES, BUCKETS = 4, 400, 500, 16
 _MIX, _SLICE, _SEGMENT = np.uint64(0x9E3779B97F4A7C15), 1 << 20, 1 << 20
 _SPACE, _UNKNOWN = 0, 1
 
@@ -203,8 +203,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id",
     More than MOST_LANGUAGES languages are refused (the models go to every executor).
     """
     ids = docs.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).alias("i"), F.col(lang).alias("l")).distinct()
-    first = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    picked = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select(F.col("i").alias("_i"), F.col("l").alias("_l"), "n").limit(sample_docs * MOST_LANGUAGES + 1)
+    # First of every language's hash buckets, then of the language, so a language of most rows is not one task's.
+    order = [F.xxhash64("i"), F.col("i")]
+    inside = Window.partitionBy("l", F.pmod(F.xxhash64("i"), F.lit(BUCKETS))).orderBy(*order)
+    ids = ids.withColumn("n", F.row_number().over(inside)).where(F.col("n") <= sample_docs).drop("n")
+    picked = ids.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(*order))).where(F.col("n") <= sample_docs).select(F.col("i").alias("_i"), F.col("l").alias("_l"), "n").limit(sample_docs * MOST_LANGUAGES + 1)
     sample = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(picked), (F.col("i") == F.col("_i")) & (F.col("l") == F.col("_l")))
     # Every fourth document of the sample calibrates.
     learn, check = sample.where("n % 4 <> 0").select("l", "t"), sample.where("n % 4 = 0").select("l", "t")

@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 
 from vellumite.llm._common import SPACE_RUN, SPACES, distributed_rank, written
 
-BLOCK_WORDS, MOST_EPOCHS, BUCKET_BITS = 256, 2.0, 12
+BLOCK_WORDS, MOST_EPOCHS = 256, 2.0
+#: A source has so many blocks at least (or one a word), so that a small one comes near its target too.
+LEAST_BLOCKS = 64
+#: Rows that a bucket of a rank is meant to hold; there are 2^20 buckets at most.
+BUCKET_ROWS = 1 << 10
 #: Sources are a configuration: their table goes to the driver and is broadcast, and more than this are refused.
 MOST_SOURCES = 20_000
 #: The golden ratio's fraction as a share of 2^40; points are exact integers below 2^40.
@@ -88,7 +92,7 @@ def schedule(spark, quotas: dict, shares: dict) -> DataFrame:
         spread = table.where("hi > lo").withColumn("cell", F.explode(F.sequence((F.col("lo") / width).cast("long"), ((F.col("hi") - 1) / width).cast("long"))))
         drawn = slots.withColumn("cell", (F.col("point") / width).cast("long")).join(F.broadcast(spread), "cell").where("point >= lo and point < hi")
     drawn = drawn.select("slot", "source", "quota")
-    ranked = distributed_rank(drawn, ["source"], F.shiftright("slot", 14), [F.col("slot")], "rank").where("rank < quota").select("slot", "source", "rank")
+    ranked = distributed_rank(drawn, ["source"], F.shiftright("slot", 10), [F.col("slot")], "rank").where("rank < quota").select("slot", "source", "rank")
     ranked = written(ranked, "slots")
     have = {r["source"]: r["n"] for r in ranked.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     missing = [(s, have.get(s, 0), quotas[s] - have.get(s, 0)) for s in names if quotas[s] > have.get(s, 0)]
@@ -106,15 +110,16 @@ class Mixture:
         spark = docs.sparkSession
         slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(doc_id, text, source).alias("hash"))
         self.sized = written(slim, "sized")
-        by_source = self.sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+        by_source = self.sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(MOST_SOURCES + 1).collect()
         if len(by_source) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
         names = sorted((r["source"] for r in by_source), key=lambda s: (s is None, s or ""))
         found = {r["source"]: r["size"] for r in by_source}
+        self.bucket_bits = min(20, max(1, (max([r["rows"] for r in by_source], default=1) // BUCKET_ROWS).bit_length()))
         self.sizes = {s: found[s] for s in names}
         self.weights = weights or {s: cycle[i % len(cycle)] for i, s in enumerate(names)}
         self.targets = targets(self.sizes, self.weights, total_share)
-        self.blocks = {s: max(1, math.ceil(self.sizes[s] / block_words)) for s in names}
+        self.blocks = {s: max(1, math.ceil(self.sizes[s] / block_words), min(LEAST_BLOCKS, self.sizes[s])) for s in names}
         #: Slots: the target in blocks, to the nearest; never beyond the epochs allowed.
         self.quotas = {s: min(round(self.targets[s] * self.blocks[s] / self.sizes[s]), int(MOST_EPOCHS * self.blocks[s])) if self.sizes[s] else 0 for s in names}
         rows = [(s, self.sizes[s], self.targets[s], self.blocks[s], self.quotas[s]) for s in names]
@@ -124,7 +129,7 @@ class Mixture:
     @functools.cached_property
     def placed(self) -> DataFrame:
         """doc rows with `start` and `stop`, their words' places on the source's line, and the source's numbers."""
-        at = distributed_rank(self.sized, ["source"], F.shiftrightunsigned("hash", 64 - BUCKET_BITS), [F.col("hash"), F.col("doc_id")], "start", F.col("size"))
+        at = distributed_rank(self.sized, ["source"], F.shiftrightunsigned("hash", 64 - self.bucket_bits), [F.col("hash"), F.col("doc_id")], "start", F.col("size"))
         s = self.sources.withColumnRenamed("source", "_source")
         return written(at.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("stop", F.col("start") + F.col("size")), "placed")
 
@@ -179,7 +184,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.struct(*columns).alias("_row"), F.xxhash64("doc_id", "text", "source").alias("_hash"))
     twice = m.placed.groupBy("doc_id", "hash").count().where("count > 1").limit(1)
     if not twice.isEmpty():  # equal rows have a draw each; one of them stands for all
-        rows = rows.dropDuplicates(["_hash"])
+        rows = rows.withColumn("_more", F.xxhash64(F.lit(1), "_row.doc_id", "_row.text", "_row.source")).dropDuplicates(["_hash", "_more"])
     drawn = rows.join(draws, (F.col("_hash") == F.col("_h")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")))
     words = F.split(F.btrim(F.col("_row.text"), F.lit(SPACES)), SPACE_RUN, -1)
     part = F.array_join(F.slice(words, (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")), " ")

@@ -231,16 +231,17 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     return slim.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def place(items: DataFrame, capacity: int = CAPACITY, grids: tuple[tuple[int, int], ...] = GRIDS, buckets: int = 512) -> DataFrame:
+def place(items: DataFrame, capacity: int = CAPACITY, grids: tuple[tuple[int, int], ...] = GRIDS, bucket_rows: int = 1024) -> DataFrame:
     """items (with `length` from 1 to capacity) and their sequence_id and offset.
 
-    Pieces of one length are interchangeable; they are numbered per length, dealt over `buckets` by a hash
-    of the row, so no length is one task's. Rows equal in all columns are different pieces.
+    Pieces of one length are interchangeable; they are numbered per length, dealt by a hash of the row over
+    buckets of some `bucket_rows` (2^20 buckets at most), so no length is one task's. Rows equal in all columns are different pieces.
     """
     spark = items.sparkSession
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     runs = plan_runs(counts, capacity, grids)
-    ranked = distributed_rank(items, ["length"], F.pmod(F.xxhash64(*items.columns), F.lit(buckets)), [F.col(c) for c in items.columns], "_number")
+    bits = min(20, max(1, (max(counts.values(), default=1) // bucket_rows).bit_length()))
+    ranked = distributed_rank(items, ["length"], F.shiftrightunsigned(F.xxhash64(*items.columns), 64 - bits), [F.col(c) for c in items.columns], "_number")
     ranked = written(ranked, "ranked")
     by_length: dict[int, list] = defaultdict(list)
     for n, first, count, sequence, at in runs:
