@@ -234,16 +234,18 @@ def test_lm_score_against_plain_counts(spark):
         one = {w: (single[w] + 1) / (sum(single.values()) + size) for w in range(size)}
         return lambda a, b: math.log(max(c[a, b] - 0.75, 0) / total[a] + 0.75 * kinds[a] / total[a] * one[b] if total[a] else one[b])
 
-    target, background = model(ids[:2]), model(ids)
     for r in lm_score.cross_entropy_difference(docs, good, size).collect():
-        row = ids[r["doc_id"]]
+        i = r["doc_id"]
+        row = ids[i]
         assert r["n_tokens"] == len(row)
         if not row:
             assert r["score"] is None
             continue
+        # The models of all other documents.
+        target, background = model([x for k, x in enumerate(ids[:2]) if k != i]), model(ids[:i] + ids[i + 1 :])
         want = [-sum(m(a, b) for a, b in zip([size, *row], row)) / len(row) for m in (target, background)]
-        assert r["target_loss"] == pytest.approx(want[0], rel=1e-5) and r["background_loss"] == pytest.approx(want[1], rel=1e-5)
-        assert r["score"] == pytest.approx(want[0] - want[1], abs=1e-5)
+        assert r["target_loss"] == pytest.approx(want[0], rel=1e-9) and r["background_loss"] == pytest.approx(want[1], rel=1e-9)
+        assert r["score"] == pytest.approx(want[0] - want[1], abs=1e-9)
     assert lm_score.cross_entropy_difference(docs.limit(0), good, size).count() == 0
 
 
@@ -268,25 +270,39 @@ def test_lm_score_keeps_every_word(spark, monkeypatch):
     got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect()}
     rows = [t.lower().split() for t in texts]
 
-    def losses(kept):
+    def losses(kept, i):
+        """Of document i under the model of the others in `kept`."""
         c, one = Counter(), Counter()
-        for i in kept:
-            c.update(zip(["", *rows[i]], rows[i]))
-            one.update(rows[i])
+        for k in kept:
+            if k != i:
+                c.update(zip(["", *rows[k]], rows[k]))
+                one.update(rows[k])
         total, kinds = Counter(), Counter()
         for (a, _), n in c.items():
             total[a] += n
             kinds[a] += 1
-        size, every = len({w for r in rows for w in r}) + 1, sum(one.values())
+        every = sum(one.values())
 
         def p(a, b):
             single = (one[b] + 1) / (every + size)
             return max(c[a, b] - 0.75, 0) / total[a] + 0.75 * kinds[a] / total[a] * single if total[a] else single
 
-        return [-sum(math.log(p(a, b)) for a, b in zip(["", *r], r)) / len(r) for r in rows]
+        return -sum(math.log(p(a, b)) for a, b in zip(["", *rows[i]], rows[i])) / len(rows[i])
 
-    target, background = losses(chosen), losses(range(len(texts)))
-    assert len(got) == len(texts) and len({w for r in rows for w in r}) > 40_000
-    for i, r in got.items():
-        assert (r["target_loss"], r["background_loss"]) == (pytest.approx(target[i], rel=1e-9), pytest.approx(background[i], rel=1e-9))
-    assert got[60]["score"] == got[62]["score"] < got[61]["score"]
+    size = len({w for r in rows for w in r}) + 1
+    assert len(got) == len(texts) and size > 40_000
+    for i in (0, 1, 5, 17, 59, 60, 61, 62):
+        r = got[i]
+        assert (r["target_loss"], r["background_loss"]) == (pytest.approx(losses(chosen, i), rel=1e-9), pytest.approx(losses(range(len(texts)), i), rel=1e-9))
+    assert got[62]["target_loss"] < got[61]["target_loss"]  # reads like the good 60
+
+
+def test_a_good_document_is_not_scored_by_itself(spark):
+    """A labelled good document gets the target loss of an unlabelled one with the same words, had it been the same corpus but for it."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(200)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    with_own = {r["doc_id"]: r["target_loss"] for r in lm_score.cross_entropy_difference(docs, ids(range(10))).collect()}
+    without = {r["doc_id"]: r["target_loss"] for r in lm_score.cross_entropy_difference(docs, ids(range(1, 10))).collect()}
+    assert with_own[0] == pytest.approx(without[0], rel=1e-12) and with_own[20] != without[20]

@@ -3,7 +3,13 @@
 One vocabulary, all words of the corpus and <unk>, serves both models; order, discount and smoothing are the
 same. The target model counts the labelled good documents, the background model all documents. A document's
 score is its loss per token under the target less that under the background: the lower, the more it reads
-like the target. A `size` keeps the size - 1 most frequent words only; every other word is <unk> then.
+like the target. No document is scored by its own words: its counts are taken off both models first (off the
+target's where it is one of them), so a good document has no advantage over an equal unlabelled one. Words that
+only this document has so count as unseen, like <unk>; no other word does. A `size` keeps the size - 1 most
+frequent words only; every other word is <unk> then (of the test corpus half of all words with 1,536 places).
+
+The background is the whole corpus, not a sample of the target's size: what the two models know differs in
+amount, which shifts all scores alike, not their order.
 
 Words are known by 64-bit hashes, bigrams by a 64-bit hash of two of those. Documents are put in blocks of
 some megabytes. A block sends its distinct keys and their counts to shards by hash; a shard adds them up and
@@ -113,9 +119,9 @@ class Block:
         self.sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
         self.words = np.append(np.frombuffer(row["words"], "<u8"), START)
         self.tokens = _numbers(row["tokens"], int(self.sizes.sum())).astype(np.int64)
-        good = np.zeros(len(self.sizes), bool)
-        good[np.array(row["good"] or [], np.int64)] = True
-        self.good = np.repeat(good, self.sizes)
+        self.chosen = np.zeros(len(self.sizes), bool)
+        self.chosen[np.array(row["good"] or [], np.int64)] = True
+        self.good = np.repeat(self.chosen, self.sizes)
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = len(self.words) - 1
@@ -213,12 +219,44 @@ def blocks(docs: DataFrame, target_ids: DataFrame, known: frozenset[str] | None,
     return marked
 
 
-def _loss(counts: np.ndarray, before: np.ndarray, after: np.ndarray, total: np.ndarray, kinds: np.ndarray, single: np.ndarray, every: int, size: int) -> np.ndarray:
-    """Losses of bigrams: absolute discounting interpolated with an add-one unigram."""
-    one = ((single + 1.0) / (every + size))[after]
-    total, kinds = total[before].astype(np.float64), kinds[before].astype(np.float64)
-    many = np.maximum(total, 1)
-    return -np.log(np.maximum(counts.astype(np.float64) - DISCOUNT, 0) / many + np.where(total > 0, DISCOUNT * kinds / many, 1.0) * one)
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first places of the runs of equal neighbours, number of its run for every place)."""
+    opens = np.ones(len(x), bool)
+    opens[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(opens), np.cumsum(opens) - 1
+
+
+class Own:
+    """What each document of a block has of its own: a row per document and distinct bigram."""
+
+    def __init__(self, block: Block):
+        n = len(block.words)
+        doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        key, self.times = np.unique(doc * max(1, len(block.keys)) + block.cell, return_counts=True)
+        self.doc, self.cell = np.divmod(key, max(1, len(block.keys)))
+        self.before, self.after = block.before[self.cell], block.after[self.cell]
+        # Bigrams are in the order of their first words, so those of one document and first word are neighbours.
+        self.first, self.run = _runs(self.doc * n + self.before)
+        word, place = np.unique(self.doc * n + self.after, return_inverse=True)
+        self.single = np.bincount(place, weights=self.times, minlength=len(word))[place]
+        self.total = np.add.reduceat(self.times, self.first)[self.run] if len(key) else self.times
+        self.sizes = block.sizes[self.doc]
+
+    def loss(self, counts: np.ndarray, total: np.ndarray, kinds: np.ndarray, single: np.ndarray, every: int, size: int, mine: np.ndarray) -> np.ndarray:
+        """By row: the loss of its bigram under a model without the document's own counts, where `mine` says that it has them.
+
+        Absolute discounting interpolated with an add-one unigram.
+        """
+        if not len(self.times):
+            return np.zeros(0)
+        mine = mine[self.doc]
+        left = counts[self.cell].astype(np.float64) - np.where(mine, self.times, 0)
+        lost = np.add.reduceat((mine & (left == 0)).astype(np.int64), self.first)[self.run]
+        many = total[self.before].astype(np.float64) - np.where(mine, self.total, 0)
+        sorts = kinds[self.before].astype(np.float64) - lost
+        one = (single[self.after].astype(np.float64) - np.where(mine, self.single, 0) + 1) / (every - np.where(mine, self.sizes, 0) + size)
+        held = np.maximum(many, 1)
+        return -np.log(np.maximum(left - DISCOUNT, 0) / held + np.where(many > 0, DISCOUNT * sorts / held, 1.0) * one)
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,11 +296,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int |
         own, rows = Block(left.to_pylist()[0]), right.to_pylist()
         counts, _ = _replies([r for r in rows if r["level"] == 2], 2, own.order)
         by_word, _ = _replies([r for r in rows if r["level"] == 6], 6, np.argsort(own.words))
-        ends, losses = np.cumsum(own.sizes), []
-        for k, n in ((1, good), (0, every)):
-            loss = _loss(counts[k], own.before, own.after, *by_word[k::2], n, places)
-            total = np.concatenate([[0.0], np.cumsum(loss[own.cell])])
-            losses.append((total[ends] - total[ends - own.sizes]) / np.maximum(own.sizes, 1))
+        each, losses = Own(own), []
+        for k, n, mine in ((1, good, own.chosen), (0, every, np.ones(len(own.sizes), bool))):
+            loss = each.loss(counts[k], *by_word[k::2], n, places, mine)
+            losses.append(np.bincount(each.doc, weights=loss * each.times, minlength=len(own.sizes)) / np.maximum(own.sizes, 1))
         none = own.sizes == 0
         columns = [pa.array(x, pa.float64(), mask=none) for x in (*losses, losses[0] - losses[1])]
         ids = left.column("doc_ids").combine_chunks().flatten()

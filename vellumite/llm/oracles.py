@@ -78,6 +78,31 @@ def _double(measure: str) -> str:
     return f"(CAST({top} AS DOUBLE) / nullif({bottom}, 0))"
 
 
+def lm_score(discount: float = 0.75) -> str:
+    """Bigram counts of all and of good documents, less each document's own."""
+
+    def chance(c: str, total: str, kinds: str, single: str, every: str, own: str) -> str:
+        """-ln p of a bigram; `own` multiplies what the document itself has: 1 or 0."""
+        one = f"(({single} - {own} * sd + 1) / ({every} - {own} * len + v))"
+        many = f"({total} - {own} * nd)"
+        return f"-ln(CASE WHEN {many} > 0 THEN greatest({c} - {own} * cd - {discount}, 0) / {many} + {discount} * ({kinds} - {own} * lost_{c}) / {many} * {one} ELSE {one} END)"
+
+    return f"""
+      WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+      d AS (SELECT r, doc_id, w, len(w) AS len, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) THEN 1 ELSE 0 END AS g FROM t),
+      k AS (SELECT r, g, len, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS a, w[i] AS b FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM d)),
+      own AS (SELECT r, g, len, a, b, CAST(count(*) AS DOUBLE) AS cd FROM k GROUP BY ALL),
+      cells AS (SELECT a, b, sum(cd) AS cn, sum(cd * g) AS cm FROM own GROUP BY a, b),
+      contexts AS (SELECT a, sum(cn) AS tn, count(*) AS kn, sum(cm) AS tm, count(*) FILTER (cm > 0) AS km FROM cells GROUP BY a),
+      ones AS (SELECT b, sum(cn) AS sn, sum(cm) AS sm FROM cells GROUP BY b),
+      totals AS (SELECT sum(sn) AS en, sum(sm) AS em, count(*) + 1 AS v FROM ones),
+      met AS (SELECT own.*, cn, cm, tn, kn, tm, km, sn, sm, en, em, v, sum(cd) OVER (PARTITION BY r, a) AS nd, sum(cd) OVER (PARTITION BY r, b) AS sd,
+          sum(CASE WHEN cn = cd THEN 1 ELSE 0 END) OVER (PARTITION BY r, a) AS lost_cn, sum(CASE WHEN g = 1 AND cm = cd THEN 1 ELSE 0 END) OVER (PARTITION BY r, a) AS lost_cm
+        FROM own JOIN cells USING (a, b) JOIN contexts USING (a) JOIN ones USING (b) CROSS JOIN totals),
+      sums AS (SELECT r, sum(cd * {chance("cm", "tm", "km", "sm", "em", "g")}) AS x, sum(cd * {chance("cn", "tn", "kn", "sn", "en", "1")}) AS y FROM met GROUP BY r)
+      SELECT doc_id, CAST(len AS BIGINT) AS n_tokens, round(x / len, 6) AS target_loss, round(y / len, 6) AS background_loss, round((x - y) / len, 6) AS score FROM d LEFT JOIN sums USING (r)"""
+
+
 def nearest(k: int = 20) -> str:
     """Exact search: the same rows wherever the operator's recall is 1, as on the small tables."""
     return f"""
