@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vellumite.llm import langid, lm_score, quality
 from vellumite.llm._common import components
 from vellumite.llm.queries import URL_RULES
-from vellumite.llm.url_filter import url_verdicts
+from vellumite.llm.url_filter import url_verdicts, without_dots
 
 
 def test_components_of_random_graphs(spark):
@@ -65,6 +65,31 @@ def test_url_verdicts_follow_links(spark):
     assert url_verdicts(pages.limit(0), URL_RULES).count() == 0
 
 
+def linked_pages():
+    """Chains, a hub, a cycle, dot steps and several tags on one page; each group has a rule's decision at one far end."""
+    page = lambda i, url, *to: (i, url, "".join(f'<link rel="canonical" href="{t}">' for t in to))
+    chain = [page(i, f"http://chain{i}.com/a/b/p", f"http://chain{i + 1}.com/x/../a/./b/p") for i in range(30)] + [page(30, "http://chain30.com/a/b/p", "http://end.net/")]
+    hub = [page(100 + i, f"http://spoke{i}.com/", "http://hub.com/") for i in range(200)] + [page(300, "http://hub.com/", "http://www.example.com/de/x", "http://sub.org/fr/y")]
+    cycle = [page(400 + i, f"http://c{i}.com/d/", f"http://c{(i + 1) % 5}.com/d/q/..") for i in range(5)] + [page(405, "http://c0.com/d/", "../../e/..//z?n=1"), page(406, "http://c0.com/z?n=1", "")]
+    last = [(500, "http://q.com/a?x", "<meta http-equiv=refresh content='0;url=?y'><META HTTP-EQUIV='refresh' content='1; URL=./z'>"), page(501, "http://q.com/a?y", "http://q.net/")]
+    return chain + hub + cycle + last
+
+
+def test_links_of_chains_hubs_and_cycles(spark):
+    rows = linked_pages()
+    got = {r["page_id"]: (r["verdict"], r["via"]) for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), URL_RULES).collect()}
+    assert all(got[i] == ("block", "link") for i in range(31))  # end.net is not a page, and is blocked
+    assert all(got[i] == ("allow", "link") for i in range(100, 301))  # org/fr/ allowed goes before example.com/de/ blocked
+    assert all(got[i][1] == "default" for i in range(400, 407))
+    assert got[500] == got[501] == ("block", "link")
+
+
+def test_dot_steps(spark):
+    cases = {"/a/./b": "/a/b", "/a/../b": "/b", "/..": "/", "/../../x": "/x", "/a/b/..": "/a/", "/a/.": "/a/", "/a..b/c.": "/a..b/c.", "": "", "/": "/", "/a//../b": "/a/b"}
+    df = spark.createDataFrame([(k,) for k in cases], "p string").select("p", without_dots(F.col("p")).alias("q"))
+    assert {r["p"]: r["q"] for r in df.collect()} == cases
+
+
 def test_longest_rule_wins(spark):
     rules = [("b.com/", "block"), ("a.b.com/x/", "allow"), ("b.com/x/y", "block")]
     pages = spark.createDataFrame([(1, "http://z.a.b.com/x/y"), (2, "http://ab.com/"), (3, "http://b.com?q"), (4, "http://A.b.com/x/")], "page_id long, url string").withColumn("html", F.lit(None).cast("string"))

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tests.llm.test_filters import PAGES
+from tests.llm.test_filters import PAGES, linked_pages
 from vellumite.llm import oracles
 from vellumite.llm.queries import URL_RULES, oracle_sql, queries
 from vellumite.llm.url_filter import url_verdicts
@@ -22,8 +22,9 @@ def test_query(spark, sf, name):
     assert rows(queries()[name](spark, sf).toPandas()) == rows(con.execute(oracle_sql()[name]).df())
 
 
-def test_links(spark):
+@pytest.mark.parametrize("pages", [PAGES, linked_pages()])
+def test_links(spark, pages):
     con = duckdb.connect()
-    con.register("pages", pd.DataFrame(PAGES, columns=["page_id", "url", "html"]))
-    got = url_verdicts(spark.createDataFrame(PAGES, "page_id long, url string, html string"), URL_RULES).toPandas()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    got = url_verdicts(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).toPandas()
     assert rows(got) == rows(con.execute(oracles.url_filter()).df())

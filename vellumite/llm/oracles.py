@@ -20,11 +20,19 @@ def _parts(url: str) -> str:
     return f"{_LOW.format(raw)} AS host, regexp_extract(substr({rest}, length({raw}) + 1), '(?s)^[^?#]*') AS path"
 
 
+def _without_dots(path: str) -> str:
+    steps = f"string_split({path}, '/')"
+    folded = f"list_reduce(list_prepend('', {steps}[2:]), lambda o, x: CASE WHEN x = '.' THEN o WHEN x = '..' THEN regexp_replace(o, '/[^/]*$', '') ELSE o || '/' || x END) || CASE WHEN {steps}[-1] IN ('.', '..') THEN '/' ELSE '' END"
+    return f"CASE WHEN regexp_matches({path}, '/\\.\\.?(/|$)') THEN coalesce(nullif({folded}, ''), '/') ELSE {path} END"
+
+
 def _address(url: str) -> str:
-    """Scheme, host in lower case, and the rest without its fragment; null without a host."""
+    """Scheme, host in lower case, and the rest without its fragment and dot steps; null without a host."""
     scheme, after = f"{_LOW.format(f"split_part({url}, '://', 1)")}", f"substr({url}, instr({url}, '://') + 3)"
     host = f"regexp_extract({after}, '(?s)^[^/?#]*')"
-    return f"CASE WHEN instr({url}, '://') > 0 AND {host} <> '' THEN {scheme} || '://' || {_LOW.format(host)} || regexp_extract(substr({after}, length({host}) + 1), '(?s)^[^#]*') END"
+    rest = f"regexp_extract(substr({after}, length({host}) + 1), '(?s)^[^#]*')"
+    path = f"regexp_extract({rest}, '(?s)^[^?]*')"
+    return f"CASE WHEN instr({url}, '://') > 0 AND {host} <> '' THEN {scheme} || '://' || {_LOW.format(host)} || {_without_dots(path)} || substr({rest}, length({path}) + 1) END"
 
 
 def url_filter() -> str:
@@ -32,7 +40,8 @@ def url_filter() -> str:
     fit = f"(SELECT max({{'n': length(rule), 'rule': rule, 'verdict': r.verdict}}) FROM {_rules()} WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))"
     return f"""
       WITH RECURSIVE tags AS (
-        SELECT url, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?\\s*canonical\\b[^>]*>') AS l, regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b[^>]*>') AS m FROM pages),
+        SELECT url, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?\\s*canonical\\b[^>]*>')) AS l, CAST(NULL AS VARCHAR) AS m FROM pages
+        UNION ALL SELECT url, CAST(NULL AS VARCHAR), unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b[^>]*>')) FROM pages),
       hrefs AS (
         SELECT url, replace(trim(href, ' '), '&amp;', '&') AS href FROM (
           SELECT url, coalesce(nullif(regexp_extract(l, '(?is)\\bhref\\s*=\\s*"([^"]*)"', 1), ''), nullif(regexp_extract(l, '(?is)\\bhref\\s*=\\s*''([^'']*)''', 1), ''), regexp_extract(l, '(?is)\\bhref\\s*=\\s*([^\\s>"'']+)', 1)) AS href FROM tags
@@ -40,7 +49,7 @@ def url_filter() -> str:
       placed AS (SELECT *, {_parts("url")} FROM hrefs),
       ends AS (SELECT {_address("url")} AS a, {_address("dest")} AS b FROM (
         SELECT url, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN split_part(url, '://', 1) || ':' || href
-          WHEN starts_with(href, '/') THEN split_part(url, '://', 1) || '://' || host || href ELSE split_part(url, '://', 1) || '://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '(?s)^.*/') END || href END AS dest FROM placed)),
+          WHEN starts_with(href, '/') THEN split_part(url, '://', 1) || '://' || host || href WHEN starts_with(href, '?') THEN split_part(url, '://', 1) || '://' || host || path || href ELSE split_part(url, '://', 1) || '://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '(?s)^.*/') END || href END AS dest FROM placed)),
       edges AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
       reach AS (SELECT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
       nodes AS (SELECT b AS node, {_parts("b")} FROM (SELECT DISTINCT b FROM reach)),

@@ -42,32 +42,42 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return F.array_max(F.array(*found))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its `.` and `..` steps; `..` takes the step before it away, none leads above the root."""
+    steps = F.split(path, "/", -1)
+    last = F.element_at(steps, -1)
+    fold = lambda out, x: F.when(x == ".", out).when(x == "..", F.regexp_replace(out, r"/[^/]*\z", "")).otherwise(F.concat(out, F.lit("/"), x))
+    folded = F.concat(F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.lit(""), fold), F.when(last.isin(".", ".."), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), F.when(folded == "", "/").otherwise(folded)).otherwise(path)
+
+
 def address(url: Column) -> Column:
-    """What aliases are linked by: the url without fragment, host lower-cased; null if it has no host."""
+    """What aliases are linked by: the url without fragment and dot steps, host lower-cased; null if it has no host."""
     host, path = host_path(url)
     bare = F.regexp_extract(url, r"\A[^#]*", 0)
     scheme = F.translate(F.substring_index(url, "://", 1), UPPER, LOWER)
-    after = F.substring(bare, F.instr(bare, "://") + 3 + F.length(host), F.length(bare))
-    return F.when(host != "", F.concat(scheme, F.lit("://"), host, after))
+    query = F.substring(bare, F.instr(bare, "://") + 3 + F.length(host) + F.length(path), F.length(bare))
+    return F.when(host != "", F.concat(scheme, F.lit("://"), host, without_dots(path), query))
 
 
 def _resolved(base: Column, href: Column, host: Column, path: Column) -> Column:
-    """An href against its page: absolute, `//host`, `/path` or relative to the page's folder."""
+    """An href against its page: absolute, `//host`, `/path`, `?query` or relative to the page's folder."""
     scheme = F.substring_index(base, "://", 1)
     site = F.concat(scheme, F.lit("://"), host)
     folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"\A.*/", 0))
-    return F.when(href.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(site, folder, href))
+    out = F.when(href.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+    return out.when(href.startswith("/"), F.concat(site, href)).when(href.startswith("?"), F.concat(site, path, href)).otherwise(F.concat(site, folder, href))
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): addresses of a page and of the target of its canonical link or meta refresh; null where an end has no host, no row where there is no link."""
-    tag = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?\s*canonical\b[^>]*>", 0)
-    canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", 0)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>", 0)
-    refresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)", 1)
-    canonical = F.regexp_replace(F.regexp_replace(canonical, r"(?is)\Ahref\s*=\s*", ""), "[\"']", "")
+    """(a, b): addresses of a page and of the targets of all its canonical links and meta refreshes; null where an end has no host, no row where there is no link."""
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?is)\Ahref\s*=\s*", ""), "[\"']", "")
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?\s*canonical\b[^>]*>"), F.lit(0))
+    canonical = F.transform(tags, lambda t: bare(F.regexp_extract(t, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", 0)))
+    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>"), F.lit(0))
+    refresh = F.transform(metas, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)", 1))
     has = F.col(html).rlike(r"(?i)canonical|refresh")
-    found = pages.where(has).select(F.col(url).alias("u"), F.explode(F.array(canonical, refresh)).alias("href")).where("href <> ''")
+    found = pages.where(has).select(F.col(url).alias("u"), F.explode(F.concat(canonical, refresh)).alias("href")).where("href <> ''")
     host, path = host_path(F.col("u"))
     parts = found.select("u", F.regexp_replace(F.btrim("href"), "&amp;", "&").alias("href"), host.alias("host"), path.alias("path"))
     target = parts.select("u", _resolved(F.col("u"), F.col("href"), F.col("host"), F.col("path")).alias("to"))
