@@ -20,6 +20,8 @@ grows with the corpus, and a key has one entry per block at most, however common
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +36,7 @@ DISCOUNT = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOW = str.maketrans(UPPER, LOWER)
 #: Bytes of text after which a block ends.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: The hashes of <unk> and of what stands before a text's first word.
 UNKNOWN, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _REQUEST = "shard int, block long, n int, keys binary, numbers binary"
@@ -65,6 +67,15 @@ def _drop_empty(found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found[real], total[at[1:]] - total[at[:-1]]
 
 
+def _give_back() -> None:
+    """Memory that is free in this process goes back to the machine, as other tasks share the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 class Words:
     """Texts to places in the vocabulary."""
 
@@ -118,15 +129,16 @@ class Block:
         self.block = row["block"]
         self.sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
         self.words = np.append(np.frombuffer(row["words"], "<u8"), START)
-        self.tokens = _numbers(row["tokens"], int(self.sizes.sum())).astype(np.int64)
+        tokens = _numbers(row["tokens"], int(self.sizes.sum())).astype(np.int32)
         self.chosen = np.zeros(len(self.sizes), bool)
         self.chosen[np.array(row["good"] or [], np.int64)] = True
         self.good = np.repeat(self.chosen, self.sizes)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
         before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = len(self.words) - 1
-        cells, self.cell = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        self.before, self.after = np.divmod(cells, len(self.words))
+        cells, cell = np.unique(before.astype(np.int64) * len(self.words) + tokens, return_inverse=True)
+        self.cell = cell.astype(np.int32)
+        self.before, self.after = (x.astype(np.int32) for x in np.divmod(cells, len(self.words)))
         self.keys = _mixed(self.words[self.before], self.words[self.after])
         self.order = np.argsort(self.keys, kind="stable")
 
@@ -145,14 +157,17 @@ class Block:
         ends = np.searchsorted(keys >> np.uint64(64 - shards), np.arange((1 << shards) + 1, dtype=np.uint64))
         at = np.flatnonzero(np.diff(ends))
         parts = [slice(ends[i], ends[i + 1]) for i in at]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([self.block] * len(at), pa.int64()), pa.array([p.stop - p.start for p in parts], pa.int32()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([_planes(numbers[:, p]) for p in parts], pa.binary())], names=["shard", "block", "n", "keys", "numbers"])
+        # Steps from key to key: their high bytes are zeros.
+        steps = [np.diff(keys[p], prepend=np.uint64(i) << np.uint64(64 - shards)) for i, p in zip(at.tolist(), parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([self.block] * len(at), pa.int64()), pa.array([p.stop - p.start for p in parts], pa.int32()), pa.array([_planes(x) for x in steps], pa.binary()), pa.array([_planes(numbers[:, p]) for p in parts], pa.binary())], names=["shard", "block", "n", "keys", "numbers"])
 
 
-def _add_up(width: int):
+def _add_up(width: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
         """Sums of a shard's keys over the blocks; `first` marks, per number, the one block that counts the key as a kind."""
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        distinct, place = np.unique(np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows]), return_inverse=True)
+        base = np.uint64(rows[0]["shard"]) << np.uint64(64 - shards)
+        distinct, place = np.unique(np.concatenate([base + np.cumsum(_numbers(r["keys"], r["n"])) for r in rows]), return_inverse=True)
         numbers = np.concatenate([_numbers(r["numbers"], r["n"] * width).reshape(width, -1) for r in rows], axis=1)
         sums, first = np.empty(numbers.shape, np.uint64), np.zeros(numbers.shape, np.uint8)
         for k in range(width):
@@ -205,6 +220,7 @@ def blocks(docs: DataFrame, target_ids: DataFrame, known: frozenset[str] | None,
                 if size >= BLOCK:
                     yield block()
                     held, size, number = [], 0, number + 1
+                    _give_back()
         if held:
             yield block()
 
@@ -279,21 +295,25 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int |
             for row in b.to_pylist():
                 own = Block(row)
                 yield from own.request(own.keys, own.order, own.bigrams(), shards)
+                del own
+                _give_back()
 
-    bigrams = written(marked.drop("doc_ids").mapInArrow(ask_bigrams, _REQUEST).groupBy("shard").applyInArrow(_add_up(2), _REPLY), "bigrams")
+    bigrams = written(marked.drop("doc_ids").mapInArrow(ask_bigrams, _REQUEST).groupBy("shard").applyInArrow(_add_up(2, shards), _REPLY), "bigrams")
 
     def ask_words(left: pa.Table, right: pa.Table) -> pa.Table:
+        _give_back()
         own = Block(left.to_pylist()[0])
         _, first = _replies(right.to_pylist(), 2, own.order)
         return pa.Table.from_batches(own.request(own.words, np.argsort(own.words), own.contexts(first), shards))
 
     asked = marked.drop("doc_ids").groupBy("block").cogroup(bigrams.select("block", "shard", "n", "sums", "first").groupBy("block")).applyInArrow(ask_words, _REQUEST)
-    words = written(asked.groupBy("shard").applyInArrow(_add_up(6), _REPLY), "words")
+    words = written(asked.groupBy("shard").applyInArrow(_add_up(6, shards), _REPLY), "words")
     kinds, every, good = words.agg(*[F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c, k in (("kinds", 4), ("own", 4), ("own", 5))]).first()
     places = len(known) + 1 if known is not None else kinds + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, rows = Block(left.to_pylist()[0]), right.to_pylist()
+        _give_back()
+        own, rows = Block(left.drop_columns(["doc_ids"]).to_pylist()[0]), right.to_pylist()
         counts, _ = _replies([r for r in rows if r["level"] == 2], 2, own.order)
         by_word, _ = _replies([r for r in rows if r["level"] == 6], 6, np.argsort(own.words))
         each, losses = Own(own), []
