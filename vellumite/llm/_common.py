@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,6 +77,15 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return out.select(*df.columns)
 
 
+def give_back() -> None:
+    """Memory that is free in this Python process goes back to the machine: workers wait for their next task side by side with the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def distributed_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], to: str, weight: Column | None = None) -> DataFrame:
     """Adds `to`: the number of rows (or sum of `weight`) of the same `keys` before this row in (bucket, order).
 

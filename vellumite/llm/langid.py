@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellumite.llm._common import give_back
+
 ORDER, SAMPLE_DOCS, MOST_LANGUAGES, BUCKETS = 4, 400, 500, 16
 _MIX, _SLICE, _SEGMENT = np.uint64(0x9E3779B97F4A7C15), 1 << 20, 1 << 20
 _SPACE, _UNKNOWN = 0, 1
@@ -254,5 +256,6 @@ def identify(docs: DataFrame, models: LanguageModels, doc_id: str = "doc_id", te
         for b in batches:
             names, score, rejected, loss = shared.value.predict([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected, pa.bool_()), pa.array(loss)], names=["doc_id", "lang_pred", "score", "rejected", "cross_entropy"])
+        give_back()
 
     return slim.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean, cross_entropy double")

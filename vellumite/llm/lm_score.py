@@ -20,8 +20,6 @@ grows with the corpus, and a key has one entry per block at most, however common
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vellumite.llm._common import SPACE_RUN, SPACES, fresh_path, remove_path, written, written_at
+from vellumite.llm._common import SPACE_RUN, SPACES, fresh_path, give_back, remove_path, written, written_at
 
 DISCOUNT = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,15 +65,6 @@ def _drop_empty(found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found[real], total[at[1:]] - total[at[:-1]]
 
 
-def _give_back() -> None:
-    """Memory that is free in this process goes back to the machine, as other tasks share the executor's."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
-
-
 class Words:
     """Texts to places in the vocabulary."""
 
@@ -220,7 +209,7 @@ def blocks(docs: DataFrame, target_ids: DataFrame, known: frozenset[str] | None,
                 if size >= BLOCK:
                     yield block()
                     held, size, number = [], 0, number + 1
-                    _give_back()
+                    give_back()
         if held:
             yield block()
 
@@ -296,12 +285,12 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int |
                 own = Block(row)
                 yield from own.request(own.keys, own.order, own.bigrams(), shards)
                 del own
-                _give_back()
+                give_back()
 
     bigrams = written(marked.drop("doc_ids").mapInArrow(ask_bigrams, _REQUEST).groupBy("shard").applyInArrow(_add_up(2, shards), _REPLY), "bigrams")
 
     def ask_words(left: pa.Table, right: pa.Table) -> pa.Table:
-        _give_back()
+        give_back()
         own = Block(left.to_pylist()[0])
         _, first = _replies(right.to_pylist(), 2, own.order)
         return pa.Table.from_batches(own.request(own.words, np.argsort(own.words), own.contexts(first), shards))
@@ -312,7 +301,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int |
     places = len(known) + 1 if known is not None else kinds + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        _give_back()
+        give_back()
         own, rows = Block(left.drop_columns(["doc_ids"]).to_pylist()[0]), right.to_pylist()
         counts, _ = _replies([r for r in rows if r["level"] == 2], 2, own.order)
         by_word, _ = _replies([r for r in rows if r["level"] == 6], 6, np.argsort(own.words))

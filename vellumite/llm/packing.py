@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumite.llm._common import distributed_rank, written
+from vellumite.llm._common import distributed_rank, give_back, written
 from vellumite.llm.tokens import encoder
 
 CAPACITY, ROUNDS = 2048, 12
@@ -213,8 +213,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
                 ids, starts = enc.encode(part.column(1))
                 sizes = np.diff(starts) + 1
                 rows, raw = [[], [], [], [], []], ids.tobytes()
@@ -227,6 +227,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                             column.append(value)
                 taken = part.column(0).take(pa.array(rows[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([taken, pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return slim.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

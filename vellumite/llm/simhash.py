@@ -13,11 +13,11 @@ from both, so linking every member to the minimum of its 2081 points finds the s
 that grows with the members, not with their square.
 
 keep_one, the pipeline's near-dedup, wants all pairs whose word shingles have a Jaccard similarity of 0.8. Such
-sets differ in 15 % of a SimHash's bits, so no few segments of 64 bits would do. It makes 640 bits: 24 segments
-of 20, and 128 that only the check sees. A segment's wildcard is put on its 8 weakest bits in turn (those whose
+sets differ in 15 % of a SimHash's bits, so no few segments of 64 bits would do. It makes 544 bits: 24 segments
+of 20, and 64 that only the check sees. A segment's wildcard is put on its 8 weakest bits in turn (those whose
 votes were closest to even; a bit that differs between near copies is one of these), so a class has 192 keys.
 A pair meets where in some segment at most one bit differs: from 0.85 on practically always, at exactly 0.8 in
-some 98 of 100 pairs. What meets is checked by the 128 bits, then by the shingle sets themselves.
+some 98 of 100 pairs. What meets is checked by the 64 bits, then by the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_digest, xxh3_64_intdigest, xxh64_intdigest
 
-from vellumite.llm._common import bucketed, components, fresh_path, remove_path, written, written_at
+from vellumite.llm._common import bucketed, components, fresh_path, give_back, remove_path, written, written_at
 
 DISTANCE = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
         for b in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["key", "fp"])
+        give_back()
 
     return slim.mapInArrow(run, schema)
 
@@ -160,15 +161,17 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 #: Texts of this similarity over their shingles are near duplicates.
 SIMILARITY = 0.8
-#: Segments of the wide fingerprint, bits of each, how many of them take the wildcard, and the bits of the check.
-PARTS, PART_BITS, WEAKEST, CHECK_BITS = 24, 20, 8, 128
-#: Sets of similarity 0.8 differ in some 20 of the check's bits, give or take 4; unlike ones in 64, give or take 6.
-CHECK_MOST = 36
-_WORDS = (PARTS * PART_BITS + CHECK_BITS + 63) // 64
+#: Segments of the wide fingerprint, bits of each, and how many of them take the wildcard.
+PARTS, PART_BITS, WEAKEST = 24, 20, 8
+#: Sets of similarity 0.8 differ in some 10 of the check's 64 bits, give or take 3; unlike ones in 32, give or take 4.
+CHECK_MOST = 21
+#: Members of a key up to which all its pairs are checked; beyond, dense groups are folded first.
+FEW = 8
+_WORDS = (PARTS * PART_BITS + 64 + 63) // 64
 _XOR, _TIMES = (np.array([xxh64_intdigest(bytes([k, side])) for k in range(_WORDS)], np.uint64) for side in (0, 1))
 _TIMES |= np.uint64(1)
 _PLACES = np.int32(1) << np.arange(PART_BITS, dtype=np.int32)
-_COLUMNS = "node long, shingles binary, parts array<int>, weak array<int>, c0 long, c1 long"
+_COLUMNS = "node long, shingles binary, parts array<int>, weak array<int>, bits long"
 
 
 def votes(hashes: np.ndarray) -> np.ndarray:
@@ -184,7 +187,7 @@ def votes(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sketch(text: str | None, shingle: int = 5) -> tuple:
-    """Of the set of word shingles: a 64-bit hash, the set as sorted 32-bit hashes, the segments, masks of their weakest bits, the check's halves."""
+    """Of the set of word shingles: a 64-bit hash, the set as sorted 32-bit hashes, the segments, masks of their weakest bits, the check's bits."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -195,8 +198,8 @@ def shingle_sketch(text: str | None, shingle: int = 5) -> tuple:
     found = votes(whole)
     lead = found[: PARTS * PART_BITS].reshape(PARTS, PART_BITS)
     weak = np.argsort(np.abs(lead), axis=1, kind="stable")[:, :WEAKEST]
-    check = np.packbits(found[PARTS * PART_BITS :][:CHECK_BITS] > 0, bitorder="little").view("<i8")
-    return _bits(xxh3_64_intdigest(whole.tobytes())), np.unique(whole.astype("<u4")).tobytes(), (lead > 0) @ _PLACES, _PLACES[weak].sum(1, dtype=np.int32), int(check[0]), int(check[1])
+    check = np.packbits(found[PARTS * PART_BITS :][:64] > 0, bitorder="little").view("<i8")
+    return _bits(xxh3_64_intdigest(whole.tobytes())), np.unique(whole.astype("<u4")).tobytes(), (lead > 0) @ _PLACES, _PLACES[weak].sum(1, dtype=np.int32), int(check[0])
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -220,36 +223,42 @@ def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     return met.mapInArrow(check, "a long, b long")
 
 
-def similar_links(classes: DataFrame, similarity: float = SIMILARITY, stars: int = 3) -> DataFrame:
-    """Links (a, b) between classes (node, shingles, parts, weak, c0, c1) that share a key and have the similarity, enough for all components.
+def similar_links(classes: DataFrame, similarity: float = SIMILARITY, few: int = FEW, stars: int = 3) -> DataFrame:
+    """Links (a, b) between classes (node, shingles, parts, weak, bits) that share a key and have the similarity, enough for all components.
 
-    First every class is compared with one other of those it shares keys with, which folds dense groups without
-    pairs; that is done `stars` times, each time with others. Then members of different components meet. Under
-    a key the largest component's members are compared with the rest only, so a key that a dense group fills
-    costs its members times the few that are not of it.
+    Under keys of up to `few` members, as chance and small groups make them, all pairs are checked. Of fuller keys
+    every member is compared with one other of another component, `stars` times with different ones, which folds
+    dense groups without pairs; then members of different components meet, and there the largest component's
+    members are compared with the rest only. So a key that a dense group fills costs its members times the few
+    that are not of it, and no pair is left out.
     """
-    every = Window.partitionBy("key")
-    keyed = _keys(classes).withColumn("lo", F.min("node").over(every)).withColumn("hi", F.max("node").over(every)).where("lo <> hi")
-    keyed = written(keyed.select("key", "node"), "keyed")
-    own = classes.select(F.col("node").alias("_n"), (F.octet_length("shingles") / 4).cast("int").alias("size"), "c0", "c1")
+    keyed = _keys(classes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    keyed = written(keyed, "keyed")
+    own = classes.select(F.col("node").alias("_n"), (F.octet_length("shingles") / 4).cast("int").alias("size"), "bits")
     keyed = written(keyed.join(own.hint("merge"), F.col("node") == F.col("_n")).drop("_n"), "checked")
-    fields = ("node", "size", "c0", "c1", "part")
-    far = F.bit_count(F.col("c0").bitwiseXOR(F.col("_c0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("_c1")))
-    close = (F.least("size", "_size") >= F.lit(similarity) * F.greatest("size", "_size")) & (far <= CHECK_MOST)
+    fields = ("node", "size", "bits", "part")
+    close = (F.least("size", "_size") >= F.lit(similarity) * F.greatest("size", "_size")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("_bits"))) <= CHECK_MOST)
+    loose = keyed.where(F.col("n") <= few).drop("n")
+    other = loose.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("node", "size", "bits")])
+    met = loose.join(other, (F.col("key") == F.col("_key")) & (F.col("node") > F.col("_node")) & close).select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+    links = written(_alike(met, classes, similarity), "links")
+    full = keyed.where(F.col("n") > few).drop("n")
+    if full.isEmpty():
+        return links
     other = (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part"))
-    links, seen = None, keyed.withColumn("part", F.col("node"))
+    seen = _with_parts(full, links, fields)
     for k in range(stars):
         heads = seen.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), *fields)).alias("m"))
         heads = heads.select("_key", "m.order", *[F.col(f"m.{c}").alias(f"_{c}") for c in fields])
         met = seen.join(heads, other & close).groupBy("node").agg(F.min(F.struct("order", "_node")).alias("m"))
         found = written(_alike(met.select(F.col("node").alias("a"), F.col("m._node").alias("b")), classes, similarity), "star")
-        links = found if links is None else links.unionAll(found)
-        folded = written(components(links), "folded").select(F.col("node").alias("_n"), "component")
-        seen = written(keyed.join(folded, F.col("node") == F.col("_n"), "left").withColumn("part", F.coalesce("component", "node")).select("key", *fields), "parts")
+        links = links.unionAll(found)
+        seen = _with_parts(full, links, fields)
     by_part = seen.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_part.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("large"), F.count(F.lit(1)).alias("several")).where("several > 1").select(F.col("key").alias("_k"), "large")
     mixed = written(seen.join(mixed.hint("merge"), F.col("key") == F.col("_k")).drop("_k"), "mixed")
@@ -260,6 +269,11 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY, stars: int
     return links.unionAll(_alike(met, classes, similarity))
 
 
+def _with_parts(keyed: DataFrame, links: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    folded = components(links).select(F.col("node").alias("_n"), "component")
+    return written(keyed.join(folded, F.col("node") == F.col("_n"), "left").withColumn("part", F.coalesce("component", "node")).select("key", *fields), "parts")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near duplicates: of each component the row of the smallest doc_id stays (of several such rows, or where all are null, one).
 
@@ -276,14 +290,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                nodes, sets, parts, weak, c0, c1 = zip(*[shingle_sketch(t.as_py(), shingle) for t in part.column(2)])
+                nodes, sets, parts, weak, bits = zip(*[shingle_sketch(t.as_py(), shingle) for t in part.column(2)])
                 several = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x).astype(np.int32)), PARTS).cast(pa.list_(pa.int32())) for x in (parts, weak)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), *several, pa.array(c0, pa.int64()), pa.array(c1, pa.int64())], names=["doc_id", "_hash", "node", "shingles", "parts", "weak", "c0", "c1"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), *several, pa.array(bits, pa.int64())], names=["doc_id", "_hash", "node", "shingles", "parts", "weak", "bits"])
+        give_back()
 
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "sketches")
     sketched = written_at(slim.mapInArrow(sketch, f"doc_id {kind}, _hash long, {_COLUMNS}"), path)
     # Rows of a class have equal sets; any of them stands for the others.
-    alike = [F.first(c).alias(c) for c in ("shingles", "parts", "weak", "c0", "c1")]
+    alike = [F.first(c).alias(c) for c in ("shingles", "parts", "weak", "bits")]
     classes = bucketed(sketched.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("first"), *alike), "node", "classes")
     different = sketched.groupBy("doc_id", "_hash").count().where("count > 1").limit(1).isEmpty()
     remove_path(spark, path)

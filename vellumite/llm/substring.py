@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from vellumite.llm._common import written
+from vellumite.llm._common import SPACES, give_back, written
 
 REACH, MOST, LEAST_BYTES = 24, 1024, 64
 _LAST = (1 << 63) - 1
@@ -106,6 +106,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     rows, starts, sizes, digests, held = [], [], [], [], 0
             if held:
                 yield out()
+        give_back()
 
     return slim.mapInArrow(run, "doc_id long, text_hash long, at int, bytes int, d1 long, d2 long")
 
@@ -170,12 +171,13 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES, doc_id: str
                         parts.append(raw[at : s["start"]])
                         at = s["start"] + s["bytes"]
                     left = b"".join([*parts, raw[at:]]).decode()
-                    keep.append(bool(left.strip()))
+                    keep.append(bool(left.strip(SPACES)))
                 else:
                     keep.append(True)
                 out.append(left)
             whole = pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["_row", "_text"])
             yield whole.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     row_type = joined.schema["_row"].dataType.simpleString()
     done = joined.mapInArrow(cut, f"_row {row_type}, _text string")

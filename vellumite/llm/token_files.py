@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm._common import fresh_path
+from vellumite.llm._common import fresh_path, give_back
 from vellumite.llm.tokens import encoder
 
 MAGIC, BLOCK, PERCENTILE = b"VPFOR001", 128, 0.9
@@ -171,8 +171,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             return pa.RecordBatch.from_pydict({"file": [name], "documents": [len(keys)], "ids": [held]})
 
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
                 got, starts = enc.encode(part.column(1))
                 keys += part.column(0).to_pylist()
                 sizes.append(np.diff(starts) + 1)
@@ -183,6 +183,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
                     keys, sizes, ids, held, rolled = [], [], [], 0, rolled + 1
         if keys:
             yield close()
+        give_back()
 
     made = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "file string, documents long, ids long")
     # Names sort as the files follow each other; one row a file.

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 #: Before a single space between two other characters the byte-level pattern always cuts.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SLICE_BYTES = 6 << 20
+#: A word of no white space (as str.isspace has it) but a line feed before it.
+_PLAIN = "\\A\n?[^{0}]+\\z".format("".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace()))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,14 +36,14 @@ class Encoder:
     each distinct word of a batch is looked up once, and only unknown words go to the tokenizers library: a
     Latin word as one piece straight to its BPE model, anything else through the whole tokenizer. Texts with
     other white space are cut at single spaces only and their parts encoded whole. The dictionary is a
-    cache; when `most` words are in it, those that were met in one batch only leave it.
+    cache; when `most` words are in it, it starts anew.
 
     All this holds for a file without normalizer whose pre-tokenizer is the byte-level pattern and whose added
     tokens hold no white space and take none from their neighbours. With any other file every text is encoded
     whole by the library.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, most: int = 1_200_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,8 +52,8 @@ class Encoder:
         self.plain = self._by_words(told)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        #: Letters of added tokens alone must not go to the model directly.
-        self.added = {x["content"] for x in told.get("added_tokens", [])}
+        #: Added tokens of letters only: a word that holds one must not go to the model directly.
+        self.added = [x["content"] for x in told.get("added_tokens", []) if x["content"].isalpha()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.most = most
@@ -73,23 +75,8 @@ class Encoder:
         self.marks: dict[str, list[int]] = {}
         self.tokens = np.empty(1 << 16, "<u4")
         self.starts = np.zeros((1 << 14) + 1, np.int64)
-        self.again = np.zeros(1 << 14, bool)
         self.feed = self.whole("\n")
 
-    def _forget(self) -> None:
-        """Keeps the words met in several batches, if they are fewer than half of `most`."""
-        keep = np.flatnonzero(self.again[: len(self.known)])
-        if not 0 < len(keep) < self.most // 2:
-            return self._reset()
-        words = list(self.known)  # in the order of their numbers
-        size = self.starts[keep + 1] - self.starts[keep]
-        total = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(self.starts[keep] - total[:-1], size) + np.arange(total[-1])
-        self.tokens = np.append(self.tokens[at], np.empty(1 << 16, "<u4"))
-        self.starts = np.append(total, np.zeros(1 << 14, np.int64))
-        self.again = np.zeros(len(self.starts), bool)
-        self.known = {words[k]: i for i, k in enumerate(keep.tolist())}
-
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
 
@@ -98,7 +85,7 @@ class Encoder:
         lead, before = ("", self.feed) if word[0] == "\n" else (" ", [])
         body = word[1:] if before else word
         core = body.rstrip(".,!?;:")
-        if core.isalpha() and max(core) < "ɐ" and not any(a in core for a in self.added if a.isalpha()):
+        if core.isalpha() and max(core) < "ɐ" and not (self.added and any(a in core for a in self.added)):
             piece = (lead + core).encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(piece)]
             if end := body[len(core) :]:
@@ -116,7 +103,6 @@ class Encoder:
         ends = at + np.cumsum(sizes)
         while n + len(words) >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
-            self.again = np.concatenate([self.again, np.zeros(len(self.starts) - len(self.again), bool)])
         while ends[-1] > len(self.tokens):
             self.tokens = np.concatenate([self.tokens, np.empty(len(self.tokens), "<u4")])
         self.starts[n + 1 : n + 1 + len(words)] = ends
@@ -147,15 +133,14 @@ class Encoder:
         begin = begin - begin[0]
         words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         # "" between spaces, a bare line feed and words with other white space mark texts that are not plain.
-        odd = np.fromiter((w == "" or w == "\n" or (len(w.split()) != 1 or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace())) for w in words), bool, len(words))
+        odd = ~pc.match_substring_regex(coded.dictionary, _PLAIN).to_numpy(zero_copy_only=False)
         first = np.zeros(len(places), bool)
         first[begin[:-1]] = True
         hit = odd[places] & ~first
         strange = np.flatnonzero(np.bincount(np.searchsorted(begin, np.flatnonzero(hit), "right") - 1, minlength=len(texts)))
         if len(self.known) + len(words) > self.most:
-            self._forget()
+            self._reset()
         gids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        self.again[gids[gids >= 0]] = True
         missing = np.flatnonzero((gids < 0) & ~odd).tolist()
         if missing:
             n = len(self.known)
