@@ -169,7 +169,7 @@ def _add_up(width: int, shards: int):
         out, at = [], 0
         for r in rows:
             own = slice(at, at := at + r["n"])
-            out.append((r["block"], r["shard"], r["n"], _planes(sums[:, own]), first[:, own].tobytes(), numbers[:, own].sum(1, dtype=np.int64).tolist(), first[:, own].sum(1, dtype=np.int64).tolist()))
+            out.append((r["block"], r["shard"], r["n"], _planes(sums[:, own]), np.packbits(first[:, own], axis=1).tobytes(), numbers[:, own].sum(1, dtype=np.int64).tolist(), first[:, own].sum(1, dtype=np.int64).tolist()))
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "shard", "n", "sums", "first", "own", "kinds"])
 
@@ -177,12 +177,13 @@ def _add_up(width: int, shards: int):
 
 
 def _replies(rows: list[dict], width: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, first) in the order of the block's own keys."""
+    """(sums, first) in the order of the block's own keys; rows without `sums` give zeros there."""
     rows = sorted(rows, key=lambda r: r["shard"])
     sums, first = np.zeros((width, len(order)), np.uint64), np.zeros((width, len(order)), np.uint8)
     if rows:
-        sums[:, order] = np.concatenate([_numbers(r["sums"], r["n"] * width).reshape(width, -1) for r in rows], axis=1)
-        first[:, order] = np.concatenate([np.frombuffer(r["first"], np.uint8).reshape(width, -1) for r in rows], axis=1)
+        if "sums" in rows[0]:
+            sums[:, order] = np.concatenate([_numbers(r["sums"], r["n"] * width).reshape(width, -1) for r in rows], axis=1)
+        first[:, order] = np.concatenate([np.unpackbits(np.frombuffer(r["first"], np.uint8).reshape(width, -1), axis=1, count=r["n"]) for r in rows], axis=1)
     return sums, first
 
 
@@ -295,7 +296,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int |
         _, first = _replies(right.to_pylist(), 2, own.order)
         return pa.Table.from_batches(own.request(own.words, np.argsort(own.words), own.contexts(first), shards))
 
-    asked = marked.drop("doc_ids").groupBy("block").cogroup(bigrams.select("block", "shard", "n", "sums", "first").groupBy("block")).applyInArrow(ask_words, _REQUEST)
+    asked = marked.drop("doc_ids").groupBy("block").cogroup(bigrams.select("block", "shard", "n", "first").groupBy("block")).applyInArrow(ask_words, _REQUEST)
     words = written(asked.groupBy("shard").applyInArrow(_add_up(6, shards), _REPLY), "words")
     kinds, every, good = words.agg(*[F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c, k in (("kinds", 4), ("own", 4), ("own", 5))]).first()
     places = len(known) + 1 if known is not None else kinds + 1
