@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,43 +33,41 @@ class Encoder:
     a single space and around a single line feed between two other characters. So texts are split there,
     each distinct word of a batch is looked up once, and only unknown words go to the tokenizers library: a
     Latin word as one piece straight to its BPE model, anything else through the whole tokenizer. Texts with
-    other white space are cut at single spaces only and their parts encoded whole. The dictionary is a
-    cache; when `most` words are in it, it starts anew.
+    other white space are cut at single spaces only and their parts encoded whole. The known words are a cache,
+    an Arrow array in which a batch's words are looked up at once; when `most` are in it, it starts anew.
 
     All this holds for a file without normalizer whose pre-tokenizer is the byte-level pattern and whose added
     tokens hold no white space and take none from their neighbours. With any other file every text is encoded
     whole by the library.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000, special_as_text: bool = False):
+    def __init__(self, path: str, most: int = 1_000_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            told = json.load(file)
-        self.plain = self._by_words(told)
         self.tokenizer = Tokenizer.from_file(path)
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.plain = self._by_words(added)
         self.tokenizer.encode_special_tokens = special_as_text
         #: Added tokens of letters only: a word that holds one must not go to the model directly.
-        self.added = [x["content"] for x in told.get("added_tokens", []) if x["content"].isalpha()]
+        self.added = [t.content for t in added if t.content.isalpha()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.most = most
         self._reset()
 
-    @staticmethod
-    def _by_words(told: dict) -> bool:
+    def _by_words(self, added: list) -> bool:
         """Whether a text's ids are those of its words, cut as above."""
-        before, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
-        if told.get("normalizer") or told.get("truncation") or told.get("padding") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        t = self.tokenizer
+        before, model = t.pre_tokenizer, t.model
+        if t.normalizer is not None or t.truncation is not None or t.padding is not None or type(before).__name__ != "ByteLevel" or before.add_prefix_space or not before.use_regex:
             return False
-        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")):
+        if type(model).__name__ != "BPE" or any(getattr(model, k, None) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")):
             return False
-        tokens = told.get("added_tokens", [])
-        return not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or any(c.isspace() for c in x["content"]) for x in tokens)
+        return not any(x.lstrip or x.rstrip or x.single_word or any(c.isspace() for c in x.content) for x in added)
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.marks: dict[str, list[int]] = {}
         self.tokens = np.empty(1 << 16, "<u4")
         self.starts = np.zeros((1 << 14) + 1, np.int64)
@@ -95,9 +91,9 @@ class Encoder:
             return before + ids
         return before + self.whole(lead + body)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: pa.Array) -> None:
         n = len(self.known)
-        found = [self._ids(w) for w in words]
+        found = [self._ids(w) for w in words.to_pylist()]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         at = self.starts[n]
         ends = at + np.cumsum(sizes)
@@ -107,7 +103,7 @@ class Encoder:
             self.tokens = np.concatenate([self.tokens, np.empty(len(self.tokens), "<u4")])
         self.starts[n + 1 : n + 1 + len(words)] = ends
         self.tokens[at : ends[-1]] = np.fromiter((i for x in found for i in x), "<u4", int(sizes.sum()))
-        self.known.update(zip(words, range(n, n + len(words))))
+        self.known = pa.concat_arrays([self.known, words])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, n + 1 offsets); nulls are empty."""
@@ -131,20 +127,20 @@ class Encoder:
         begin = split.offsets.to_numpy()
         coded = split.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
         begin = begin - begin[0]
-        words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, places = coded.dictionary, coded.indices.to_numpy()
         # "" between spaces, a bare line feed and words with other white space mark texts that are not plain.
-        odd = ~pc.match_substring_regex(coded.dictionary, _PLAIN).to_numpy(zero_copy_only=False)
+        odd = ~pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
         first = np.zeros(len(places), bool)
         first[begin[:-1]] = True
         hit = odd[places] & ~first
         strange = np.flatnonzero(np.bincount(np.searchsorted(begin, np.flatnonzero(hit), "right") - 1, minlength=len(texts)))
         if len(self.known) + len(words) > self.most:
             self._reset()
-        gids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero((gids < 0) & ~odd).tolist()
-        if missing:
+        gids = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero((gids < 0) & ~odd)
+        if len(missing):
             n = len(self.known)
-            self._learn([words[i] for i in missing])
+            self._learn(words.take(pa.array(missing)))
             gids[missing] = np.arange(n, n + len(missing))
         size = np.where(gids >= 0, self.starts[gids + 1] - self.starts[gids], 0)
         counts = size[places]
