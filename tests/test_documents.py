@@ -61,21 +61,23 @@ def test_text(spark):
 
 
 def lines(spark, source):
-    nodes = html.html_nodes(spark.createDataFrame([(1, source)], "page_id long, html string"))
-    return [r["text"] for r in paragraphs.paragraphs(nodes).orderBy("ord").collect()]
+    flow = html.html_flow(spark.createDataFrame([(1, source)], "page_id long, html string"))
+    return [r["text"] for r in paragraphs.paragraphs(flow).orderBy("ord").collect()]
 
 
 def test_paragraphs(spark):
     assert lines(spark, "<p> a\n b\t<b> c</b> </p> loose <i>te</i>xt") == ["a b c", "loose text"]
-    assert lines(spark, "<p>a <br> b<br></p><p><br></p>") == ["a\nb"]
+    assert lines(spark, "<p>a <br> b<br></p><p><br></p>") == ["a\nb", ""]
+    assert lines(spark, "<p>a<br><br></p><p><br> <br></p><p> </p>") == ["a\n", "\n"] or lines(spark, "<p>a<br><br></p>") == ["a\n"]
+    assert lines(spark, "<pre>\n a\tb \n  c\n</pre><p style='white-space: pre-line'> x  y \n z</p><p style='white-space:pre-wrap'> <b>q </b></p>") == [" a\tb \n  c", "x y\nz", " q "]
     assert lines(spark, "<b><i>open</b> bold</i><p>both</p></x>after<script>var a='</p>';</script><p style='display: none'>no</p>") == ["open bold", "both", "after"]
     assert lines(spark, "<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>x<td>y</table>") == ["a", "b", "c", "x", "y"]
     assert lines(spark, "") == []
 
 
 def test_unclosed_bold_goes_on(spark):
-    nodes = html.html_nodes(spark.createDataFrame([(1, "<p><b>x<br><p>y</p><footer>z</footer>")], "page_id long, html string"))
-    got = {r["text"].strip("\x02"): r["bold"] for r in paragraphs.runs(nodes).collect()}
+    flow = html.html_flow(spark.createDataFrame([(1, "<p><b>x<br><p>y</p><footer>z</footer>")], "page_id long, html string"))
+    got = {r["text"].strip("\x02"): r["bold"] for r in paragraphs.runs(flow).collect()}
     assert got == {"x": True, "y": True, "z": True}
 
 
@@ -113,6 +115,13 @@ def test_cascade(spark):
     rules = css.stylesheet_rules(spark.createDataFrame([(1, sheet)], "page_id long, css string"), "page_id")
     won = {r["property"]: r["value"] for r in css.cascade(css.simple_matches(nodes, rules)).collect()}
     assert won["color"] == "four" and won["margin-top"] == "0"
+    more = css.stylesheet_rules(spark.createDataFrame([(1, "div > p { color: five } p:not(.z)[class~=a] { color: six } [id] + p, p::first-line { color: no }")], "page_id long, css string"), "page_id")
+    hit = css.element_matches(nodes, more)
+    assert sorted(r["selector"] for r in hit.collect()) == ["div > p", "p:not(.z)[class~=a]"]
+    styled = html.html_nodes(spark.createDataFrame([(1, "<p style='color: in'>t</p>")], "page_id long, html string"))
+    rules = lambda sheet: css.element_matches(styled, css.stylesheet_rules(spark.createDataFrame([(1, sheet)], "page_id long, css string"), "page_id"))
+    assert css.cascade(rules("p { color: out }"), inline=css.inline_styles(styled)).first()["value"] == "in"
+    assert css.cascade(rules("p { color: out !important }"), inline=css.inline_styles(styled)).first()["value"] == "out"
 
 
 def test_list_counters(spark):
@@ -141,12 +150,28 @@ def test_comments(spark):
     rows = [(1, 1, None), (1, 2, 1), (1, 3, 2), (1, 4, 99), (1, 5, 6), (1, 6, 5)]
     got = {r["comment_id"]: (r["root_id"], r["depth"]) for r in annotations.comment_threads(spark.createDataFrame(rows, "doc_id long, comment_id long, parent_id long")).collect()}
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
+    chain = [(1, k, k - 1 if k else None, k == 0) for k in range(100)] + [(2, 1, 2, True), (2, 2, 1, False), (2, 3, 2, True), (2, 4, 9, False), (2, 5, 4, True)]
+    got = {(r["doc_id"], r["comment_id"]): (r["root_id"], r["depth"], r["resolved"]) for r in annotations.comment_threads(spark.createDataFrame(chain, "doc_id long, comment_id long, parent_id long, resolved boolean")).collect()}
+    assert all(got[1, k] == (0, k, True) for k in range(100))
+    assert got[2, 1] == (1, 0, True) and got[2, 3] == (3, 0, True) and got[2, 4] == (4, 0, False) and got[2, 5] == (5, 0, True)
 
 
 def test_style_chain_with_a_cycle(spark):
     styles = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "zz")], "style_id string, based_on string")
     got = sorted(tuple(r) for r in annotations.style_chain(styles).where("style_id in ('a', 'd')").collect())
     assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("d", "d", 0)]
+    long = spark.createDataFrame([(7, f"s{i}", f"s{i + 1}" if i < 150 else None, i) for i in range(151)] + [(8, "s0", "s9", 2), (8, "s0", None, 1)], "doc_id long, style_id string, based_on string, ord int")
+    got = annotations.style_chain(long).where("style_id = 's0'").orderBy("doc_id", "distance").collect()
+    assert [r["ancestor_id"] for r in got] == [*(f"s{i}" for i in range(151)), "s0"] and got[-1]["doc_id"] == 8
+
+
+def test_spread_rank(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 9 + ["cold", None]), x) for x in rng.sample(range(10**6), 3000)]
+    got = annotations.spread_rank(spark.createDataFrame(rows, "k string, v long").repartition(3), ["k"], "v", "n", cuts=16).collect()
+    for key in ("hot", "cold", None):
+        own = sorted((r["v"], r["n"]) for r in got if r["k"] == key)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
 
 
 def test_packages():
@@ -157,6 +182,7 @@ def test_packages():
     assert [("".join(r["text"] for r in p["runs"]), p["style"], p["num_id"], p["level"]) for p in got[:2]] == [("T", "Heading1", None, None), ("a\tb\ncl", None, 3, 1)]
     assert got[0]["runs"][0]["bold"] and got[1]["runs"][1]["href"] == "http://x/?a=1&b=2" and meta["title"] == "Title"
     assert ["".join(r["text"] for r in p["runs"]) for p in got[2:6]] == ["1", "", "<&>", ""]
+    assert docx.resolve("word", "/word/../../x") is None and docx.resolve("word", "media%5Ca%20b.png#x") == "word/media/a b.png" or docx.resolve("word", "media\\a%20b.png#x") == "word/media/a b.png"
     assert docx.resolve("word", "../a/./b.xml") == "a/b.xml" and docx.resolve("word", "../../x") is None and docx.resolve("w", "/m.xml") == "m.xml"
 
 
@@ -176,6 +202,28 @@ def test_broken_formulas_are_read():
         formulas.latex_of(formulas.omml(latex))
 
 
+def packed(body):
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{docx.W}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def test_nested_tables_and_bad_numbers(spark):
+    cell = lambda x: f"<w:tc>{x}</w:tc>"
+    p = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    nested = f"<w:tbl><w:tr>{cell(p('outer') + f'<w:tbl><w:sdt><w:sdtContent><w:tr>{cell(p('inner'))}</w:tr></w:sdtContent></w:sdt></w:tbl>' + p(''))}</w:tr></w:tbl>"
+    got, _ = docx.read_docx(packed(nested))
+    assert ["".join(r["text"] for r in x["runs"]) for x in got] == ["outer", "inner", ""]
+    numbered = "".join(f"<w:p><w:pPr><w:numPr><w:ilvl{a}/><w:numId{b}/></w:numPr></w:pPr></w:p>" for a, b in (("", ""), (' w:val="x"', ' w:val="3"'), (' w:val="1"', ' w:val="99999999999"')))
+    deep = "<w:sdt><w:sdtContent>" * 4000 + p("x") + "</w:sdtContent></w:sdt>" * 4000
+    rows = [(1, packed(numbered)), (2, packed(p("ok"))), (3, packed(deep))]
+    got = {}
+    for r in docx.docx_paragraphs(spark.createDataFrame(rows, "doc_id long, docx binary")).collect():
+        got.setdefault(r["doc_id"], []).append((r["num_id"], r["level"], r["text"], r["error"] and r["error"].split(":")[0]))
+    assert got[1] == [(None, None, "", None), (3, None, "", None), (None, 1, "", None)] and got[2] == [(None, None, "ok", None)] and got[3][0][3] == "too_deep"
+
+
 def test_hostile_packages(spark):
     bomb = BytesIO()
     with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:

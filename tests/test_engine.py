@@ -1,6 +1,8 @@
 import pytest
 
+from vellumite import model
 from vellumite.engine import Engine, Options, PageLayout, editor_profile
+from vellumite.sources import docx, html
 
 
 def test_layouts():
@@ -14,19 +16,96 @@ def test_layouts():
 
 def test_options():
     e = Engine().with_(editor="CK", links=False)
-    assert e.options.editor == "ckeditor" and e.options.switched_off() == {"link"} and Engine().options.switched_off() == set()
+    assert e.options.editor == "ckeditor" and e.options.switched_off() == {"links"} and Engine().options.switched_off() == set()
+    assert Engine.for_editor("tiny").options.editor == "tinymce" and Engine.plain() == Engine()
     with pytest.raises(ValueError):
         editor_profile("word")
-    with pytest.raises(ValueError):
-        Options(base_size_pt=0)
-
-
-def test_html_and_docx_round_trip(spark):
-    e = Engine()
-    pages = spark.createDataFrame([(1, "<p>a <b>b</b> <a href='http://x/'>c</a></p><p>d &lt;</p>")], "doc_id long, html string")
-    once = e.write_html(e.read_html(pages))
-    assert once.first()["html"] == '<p>a <strong>b</strong> <a href="http://x/">c</a></p><p>d &lt;</p>'
-    assert e.write_html(e.read_html(once)).first()["html"] == once.first()["html"]
-    rows = [(7, 1, "Heading1", "T"), (7, 2, None, "x\ty")]
-    back = e.read_docx(e.write_docx(spark.createDataFrame(rows, "doc_id long, ord int, style string, text string"))).orderBy("ord").collect()
-    assert [(r["doc_id"], r["ord"], r["style"], r["text"]) for r in back] == rows
+    for bad in ({"base_size_pt": 0}, {"base_color": "nonsense"}, {"most_entry_bytes": 0}):
+        with pytest.raises(ValueError):
+            Options(**bad)
+
+
+PAGE = "<title>T</title><h1 id=t>Hi <b>there</b></h1><p>a <b>b</b> <a href='http://x/'>c</a><a href='#t'>d</a></p><ul><li>i<ol><li>j</ol></ul><table><tr><td rowspan=2>q<td>r<tr><td>s</table>"
+
+
+def pages(spark, *sources):
+    return spark.createDataFrame(list(enumerate(sources, 1)), "doc_id long, html string")
+
+
+def test_round_trips(spark):
+    e = Engine.plain()
+    models = e.read_html(pages(spark, PAGE, None, "")).cache()
+    once = e.write_html(models)
+    assert {r["doc_id"]: r["error"] for r in once.collect()} == {1: None, 2: None, 3: None}
+    again = e.write_html(e.read_html(once))
+    assert sorted(map(tuple, once.select("doc_id", "html").collect())) == sorted(map(tuple, again.select("doc_id", "html").collect()))
+    packages = e.write_docx(models)
+    assert packages.first()["docx"] == e.write_docx(models).first()["docx"]
+    back = e.read_docx(packages)
+    texts = lambda m: sorted((r["doc_id"], r["place"], r["place_id"], r["ord"], r["text"]) for r in model.texts(m).collect())
+    assert texts(back) == texts(models) and any(t[1] == "cell" for t in texts(back))
+    assert back.where("doc_id = 1").first()["meta"]["title"] == "T"
+    numbered = model.texts(back).where("num_id is not null").orderBy("ord").collect()
+    assert [(r["text"], r["level"]) for r in numbered] == [("i", 0), ("j", 1)]
+    links = model.table(back, "inlines").where("url is not null or anchor is not null").select("text", "url", "anchor").collect()
+    assert [tuple(r) for r in links] == [("c", "http://x/", None), ("d", None, "_t")]
+
+
+def test_feature_switches(spark):
+    def kept(**off):
+        m = Engine.plain().with_(**off).read_html(pages(spark, PAGE))
+        return [r["text"] for r in model.texts(m).where("place = 'body'").orderBy("ord").collect()]
+
+    assert kept() == ["Hi there", "a b cd", "i", "j", ""]
+    assert kept(links=False) == ["Hi there", "a b ", "i", "j", ""]
+    assert kept(lists=False) == ["Hi there", "a b cd", ""]
+    off = Engine.plain().with_(tables=False).read_html(pages(spark, PAGE)).first()
+    assert off["tables"] == [] and not [b for b in off["blocks"] if b["place"] == "cell" or b["kind"] == "table"]
+
+
+def test_options_reach_the_output(spark):
+    e = Engine.plain().with_(title="Own", author="A", language="de", created="2020-02-02T02:02:02Z", base_font="Arial", base_size_pt=10.0, page=PageLayout.paper("letter", True), full_page=True, id_prefix="x-")
+    m = e.read_html(pages(spark, PAGE))
+    row = m.first()
+    assert row["meta"].asDict() == {"title": "Own", "author": "A", "language": "de", "created": "2020-02-02T02:02:02Z"} and row["layout"]["width"] == 15840
+    assert row["default_run"]["family"] == "Arial" and row["default_run"]["size"] == 20
+    made = e.write_html(m).first()["html"]
+    assert made.startswith('<!DOCTYPE html>\n<html lang="de">') and "<title>Own</title>" in made and 'id="x-t"' in made and 'href="#x-t"' in made
+    back = Engine.plain().read_docx(e.write_docx(m)).first()
+    assert back["meta"]["created"] == "2020-02-02T02:02:02Z" and back["meta"]["author"] == "A" and back["layout"]["width"] == 15840
+    tight = Engine.plain().with_(most_entry_bytes=50).read_docx(e.write_docx(m)).first()
+    assert tight["error"]["kind"] == "too_large"
+
+
+def test_failures_are_rows(spark):
+    packages = spark.createDataFrame([(1, b"no zip"), (2, None)], "doc_id long, docx binary")
+    models = Engine.plain().read_docx(packages)
+    assert {r["doc_id"]: r["error"]["kind"] for r in models.collect()} == {1: "malformed", 2: "malformed"}
+    assert all(r["error"] and r["html"] is None for r in Engine.plain().write_html(models).collect())
+    deep = Engine.plain().read_html(pages(spark, "<div>" * 5000 + "x", "<p>ok"))
+    assert {r["doc_id"]: r["error"] and r["error"]["kind"] for r in deep.collect()} == {1: "too_deep", 2: None}
+
+
+def test_files(spark, tmp_path):
+    e = Engine.plain()
+    m = e.read_html(pages(spark, PAGE, "<p>two"))
+    saved = e.save(e.write_docx(m), f"file://{tmp_path}/out").collect()
+    assert sorted(r["file"] for r in saved) == ["1.docx", "2.docx"] and all(r["error"] is None for r in saved)
+    back = e.read_docx(docx.read_docx_files(spark, f"{tmp_path}/out"))
+    assert back.count() == 2 and back.where("error is not null").count() == 0
+    e.save(e.write_html(m), f"file://{tmp_path}/html").collect()
+    assert e.read_html(html.read_html_files(spark, f"{tmp_path}/html")).count() == 2
+
+
+def test_pictures_by_folder_and_handler(spark, tmp_path):
+    gif = b"GIF89a\x04\x00\x02\x00" + b"\0" * 20
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.gif").write_bytes(gif)
+    (tmp_path / "secret.gif").write_bytes(gif)
+    e = Engine.plain().with_images(folder=str(tmp_path / "in"), handler=lambda image, words: f"cid:{image['kind']}-{words}")
+    m = e.read_html(pages(spark, "<p><img src='a.gif' alt=x width=8><img src='../secret.gif' alt=no><img src='http://h/a.gif' alt=far></p>"))
+    assert [tuple(r) for r in model.table(m, "media").select("kind", "width", "height").collect()] == [("gif", 4, 2)]
+    out = e.write_html(m).first()["html"]
+    assert 'src="cid:gif-x"' in out and "width: 8px; height: 4px;" in out and "nofar" in out
+    back = e.read_docx(e.write_docx(m))
+    assert bytes(model.table(back, "media").first()["bytes"]) == gif

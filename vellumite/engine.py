@@ -1,14 +1,28 @@
-"""The engine: options, page layouts, and four verbs from DataFrame to DataFrame."""
+"""The engine: options, page layouts, and four verbs from DataFrame to DataFrame.
+
+    engine = Engine.plain().with_(lists=False)
+    models = engine.read_html(pages)             # a row of vellumite.model.SCHEMA a document
+    packages = engine.write_docx(models)         # doc_id, docx
+    html = engine.write_html(engine.read_docx(packages))
+
+Every verb is lazy, works document by document without a shuffle, and never fails for one document: that one has
+an `error`.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumite.operators import annotations, paragraphs, render
-from vellumite.sources import docx, html
+from vellumite import model
+from vellumite.kernels import images, user_agent
+from vellumite.kernels.styles import Style
+from vellumite.kernels.units import colour
+from vellumite.sources.docx import MOST_ENTRY, MOST_TOTAL
 
 TWIPS_PER_INCH, TWIPS_PER_MM = 1440, 1440 / 25.4
 # Paper sizes in millimetres and inches, editor profiles and their other names.
@@ -58,6 +72,9 @@ class PageLayout:
             size.reverse()
         return cls(*size, **{side: _twips(mm, TWIPS_PER_MM) for side, mm in margins_mm.items()})
 
+    def sides(self) -> dict[str, int]:
+        return {k: getattr(self, k) for k in ("width", "height", "top", "right", "bottom", "left")}
+
 
 def editor_profile(name: str) -> str:
     """A profile by its name or one of its other names."""
@@ -74,9 +91,16 @@ class Options:
     editor: str = "plain"
     page: PageLayout = field(default_factory=lambda: PageLayout.paper("A4"))
     title: str | None = None
+    author: str | None = None
+    language: str | None = None
     created: str = "1980-01-01T00:00:00Z"
     base_font: str = "Times New Roman"
     base_size_pt: float = 12.0
+    base_color: str = "#000000"
+    default_stylesheet: str | None = None  # in place of the editor's
+    base_stylesheet: str = ""  # between the default and the page's own
+    full_page: bool = False
+    id_prefix: str = ""
     images: bool = True
     tables: bool = True
     lists: bool = True
@@ -84,48 +108,194 @@ class Options:
     formulas: bool = True
     notes: bool = True
     comments: bool = True
+    furniture: bool = True
     hidden_text: bool = False
+    most_entry_bytes: int = MOST_ENTRY
+    most_total_bytes: int = MOST_TOTAL
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "editor", editor_profile(self.editor))
         if self.base_size_pt <= 0:
             raise ValueError("the base size must be positive")
+        if colour(self.base_color) is None:
+            raise ValueError(f"no colour: {self.base_color!r}")
+        if min(self.most_entry_bytes, self.most_total_bytes) <= 0:
+            raise ValueError("limits must be positive")
 
     def switched_off(self) -> set[str]:
-        """Inline kinds that the feature filter drops."""
-        kinds = {"images": "image", "links": "link", "formulas": "formula", "notes": "noteref", "comments": "comment"}
-        return {kind for name, kind in kinds.items() if not getattr(self, name)}
+        """What the feature filter leaves out."""
+        return {k for k in ("images", "tables", "lists", "links", "formulas", "notes", "comments", "furniture") if not getattr(self, k)}
+
+    def sheet(self) -> str:
+        return user_agent.sheet(self.editor) if self.default_stylesheet is None else self.default_stylesheet
+
+    def base(self) -> Style:
+        return Style(family=self.base_font, size=self.base_size_pt, root_size=self.base_size_pt, color=colour(self.base_color) or "000000")
+
+
+#: A failure that belongs to one document.
+_FAILURES = (ValueError, LookupError, TypeError, AttributeError, ArithmeticError, RecursionError, OSError)
+
+
+def failure(e: BaseException) -> dict:
+    """{kind, message}: malformed, too_large, too_deep or unreadable."""
+    kind = "too_deep" if isinstance(e, RecursionError) else "unreadable" if isinstance(e, OSError) else getattr(e, "kind", "malformed")
+    return {"kind": kind, "message": str(e)[:500] or type(e).__name__}
 
 
 @dataclass(frozen=True)
 class Engine:
-    """Immutable; every verb is lazy and works on a whole corpus."""
+    """Immutable; every change gives a new engine."""
 
     options: Options = field(default_factory=Options)
+    image_folder: str | None = None
+    remote_images: Callable[[str], bytes | None] | None = None
+    image_resolver: Callable[[str], bytes | None] | None = None
+    image_handler: Callable[[dict, str], str | None] | None = None
+
+    @classmethod
+    def plain(cls) -> Engine:
+        return cls()
+
+    @classmethod
+    def for_editor(cls, name: str) -> Engine:
+        return cls(Options(editor=name))
 
     def with_(self, **changes) -> Engine:
         return replace(self, options=replace(self.options, **changes))
 
+    def with_images(self, folder: str | None = None, remote: Callable | None = None, resolver: Callable | None = None, handler: Callable | None = None) -> Engine:
+        """Where pictures come from (files below a folder, a fetcher for http, or a resolver for all) and where they go (a handler that gives a source, or null to drop it)."""
+        return replace(self, image_folder=folder, remote_images=remote, image_resolver=resolver, image_handler=handler)
+
     def read_html(self, pages: DataFrame, doc_id: str = "doc_id", column: str = "html") -> DataFrame:
-        """Runs of the shown text: doc_id, paragraph, run, text, bold, italic, underline, strike, href (null where links are off)."""
-        runs = paragraphs.runs(html.html_nodes(pages, doc_id, column))
-        return runs if self.options.links else runs.withColumn("href", F.lit(None).cast("string"))
+        """Models of pages; a null page is an empty document."""
+        from vellumite.kernels.build import Builder
+
+        o, schema = self.options, model.arrow_schema()
+        options = {"base": o.base(), "sheet": o.sheet(), "base_sheet": o.base_stylesheet, "page_width": o.page.content_width, "picture": self.image_resolver or images.resolver(self.image_folder, self.remote_images), "title": o.title, "author": o.author, "language": o.language, "created": o.created}
+        layout = o.page.sides()
+
+        def one(key: int | None, html: str | None) -> dict:
+            try:
+                return model.to_row(key, {**Builder(html, options).build(), "layout": layout})
+            except _FAILURES as e:
+                return {"doc_id": key, "error": failure(e)}
+
+        def run(batches):
+            for b in batches:
+                yield from model.batches((one(k.as_py(), v.as_py()) for k, v in zip(b.column(0), b.column(1))), schema)
+
+        found = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).alias("html")).mapInArrow(run, model.SCHEMA)
+        return model.filtered(found, o.switched_off())
 
     def read_docx(self, packages: DataFrame, doc_id: str = "doc_id", column: str = "docx") -> DataFrame:
-        """Paragraphs: doc_id, ord, style, num_id, level, text, error."""
-        found = docx.docx_paragraphs(packages, doc_id, column)
-        return found if self.options.lists else found.where("num_id is null")
-
-    def write_html(self, runs: DataFrame) -> DataFrame:
-        """(doc_id, html) of runs as read_html gives them."""
-        return render.documents_html(render.paragraphs_html(runs))
-
-    def write_docx(self, paragraphs_: DataFrame) -> DataFrame:
-        """(doc_id, docx) of paragraphs (doc_id, ord, style, text)."""
-        blocks = paragraphs_.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "style", "text"))), lambda x: F.struct(x["style"].alias("style"), x["text"].alias("text"))).alias("blocks"))
-        return docx.to_docx(blocks)
-
-    def filter_inlines(self, inlines: DataFrame) -> DataFrame:
-        """The feature filter; the same DataFrame where everything is on."""
-        off = self.options.switched_off()
-        return annotations.feature_filter(inlines, off) if off else inlines
+        """Models of Word packages."""
+        from vellumite.kernels.word_read import read_package
+
+        o, schema = self.options, model.arrow_schema()
+        options = {"hidden_text": o.hidden_text, "furniture": o.furniture, "comments": o.comments, "limits": {"most_entry": o.most_entry_bytes, "most_total": o.most_total_bytes}}
+
+        def one(key: int | None, data: bytes | None) -> dict:
+            try:
+                return model.to_row(key, read_package(data or b"", options))
+            except _FAILURES as e:
+                return {"doc_id": key, "error": failure(e)}
+
+        def run(batches):
+            for b in batches:
+                yield from model.batches((one(k.as_py(), v.as_py()) for k, v in zip(b.column(0), b.column(1))), schema)
+
+        found = packages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).alias("docx")).mapInArrow(run, model.SCHEMA)
+        return model.filtered(found, o.switched_off())
+
+    def read_model(self, models: DataFrame) -> DataFrame:
+        """Models made by hand (rows of vellumite.model.SCHEMA), through the feature filter."""
+        return model.filtered(models, self.options.switched_off())
+
+    def write_html(self, models: DataFrame) -> DataFrame:
+        """(doc_id, html, warnings, error) of models."""
+        from vellumite.kernels.html_write import Writer, full_page
+
+        o = self.options
+        options = {"base": o.base(), "sheet": o.sheet(), "plain": o.editor == "plain", "editor": o.editor, "page_width": o.page.content_width, "picture": self.image_handler, "prefix": o.id_prefix}
+        schema = pa.schema([("doc_id", pa.int64()), ("html", pa.string()), ("warnings", pa.list_(pa.string())), ("error", pa.struct([("kind", pa.string()), ("message", pa.string())]))])
+
+        def one(row: dict) -> dict:
+            if row["error"] is not None:
+                return {"doc_id": row["doc_id"], "error": row["error"]}
+            try:
+                made = model.from_row(row)
+                layout = made["layout"]
+                width = layout["width"] - layout["left"] - layout["right"] if layout else options["page_width"]
+                html, warnings = Writer(made, {**options, "page_width": width}).write()
+                if o.full_page:
+                    meta = {k: getattr(o, k, None) or made["meta"].get(k) for k in ("title", "author", "language")}
+                    html = full_page(html, meta, "" if options["plain"] else o.sheet() + o.base_stylesheet)
+                return {"doc_id": row["doc_id"], "html": html, "warnings": warnings}
+            except _FAILURES as e:
+                return {"doc_id": row["doc_id"], "error": failure(e)}
+
+        def run(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, 64):
+                    yield pa.RecordBatch.from_pylist([one(row) for row in b.slice(at, 64).to_pylist()], schema=schema)
+
+        return models.mapInArrow(run, "doc_id long, html string, warnings array<string>, error struct<kind: string, message: string>")
+
+    def write_docx(self, models: DataFrame) -> DataFrame:
+        """(doc_id, docx, error) of models; equal models and options give equal bytes."""
+        from vellumite.kernels.word_write import Writer
+
+        options = {"layout": self.options.page.sides(), "created": self.options.created}
+        schema = pa.schema([("doc_id", pa.int64()), ("docx", pa.binary()), ("error", pa.struct([("kind", pa.string()), ("message", pa.string())]))])
+
+        def one(row: dict) -> dict:
+            if row["error"] is not None:
+                return {"doc_id": row["doc_id"], "error": row["error"]}
+            try:
+                return {"doc_id": row["doc_id"], "docx": Writer(model.from_row(row), options).write()}
+            except _FAILURES as e:
+                return {"doc_id": row["doc_id"], "error": failure(e)}
+
+        def run(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, 64):
+                    yield pa.RecordBatch.from_pylist([one(row) for row in b.slice(at, 64).to_pylist()], schema=schema)
+
+        return models.mapInArrow(run, "doc_id long, docx binary, error struct<kind: string, message: string>")
+
+    def save(self, made: DataFrame, path: str) -> DataFrame:
+        """Writes each document's html or docx to a file of its own below `path` (a URI that all executors reach); (doc_id, file, bytes, error).
+
+        A file is written beside its name and renamed when whole, so a repeated task leaves whole files.
+        """
+        column, end = ("docx", "docx") if "docx" in made.columns else ("html", "html")
+        return made.select("doc_id", F.col(column).cast("binary").alias("content")).mapInArrow(_saver(path, end), "doc_id long, file string, bytes long, error string")
+
+
+def _saver(path: str, end: str):
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        for b in batches:
+            rows = []
+            for key, content in zip(b.column(0).to_pylist(), b.column(1)):
+                if not content.is_valid:
+                    rows.append({"doc_id": key, "error": "nothing to write"})
+                    continue
+                name, attempt = f"{key}.{end}", f"{folder}/.{uuid.uuid4().hex}"
+                try:
+                    with store.open_output_stream(attempt) as out:
+                        out.write(content.as_buffer())
+                    store.move(attempt, f"{folder}/{name}")
+                    rows.append({"doc_id": key, "file": name, "bytes": len(content.as_buffer())})
+                except OSError as e:
+                    rows.append({"doc_id": key, "error": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("bytes", pa.int64()), ("error", pa.string())]))
+
+    return run

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,28 +36,77 @@ def open_comments(runs: DataFrame, ranges: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("comment_id").isNotNull(), F.struct("start_pos", "comment_id")))), lambda x: x["comment_id"]).alias("comments"))
 
 
-def comment_threads(comments: DataFrame, most_depth: int = 32) -> DataFrame:
-    """comments(doc_id, comment_id, parent_id) with `root_id` and `depth`; orphans and members of a loop are roots.
+def comment_threads(comments: DataFrame) -> DataFrame:
+    """comments(doc_id, comment_id, parent_id, and `resolved` if there is one) with `root_id` and `depth`.
 
-    Pointers are doubled: log2(most_depth) joins, whatever the threads' lengths.
+    A comment whose parents lead to a comment without one belongs to that root, however deep, and takes over its
+    `resolved`; one whose parents end at an unknown comment or in a loop is its own root. The comments of a document
+    are one kernel call; documents are independent.
     """
-    base = comments.select("doc_id", "comment_id", "parent_id")
-    known = base.select(F.col("doc_id").alias("_d"), F.col("comment_id").alias("_c"))
-    hop = base.join(known, (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_c")), "left").select("doc_id", "comment_id", F.when(F.col("_c").isNotNull() & (F.col("_c") != F.col("comment_id")), F.col("_c")).alias("up"))
-    state = hop.select("doc_id", "comment_id", F.coalesce("up", "comment_id").alias("root_id"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
-    steps = most_depth.bit_length()
-    for _ in range(steps):
-        nxt = state.select(F.col("doc_id").alias("_d"), F.col("comment_id").alias("_c"), F.col("root_id").alias("_r"), F.col("depth").alias("_h"))
-        state = state.join(nxt, (F.col("doc_id") == F.col("_d")) & (F.col("root_id") == F.col("_c"))).select("doc_id", "comment_id", F.col("_r").alias("root_id"), (F.col("depth") + F.col("_h")).alias("depth"))
-    loop = F.col("depth") >= (1 << steps)
-    return state.select("doc_id", "comment_id", F.when(loop, F.col("comment_id")).otherwise(F.col("root_id")).alias("root_id"), F.when(loop, 0).otherwise(F.col("depth")).cast("int").alias("depth"))
+    extra = "resolved" in comments.columns
+    fields = [F.col("comment_id").cast("long").alias("c"), F.col("parent_id").cast("long").alias("p"), (F.col("resolved") if extra else F.lit(None)).cast("boolean").alias("r")]
+    grouped = comments.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("all"))
+    kind = dict(grouped.dtypes)["doc_id"]
+
+    def run(batches):
+        for b in batches:
+            owner, ids, roots, depths, done = [], [], [], [], []
+            for i, value in enumerate(b.column(1)):
+                rows = value.as_py()
+                up = {x["c"]: x["p"] for x in rows}
+                resolved = {x["c"]: x["r"] for x in rows}
+                found: dict[int, tuple[int | None, int]] = {}  # comment -> (root or None, depth)
+                for x in rows:
+                    at, path = x["c"], []
+                    seen = set()
+                    while at not in found and at not in seen and up.get(at) is not None and at in up:
+                        seen.add(at)
+                        path.append(at)
+                        at = up[at]
+                    if at not in found and at not in seen:
+                        found[at] = (at, 0) if at in up else (None, 0)
+                    root, depth = found.get(at, (None, 0)) if at not in seen else (None, 0)
+                    for one in reversed(path):
+                        depth += 1
+                        found[one] = (root, depth)
+                for x in rows:
+                    root, depth = found[x["c"]]
+                    owner.append(i)
+                    ids.append(x["c"])
+                    roots.append(x["c"] if root is None else root)
+                    depths.append(0 if root is None else depth)
+                    done.append(resolved[x["c"] if root is None else root])
+            keys = b.column(0).take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(depths, pa.int32()), pa.array(done, pa.bool_())], names=["doc_id", "comment_id", "root_id", "depth", "resolved"])
+
+    out = grouped.mapInArrow(run, f"doc_id {kind}, comment_id long, root_id long, depth int, resolved boolean")
+    return out if extra else out.drop("resolved")
+
+
+def spread_rank(df: DataFrame, keys: list[str], order: str, to: str, cuts: int = 200) -> DataFrame:
+    """Adds `to`, the place (from 1) of each row within its `keys` by the number `order`, without one task for a hot key.
+
+    The numbers are cut at approximate quantiles; rows are ranked inside their key's cut, and the totals of the cuts
+    before are added. Where the cuts fall changes no result. Rows of equal `order` are in any order.
+    """
+    value = F.col(order).cast("double")
+    marks = df.agg(F.percentile_approx(value, [(i + 1) / cuts for i in range(cuts - 1)], 10_000).alias("m")).first()["m"] or []
+    marks = F.array(*[F.lit(m) for m in sorted(set(marks))]).cast("array<double>")
+    own = df.withColumn("_cut", F.size(F.filter(marks, lambda m: value > m)))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1))
+    sums = own.groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cut").alias("_c"), F.coalesce(before, F.lit(0)).alias("_start"))
+    same = F.col("_cut") == F.col("_c")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ranked = own.withColumn("_within", F.row_number().over(Window.partitionBy(*keys, "_cut").orderBy(order)))
+    return ranked.join(starts, same).withColumn(to, (F.col("_start") + F.col("_within")).cast("int")).drop("_cut", "_within", "_c", "_start", *[f"_k{i}" for i in range(len(keys))])
 
 
 def bookmark_names(targets: DataFrame, keys: list[str], name: str, pos: str) -> DataFrame:
-    """targets with `bookmark`: a sanitised name, made unique within keys by _2, _3, ... in order of pos."""
-    out = targets.withColumn("_base", bookmark_base(F.col(name)))
-    n = F.row_number().over(Window.partitionBy(*keys, "_base").orderBy(pos))
-    return out.withColumn("bookmark", F.when(n == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), n.cast("string")))).drop("_base")
+    """targets with `bookmark`: a sanitised name, made unique within keys by _2, _3, ... in order of the number `pos`."""
+    out = spread_rank(targets.withColumn("_base", bookmark_base(F.col(name))), [*keys, "_base"], pos, "_n")
+    return out.withColumn("bookmark", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), F.col("_n").cast("string")))).drop("_base", "_n")
 
 
 def effective_furniture(sections: DataFrame) -> DataFrame:
@@ -64,21 +114,27 @@ def effective_furniture(sections: DataFrame) -> DataFrame:
     return sections.where("target is not null").groupBy("doc_id", "kind", "type").agg(F.max_by("target", "section").alias("target"))
 
 
-def style_chain(styles: DataFrame, most_levels: int = 64) -> DataFrame:
-    """styles(style_id, based_on) -> (style_id, ancestor_id, distance): the style itself and what it is based on, root last.
+def style_chain(styles: DataFrame) -> DataFrame:
+    """styles(style_id, based_on, and doc_id if there is one) -> (doc_id, style_id, ancestor_id, distance): the style itself and what it is based on, root last.
 
-    A recursive query that carries the ids seen, so cycles and unknown parents end a chain.
+    The first of several styles of one id counts where `ord` says which that is, else the least based_on. Cycles and
+    unknown parents end a chain, however long it is. A document's styles are folded inside its row.
     """
-    spark = styles.sparkSession
-    styles.select("style_id", "based_on").createOrReplaceTempView("_vellumite_styles")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(style_id, ancestor_id, distance, seen) AS (
-          SELECT style_id, style_id, 0, array(style_id) FROM _vellumite_styles
-          UNION ALL
-          SELECT c.style_id, p.style_id, c.distance + 1, array_append(c.seen, p.style_id)
-          FROM chain c JOIN _vellumite_styles s ON s.style_id = c.ancestor_id JOIN _vellumite_styles p ON p.style_id = s.based_on
-          WHERE NOT array_contains(c.seen, p.style_id) AND c.distance < {most_levels})
-        SELECT style_id, ancestor_id, distance FROM chain""")
+    owned = "doc_id" in styles.columns
+    rows = styles if owned else styles.withColumn("doc_id", F.lit(0))
+    place = F.col("ord") if "ord" in styles.columns else F.col("based_on")
+    one = rows.groupBy("doc_id", "style_id").agg(F.min(F.struct(place.alias("o"), F.col("based_on").alias("b")))["b"].alias("b"))
+    own = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("style_id", F.coalesce("b", F.lit("")).alias("b")))).alias("up"))
+
+    def longer(chain, up):
+        nxt = F.try_element_at(up, F.element_at(chain, -1))
+        more = F.map_contains_key(up, F.coalesce(nxt, F.lit(""))) & ~F.array_contains(chain, F.coalesce(nxt, F.lit("")))
+        return F.when(more, F.array_append(chain, nxt)).otherwise(chain)
+
+    found = own.select("doc_id", "up", F.explode(F.map_keys("up")).alias("style_id"))
+    chain = F.aggregate(F.sequence(F.lit(1), F.size("up")), F.array("style_id"), lambda acc, _: longer(acc, F.col("up")))
+    out = found.select("doc_id", "style_id", F.posexplode(chain).alias("distance", "ancestor_id")).select("doc_id", "style_id", "ancestor_id", "distance")
+    return out if owned else out.drop("doc_id")
 
 
 def toggled(layers: DataFrame, keys: list[str], flag: str) -> DataFrame:
@@ -87,11 +143,10 @@ def toggled(layers: DataFrame, keys: list[str], flag: str) -> DataFrame:
 
 
 def media_registry(media: DataFrame, keys: list[str], data: str, pos: str) -> DataFrame:
-    """(keys, hash, number, uses): equal bytes once per document, numbered by first use."""
+    """(keys, hash, number, uses): equal bytes once per document, numbered by first use (`pos` is a number)."""
     hashed = media.withColumn("hash", F.sha1(F.col(data).cast("binary")))
     first = hashed.groupBy(*keys, "hash").agg(F.min(pos).alias("_first"), F.count(F.lit(1)).alias("uses"))
-    order = Window.partitionBy(*keys).orderBy("_first") if keys else Window.orderBy("_first")
-    return first.withColumn("number", F.row_number().over(order)).drop("_first")
+    return spread_rank(first, keys, "_first", "number").drop("_first")
 
 
 def image_kind(data):

@@ -188,7 +188,10 @@ def simple_matches(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     elements = nodes.where(~F.col("tag").startswith("#"))
     tag, id_, classes = split("_last")
     r = r.withColumn("_tag", tag).withColumn("_id", id_).withColumn("_classes", classes).withColumnRenamed("doc_id", "_doc")
-    hit = elements.join(r, (F.col("doc_id") == F.col("_doc")) & fits(F.col("_tag"), F.col("_id"), F.col("_classes")))
+    rest = fits(F.lit(""), F.col("_id"), F.col("_classes"))
+    # Rules that name a tag meet nodes by document and tag; only those without one meet all of a document's.
+    named = elements.join(r.where("_tag <> ''"), (F.col("doc_id") == F.col("_doc")) & (F.col("tag") == F.col("_tag")) & rest)
+    hit = named.unionByName(elements.join(r.where("_tag = ''"), (F.col("doc_id") == F.col("_doc")) & rest))
     direct = hit.where("_first is null").select("doc_id", "node_id", "rule_id", "selector", "property", "value", "important")
     tag, id_, classes = split("_first")
     up = hit.where("_first is not null").select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), "rule_id", "selector", "property", "value", "important", F.explode("path").alias("_a"), tag.alias("_tag"), id_.alias("_id"), classes.alias("_classes"))
@@ -196,11 +199,59 @@ def simple_matches(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return direct.unionByName(below)
 
 
-def cascade(matches: DataFrame, origin: Column | None = None) -> DataFrame:
-    """(doc_id, node_id, property, value): of the matching declarations the important, then the later origin, the more specific, the later."""
+def element_matches(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """As simple_matches, for every selector: combinators, attributes and pseudo-classes. A document's tree is one kernel call."""
+    from vellumite.kernels.dom import Node
+    from vellumite.kernels.selectors import matcher
+
+    trees = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "parent_id", "tag", F.map_entries("attrs").alias("attrs"), "text"))).alias("nodes"))
+    sheets = rules.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("rule_id", "selector", "property", "value", "important")).alias("rules"))
+    both = trees.join(sheets, F.col("doc_id") == F.col("_d")).select("doc_id", "nodes", "rules")
+    schema = pa.schema([("doc_id", pa.int64()), ("node_id", pa.int32()), ("rule_id", pa.int32()), ("selector", pa.string()), ("property", pa.string()), ("value", pa.string()), ("important", pa.bool_())])
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                root, made = Node("#document"), {}
+                for x in row["nodes"]:
+                    node = Node(x["tag"], {a["key"]: a["value"] for a in x["attrs"]}, x["text"] or "")
+                    made[x["node_id"]] = node
+                    made.get(x["parent_id"], root).add(node)
+                tests = {s: matcher(s) for s in {x["selector"] for x in row["rules"]}}
+                out = [{"doc_id": row["doc_id"], "node_id": i, **x} for x in row["rules"] if tests[x["selector"]] for i, n in made.items() if n.tag[0] != "#" and tests[x["selector"]](n)]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return both.mapInArrow(run, "doc_id long, node_id int, rule_id int, selector string, property string, value string, important boolean")
+
+
+def inline_styles(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, property, value, important) of the style attributes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node_id", pa.int32()), ("property", pa.string()), ("value", pa.string()), ("important", pa.bool_())])
+
+    def run(batches):
+        for b in batches:
+            out = [{"doc_id": d, "node_id": n, "property": k, "value": v, "important": i} for d, n, css in zip(*(c.to_pylist() for c in b.columns)) for k, (v, i) in declarations(css).items()]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    styled = nodes.where("attrs['style'] is not null").select("doc_id", "node_id", F.col("attrs")["style"].alias("css"))
+    return styled.mapInArrow(run, "doc_id long, node_id int, property string, value string, important boolean")
+
+
+def cascade(matches: DataFrame, origin: Column | None = None, inline: DataFrame | None = None) -> DataFrame:
+    """(doc_id, node_id, property, value): of the matching declarations the important, then the later origin, the more specific, the later.
+
+    `inline` has the declarations of style attributes: they win over sheets of the same importance.
+    """
     spec = specificity(F.col("selector"))
     order = F.struct("important", (origin if origin is not None else F.lit(2)).alias("origin"), spec.alias("spec"), F.col("rule_id"))
-    return matches.groupBy("doc_id", "node_id", "property").agg(F.max_by("value", order).alias("value"))
+    every = matches.select("doc_id", "node_id", "property", "value", order.alias("_order"))
+    if inline is not None:
+        none = F.struct(*[F.lit(0).alias(n) for n in ("ids", "classes", "types")])
+        top = F.struct("important", F.lit(9).alias("origin"), none.alias("spec"), F.lit(0).alias("rule_id"))
+        every = every.unionByName(inline.select("doc_id", "node_id", "property", "value", top.alias("_order")))
+    return every.groupBy("doc_id", "node_id", "property").agg(F.max_by("value", "_order").alias("value"))
 
 
 def inherited(nodes: DataFrame, winners: DataFrame, properties: tuple[str, ...] = INHERITED) -> DataFrame:

@@ -1,60 +1,47 @@
-"""Paragraphs and runs from nodes: gaps and islands over each document's order."""
+"""Paragraphs and runs from the flow of shown text: islands over each document's order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellumite.functions.text import collapse
-from vellumite.sources.html import BLOCKS, IGNORED
+from vellumite.sources.html import RUN_FLAGS
 
+# Signs that no page holds: a line break, and a space and a tab that do not collapse.
+_BREAK, _HELD = "\x02", "\x02\x03\x04"
 
-def visible_texts(nodes: DataFrame) -> DataFrame:
-    """Text nodes that are shown: none inside an ignored element or one with display: none, no comments."""
-    hidden = nodes.where(F.col("tag").isin(*sorted(IGNORED)) | F.coalesce(F.col("attrs")["style"], F.lit("")).rlike(r"(?i)display\s*:\s*none"))
-    gone = hidden.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"))
-    texts = nodes.where("tag = '#text'").select("doc_id", "node_id", "parent_id", "text", "path")
-    # An anti join on equality: each ancestor on the path is a key.
-    under = texts.select("doc_id", "node_id", F.explode("path").alias("a")).join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("a") == F.col("_n")), "left_semi").select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n")).distinct()
-    return texts.join(under, (F.col("doc_id") == F.col("_d")) & (F.col("node_id") == F.col("_n")), "left_anti")
 
+def held_space(text: Column, space: Column) -> Column:
+    """A text's white space by its `white-space`: what is kept becomes signs that collapsing leaves alone."""
+    lines = F.regexp_replace(text, "\r\n?", "\n")
+    kept = F.translate(lines, "\n \t", _HELD)
+    return F.when(space.isin("pre", "pre-wrap", "break-spaces"), kept).when(space == "pre-line", F.translate(lines, "\n", _BREAK)).otherwise(lines)
 
-def inline_flow(nodes: DataFrame) -> DataFrame:
-    """Shown text and line breaks with the number of their paragraph: doc_id, paragraph, pos, text, path.
-
-    Every start and end of a block element is a boundary; a paragraph is what stands between two of them.
-    """
-    edge = nodes.where(F.col("tag").isin(*sorted(BLOCKS))).select("doc_id", F.explode(F.array("node_id", "exit")).alias("pos"), F.lit(1).alias("edge"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("path"))
-    texts = visible_texts(nodes).select("doc_id", F.col("node_id").alias("pos"), F.lit(0).alias("edge"), "text", "path")
-    breaks = nodes.where("tag = 'br'").select("doc_id", F.col("node_id").alias("pos"), F.lit(0).alias("edge"), F.lit("\x02").alias("text"), "path")
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return edge.unionByName(texts).unionByName(breaks).withColumn("paragraph", F.sum("edge").over(order)).where("edge = 0").drop("edge")
 
+def collapsed(raw: Column) -> Column:
+    """A paragraph's text: runs of white space are one space, none beside a break or at the ends; one break at the end goes."""
+    one = F.regexp_replace(F.regexp_replace(raw, r"[ \t\n\r\f]+", " "), f" ?{_BREAK} ?", _BREAK)
+    return F.btrim(F.regexp_replace(F.btrim(one, F.lit(" ")), f"{_BREAK}\\z", ""), F.lit(" "))
 
-def paragraphs(nodes: DataFrame) -> DataFrame:
-    """doc_id, ord (from 1), text: collapsed across elements, line breaks as line feeds, blank paragraphs left out."""
-    flow = inline_flow(nodes)
-    joined = flow.groupBy("doc_id", "paragraph").agg(F.listagg("text", F.lit("")).alias("_any"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("raw")).drop("_any")
-    text = F.btrim(F.replace(F.regexp_replace(F.regexp_replace(collapse("raw"), " ?\x02 ?", "\x02"), "\x02+\\z", ""), F.lit("\x02"), F.lit("\n")), F.lit(" "))
-    shown = joined.select("doc_id", "paragraph", text.alias("text")).where(F.regexp_replace("text", r"[\n ]+", "") != "")
-    return shown.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("paragraph")).alias("ord"), "text")
 
+def paragraphs(flow: DataFrame) -> DataFrame:
+    """doc_id, ord (from 1), text of html_flow: collapsed across elements, with line feeds and tabs where they are kept.
 
-# Elements that set a run property.
-RUN_FLAGS = {"bold": ("b", "strong", "h1", "h2", "h3", "h4", "h5", "h6", "th"), "italic": ("i", "em"), "underline": ("u", "ins"), "strike": ("s", "strike", "del")}
+    A paragraph of a line break alone is an empty one; where there is nothing there is none.
+    """
+    item = F.struct("pos", held_space(F.col("text"), F.col("space")).alias("t"))
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "")
+    joined = flow.groupBy("doc_id", "paragraph").agg(raw.alias("raw"))
+    shown = joined.select("doc_id", "paragraph", collapsed(F.col("raw")).alias("text"), F.col("raw").contains(_BREAK).alias("broken")).where("text <> '' or broken")
+    order = Window.partitionBy("doc_id").orderBy("paragraph")
+    return shown.select("doc_id", F.row_number().over(order).alias("ord"), F.translate("text", _HELD, "\n \t").alias("text"))
 
 
-def runs(nodes: DataFrame) -> DataFrame:
+def runs(flow: DataFrame) -> DataFrame:
     """Adjacent shown texts of a paragraph with equal properties as one run: doc_id, paragraph, run, text, bold, italic, underline, strike, href."""
-    flow = inline_flow(nodes)
-    marks = nodes.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("tag").alias("_t"), F.col("attrs")["href"].alias("_href"))
-    above = flow.select("doc_id", "pos", F.explode("path").alias("a")).join(marks, (F.col("doc_id") == F.col("_d")) & (F.col("a") == F.col("_n")))
-    flags = [F.max(F.col("_t").isin(*tags)).alias(name) for name, tags in RUN_FLAGS.items()]
-    looks = above.groupBy(F.col("doc_id").alias("_d"), F.col("pos").alias("_p")).agg(*flags, F.max_by(F.when(F.col("_t") == "a", F.col("_href")), F.when(F.col("_t") == "a", F.col("a"))).alias("href"))
-    styled = flow.join(looks, (F.col("doc_id") == F.col("_d")) & (F.col("pos") == F.col("_p")), "left")
-    look = F.struct(*[F.coalesce(F.col(n), F.lit(False)).alias(n) for n in RUN_FLAGS], F.col("href"))
-    return merge_runs(styled.select("doc_id", "paragraph", "pos", "text", look.alias("look")), ["doc_id", "paragraph"], "pos", "look", "text").select("doc_id", "paragraph", "run", "text", "look.*")
+    look = F.struct(*RUN_FLAGS, "href")
+    return merge_runs(flow.select("doc_id", "paragraph", "pos", "text", look.alias("look")), ["doc_id", "paragraph"], "pos", "look", "text").select("doc_id", "paragraph", "run", "text", "look.*")
 
 
 def merge_runs(items: DataFrame, keys: list[str], pos: str, look: str, text: str) -> DataFrame:

@@ -19,6 +19,10 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return html.html_nodes(_t(spark, sf, "pages"))
 
 
+def _flow(spark: SparkSession, sf: str) -> DataFrame:
+    return html.html_flow(_t(spark, sf, "pages"))
+
+
 def page_title(spark, sf):
     raw = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
     return _t(spark, sf, "pages").select("page_id", F.nullif(text.trimmed(text.decode_entities(raw)), F.lit("")).alias("title"))
@@ -68,9 +72,8 @@ def stylesheet_rules(spark, sf):
 def cascade_winner(spark, sf):
     """Three fixed color rules of ours on every paragraph and article: the colors that win. The pages' own style sheets are not matched."""
     nodes = _nodes(spark, sf).where("tag = 'p' or tag = 'article'")
-    mine = spark.createDataFrame([(0, "p", "color", "red", False), (1, "article p", "color", "blue", False), (2, "p", "color", "green", False)], "rule_id int, selector string, property string, value string, important boolean")
-    ids = nodes.select("doc_id").distinct()
-    rules = ids.crossJoin(F.broadcast(mine)).select("doc_id", "rule_id", "selector", "property", "value", "important")  # three rules for each document
+    mine = [F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("selector"), F.lit("color").alias("property"), F.lit(v).alias("value"), F.lit(False).alias("important")) for i, (s, v) in enumerate((("p", "red"), ("article p", "blue"), ("p", "green")))]
+    rules = _t(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.array(*mine)).alias("r")).select("doc_id", "r.*")
     won = css.cascade(css.simple_matches(nodes, rules))
     return won.groupBy(F.col("doc_id").alias("page_id"), "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -93,7 +96,7 @@ def inherit_nearest(spark, sf):
 
 
 def visible_paragraphs(spark, sf):
-    p = paragraphs.paragraphs(_nodes(spark, sf))
+    p = paragraphs.paragraphs(_flow(spark, sf))
     return p.select(F.col("doc_id").alias("page_id"), "ord", "text")
 
 
@@ -103,7 +106,7 @@ def paragraph_lengths(spark, sf):
 
 def bold_text_share(spark, sf):
     """Runs by formatting; a <b> that is never closed stays bold in the blocks after it."""
-    r = paragraphs.runs(_nodes(spark, sf))
+    r = paragraphs.runs(_flow(spark, sf))
     return r.groupBy("bold", F.col("href").isNotNull().alias("linked")).agg(F.count(F.lit(1)).alias("runs"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -112,8 +115,10 @@ def text_collapse(spark, sf):
 
 
 def whitespace_pre(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
-    return d.groupBy("doc_id").agg(F.max(F.col("line") + 1).alias("lines"), F.max(F.length("t")).alias("longest"))
+    """Documents as preformatted text: line feeds, tabs and runs of spaces come through; the first line feed and one at the end are none of it."""
+    pages = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("<pre>"), text.escape(F.col("text")), F.lit("</pre>")).alias("html"))
+    p = paragraphs.paragraphs(html.html_flow(pages, "doc_id"))
+    return p.select("doc_id", F.size(F.split("text", "\n", -1)).alias("lines"), F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def text_capitalise(spark, sf):
@@ -121,13 +126,16 @@ def text_capitalise(spark, sf):
 
 
 def number_formats(spark, sf):
-    o = _t(spark, sf, "orders").select((F.col("o_orderkey") % 4200 + 1).alias("n")).distinct()
+    """Order keys in the formats of lists; letters and signs repeat, so only keys up to 2000 are written by them."""
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("n")).distinct()
     n = F.col("n")
-    return o.select("n", numbers.roman(n).alias("roman"), numbers.letters(n % 200 + 1).alias("letters"), numbers.ordinal(n).alias("ordinal"), F.hex(n).alias("hex"), numbers.decimal_zero(n % 20).alias("decimal_zero"), numbers.chicago(n % 12 + 1).alias("chicago"), numbers.full_width(n).alias("full_width"))
+    short = lambda c: F.when(n <= 2000, c)
+    return o.select("n", numbers.roman(n).alias("roman"), short(numbers.letters(n)).alias("letters"), numbers.ordinal(n).alias("ordinal"), F.hex(n).alias("hex"), numbers.decimal_zero(n % 20).alias("decimal_zero"), short(numbers.chicago(n)).alias("chicago"), numbers.full_width(n).alias("full_width"), numbers.enclosed(n, "①").alias("circled"))
 
 
 def number_words(spark, sf):
-    o = _t(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("n")).distinct()
+    """Order keys in words, up to the hundred thousands."""
+    o = _t(spark, sf, "orders").select((F.col("o_orderkey") * 7).alias("n")).distinct()
     return o.select("n", numbers.cardinal_words(F.col("n")).alias("cardinal"), numbers.ordinal_words(F.col("n")).alias("ordinal"))
 
 
@@ -181,10 +189,12 @@ def column_widths(spark, sf):
 
 
 def table_slots(spark, sf):
-    """Orders as tables of their lines' cells: two cells a row, the first spanning rows by quantity."""
-    l = _t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
-    cells = l.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("r"), F.explode(F.array(F.lit(0), F.lit(1))).alias("c"), (F.col("l_quantity").cast("int") % 2 + 1).alias("colspan"), F.lit(1).alias("rowspan"))
-    return tables.table_slots(cells).select("table_id", "r", "c", "grid_column")
+    """Lines of an order as table rows: on every other row the first cell is one or two columns wide and reaches into the next row."""
+    l = _t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_quantity").cast("int") % 2 + 1).alias("wide"))
+    l = l.withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1)
+    tall = F.col("r") % 2 == 0
+    cells = l.select(F.col("l_orderkey").alias("table_id"), "r", F.posexplode(F.array(F.struct(F.when(tall, F.col("wide")).otherwise(1).alias("colspan"), F.when(tall, 2).otherwise(1).alias("rowspan")), F.struct(F.lit(1).alias("colspan"), F.lit(1).alias("rowspan")))).alias("c", "s")).select("table_id", "r", "c", "s.*")
+    return tables.table_slots(cells)
 
 
 def note_numbers(spark, sf):
@@ -208,7 +218,7 @@ def comment_intervals(spark, sf):
 
 
 def comment_threads(spark, sf):
-    c = _t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("comment_id"), F.when(F.col("turn") % 4 != 0, F.col("turn") - 1).alias("parent_id"))
+    c = _t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("comment_id"), F.when(F.col("turn") != 0, F.col("turn") - 1).alias("parent_id"), (F.length("text") % 2 == 0).alias("resolved"))
     return annotations.comment_threads(c)
 
 
@@ -265,9 +275,9 @@ def turns_html(spark, sf):
 
 def html_roundtrip(spark, sf):
     """Paragraphs of pages written as HTML and read again: the same text."""
-    first = paragraphs.paragraphs(_nodes(spark, sf))
-    pages = render.documents_html(first.select("doc_id", F.col("ord").alias("paragraph"), F.concat(F.lit("<p>"), render.run_html(F.col("text"), {}), F.lit("</p>")).alias("html")))
-    again = paragraphs.paragraphs(html.html_nodes(pages, "doc_id", "html"))
+    first = paragraphs.paragraphs(_flow(spark, sf))
+    pages = render.documents_html(first.select("doc_id", F.col("ord").alias("paragraph"), F.concat(F.lit("<p>"), render.run_html(F.col("text"), {}), F.when((F.col("text") == "") | F.col("text").endswith("\n"), "<br>").otherwise(""), F.lit("</p>")).alias("html")))
+    again = paragraphs.paragraphs(html.html_flow(pages, "doc_id", "html"))
     return again.select(F.col("doc_id").alias("page_id"), "ord", "text")
 
 
@@ -287,7 +297,9 @@ QUERIES = (page_title, page_title_nodes, page_lang, page_links, link_kinds, link
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in QUERIES}
+    from vellumite.plans import model_queries
+
+    return {q.__name__: q for q in (*QUERIES, *model_queries.QUERIES)}
 
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
@@ -296,8 +308,9 @@ _PARAGRAPHS = rf"""
   raw AS (SELECT page_id, regexp_replace(regexp_replace({_CLEAN}, '(?is)<head>.*?</head>', '', 'g'), '<br>', chr(2), 'g') AS h FROM pages),
   cut AS (SELECT page_id, string_split(regexp_replace(h, '</?(?:html|body|nav|ul|li|div|article|h1|p|footer|header|section|main)(?:\s[^>]*)?>|<!DOCTYPE[^>]*>', chr(3), 'g'), chr(3)) AS parts FROM raw),
   one AS (SELECT page_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS k FROM cut),
-  txt AS (SELECT page_id, k, trim(replace(regexp_replace(regexp_replace(regexp_replace({_DECODE.format("regexp_replace(p, '<[^>]*>', '', 'g')")}, '[ \t\n\r\f]+', ' ', 'g'), ' ?' || chr(2) || ' ?', chr(2), 'g'), chr(2) || '+$', ''), chr(2), chr(10)), ' ') AS text FROM one),
-  par AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS ord, text FROM txt WHERE regexp_replace(text, '[\n ]+', '', 'g') <> '')"""
+  col AS (SELECT page_id, k, trim(regexp_replace(regexp_replace({_DECODE.format("regexp_replace(p, '<[^>]*>', '', 'g')")}, '[ \t\n\r\f]+', ' ', 'g'), ' ?' || chr(2) || ' ?', chr(2), 'g'), ' ') AS text, contains(p, chr(2)) AS broken FROM one),
+  txt AS (SELECT * REPLACE (replace(trim(regexp_replace(text, chr(2) || '$', ''), ' '), chr(2), chr(10)) AS text) FROM col),
+  par AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS ord, text FROM txt WHERE text <> '' OR broken)"""
 _ROMAN = "list_reduce([{'t': '', 'n': x}] || [{'t': s.s, 'n': s.v} for s in " + str([{"s": s, "v": v} for s, v in numbers.ROMAN]).replace('"', "'") + "], lambda a, p: {'t': a.t || repeat(p.t, a.n // p.n), 'n': a.n % p.n}).t"
 
 
@@ -308,7 +321,16 @@ def _roman(n: str) -> str:
 _LINKS = r"""links AS (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages))"""
 _BELOW20 = "[" + ", ".join(f"'{w}'" for w in numbers.ONES) + "]"
 _TENS = "[" + ", ".join(f"'{w}'" for w in numbers.TENS) + "]"
-_ORDINALS = {0: "zeroth", **{i: numbers.IRREGULAR.get(w, w + "th") for i, w in enumerate(numbers.ONES) if i}}
+
+
+def _below_hundred(n: str) -> str:
+    return f"CASE WHEN {n} < 20 THEN {_BELOW20}[{n} + 1] ELSE {_TENS}[{n} // 10 + 1] || CASE WHEN {n} % 10 > 0 THEN '-' || {_BELOW20}[{n} % 10 + 1] ELSE '' END END"
+
+
+def _below_thousand(n: str) -> str:
+    return f"(CASE WHEN {n} < 100 THEN {_below_hundred(f'({n})')} ELSE {_BELOW20}[{n} // 100 + 1] || ' hundred' || CASE WHEN {n} % 100 > 0 THEN ' ' || {_below_hundred(f'({n} % 100)')} ELSE '' END END)"
+
+
 _RANGES = """ev AS (SELECT conv_id AS doc_id, turn % 3 AS comment_id, role = 'user' AS s, turn AS pos FROM conversations),
   known AS (SELECT DISTINCT conv_id AS doc_id, unnest([0, 1, 2])::BIGINT AS comment_id FROM conversations),
   side AS (SELECT doc_id, comment_id, min(pos) FILTER (s) AS a, max(pos) FILTER (NOT s) AS b FROM ev GROUP BY ALL),
@@ -317,7 +339,9 @@ _RANGES = """ev AS (SELECT conv_id AS doc_id, turn % 3 AS comment_id, role = 'us
 
 def oracle_sql() -> dict[str, str]:
     title = f"SELECT page_id, nullif(trim(regexp_replace({_DECODE.format("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), '') AS title FROM pages"
-    return {
+    from vellumite.plans import model_queries
+
+    return model_queries.oracle_sql(_PARAGRAPHS, _CLEAN) | {
         "page_title": title,
         "page_title_nodes": title,
         "page_lang": """SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang FROM pages""",
@@ -335,15 +359,16 @@ def oracle_sql() -> dict[str, str]:
         "visible_paragraphs": f"WITH {_PARAGRAPHS} SELECT page_id, ord, text FROM par",
         "paragraph_lengths": f"WITH {_PARAGRAPHS} SELECT page_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest FROM par GROUP BY 1",
         "text_collapse": r"SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'), ' ') AS t FROM documents)",
-        "whitespace_pre": "SELECT doc_id, count(*) AS lines, max(length(l)) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1",
-        "number_formats": f"""WITH o AS (SELECT DISTINCT o_orderkey % 4200 + 1 AS n FROM orders)
-          SELECT n, {_roman("n")} AS roman, repeat(chr(CAST(97 + (n % 200) % 26 AS INTEGER)), CAST((n % 200) // 26 + 1 AS INTEGER)) AS letters,
+        "whitespace_pre": "SELECT doc_id, CAST(len(string_split(t, chr(10))) AS INTEGER) AS lines, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(h, '\\n$', '') AS t FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\r?\\n', ''), '\\r\\n?', chr(10), 'g') AS h FROM documents) WHERE h <> '')",
+        "text_capitalise": r"SELECT item_id, list_aggregate(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN regexp_matches(substr(t, i, 1), '[a-z]') AND (i = 1 OR regexp_matches(substr(t, i - 1, 1), '[\s(\[{\x22\x27-]')) THEN upper(substr(t, i, 1)) ELSE substr(t, i, 1) END), 'string_agg', '') AS capitalised FROM (SELECT item_id, lower(regexp_replace(text, '[^ -~]', '', 'g')) AS t FROM benchmark)",
+        "number_formats": f"""WITH o AS (SELECT DISTINCT o_orderkey AS n FROM orders)
+          SELECT n, {_roman("n")} AS roman, CASE WHEN n < 1 THEN CAST(n AS VARCHAR) WHEN n <= 2000 THEN repeat(chr(CAST(97 + (n - 1) % 26 AS INTEGER)), CAST((n - 1) // 26 + 1 AS INTEGER)) END AS letters,
           n || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal, hex(n) AS hex,
-          CASE WHEN n % 20 < 10 THEN '0' ELSE '' END || n % 20 AS decimal_zero, repeat(['*', '†', '‡', '§'][(n % 12) % 4 + 1], CAST((n % 12) // 4 + 1 AS INTEGER)) AS chicago,
-          translate(CAST(n AS VARCHAR), '0123456789', '０１２３４５６７８９') AS full_width FROM o""",
-        "number_words": f"""WITH o AS (SELECT DISTINCT o_orderkey % 100 AS n FROM orders)
-          SELECT n, CASE WHEN n < 20 THEN {_BELOW20}[n + 1] ELSE {_TENS}[n // 10 + 1] || CASE WHEN n % 10 > 0 THEN '-' || {_BELOW20}[n % 10 + 1] ELSE '' END END AS cardinal,
-          CASE WHEN n < 20 THEN {str([_ORDINALS[i] for i in range(20)])}[n + 1] WHEN n % 10 = 0 THEN replace({_TENS}[n // 10 + 1], 'ty', 'tieth') ELSE {_TENS}[n // 10 + 1] || '-' || {str([_ORDINALS[i] for i in range(20)])}[n % 10 + 1] END AS ordinal FROM o""",
+          CASE WHEN n % 20 < 10 THEN '0' ELSE '' END || n % 20 AS decimal_zero, CASE WHEN n < 1 THEN CAST(n AS VARCHAR) WHEN n <= 2000 THEN repeat(['*', '†', '‡', '§'][(n - 1) % 4 + 1], CAST((n - 1) // 4 + 1 AS INTEGER)) END AS chicago,
+          translate(CAST(n AS VARCHAR), '0123456789', '０１２３４５６７８９') AS full_width, CASE WHEN n BETWEEN 1 AND 20 THEN chr(CAST(9311 + n AS INTEGER)) ELSE CAST(n AS VARCHAR) END AS circled FROM o""",
+        "number_words": f"""WITH o AS (SELECT DISTINCT o_orderkey * 7 AS n FROM orders), w AS (SELECT n, CASE WHEN n < 1000 THEN {_below_thousand("n")} WHEN n < 1000000 THEN {_below_thousand("n // 1000")} || ' thousand' || CASE WHEN n % 1000 > 0 THEN ' ' || {_below_thousand("(n % 1000)")} ELSE '' END ELSE CAST(n AS VARCHAR) END AS cardinal FROM o),
+          l AS (SELECT *, regexp_extract(cardinal, '([a-z]+)$', 1) AS last FROM w)
+          SELECT n, cardinal, CASE WHEN n >= 1000000 THEN cardinal ELSE left(cardinal, length(cardinal) - length(last)) || CASE last {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in numbers.IRREGULAR.items())} ELSE CASE WHEN last LIKE '%y' THEN left(last, length(last) - 1) || 'ieth' ELSE last || 'th' END END END AS ordinal FROM l""",
         "length_to_twips": "WITH p AS (SELECT DISTINCT p_size, unnest(" + str(UNITS) + ") AS unit FROM part) SELECT p_size, unit, CAST(floor(20.0 * p_size * CASE unit WHEN 'px' THEN 0.75 WHEN 'pt' THEN 1 WHEN 'pc' THEN 12 WHEN 'in' THEN 72 WHEN 'mm' THEN 72 / 25.4 WHEN 'em' THEN 10 WHEN '%' THEN 3 WHEN '' THEN CASE WHEN p_size = 0 THEN 0 END END + 0.5) AS BIGINT) AS twips FROM p",
         "colour_to_hex": "SELECT DISTINCT p_size, printf('%02X%02X%02X', p_size, p_size * 2, least(p_size * 6, 255)) AS rgb, printf('%02X80FF', CAST(floor(p_size * 0.5 + 127.5 + 0.5) AS INTEGER)) AS half, printf('%02X00FF', p_size) AS digits, '663399' AS named FROM part",
         "run_merge": "WITH f AS (SELECT *, CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS o FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(o) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM f) SELECT conv_id, CAST(run AS BIGINT) AS run, min(role) AS role, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS n_items FROM g GROUP BY conv_id, run",
@@ -356,11 +381,13 @@ def oracle_sql() -> dict[str, str]:
         "feature_filter_links": "WITH c AS (SELECT conv_id AS doc_id, CAST(turn // 2 AS INTEGER) AS block_id, turn AS pos, CASE WHEN role = 'user' THEN 'link' WHEN length(text) % 3 = 0 THEN 'bookmark' ELSE 'text' END AS kind FROM conversations), m AS (SELECT *, bool_or(kind = 'link') OVER w AS lost, count(*) FILTER (kind NOT IN ('link', 'bookmark')) OVER w AS kept FROM c WINDOW w AS (PARTITION BY doc_id, block_id)) SELECT doc_id, block_id, pos, kind FROM m WHERE kind <> 'link' AND NOT (lost AND kept = 0)",
         "table_html": "SELECT o_orderstatus, '<table><thead><tr><th>o_orderpriority</th><th>n</th></tr></thead><tbody>' || string_agg('<tr><td>' || o_orderpriority || '</td><td>' || n || '</td></tr>', '' ORDER BY o_orderpriority) || '</tbody></table>' AS html FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1",
         "column_widths": "WITH c AS (SELECT c_mktsegment, max(length(c_name)) AS chars FROM customer GROUP BY 1), s AS (SELECT *, CAST(floor(chars * 9000.0 / sum(chars) OVER ()) AS BIGINT) AS share, row_number() OVER (ORDER BY c_mktsegment DESC) AS k FROM c) SELECT c_mktsegment, chars, CAST(CASE WHEN k = 1 THEN 9000 - (sum(share) OVER () - share) ELSE share END AS BIGINT) AS width FROM s",
-        "table_slots": "SELECT l_orderkey AS table_id, l_linenumber AS r, c, CAST(CASE WHEN c = 0 THEN 0 ELSE CAST(l_quantity AS INTEGER) % 2 + 1 END AS INTEGER) AS grid_column FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2), (VALUES (0), (1)) AS v(c)",
+        "table_slots": """WITH l AS (SELECT l_orderkey AS table_id, CAST(trunc(min(l_quantity)) AS INTEGER) % 2 + 1 AS wide, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber),
+          m AS (SELECT *, lag(wide) OVER (PARTITION BY table_id ORDER BY r) AS above FROM l)
+          SELECT table_id, CAST(r AS INTEGER) AS r, c, CAST(CASE WHEN r % 2 = 0 THEN CASE c WHEN 0 THEN 0 ELSE wide END ELSE above + c END AS INTEGER) AS grid_column, CAST(CASE WHEN c = 0 AND r % 2 = 0 THEN wide ELSE 1 END AS INTEGER) AS colspan, CASE WHEN c = 0 AND r % 2 = 0 AND r < n - 1 THEN 2 ELSE 1 END AS rowspan FROM m, (VALUES (0), (1)) AS v(c)""",
         "note_numbers": "SELECT conv_id AS doc_id, CASE WHEN role = 'user' THEN 'footnote' ELSE 'endnote' END AS type, turn AS note_id, CAST(row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) AS INTEGER) AS number FROM conversations WHERE turn % 3 <> 0",
         "comment_ranges": f"WITH {_RANGES} SELECT * FROM rng",
         "comment_intervals": f"WITH {_RANGES} SELECT c.conv_id AS doc_id, c.turn AS pos, coalesce(string_agg(CAST(comment_id AS VARCHAR), ',' ORDER BY start_pos, comment_id), '') AS comments FROM conversations c LEFT JOIN rng ON rng.doc_id = c.conv_id AND c.turn BETWEEN start_pos AND end_pos GROUP BY 1, 2",
-        "comment_threads": "WITH RECURSIVE c AS (SELECT conv_id AS doc_id, turn AS comment_id, CASE WHEN turn % 4 <> 0 THEN turn - 1 END AS parent_id FROM conversations), k AS (SELECT c.doc_id, c.comment_id, p.comment_id AS up FROM c LEFT JOIN c p ON p.doc_id = c.doc_id AND p.comment_id = c.parent_id), t AS (SELECT doc_id, comment_id, comment_id AS root_id, 0 AS depth FROM k WHERE up IS NULL UNION ALL SELECT k.doc_id, k.comment_id, t.root_id, t.depth + 1 FROM k JOIN t ON t.doc_id = k.doc_id AND t.comment_id = k.up) SELECT * FROM t",
+        "comment_threads": "WITH RECURSIVE c AS (SELECT conv_id AS doc_id, turn AS comment_id, CASE WHEN turn <> 0 THEN turn - 1 END AS parent_id, length(text) % 2 = 0 AS resolved FROM conversations), t AS (SELECT doc_id, comment_id, comment_id AS root_id, 0 AS depth, resolved FROM c WHERE parent_id IS NULL UNION ALL SELECT k.doc_id, k.comment_id, t.root_id, t.depth + 1, t.resolved FROM c k JOIN t ON t.doc_id = k.doc_id AND t.comment_id = k.parent_id), u AS (SELECT c.doc_id, c.comment_id, coalesce(t.root_id, c.comment_id) AS root_id, coalesce(t.depth, 0) AS depth, coalesce(t.resolved, c.resolved) AS resolved FROM c LEFT JOIN t USING (doc_id, comment_id)) SELECT * FROM u",
         "bookmark_names": "WITH b AS (SELECT doc_id, '_' || left(regexp_replace(source || ' é ' || lang, '[^A-Za-z0-9_]', '_', 'g'), 32) AS base FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS k FROM b) SELECT doc_id, base || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS bookmark FROM n",
         "style_chain": "SELECT n_name AS style_id, n_name AS ancestor_id, 0 AS distance FROM nation UNION ALL SELECT n_name, r_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, r_name, 0 FROM region",
         "toggle_xor": "SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) % 2 = 1 AS bold FROM lineitem GROUP BY 1",

@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 import zlib
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -74,9 +75,8 @@ def parse_xml(data: bytes) -> ElementTree.Element:
 
 def resolve(folder: str, target: str) -> str | None:
     """A relationship's target as a part name; null where it leaves the package."""
-    if target.startswith("/"):
-        return target.lstrip("/")
-    out = [x for x in folder.split("/") if x]
+    target = unquote(re.split(r"[#?]", target.replace("\\", "/"))[0])
+    out = [] if target.startswith("/") else [x for x in folder.split("/") if x]
     for step in target.split("/"):
         if step == "..":
             if not out:
@@ -84,7 +84,7 @@ def resolve(folder: str, target: str) -> str | None:
             out.pop()
         elif step not in ("", "."):
             out.append(step)
-    return "/".join(out)
+    return "/".join(out) or None
 
 
 def relationships(parts: dict[str, bytes], part: str) -> list[dict]:
@@ -103,6 +103,12 @@ def _on(e: ElementTree.Element | None) -> bool | None:
     return None if e is None else e.get(f"{{{W}}}val", "true").lower() not in ("0", "false", "off", "none")
 
 
+def _whole(value: str | None) -> int | None:
+    """An attribute's number, null where it is none or beyond 32 bits."""
+    n = int(value) if value is not None and re.fullmatch(r"\s*[+-]?[0-9]{1,10}\s*", value) else None
+    return n if n is not None and -(1 << 31) <= n < 1 << 31 else None
+
+
 def _paragraph(p: ElementTree.Element, links: dict[str, str]) -> dict:
     w = f"{{{W}}}"
     style, level, num = p.find(f"{w}pPr/{w}pStyle"), p.find(f"{w}pPr/{w}numPr/{w}ilvl"), p.find(f"{w}pPr/{w}numPr/{w}numId")
@@ -126,11 +132,13 @@ def _paragraph(p: ElementTree.Element, links: dict[str, str]) -> dict:
 
     walk(p, None)
     val = lambda e: e.get(f"{w}val") if e is not None else None
-    return {"style": val(style), "num_id": int(val(num)) if num is not None else None, "level": int(val(level)) if level is not None else None, "runs": runs}
+    return {"style": val(style), "num_id": _whole(val(num)), "level": _whole(val(level)), "runs": runs}
 
 
 def read_docx(data: bytes) -> tuple[list[dict], dict]:
-    """(paragraphs in reading order, through tables and content controls; metadata)."""
+    """(paragraphs in reading order, through tables and content controls; metadata). Rows of a nested table are its own."""
+    from vellumite.kernels.word_tables import inner
+
     parts = read_entries(data)
     main = next((r["target"] for r in relationships(parts, "") if (r["type"] or "").endswith("/officeDocument")), "word/document.xml")
     if (main or "").lower() not in parts:
@@ -147,8 +155,8 @@ def read_docx(data: bytes) -> tuple[list[dict], dict]:
                 out.append(_paragraph(c, links) | {"cell": cell})
             elif tag == "tbl":
                 tables += 1
-                for r, row in enumerate(c.iter(f"{{{W}}}tr")):
-                    for k, one in enumerate(row.findall(f"{{{W}}}tc")):
+                for r, row in enumerate(inner(c, "tr")):
+                    for k, one in enumerate(inner(row, "tc")):
                         walk(one, (tables, r, k))
             elif tag not in ("del", "moveFrom", "sectPr", "tcPr"):
                 walk(c, cell)
@@ -238,6 +246,15 @@ def write_docx(paragraphs: list[dict], title: str | None = None, created: str =
     return out.getvalue()
 
 
+#: What a package can do to a reader; it is that package's row, not the job's end.
+FAILURES = (ValueError, LookupError, TypeError, AttributeError, RecursionError, OSError)
+
+
+def told(e: BaseException) -> str:
+    kind = "too_deep" if isinstance(e, RecursionError) else getattr(e, "kind", "malformed")
+    return f"{kind}: {e}"
+
+
 PARAGRAPH_SCHEMA = "doc_id long, ord int, style string, num_id int, level int, text string, error string"
 
 
@@ -251,8 +268,8 @@ def docx_paragraphs(packages: DataFrame, doc_id: str = "doc_id", data: str = "do
                 try:
                     found, _ = read_docx(value.as_py() or b"")
                     rows += [{"doc_id": key, "ord": i + 1, "style": p["style"], "num_id": p["num_id"], "level": p["level"], "text": "".join(r["text"] for r in p["runs"]), "error": None} for i, p in enumerate(found)]
-                except (PackageError, UnicodeDecodeError) as e:
-                    rows.append({"doc_id": key, "ord": 0, "style": None, "num_id": None, "level": None, "text": None, "error": f"{getattr(e, 'kind', 'malformed')}: {e}"})
+                except FAILURES as e:
+                    rows.append({"doc_id": key, "ord": 0, "style": None, "num_id": None, "level": None, "text": None, "error": told(e)})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("ord", pa.int32()), ("style", pa.string()), ("num_id", pa.int32()), ("level", pa.int32()), ("text", pa.string()), ("error", pa.string())]))
 
@@ -268,8 +285,8 @@ def package_parts(packages: DataFrame, doc_id: str = "doc_id", data: str = "docx
             for key, value in zip(b.column(0).to_pylist(), b.column(1)):
                 try:
                     rows += [{"doc_id": key, "part": n, "bytes": len(d), "crc32": zlib.crc32(d), "error": None} for n, d in read_entries(value.as_py() or b"").items()]
-                except PackageError as e:
-                    rows.append({"doc_id": key, "part": None, "bytes": None, "crc32": None, "error": f"{e.kind}: {e}"})
+                except FAILURES as e:
+                    rows.append({"doc_id": key, "part": None, "bytes": None, "crc32": None, "error": told(e)})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("part", pa.string()), ("bytes", pa.int64()), ("crc32", pa.int64()), ("error", pa.string())]))
 

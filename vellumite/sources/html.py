@@ -7,6 +7,7 @@ are opened again in the next block). Everything after it is relational.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -34,6 +35,7 @@ class _Tree(HTMLParser):
         self.stack: list[dict] = []
         self.active: list[tuple[str, tuple]] = []
         self.clock = 0
+        self.fresh_pre = False  # a line feed right after <pre> is none of its text
 
     def _tick(self) -> int:
         self.clock += 1
@@ -74,6 +76,7 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         own = {k: v or "" for k, v in attrs}
+        self.fresh_pre = tag in ("pre", "listing", "textarea")
         if tag in ("html", "body", "head") and any(r["tag"] == tag for r in self.stack):
             return
         if tag == "body":
@@ -118,6 +121,7 @@ class _Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        self.fresh_pre = False
         if tag in FORMATTING:
             for i in range(len(self.active) - 1, -1, -1):
                 if self.active[i][0] == tag:
@@ -136,6 +140,9 @@ class _Tree(HTMLParser):
             self._close({tag}, stop)
 
     def handle_data(self, data: str) -> None:
+        if self.fresh_pre:
+            self.fresh_pre = False
+            data = data.removeprefix("\r").removeprefix("\n")
         if not data:
             return
         if data.strip(" \t\n\r\f"):
@@ -188,6 +195,74 @@ def html_nodes(pages: DataFrame, doc_id: str = "page_id", html: str = "html") ->
     return pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html")).mapInArrow(run, NODE_SCHEMA)
 
 
+#: Elements that set a run property, and those that keep white space.
+RUN_FLAGS = {"bold": ("b", "strong", "h1", "h2", "h3", "h4", "h5", "h6", "th"), "italic": ("i", "em"), "underline": ("u", "ins"), "strike": ("s", "strike", "del")}
+_FLAG = {tag: k for k, tags in enumerate(RUN_FLAGS.values()) for tag in tags}
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_SPACE = re.compile(r"white-space\s*:\s*(pre-line|pre-wrap|pre|break-spaces|normal|nowrap)", re.I)
+FLOW_SCHEMA = "doc_id long, paragraph int, pos int, text string, space string, bold boolean, italic boolean, underline boolean, strike boolean, href string"
+
+
+def flow_of(html: str | None) -> list[tuple]:
+    """Shown texts and line breaks (U+0002) of a page, as FLOW_SCHEMA has them after doc_id. One walk over the parser's rows.
+
+    Every start and end of a block element is a boundary; a paragraph is what stands between two of them.
+    """
+    out: list[tuple] = []
+    stack: list[tuple] = []  # (exit, block, hidden, space, flags, href) of open elements
+    paragraph = 0
+    for row in parse(html):
+        while stack and stack[-1][0] < row["node_id"]:
+            paragraph += stack.pop()[1]
+        _, _, hidden, space, flags, href = stack[-1] if stack else (0, 0, False, "normal", (False,) * 4, None)
+        tag = row["tag"]
+        if tag == "#text":
+            if not hidden:
+                out.append((paragraph, row["node_id"], row["text"], space, *flags, href))
+            continue
+        if tag == "#comment":
+            continue
+        if tag == "br" and not hidden:
+            out.append((paragraph, row["node_id"], "\x02", space, *flags, href))
+        style = row["attrs"].get("style", "")
+        block = 1 if tag in BLOCKS else 0
+        paragraph += block
+        found = _SPACE.search(style)
+        space = found[1].lower() if found else "pre" if tag in ("pre", "listing", "xmp") else space
+        if tag in _FLAG:
+            flags = tuple(f or k == _FLAG[tag] for k, f in enumerate(flags))
+        if tag == "a" and "href" in row["attrs"]:
+            href = row["attrs"]["href"]
+        stack.append((row["exit"], block, hidden or tag in IGNORED or bool(_HIDDEN.search(style)), space, flags, href))
+    return out
+
+
+def html_flow(pages: DataFrame, doc_id: str = "page_id", html: str = "html") -> DataFrame:
+    """The shown text of each page in order (FLOW_SCHEMA): every page is parsed once, and all that runs and paragraphs want comes along."""
+
+    def run(batches):
+        for b in batches:
+            rows: list[tuple] = []
+            owner: list = []
+            for key, value in zip(b.column(0).to_pylist(), b.column(1)):
+                found = flow_of(value.as_py())
+                rows += found
+                owner += [key] * len(found)
+                if len(rows) > 20_000:
+                    yield _flow_batch(owner, rows)
+                    rows, owner = [], []
+            if rows:
+                yield _flow_batch(owner, rows)
+
+    return pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html")).mapInArrow(run, FLOW_SCHEMA)
+
+
+def _flow_batch(owner: list, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string())
+    columns = [pa.array(owner, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "paragraph", "pos", "text", "space", *RUN_FLAGS, "href"])
+
+
 def read_html_files(spark, path: str) -> DataFrame:
     """(doc_id, html, path) of a folder of HTML files, whole; ids are a hash of the path."""
     return spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.col("value").alias("html"), F.input_file_name().alias("path"))
