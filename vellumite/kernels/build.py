@@ -17,6 +17,7 @@ from vellumite.kernels import dom, grid, images, lists
 from vellumite.kernels.comments import balance
 from vellumite.kernels.dom import Node
 from vellumite.kernels.flow import Flow, Link
+from vellumite.kernels.metrics import line_units
 from vellumite.kernels.styles import Sheets, Style, computed, edge_of, run_of
 from vellumite.kernels.units import EMU_PER_PIXEL, rounded, twips
 from vellumite.sources.html import IGNORED
@@ -413,7 +414,7 @@ class Builder:
             inlines = []
         if props is None:
             rule = {"multiple": "auto", "points": "atLeast"}.get(style.line[0]) if style.line else None
-            height = (max(1, rounded(style.line[1] * 240)) if rule == "auto" else max(1, twips(style.line[1]))) if style.line else None
+            height = (line_units(style.line[1], style.family) if rule == "auto" else max(1, twips(style.line[1]))) if style.line else None
             props = {
                 "style": context.style, "align": {"center": "center", "right": "right", "justify": "both", "left": "left"}.get(style.align), "left": context.left, "right": context.right,
                 "first": 0 if style.indent is None else twips(style.indent), "line": height, "rule": rule, "keep_next": style.breaks("after") in ("avoid", "avoid-page"),

@@ -10,6 +10,7 @@ from vellumite.functions.formulas import mathml
 from vellumite.kernels.build import safe_target
 from vellumite.kernels.comments import paragraphs
 from vellumite.kernels.dom import Node
+from vellumite.kernels.metrics import line_multiple
 from vellumite.kernels.styles import Sheets, Style, computed
 from vellumite.kernels.units import EMU_PER_PIXEL, numbered
 from vellumite.sources.html import VOID
@@ -237,7 +238,8 @@ class Writer:
         if not item and abs((props.get("first") or 0) - (own.indent or 0) * 20) > 1:
             css["text-indent"] = pt(props.get("first") or 0)
         if props.get("line") is not None:
-            css["line-height"] = number(props["line"] / 240) if props.get("rule") == "auto" else pt(props["line"])
+            family = (props.get("mark") or {}).get("family") or own.family
+            css["line-height"] = number(line_multiple(props["line"], family)) if props.get("rule") == "auto" else pt(props["line"])
         if props.get("shading") and props["shading"] != own.background():
             css["background-color"] = "#" + props["shading"]
         for s in SIDES:
@@ -254,7 +256,7 @@ class Writer:
         if props.get("keep_lines") and own.breaks("inside") != "avoid":
             css["break-inside"] = "avoid"
         text = plain_text(inlines)
-        if not own.keeps_space and re.search(r"\t|  |\A | \Z", text):
+        if not own.keeps_space and re.search(r"\t|  |\A | \Z| \n|\n ", text):
             css["white-space"], css["tab-size"] = "pre-wrap", pt(TAB)
         size = (props.get("mark") or {}).get("size")
         if not text and size and abs(size / 2 - own.size) > 0.01:

@@ -84,8 +84,10 @@ def expand(name: str, value: str) -> dict[str, str]:
                 return {"background-color": w}
         return {}
     if name == "text-decoration":
-        lines = [w for w in _words(value.lower()) if w in ("none", "underline", "overline", "line-through")]
-        return {"text-decoration-line": " ".join(lines)} if lines else {}
+        words = _words(value.lower())
+        lines = [w for w in words if w in ("none", "underline", "overline", "line-through")]
+        waves = [w for w in words if w in ("solid", "double", "dotted", "dashed", "wavy")]
+        return ({"text-decoration-line": " ".join(lines)} if lines else {}) | ({"text-decoration-style": waves[-1]} if waves else {})
     if name == "list-style":
         kinds = [w for w in _words(value.lower()) if w in ("none", "disc", "circle", "square", "decimal", "decimal-leading-zero", "lower-alpha", "upper-alpha", "lower-latin", "upper-latin", "lower-roman", "upper-roman", "lower-greek")]
         return {"list-style-type": kinds[-1]} if kinds else {}

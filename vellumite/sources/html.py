@@ -136,7 +136,7 @@ class _Tree(HTMLParser):
         elif tag in ("body", "html"):
             return
         elif tag not in VOID:
-            stop = {"table"} if tag in ("tr", "td", "th", "tbody", "thead", "tfoot") else SCOPE - {tag}
+            stop = {"html"} if tag == "table" else {"table"} if tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup") else SCOPE - {tag}
             self._close({tag}, stop)
 
     def handle_data(self, data: str) -> None:
