@@ -1,8 +1,9 @@
 """HTML pages as a table of nodes.
 
 The parser is a kernel: it runs document by document inside mapInArrow, on the standard library's tokenizer,
-with its own tree construction (void elements, implied ends, implied table bodies, and formatting elements that
-are opened again in the next block). Everything after it is relational.
+with its own tree construction after the HTML standard (void elements, implied ends and table parts, formatting
+elements that are opened again in the next block or split around blocks, and content of a table that belongs
+before it). Everything after it is relational.
 """
 
 from __future__ import annotations
@@ -26,38 +27,74 @@ IGNORED = set("head script style template noscript svg canvas select textarea bu
 NODE_SCHEMA = "doc_id long, node_id int, parent_id int, ord int, depth int, exit int, tag string, attrs map<string,string>, text string, path array<int>"
 
 
+# Elements that end the reach of a formatting element (besides blocks), and what stands in tables without being moved out.
+SPECIAL = CLOSES_P | SCOPE | set("area base br button col colgroup embed frame head iframe img input link listing meta noscript param plaintext script select source style tbody textarea tfoot thead title tr track wbr xmp".split())
+TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr"}
+IN_TABLE = set("caption colgroup col tbody thead tfoot tr td th script style template".split())
+
+
+class _Element:
+    """A node under construction."""
+
+    __slots__ = ("attrs", "children", "parent", "tag", "text")
+
+    def __init__(self, tag: str, attrs: dict, text: str | None = None):
+        self.tag, self.attrs, self.text = tag, attrs, text
+        self.children: list[_Element] = []
+        self.parent: _Element | None = None
+
+    def put(self, node: _Element, before: _Element | None = None) -> None:
+        if node.parent is not None:
+            node.parent.children.remove(node)
+        node.parent = self
+        if before is None:
+            self.children.append(node)
+        else:
+            self.children.insert(next(i for i, c in enumerate(self.children) if c is before), node)
+
+
 class _Tree(HTMLParser):
-    """Rows of one document. `node_id` and `exit` are places in one count of entries and exits."""
+    """Tree construction: implied starts and ends, formatting that goes on over blocks, and content that does not belong into a table."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
-        self.stack: list[dict] = []
-        self.active: list[tuple[str, tuple]] = []
-        self.clock = 0
+        self.root = _Element("#document", {})
+        self.stack: list[_Element] = []
+        self.active: list[_Element | None] = []  # formatting elements; None where a cell or caption begins
         self.fresh_pre = False  # a line feed right after <pre> is none of its text
 
-    def _tick(self) -> int:
-        self.clock += 1
-        return self.clock
+    # The stack of open elements.
+
+    def _top(self) -> _Element:
+        return self.stack[-1] if self.stack else self.root
+
+    def _place(self, foster: bool, at: _Element | None = None) -> tuple[_Element, _Element | None]:
+        """Where a node goes: (parent, the node that it stands before). Foster content of a table goes before the table."""
+        at = at or self._top()
+        if foster and at.tag in TABLE_PARTS:
+            table = next((e for e in reversed(self.stack) if e.tag == "table"), None)
+            if table is not None:
+                return (table.parent or self.root), table
+        return at, None
+
+    def _insert(self, node: _Element, foster: bool = True) -> _Element:
+        parent, before = self._place(foster)
+        parent.put(node, before)
+        return node
 
-    def _add(self, tag: str, attrs: dict, text: str | None) -> dict:
-        parent = self.stack[-1] if self.stack else None
-        row = {"node_id": self._tick(), "parent_id": parent["node_id"] if parent else None, "ord": parent["children"] if parent else 0, "depth": len(self.stack), "tag": tag, "attrs": attrs, "text": text, "children": 0, "exit": None, "path": [r["node_id"] for r in self.stack]}
-        if parent:
-            parent["children"] += 1
-        self.rows.append(row)
-        return row
+    def _open(self, tag: str, attrs: dict) -> _Element:
+        self.stack.append(self._insert(_Element(tag, attrs), tag not in IN_TABLE))
+        return self.stack[-1]
 
-    def _pop(self) -> dict:
-        row = self.stack.pop()
-        row["exit"] = self._tick()
-        return row
+    def _pop(self) -> None:
+        if self.stack.pop().tag in ("td", "th", "caption"):
+            while self.active and self.active.pop() is not None:
+                pass
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         """Pops up to the nearest open element of `tags`, unless one of `stop` is nearer."""
         for depth in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[depth]["tag"]
+            name = self.stack[depth].tag
             if name in tags:
                 while len(self.stack) > depth:
                     self._pop()
@@ -65,25 +102,112 @@ class _Tree(HTMLParser):
             if name in stop:
                 return
 
+    def _back_to(self, context: set[str]) -> None:
+        """Closes what stands between a part of a table and where it belongs; outside of tables nothing but its like."""
+        if self._holds("table"):
+            while self._top().tag not in context:
+                self._pop()
+        else:
+            self._close({"td", "th"} if "tr" in context else {"tr", "td", "th"}, SCOPE - {"td", "th"})
+
+    def _holds(self, tag: str) -> bool:
+        return any(e.tag == tag for e in self.stack)
+
+    # Formatting elements.
+
     def _reopen(self) -> None:
         """Opens formatting elements again that a block's end has closed."""
-        open_ = [(r["tag"], tuple(r["attrs"].items())) for r in self.stack]
-        for entry in self.active:
-            if entry in open_:
-                open_.remove(entry)
-            else:
-                self.stack.append(self._add(entry[0], dict(entry[1]), None))
+        at = len(self.active)
+        while at and self.active[at - 1] is not None and not any(e is self.active[at - 1] for e in self.stack):
+            at -= 1
+        for k in range(at, len(self.active)):
+            old = self.active[k]
+            self.active[k] = self._open(old.tag, dict(old.attrs))
+
+    def _remember(self, node: _Element) -> None:
+        """At most three equal ones at a time."""
+        same = []
+        for k in range(len(self.active) - 1, -1, -1):
+            if self.active[k] is None:
+                break
+            if (self.active[k].tag, self.active[k].attrs) == (node.tag, node.attrs):
+                same.append(k)
+        if len(same) >= 3:
+            del self.active[same[-1]]
+        self.active.append(node)
+
+    @staticmethod
+    def _index(where: list, node: _Element) -> int:
+        return next((i for i, x in enumerate(where) if x is node), -1)
+
+    def _end_formatting(self, tag: str) -> None:
+        """A formatting end tag: where blocks are open inside, they keep what came before it formatted, and go on without it."""
+        for _ in range(8):
+            begin = next((i + 1 for i in range(len(self.active) - 1, -1, -1) if self.active[i] is None), 0)
+            own = next((e for e in reversed(self.active[begin:]) if e.tag == tag), None)
+            if own is None:
+                return self._close({tag}, SCOPE)
+            at = self._index(self.stack, own)
+            if at < 0:
+                del self.active[self._index(self.active, own)]
+                return None
+            if any(e.tag in SCOPE for e in self.stack[at + 1 :]):
+                return None
+            block = next((k for k in range(at + 1, len(self.stack)) if self.stack[k].tag in SPECIAL), None)
+            if block is None:
+                while len(self.stack) > at:
+                    self._pop()
+                del self.active[self._index(self.active, own)]
+                return None
+            furthest, common = self.stack[block], self.stack[at - 1] if at else self.root
+            mark, last, k, steps = self._index(self.active, own), furthest, block, 0
+            while True:
+                k -= 1
+                node = self.stack[k]
+                if node is own:
+                    break
+                steps += 1
+                held = self._index(self.active, node)
+                if steps > 3 and held >= 0:
+                    del self.active[held]
+                    mark -= held < mark
+                    held = -1
+                if held < 0:
+                    del self.stack[k]
+                    continue
+                copy = _Element(node.tag, dict(node.attrs))
+                self.active[held], self.stack[k] = copy, copy
+                if last is furthest:
+                    mark = held + 1
+                copy.put(last)
+                last = copy
+            parent, before = self._place(True, common)
+            parent.put(last, before)
+            copy = _Element(own.tag, dict(own.attrs))
+            for child in list(furthest.children):
+                copy.put(child)
+            furthest.put(copy)
+            held = self._index(self.active, own)
+            del self.active[held]
+            self.active.insert(mark - (held < mark), copy)
+            del self.stack[self._index(self.stack, own)]
+            self.stack.insert(self._index(self.stack, furthest) + 1, copy)
+        return None
+
+    # Tokens.
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        own = {k: v or "" for k, v in attrs}
+        own = {}
+        for k, v in attrs:
+            own.setdefault(k, v or "")
         self.fresh_pre = tag in ("pre", "listing", "textarea")
-        if tag in ("html", "body", "head") and any(r["tag"] == tag for r in self.stack):
+        if tag in ("html", "body", "head") and self._holds(tag):
             return
         if tag == "body":
             self._close({"head"}, set())
         if tag in CLOSES_P:
             self._close({"p"}, SCOPE)
-        if tag in HEADINGS and self.stack and self.stack[-1]["tag"] in HEADINGS:
+        if tag in HEADINGS and self._top().tag in HEADINGS:
             self._pop()
         if tag == "li":
             self._close({"li"}, {"ul", "ol", "menu", *SCOPE})
@@ -91,31 +215,30 @@ class _Tree(HTMLParser):
             self._close({"dt", "dd"}, {"dl", *SCOPE})
         elif tag in ("option", "optgroup"):
             self._close({"option"}, {"select", *SCOPE})
-        elif tag in ("tbody", "thead", "tfoot"):
-            self._close({"tbody", "thead", "tfoot"}, {"table"})
+        elif tag == "button":
+            self._close({"button"}, SCOPE - {"button"})
+        elif tag in ("tbody", "thead", "tfoot", "colgroup", "caption"):
+            self._back_to({"table"})
         elif tag == "tr":
-            self._close({"tr"}, {"table"})
-            if self.stack and self.stack[-1]["tag"] == "table":
-                self.stack.append(self._add("tbody", {}, None))
+            self._back_to({"tbody", "thead", "tfoot", "table"})
+            if self._top().tag == "table":
+                self._open("tbody", {})
         elif tag in ("td", "th"):
-            self._close({"td", "th"}, {"tr", "table"})
-            if self.stack and self.stack[-1]["tag"] in ("tbody", "thead", "tfoot", "table"):
+            self._back_to({"tr", "tbody", "thead", "tfoot", "table"})
+            if self._top().tag in ("tbody", "thead", "tfoot", "table"):
                 self.handle_starttag("tr", [])
-        if tag == "a":
-            self.handle_endtag("a")
+        if tag in ("a", "nobr") and any(e is not None and e.tag == tag for e in self.active):
+            self._end_formatting(tag)
         if tag not in BLOCKS and tag not in IGNORED and tag not in ("link", "meta", "base", "colgroup", "col"):
             self._reopen()
-        row = self._add(tag, own, None)
         if tag in VOID:
-            row["exit"] = self._tick()
+            self._insert(_Element(tag, own), tag not in IN_TABLE)
             return
-        self.stack.append(row)
+        node = self._open(tag, own)
         if tag in FORMATTING:
-            entry = (tag, tuple(own.items()))
-            same = [i for i, e in enumerate(self.active) if e == entry]
-            if len(same) >= 3:
-                del self.active[same[0]]
-            self.active.append(entry)
+            self._remember(node)
+        elif tag in ("td", "th", "caption"):
+            self.active.append(None)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -123,14 +246,12 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.fresh_pre = False
         if tag in FORMATTING:
-            for i in range(len(self.active) - 1, -1, -1):
-                if self.active[i][0] == tag:
-                    del self.active[i]
-                    break
-            self._close({tag}, SCOPE)
-        elif tag == "p" and not any(r["tag"] == "p" for r in self.stack):
+            self._end_formatting(tag)
+        elif tag == "p" and not self._holds("p"):
             self.handle_starttag("p", [])
             self._pop()
+        elif tag == "br":
+            self.handle_starttag("br", [])
         elif tag in HEADINGS:
             self._close(HEADINGS, SCOPE)
         elif tag in ("body", "html"):
@@ -145,25 +266,36 @@ class _Tree(HTMLParser):
             data = data.removeprefix("\r").removeprefix("\n")
         if not data:
             return
-        if data.strip(" \t\n\r\f"):
-            if not (self.stack and self.stack[-1]["tag"] in IGNORED):
-                self._reopen()
-        last = self.rows[-1] if self.rows else None
-        if last and last["tag"] == "#text" and last["exit"] == self.clock:
-            last["text"] += data
-            return
-        row = self._add("#text", {}, data)
-        row["exit"] = self._tick()
+        shown = bool(data.strip(" \t\n\r\f"))
+        if shown and self._top().tag not in IGNORED:
+            self._reopen()
+        parent, before = self._place(shown)
+        at = self._index(parent.children, before) - 1 if before is not None else len(parent.children) - 1
+        if at >= 0 and parent.children[at].tag == "#text":
+            parent.children[at].text += data
+        else:
+            parent.put(_Element("#text", {}, data), before)
 
     def handle_comment(self, data: str) -> None:
-        row = self._add("#comment", {}, data)
-        row["exit"] = self._tick()
+        self._insert(_Element("#comment", {}, data), False)
 
     def finish(self) -> list[dict]:
+        """Rows in document order. `node_id` and `exit` are places in one count of entries and exits."""
         self.close()
-        while self.stack:
-            self._pop()
-        return self.rows
+        rows: list[dict] = []
+        clock = 0
+        todo: list[tuple[_Element | None, dict | None, int]] = [(c, None, k) for k, c in reversed(list(enumerate(self.root.children)))]
+        while todo:
+            node, up, k = todo.pop()
+            clock += 1
+            if node is None:  # the end of `up`
+                up["exit"] = clock
+                continue
+            row = {"node_id": clock, "parent_id": up["node_id"] if up else None, "ord": k, "depth": up["depth"] + 1 if up else 0, "tag": node.tag, "attrs": node.attrs, "text": node.text, "exit": None, "path": [*up["path"], up["node_id"]] if up else []}
+            rows.append(row)
+            todo.append((None, row, 0))
+            todo += [(c, row, i) for i, c in reversed(list(enumerate(node.children)))]
+        return rows
 
 
 def parse(html: str | None) -> list[dict]:
