@@ -59,7 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -71,7 +71,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     entry = f"vellumite_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(entry)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(entry)
     out = spark.table(entry)
     spark.sql(f"DROP TABLE {entry}")
     return out.select(*df.columns)

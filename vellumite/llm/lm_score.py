@@ -34,7 +34,7 @@ DISCOUNT = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOW = str.maketrans(UPPER, LOWER)
 #: Bytes of text after which a block ends.
-BLOCK = 4 << 20
+BLOCK = 6 << 20
 #: The hashes of <unk> and of what stands before a text's first word.
 UNKNOWN, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _REQUEST = "shard int, block long, n int, keys binary, numbers binary"

@@ -13,15 +13,18 @@ from both, so linking every member to the minimum of its 2081 points finds the s
 that grows with the members, not with their square.
 
 keep_one, the pipeline's near-dedup, wants all pairs whose word shingles have a Jaccard similarity of 0.8. Such
-sets differ in 15 % of a SimHash's bits, so no few segments of 64 bits would do. It makes 544 bits: 24 segments
-of 20, and 64 that only the check sees. A segment's wildcard is put on its 8 weakest bits in turn (those whose
+sets differ in 15 % of a SimHash's bits, so no few segments of 64 bits would do. It makes 536 bits: 24 segments
+of 20, and 56 that only the check sees. A segment's wildcard is put on its 8 weakest bits in turn (those whose
 votes were closest to even; a bit that differs between near copies is one of these), so a class has 192 keys.
 A pair meets where in some segment at most one bit differs: from 0.85 on practically always, at exactly 0.8 in
-some 98 of 100 pairs. What meets is checked by the 64 bits, then by the shingle sets themselves.
+some 98 of 100 pairs. What meets is checked by the 56 bits and the sets' sizes, which each key
+carries along, then by the shingle sets themselves.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -163,15 +166,17 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 SIMILARITY = 0.8
 #: Segments of the wide fingerprint, bits of each, and how many of them take the wildcard.
 PARTS, PART_BITS, WEAKEST = 24, 20, 8
-#: Sets of similarity 0.8 differ in some 10 of the check's 64 bits, give or take 3; unlike ones in 32, give or take 4.
-CHECK_MOST = 21
-#: Members of a key up to which all its pairs are checked; beyond, dense groups are folded first.
-FEW = 8
-_WORDS = (PARTS * PART_BITS + 64 + 63) // 64
+#: Sets of similarity 0.8 differ in some 8 of the check's 56 bits, give or take 3; unlike ones in 28, give or take 4.
+CHECK_MOST = 19
+#: A set's size is told in steps of 6 %; those of sets of similarity 0.8 are 4 steps apart at most.
+STEP, STEPS = math.log(1.06), 4
+#: Members of a key up to which its pairs are checked at once; fuller keys are folded first.
+FEW = 2
+_WORDS = (PARTS * PART_BITS + 56 + 63) // 64
 _XOR, _TIMES = (np.array([xxh64_intdigest(bytes([k, side])) for k in range(_WORDS)], np.uint64) for side in (0, 1))
 _TIMES |= np.uint64(1)
 _PLACES = np.int32(1) << np.arange(PART_BITS, dtype=np.int32)
-_COLUMNS = "node long, shingles binary, parts array<int>, weak array<int>, bits long"
+_COLUMNS = "node long, shingles binary, parts array<int>, weak array<int>, info long"
 
 
 def votes(hashes: np.ndarray) -> np.ndarray:
@@ -187,7 +192,7 @@ def votes(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sketch(text: str | None, shingle: int = 5) -> tuple:
-    """Of the set of word shingles: a 64-bit hash, the set as sorted 32-bit hashes, the segments, masks of their weakest bits, the check's bits."""
+    """Of the set of word shingles: a 64-bit hash, the set as sorted 32-bit hashes, the segments, masks of their weakest bits, and the check's bits beside the size."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -198,16 +203,17 @@ def shingle_sketch(text: str | None, shingle: int = 5) -> tuple:
     found = votes(whole)
     lead = found[: PARTS * PART_BITS].reshape(PARTS, PART_BITS)
     weak = np.argsort(np.abs(lead), axis=1, kind="stable")[:, :WEAKEST]
-    check = np.packbits(found[PARTS * PART_BITS :][:64] > 0, bitorder="little").view("<i8")
-    return _bits(xxh3_64_intdigest(whole.tobytes())), np.unique(whole.astype("<u4")).tobytes(), (lead > 0) @ _PLACES, _PLACES[weak].sum(1, dtype=np.int32), int(check[0])
+    check = np.packbits(np.append(found[PARTS * PART_BITS :][:56] > 0, np.zeros(8, bool)), bitorder="little").view("<u8")
+    info = int(check[0]) << 8 | min(255, int(math.log(max(1, len(whole))) / STEP))
+    return _bits(xxh3_64_intdigest(whole.tobytes())), np.unique(whole.astype("<u4")).tobytes(), (lead > 0) @ _PLACES, _PLACES[weak].sum(1, dtype=np.int32), _bits(info)
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """(key, node): each segment without one of its weakest bits, beside which bit of which segment it is."""
+    """(key, node, info): each segment without one of its weakest bits, beside which bit of which segment it is."""
     bits = f"filter(sequence(0, {PART_BITS - 1}), i -> (shiftright(weak[s], i) & 1) = 1)"
     key = f"shiftleft(s * {PART_BITS} + i, {PART_BITS}) | (v & ~shiftleft(1, i))"
-    spread = classes.select("node", "parts", "weak").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    return spread.select(F.explode(F.expr(f"flatten(transform(parts, (v, s) -> transform({bits}, i -> {key})))")).alias("key"), "node")
+    spread = classes.select("node", "info", "parts", "weak").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    return spread.select(F.explode(F.expr(f"flatten(transform(parts, (v, s) -> transform({bits}, i -> {key})))")).alias("key"), "node", "info")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -228,52 +234,59 @@ def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
     return met.mapInArrow(check, "a long, b long")
 
 
+def _close() -> Column:
+    """The check of two rows of _keys, the second's columns with an underscore first."""
+    differ = F.shiftrightunsigned(F.col("info").bitwiseXOR(F.col("_info")), 8)
+    size = lambda c: F.col(c).bitwiseAND(F.lit(255).cast("long"))
+    return (F.bit_count(differ) <= CHECK_MOST) & (F.abs(size("info") - size("_info")) <= STEPS)
+
+
+def _underscored(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_{c}") for c in columns])
+
+
 def similar_links(classes: DataFrame, similarity: float = SIMILARITY, few: int = FEW, stars: int = 3) -> DataFrame:
-    """Links (a, b) between classes (node, shingles, parts, weak, bits) that share a key and have the similarity, enough for all components.
+    """Links (a, b) between classes (node, shingles, parts, weak, info) that share a key and have the similarity, enough for all components.
 
-    Under keys of up to `few` members, as chance and small groups make them, all pairs are checked. Of fuller keys
-    every member is compared with one other of another component, `stars` times with different ones, which folds
-    dense groups without pairs; then members of different components meet, and there the largest component's
-    members are compared with the rest only. So a key that a dense group fills costs its members times the few
-    that are not of it, and no pair is left out.
+    Under keys of up to `few` members, as chance and pairs make them, all pairs are checked. Of fuller keys every
+    member is compared with one other of another component, `stars` times with different ones, which folds dense
+    groups without pairs; then members of different components meet, and there the largest component's members
+    are compared with the rest only. So a key that a dense group fills costs its members times the few that are
+    not of it, and no pair is left out.
     """
+    spark = classes.sparkSession
     keyed = _keys(classes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     keyed = written(keyed, "keyed")
-    own = classes.select(F.col("node").alias("_n"), (F.octet_length("shingles") / 4).cast("int").alias("size"), "bits")
-    keyed = written(keyed.join(own.hint("merge"), F.col("node") == F.col("_n")).drop("_n"), "checked")
-    fields = ("node", "size", "bits", "part")
-    close = (F.least("size", "_size") >= F.lit(similarity) * F.greatest("size", "_size")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("_bits"))) <= CHECK_MOST)
-    loose = keyed.where(F.col("n") <= few).drop("n")
-    other = loose.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("node", "size", "bits")])
-    met = loose.join(other, (F.col("key") == F.col("_key")) & (F.col("node") > F.col("_node")) & close).select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
-    links = written(_alike(met, classes, similarity), "links")
-    full = keyed.where(F.col("n") > few).drop("n")
+    loose, full = keyed.where(F.col("n") <= few).drop("n"), keyed.where(F.col("n") > few).drop("n")
+    met = loose.join(_underscored(loose, "key", "node", "info"), (F.col("key") == F.col("_key")) & (F.col("node") > F.col("_node")) & _close())
+    links = written(_alike(met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct(), classes, similarity), "links")
     if full.isEmpty():
         return links
-    other = (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part"))
-    seen = _with_parts(full, links, fields)
-    for k in range(stars):
-        heads = seen.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), *fields)).alias("m"))
-        heads = heads.select("_key", "m.order", *[F.col(f"m.{c}").alias(f"_{c}") for c in fields])
-        met = seen.join(heads, other & close).groupBy("node").agg(F.min(F.struct("order", "_node")).alias("m"))
-        found = written(_alike(met.select(F.col("node").alias("a"), F.col("m._node").alias("b")), classes, similarity), "star")
-        links = links.unionAll(found)
-        seen = _with_parts(full, links, fields)
+    fields, other = ("node", "info", "part"), (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part"))
+    path = ""
+    for k in range(stars + 1):
+        folded = components(links).select(F.col("node").alias("_n"), "component")
+        parts = full.join(folded, F.col("node") == F.col("_n"), "left").select("key", "node", "info", F.coalesce("component", "node").alias("part"))
+        before, path = path, fresh_path(spark, "parts")
+        seen = written_at(parts, path)
+        if before:
+            remove_path(spark, before)
+        if k == stars:
+            break
+        heads = seen.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), *fields)).alias("m")).select(F.col("key").alias("_key"), "m.order", *[F.col(f"m.{c}").alias(f"_{c}") for c in fields])
+        met = seen.join(heads, other & _close()).groupBy("node").agg(F.min(F.struct("order", "_node")).alias("m"))
+        links = links.unionAll(written(_alike(met.select(F.col("node").alias("a"), F.col("m._node").alias("b")), classes, similarity), "star"))
     by_part = seen.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_part.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("large"), F.count(F.lit(1)).alias("several")).where("several > 1").select(F.col("key").alias("_k"), "large")
     mixed = written(seen.join(mixed.hint("merge"), F.col("key") == F.col("_k")).drop("_k"), "mixed")
-    rest = mixed.where("part <> large").select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in fields])
+    remove_path(spark, path)
+    rest = _underscored(mixed.where("part <> large"), "key", *fields)
     # A pair of which neither is of the largest component is met from both sides.
     once = (F.col("part") == F.col("large")) | (F.col("node") > F.col("_node"))
-    met = mixed.join(rest, other & once & close).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+    met = mixed.join(rest, other & once & _close()).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
     return links.unionAll(_alike(met, classes, similarity))
 
 
-def _with_parts(keyed: DataFrame, links: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    folded = components(links).select(F.col("node").alias("_n"), "component")
-    return written(keyed.join(folded, F.col("node") == F.col("_n"), "left").withColumn("part", F.coalesce("component", "node")).select("key", *fields), "parts")
-
-
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near duplicates: of each component the row of the smallest doc_id stays (of several such rows, or where all are null, one).
 
@@ -290,15 +303,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                nodes, sets, parts, weak, bits = zip(*[shingle_sketch(t.as_py(), shingle) for t in part.column(2)])
+                nodes, sets, parts, weak, info = zip(*[shingle_sketch(t.as_py(), shingle) for t in part.column(2)])
                 several = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x).astype(np.int32)), PARTS).cast(pa.list_(pa.int32())) for x in (parts, weak)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), *several, pa.array(bits, pa.int64())], names=["doc_id", "_hash", "node", "shingles", "parts", "weak", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), *several, pa.array(info, pa.int64())], names=["doc_id", "_hash", "node", "shingles", "parts", "weak", "info"])
         give_back()
 
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "sketches")
     sketched = written_at(slim.mapInArrow(sketch, f"doc_id {kind}, _hash long, {_COLUMNS}"), path)
     # Rows of a class have equal sets; any of them stands for the others.
-    alike = [F.first(c).alias(c) for c in ("shingles", "parts", "weak", "bits")]
+    alike = [F.first(c).alias(c) for c in ("shingles", "parts", "weak", "info")]
     classes = bucketed(sketched.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("first"), *alike), "node", "classes")
     different = sketched.groupBy("doc_id", "_hash").count().where("count > 1").limit(1).isEmpty()
     remove_path(spark, path)
