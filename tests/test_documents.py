@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vellumite.functions import colours, formulas, lengths, numbers, text
+from vellumite.functions import dates, colours, formulas, lengths, numbers, text
 from vellumite.operators import annotations, css, lists, paragraphs, tables
 from vellumite.plans.catalog import oracle_sql, queries
 from vellumite.sources import docx, html
@@ -60,6 +60,14 @@ def test_text(spark):
     assert values(spark, text.decode_entities(c), ["&lt;a&gt; &amp;amp; &nbsp;"]) == ["<a> &amp; \u00a0"]
 
 
+def test_more_scalars(spark):
+    c = F.col("v")
+    assert values(spark, text.percent_encoded(c), ["/a b?c=ä", "http://x/%20y", "<\"^`{|}\\>"]) == ["/a%20b?c=%C3%A4", "http://x/%20y", "%3C%22%5E%60%7B%7C%7D%5C%3E"]
+    assert values(spark, text.css_string(c), ['a"b\\c']) == ['"a\\"b\\\\c"']
+    assert values(spark, dates.iso_utc(c), ["2024-01-02T03:04:05+02:00", "2024-01-02", "nonsense", None]) == ["2024-01-02T01:04:05Z", "2024-01-02T00:00:00Z", None, None]
+    assert values(spark, dates.archive_time(dates.iso_utc(c)), ["1970-01-01", "2200-01-01", "2024-01-02T03:04:05Z"]) == ["1980-01-01T00:00:00Z", "2107-12-31T23:59:58Z", "2024-01-02T03:04:05Z"]
+
+
 def lines(spark, source):
     flow = html.html_flow(spark.createDataFrame([(1, source)], "page_id long, html string"))
     return [r["text"] for r in paragraphs.paragraphs(flow).orderBy("ord").collect()]
@@ -222,7 +230,7 @@ def test_packages():
     assert docx.resolve("word", "../a/./b.xml") == "a/b.xml" and docx.resolve("word", "../../x") is None and docx.resolve("w", "/m.xml") == "m.xml"
 
 
-FORMULAS = [r"x^{2}", r"\frac{a}{b}", r"\sqrt{x}", r"\sqrt[3]{x}", r"\sum_{i=1}^{n}i", r"\int_{0}^{1}x", r"\left(\frac{a}{b}\right)", r"\sin x", r"\hat{x}", r"\begin{pmatrix}a&b\\c&d\end{pmatrix}", r"\begin{aligned}a&=b\\c&=d\end{aligned}", r"\alpha+\beta", r"x_{i}^{2}", r"\mathbb{R}", r"\text{if }x", r"\overline{z}", r"\begin{cases}1&x\\2&y\end{cases}"]
+FORMULAS = [r"x^{2}", r"\frac{a}{b}", r"\sqrt{x}", r"\sqrt[3]{x}", r"\sum_{i=1}^{n}i", r"\int_{0}^{1}x", r"\left(\frac{a}{b}\right)", r"\sin x", r"\hat{x}", r"\begin{pmatrix}a&b\\c&d\end{pmatrix}", r"\begin{aligned}a&=b\\c&=d\end{aligned}", r"\alpha+\beta", r"x_{i}^{2}", r"\mathbb{R}", r"\text{if }x", r"\overline{z}", r"\begin{cases}1&x\\2&y\end{cases}", r"\boxed{x}", r"\underset{a}{b}", r"\overset{n}{=}", r"\underbrace{x+y}", r"\overbrace{z}", r"{}_{a}^{b}x", r"\alpha x+12y", r"\underset{x}{\frac{a}{b}}"]
 
 
 @pytest.mark.parametrize("latex", FORMULAS)
@@ -233,6 +241,23 @@ def test_formulas_round_trip(latex):
     ElementTree.fromstring(formulas.mathml(latex, True))
 
 
+def test_formulas_of_word():
+    m = f'<m:oMath xmlns:m="{formulas.M}" xmlns:w="{docx.W}">%s</m:oMath>'
+    r = lambda t: f"<m:r><m:t>{t}</m:t></m:r>"
+    cases = {
+        f"<m:func><m:fName>{r('sin')}</m:fName><m:e>{r('x')}</m:e></m:func>": r"\sin x",
+        f"<m:limLow><m:e>{r('lim')}</m:e><m:lim>{r('n')}</m:lim></m:limLow>": r"\lim_{n}",
+        f'<m:groupChr><m:groupChrPr><m:chr m:val="→"/><m:pos m:val="top"/></m:groupChrPr><m:e>{r("x")}</m:e></m:groupChr>': r"\overset{\rightarrow}{x}",
+        f"<m:box><m:e>{r('x')}</m:e></m:box><m:phant><m:e>{r('y')}</m:e></m:phant>": "xy",
+        "<m:r><m:rPr><m:nor/></m:rPr><m:t>if x&gt;0</m:t></m:r>": r"\text{if x>0}",
+        "<w:r><w:t>z</w:t></w:r>": "z",
+    }
+    for source, want in cases.items():
+        got = formulas.latex_of(m % source)
+        assert got == want or (want.startswith(r"\overset") and got in (r"\overset{\to}{x}", want)), (got, want)
+    assert formulas.omml("a+b").count("<m:r>") == 1
+
+
 def test_broken_formulas_are_read():
     for latex in ("", "{", "}", r"\frac", "x^", r"\left(", r"\begin{matrix}a", r"\unknown{x}", "&"):
         formulas.latex_of(formulas.omml(latex))

@@ -2,7 +2,8 @@
 
 A tree node is a tuple: ("run", text), ("upright", text), ("row", nodes), ("frac", a, b), ("rad", degree or
 None, a), ("scripts", base, sub or None, sup or None), ("nary", sign, sub, sup), ("func", name),
-("delim", left, right, a), ("matrix", rows, left, right), ("eqarr", rows), ("accent", char, a), ("bar", place, a).
+("delim", left, right, a), ("matrix", rows, left, right), ("eqarr", rows), ("accent", char, a), ("bar", place, a),
+("box", a), ("limit", low or upp, a, limit), ("group", sign, place, a).
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ FUNCTIONS = ("arccos", "arcsin", "arctan", "cos", "cosh", "cot", "csc", "det", "
 ACCENTS = {"hat": "̂", "tilde": "̃", "vec": "⃗", "dot": "̇", "ddot": "̈", "bar": "̅"}
 BLACKBOARD = {"R": "ℝ", "N": "ℕ", "Z": "ℤ", "Q": "ℚ", "C": "ℂ"}
 MATRICES = {"matrix": ("", ""), "pmatrix": ("(", ")"), "bmatrix": ("[", "]"), "vmatrix": ("|", "|"), "Bmatrix": ("{", "}"), "cases": ("{", "")}
+GROUPS = {"underbrace": ("⏟", "bot"), "overbrace": ("⏞", "top"), "underbracket": ("⎵", "bot"), "overbracket": ("⎴", "top")}
+LIMITS = {"underset": "low", "overset": "upp", "stackrel": "upp"}
 _BACK = {v: k for k, v in SYMBOLS.items()}
 
 _TOKEN = re.compile(r"\\[A-Za-z]+|\\.|[{}^_&]|\s+|[0-9]+(?:\.[0-9]+)?|.", re.S)
@@ -124,6 +127,13 @@ class _Reader:
             return ("func", name)
         if name in ("overline", "underline"):
             return ("bar", "top" if name == "overline" else "bot", self.argument())
+        if name == "boxed":
+            return ("box", self.argument())
+        if name in LIMITS:
+            limit = self.argument()
+            return ("limit", LIMITS[name], self.argument(), limit)
+        if name in GROUPS:
+            return ("group", *GROUPS[name], self.argument())
         if name in ACCENTS:
             return ("accent", ACCENTS[name], self.argument())
         if name == "mathbb":
@@ -163,12 +173,35 @@ def _esc(text: str) -> str:
 M = "http://schemas.openxmlformats.org/officeDocument/2006/math"
 
 
+def _gathered(nodes: list[tuple]) -> list[tuple]:
+    """Neighbouring runs as one, and scripts of an empty base as scripts before what follows."""
+    out: list[tuple] = []
+    for node in nodes:
+        last = out[-1] if out else None
+        if last and last[0] == "scripts" and last[1] in (("row", []), ("run", "")):
+            out[-1] = ("pre", last[2], last[3], node)
+        elif last and node[0] == last[0] == "run" and "&" not in (node[1], last[1]):
+            out[-1] = ("run", last[1] + node[1])
+        else:
+            out.append(node)
+    return out
+
+
 def to_omml(node: tuple) -> str:
     """The OMML children of a tree; m:oMath is left to the caller."""
     kind, *x = node
     part = lambda tag, n: f"<m:{tag}>{to_omml(n) if n is not None else ''}</m:{tag}>"
     if kind == "row":
-        return "".join(map(to_omml, x[0]))
+        return "".join(map(to_omml, _gathered(x[0])))
+    if kind == "pre":
+        return f"<m:sPre>{part('sub', x[0])}{part('sup', x[1])}{part('e', x[2])}</m:sPre>"
+    if kind == "box":
+        return f"<m:borderBox>{part('e', x[0])}</m:borderBox>"
+    if kind == "limit":
+        tag = "limLow" if x[0] == "low" else "limUpp"
+        return f"<m:{tag}>{part('e', x[1])}{part('lim', x[2])}</m:{tag}>"
+    if kind == "group":
+        return f'<m:groupChr><m:groupChrPr><m:chr m:val="{x[0]}"/><m:pos m:val="{x[1]}"/></m:groupChrPr>{part("e", x[2])}</m:groupChr>'
     if kind == "run":
         return f"<m:r><m:t>{_esc(x[0])}</m:t></m:r>" if x[0] else ""
     if kind == "upright":
@@ -228,9 +261,9 @@ def from_omml(e: ElementTree.Element) -> str:
     out = []
     for c in e:
         tag = c.tag.removeprefix(m)
-        if tag == "r":
-            text = "".join(t.text or "" for t in c.iter(m + "t"))
-            plain = val(c, "rPr/sty") == "p"
+        if c.tag.endswith("}r"):
+            text = "".join(t.text or "" for t in c.iter() if t.tag.endswith("}t"))
+            plain = val(c, "rPr/sty") == "p" or get(c, "rPr/nor") is not None
             out.append("&" if text == "&" else "\\" + text if plain and text in FUNCTIONS else f"\\text{{{text}}}" if plain else _text_latex(text))
         elif tag == "f":
             out.append(f"\\frac{{{inner(c, 'num')}}}{{{inner(c, 'den')}}}")
@@ -261,7 +294,25 @@ def from_omml(e: ElementTree.Element) -> str:
             out.append(f"\\{next((k for k, v in ACCENTS.items() if v == sign), 'hat')}{{{inner(c, 'e')}}}")
         elif tag == "bar":
             out.append(f"\\{'underline' if val(c, 'barPr/pos') == 'bot' else 'overline'}{{{inner(c, 'e')}}}")
-        elif not tag.endswith("Pr"):
+        elif tag == "func":
+            name = inner(c, "fName")
+            out.append(f"{chr(92) + name if name in FUNCTIONS else name} {inner(c, 'e')}")
+        elif tag == "sPre":
+            out.append(f"{{}}_{{{inner(c, 'sub')}}}^{{{inner(c, 'sup')}}}{inner(c, 'e')}")
+        elif tag in ("limLow", "limUpp"):
+            base, limit = inner(c, "e"), inner(c, "lim")
+            base = "\\" + base if base in FUNCTIONS else base
+            if base.removeprefix("\\") in FUNCTIONS:
+                out.append(f"{base}{'_' if tag == 'limLow' else '^'}{{{limit}}}")
+            else:
+                out.append(f"\\{'underset' if tag == 'limLow' else 'overset'}{{{limit}}}{{{base}}}")
+        elif tag == "groupChr":
+            found = (val(c, "groupChrPr/chr", "⏟"), val(c, "groupChrPr/pos", "bot"))
+            name = next((k for k, v in GROUPS.items() if v == found), None)
+            out.append(f"\\{name}{{{inner(c, 'e')}}}" if name else f"\\{'underset' if found[1] == 'bot' else 'overset'}{{{_text_latex(found[0])}}}{{{inner(c, 'e')}}}")
+        elif tag == "borderBox":
+            out.append(f"\\boxed{{{inner(c, 'e')}}}")
+        elif not c.tag.endswith("Pr"):
             out.append(from_omml(c))
     return _joined(out)
 
@@ -304,6 +355,14 @@ def to_mathml(node: tuple) -> str:
     if kind in ("matrix", "eqarr"):
         table = "<mtable>" + "".join("<mtr>" + "".join(f"<mtd>{one(c)}</mtd>" for c in r) + "</mtr>" for r in x[0]) + "</mtable>"
         return f"<mrow><mo>{_esc(x[1])}</mo>{table}<mo>{_esc(x[2])}</mo></mrow>" if kind == "matrix" and (x[1] or x[2]) else table
+    if kind == "box":
+        return f'<menclose notation="box">{one(x[0])}</menclose>'
+    if kind == "limit":
+        tag = "munder" if x[0] == "low" else "mover"
+        return f"<{tag}>{one(x[1])}{one(x[2])}</{tag}>"
+    if kind == "group":
+        tag = "munder" if x[1] == "bot" else "mover"
+        return f"<{tag}>{one(x[2])}<mo>{x[0]}</mo></{tag}>"
     if kind == "accent":
         return f'<mover accent="true">{one(x[1])}<mo>{x[0]}</mo></mover>'
     return f"<{'munder' if x[0] == 'bot' else 'mover'}>{one(x[1])}<mo>{'_' if x[0] == 'bot' else '¯'}</mo></{'munder' if x[0] == 'bot' else 'mover'}>"

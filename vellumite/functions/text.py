@@ -33,6 +33,18 @@ def safe_url(href: Column) -> Column:
     return F.when((bare != "") & ~scheme.isin(*UNSAFE_SCHEMES), bare)
 
 
+def percent_encoded(href: Column) -> Column:
+    """A link with what no address may hold written as bytes in hexadecimal; what is encoded already stays."""
+    plain = r"[\x21-\x7e&&[^\"<>\\^`{|}]]"
+    one = lambda c: F.when(c.rlike(plain), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
+    return F.array_join(F.transform(F.filter(F.split(href, ""), lambda c: c != ""), one), "")
+
+
+def css_string(text: Column) -> Column:
+    """A text as a quoted CSS string."""
+    return F.concat(F.lit('"'), F.replace(F.regexp_replace(text, r'([\\"])', r"\\$1"), F.lit("\n"), F.lit(r"\a ")), F.lit('"'))
+
+
 def link_kind(href: Column) -> Column:
     url = safe_url(href)
     return F.when(url.isNull(), "dropped").when(url.startswith("#"), "bookmark").when(url.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), "absolute").when(url.startswith("//"), "absolute").otherwise("relative")
