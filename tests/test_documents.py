@@ -173,7 +173,7 @@ def test_list_counters(spark):
     nodes = html.html_nodes(spark.createDataFrame([(1, page)], "page_id long, html string"))
     assert [r["ordinal"] for r in lists.html_ordinals(nodes).orderBy("node_id").collect()] == [3, 7, 6, 4, 5]
     levels = spark.createDataFrame([(1, i, x) for i, x in enumerate([0, 1, 1, 0, 1])], "d long, pos int, level int")
-    got = lists.multi_level_labels(lists.level_counters(levels, ["d"]), ["d"]).orderBy("pos").collect()
+    got = lists.multi_level_labels(lists.level_counters(levels, ["d"])).orderBy("pos").collect()
     assert [r["label"] for r in got] == ["1.", "1.1.", "1.2.", "2.", "2.1."]
     assert lists.nested_html([(0, "a"), (1, "b"), (0, "c")]) == "<ol><li>a<ol><li>b</li></ol></li><li>c</li></ol>"
 

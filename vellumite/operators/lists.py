@@ -27,27 +27,25 @@ def html_ordinals(nodes: DataFrame) -> DataFrame:
 
 
 def level_counters(items: DataFrame, keys: list[str], pos: str = "pos", level: str = "level") -> DataFrame:
-    """items with `counter`, the word-processor number of each: an item of a higher level starts deeper levels anew.
+    """items with `counter`, the word-processor number of each, and `counts`, the numbers of all nine levels then (0: none yet).
 
-    For each row: how many rows of its own level there are since the last row of a higher level. Per level the
-    resets are islands, so it is windows only.
+    An item of a higher level starts deeper levels anew. A level's number is how many rows of it there were so far,
+    less how many there were at the last row of a higher level; so two windows over one order do for all levels.
     """
     order = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    out = items
-    found = F.lit(None)
-    for k in range(9):
-        out = out.withColumn(f"_reset{k}", F.sum(F.when(F.col(level) < k, 1).otherwise(0)).over(order))
-    for k in range(9):
-        inside = Window.partitionBy(*keys, f"_reset{k}").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-        found = F.when(F.col(level) == k, F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(inside)).otherwise(found)
-    return out.withColumn("counter", found.cast("int")).drop(*[f"_reset{k}" for k in range(9)])
-
-
-def multi_level_labels(numbered: DataFrame, keys: list[str], pos: str = "pos", level: str = "level", counter: str = "counter") -> DataFrame:
-    """numbered with `label`, such as 2.1.3.: the counters of this and all higher levels; a level without one counts as 1."""
-    order = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    parts = [F.when(F.col(level) >= k, F.concat(F.coalesce(F.last(F.when(F.col(level) == k, F.col(counter)), ignorenulls=True).over(order), F.lit(1)).cast("string"), F.lit("."))).otherwise("") for k in range(9)]
-    return numbered.withColumn("label", F.concat(*parts))
+    every = [F.sum((F.col(level) == k).cast("int")).over(order).alias(f"_c{k}") for k in range(9)]
+    counted = items.select("*", *every)
+    before = [F.coalesce(F.max(F.when(F.col(level) < k, F.col(f"_c{k}"))).over(order), F.lit(0)).alias(f"_b{k}") for k in range(9)]
+    based = counted.select("*", *before)
+    counts = F.array(*[(F.col(f"_c{k}") - F.col(f"_b{k}")).cast("int") for k in range(9)])
+    out = based.withColumn("counts", counts).withColumn("counter", F.get("counts", F.col(level)))
+    return out.drop(*[f"_{x}{k}" for x in "cb" for k in range(9)])
+
+
+def multi_level_labels(numbered: DataFrame, level: str = "level") -> DataFrame:
+    """numbered (by level_counters) with `label`, such as 2.1.3.: the numbers of this and all higher levels; a level without one counts as 1."""
+    shown = F.transform(F.slice("counts", F.lit(1), F.col(level) + 1), lambda n: F.concat(F.greatest(n, F.lit(1)).cast("string"), F.lit(".")))
+    return numbered.withColumn("label", F.array_join(shown, ""))
 
 
 def nested_html(items: list[tuple[int, str]]) -> str:

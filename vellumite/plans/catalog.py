@@ -169,7 +169,7 @@ def list_items_numbered(spark, sf):
 def word_numbering(spark, sf):
     """Lines of an order as list items: the return flag and status give the level."""
     l = _t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_linestatus").alias("l_linestatus"), F.min("l_returnflag").alias("l_returnflag")).select("l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "O", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2).alias("level"))
-    got = lists.multi_level_labels(lists.level_counters(l, ["l_orderkey"], "l_linenumber"), ["l_orderkey"], "l_linenumber")
+    got = lists.multi_level_labels(lists.level_counters(l, ["l_orderkey"], "l_linenumber"))
     return got.select("l_orderkey", "l_linenumber", "level", "counter", "label")
 
 
@@ -376,7 +376,8 @@ def oracle_sql() -> dict[str, str]:
         "word_numbering": """WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'O' THEN 0 WHEN l_returnflag = 'R' THEN 1 ELSE 2 END AS level FROM (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS l_linestatus, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)),
           r AS (SELECT *, coalesce((SELECT max(b.l_linenumber) FROM l b WHERE b.l_orderkey = l.l_orderkey AND b.l_linenumber < l.l_linenumber AND b.level < l.level), -1) AS since FROM l),
           c AS (SELECT *, (SELECT count(*) FROM l b WHERE b.l_orderkey = r.l_orderkey AND b.level = r.level AND b.l_linenumber <= r.l_linenumber AND b.l_linenumber > r.since) AS counter FROM r),
-          u AS (SELECT *, coalesce(last_value(CASE WHEN level = 0 THEN counter END IGNORE NULLS) OVER w, 1) AS c0, coalesce(last_value(CASE WHEN level = 1 THEN counter END IGNORE NULLS) OVER w, 1) AS c1 FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))
+          z AS (SELECT *, coalesce(max(CASE WHEN level = 0 THEN l_linenumber END) OVER w, -1) AS top FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING)),
+          u AS (SELECT *, (SELECT greatest(count(*), 1) FROM l b WHERE b.l_orderkey = z.l_orderkey AND b.level = 0 AND b.l_linenumber <= z.l_linenumber) AS c0, (SELECT greatest(count(*), 1) FROM l b WHERE b.l_orderkey = z.l_orderkey AND b.level = 1 AND b.l_linenumber <= z.l_linenumber AND b.l_linenumber > z.top) AS c1 FROM z)
           SELECT l_orderkey, l_linenumber, level, CAST(counter AS INTEGER) AS counter, CASE level WHEN 0 THEN counter || '.' WHEN 1 THEN c0 || '.' || counter || '.' ELSE c0 || '.' || c1 || '.' || counter || '.' END AS label FROM u""",
         "feature_filter_links": "WITH c AS (SELECT conv_id AS doc_id, CAST(turn // 2 AS INTEGER) AS block_id, turn AS pos, CASE WHEN role = 'user' THEN 'link' WHEN length(text) % 3 = 0 THEN 'bookmark' ELSE 'text' END AS kind FROM conversations), m AS (SELECT *, bool_or(kind = 'link') OVER w AS lost, count(*) FILTER (kind NOT IN ('link', 'bookmark')) OVER w AS kept FROM c WINDOW w AS (PARTITION BY doc_id, block_id)) SELECT doc_id, block_id, pos, kind FROM m WHERE kind <> 'link' AND NOT (lost AND kept = 0)",
         "table_html": "SELECT o_orderstatus, '<table><thead><tr><th>o_orderpriority</th><th>n</th></tr></thead><tbody>' || string_agg('<tr><td>' || o_orderpriority || '</td><td>' || n || '</td></tr>', '' ORDER BY o_orderpriority) || '</tbody></table>' AS html FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1",
