@@ -42,7 +42,7 @@ def signed(n):
 
 
 def test_fingerprints():
-    for t in (None, "", " \n", "A", "a b c", "a b c d", "É x É x y", "the " * 50, " ".join(map(str, range(300)))):
+    for t in (None, "", " \n", "A", "a b c", "a b c d", "É x É x y", "the " * 50, " ".join(map(str, range(300))), " ".join(map(str, range(70_000)))):
         assert simhash.fingerprint(t) == plain_fingerprint(t)
 
 
@@ -256,6 +256,19 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert substring.without_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_inside_a_document(spark):
+    rng = random.Random(8)
+    passage, other = words(rng, 60), words(rng, 60)
+    rows = [(1, f"{words(rng, 20)} {passage}\n{words(rng, 30)}\n{passage} {words(rng, 20)}"), (2, f"{words(rng, 9)}\n{other}\n{other}"), (3, f"{words(rng, 30)}\n{passage}\n{words(rng, 5)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    across = {(r["doc_id"], r["kept_in"]) for r in substring.repeated_spans(df).collect()}
+    every = {(r["doc_id"], r["kept_in"]) for r in substring.repeated_spans(df, within=True).collect()}
+    assert across == {(3, 1)} and every == {(1, 1), (2, 2), (3, 1)}
+    left = {r["doc_id"]: r["text"] for r in substring.without_repeats(df, within=True).collect()}
+    middle = " ".join(passage.split()[15:45])
+    assert left[1].count(middle) == 1 and left[2].count(" ".join(other.split()[15:45])) == 1 and middle not in left[3]
+
+
 def brute(ids, x, k, queries):
     out = {}
     for i in np.flatnonzero(queries):

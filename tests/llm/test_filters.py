@@ -114,7 +114,8 @@ def test_measures_against_plain_python(spark):
     texts = [None, "", " \t\n", "one", "a b c d e a b c d e", "é漢 😀 x\x0by\x0cz", "l\nl\n \nl\nm"]
     texts += [rng.choice(["", "\n "]).join([]) + "".join(rng.choice(["a ", "b ", "c\n", "# ", "dd\t", " ", "|"]) for _ in range(rng.randrange(200))) for _ in range(120)]
     texts.append("w " * 40_000)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_words", F.lit("clash"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_words", F.lit("clash")).withColumn("_mwords", F.col("doc_id"))
+    assert quality.measures(df).columns[:3] == ["doc_id", "text", "_mwords"]
     got = {r["doc_id"]: tuple(r[c] for c in (*quality.MEASURES, "base_failed")) for r in quality.measures(df).collect()}
     assert got == {i: counts(t) for i, t in enumerate(texts)}
 
@@ -214,6 +215,75 @@ def test_kneser_ney_sums_to_one():
             assert np.exp(m.logp(np.array([k << 16 | c for c in range(n)], np.uint64))).sum() == pytest.approx(1)
 
 
+def plain_kneser_ney(counts, alphabet):
+    """P(last | others) of 4 characters by the definition, level by level, in plain dictionaries."""
+    levels, now = [], dict(counts)
+    for order in range(4, 0, -1):
+        once, twice = (sum(n == k for n in now.values()) for k in (1, 2))
+        d = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+        total, kinds = Counter(), Counter()
+        for g, n in now.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        levels.append((now, d, total, kinds))
+        if order > 1:
+            now = Counter(g[1:] for g in now)  # distinct left neighbours
+
+    def p(gram, level=0):
+        if level == 4:
+            return 1 / alphabet
+        now, d, total, kinds = levels[level]
+        context = gram[:-1]
+        lower = p(gram[1:], level + 1)
+        if not total[context]:
+            return lower
+        return max(now.get(gram, 0) - d, 0) / total[context] + d * kinds[context] / total[context] * lower
+
+    return p
+
+
+def test_kneser_ney_against_a_plain_version():
+    rng = random.Random(7)
+    texts = {"a": "".join(rng.choices("abc ", (5, 3, 2, 2), k=900)), "b": "".join(rng.choices("abd ", (2, 3, 5, 2), k=700))}
+    counts = {k: Counter(("   " + t)[i : i + 4] for i in range(len(t))) for k, t in texts.items()}
+    models = langid.LanguageModels(counts)
+    code = {" ": 0, **{c: i + 2 for i, c in enumerate(models.letters)}}
+    n = len(models.letters) + 2
+    for model, name in zip(models.models, models.languages):
+        p = plain_kneser_ney(counts[name], n)
+        grams = ["".join(g) for g in itertools.product("abcd ", repeat=4)]
+        packed = np.array([sum(code[c] << 16 * (3 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
+        assert np.exp(model.logp(packed)) == pytest.approx([p(g) for g in grams], rel=1e-9)
+    # The loss of a text is the mean of the characters' losses, each after the three before it.
+    text = "abad cab dab"
+    sums, sizes, _ = models.losses([text])
+    for k, name in enumerate(models.languages):
+        p = plain_kneser_ney(counts[name], n)
+        want = -sum(math.log(p(("   " + text)[i : i + 4])) for i in range(len(text)))
+        assert sums[0][k] == pytest.approx(want, rel=1e-5) and sizes[0] == len(text)
+
+
+def test_language_of_odd_rows(spark):
+    rows = [(1, "der die das und nicht " * 9, "de"), (1, "der die das und nicht " * 9, "de"), (2, "the and of to which " * 9, "en"), (None, "the of and", "en"), (3, "ab " * (1 << 20), None), (4, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("l", F.lit("clash")).withColumn("n", F.lit(1))
+    models = langid.fit(docs, 5)
+    assert models.languages == ["de", "en"]
+    got = sorted((r["doc_id"] or 0, r["lang_pred"]) for r in langid.identify(docs, models).collect())
+    assert [g for g in got if g[0] in (0, 1, 2, 4)] == [(0, "en"), (1, "de"), (1, "de"), (2, "en"), (4, "und")] and len(got) == 6
+    assert langid.identify(docs.limit(0), models).count() == 0
+
+
+def test_scores_of_odd_rows(spark):
+    """Repeated rows each have a score, columns may clash, a very long text is whole, an empty table gives none."""
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "x " * 600_000), (None, "a b"), (3, " \n"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit(1)).withColumn("good", F.lit("clash"))
+    good = spark.createDataFrame([(1,), (None,)], "doc_id long")
+    got = lm_score.cross_entropy_difference(docs, good).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 2), (1, 5), (1, 5), (2, 600_000), (3, 0), (4, 0)]
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and all(r["score"] is None for r in got if r["n_tokens"] == 0)
+    assert lm_score.cross_entropy_difference(docs.limit(0), good).count() == 0
+
+
 def test_losses_do_not_depend_on_batches():
     grams = {"a": Counter({"   a": 3, "  ab": 2, " aba": 2, "abab": 9}), "b": Counter({"   z": 2, "  zz": 5})}
     m = langid.LanguageModels(grams)

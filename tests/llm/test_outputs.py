@@ -272,6 +272,30 @@ def test_many_sources(spark):
     assert all(abs(taken[s] - want[s]) <= 0.02 * size[s] for s in want)
 
 
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, an extra column whose name clashes, a very long text."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one = text(40)
+    rows = [(1, one, "en", "a", 1, "x"), (1, one, "en", "a", 1, "x"), (None, text(50), None, None, None, None), (2, None, None, None, None, None), (3, "", "en", "a", 0, None), (4, text(30_000), "de", "b", 5, "y"), (5, text(60), None, "b", None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} <= {1, None, 4, 5} and {4, 5} <= {r["doc_id"] for r in got}
+
+
 def test_pipeline_against_plain_python(spark, tokenizer, tmp_path):
     """Every stage's decisions on a small corpus: what goes, what stays, what is cut, what is packed."""
     import corpus_pipeline

@@ -91,17 +91,21 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     hash (xxhash64) inside one document. The work on a document is linear but for one sort, and that only
     where some window repeats. Nothing is shuffled.
     """
+    mark = "_m"  # before the names of what is needed on the way; no column of df begins with it
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    words, hashes, shown = (f"{mark}{n}" for n in ("words", "hashes", "lines"))
     t = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(t, F.lit(SPACES))
-    out = df.drop(*MEASURES, "base_failed").withColumn("_w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN, -1)))
-    w = F.col("_w")
+    out = df.drop(*MEASURES, "base_failed").withColumn(words, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN, -1)))
+    w = F.col(words)
     out = out.withColumn("n_words", F.size(w).cast("long")).withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
     windows = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("_h", windows).withColumn("_lines", lines).drop("_w")
+    out = out.withColumn(hashes, windows).withColumn(shown, lines).drop(words)
     out = out.withColumn("n_symbols", F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"))
-    out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    out = out.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0).cast("long")).otherwise(_covered(F.col("_h")))).drop("_h")
+    out = out.withColumn("n_dup_lines", (F.size(shown) - F.size(F.array_distinct(shown))).cast("long")).drop(shown)
+    out = out.withColumn("n_repeat_words", F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_covered(F.col(hashes)))).drop(hashes)
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     # A generator of one row: no filter on a measure is moved below it, where the measure would be taken again and again.
     found = (*MEASURES, "base_failed")

@@ -10,7 +10,8 @@ there is a cut every MOST bytes.
 Chunks are compared by a 128-bit digest over all documents. A chunk that several documents hold stays in
 the one with the smallest doc_id; in the others it is a repeat. Adjacent repeats are one span, and spans
 shorter than `least_bytes` are left alone, as a few common words may meet by chance. Repeats inside one
-document only are no repeats here.
+document are left alone too, unless they are asked for (`within`): then a chunk's first place in the document
+that keeps it stays, and its later places there are repeats as well.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return slim.mapInArrow(run, "doc_id long, text_hash long, at int, bytes int, d1 long, d2 long")
 
 
-def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES, doc_id: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
     """One row per span of a document that an earlier document holds: doc_id, text_hash, start, bytes, chunks, kept_in.
 
     `kept_in` is the document that keeps the span's first chunk. Rows equal in doc_id and text are one
@@ -121,10 +122,14 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES, doc_id: str
     """
     found = written(chunks(docs, doc_id, text), "chunks")
     key = F.coalesce("doc_id", F.lit(_LAST))
-    seen = found.groupBy("d1", "d2").agg(F.min(key).alias("first_id"), F.max(key).alias("last_id"), F.min("text_hash").alias("first_hash"), F.max("text_hash").alias("last_hash"))
-    shared = written(seen.where("first_id <> last_id or first_hash <> last_hash"), "shared")
+    place = [F.min(F.struct(key.alias("id"), "text_hash", "at")).alias("place"), F.count(F.lit(1)).alias("n")] if within else []
+    seen = found.groupBy("d1", "d2").agg(F.min(key).alias("first_id"), F.max(key).alias("last_id"), F.min("text_hash").alias("first_hash"), F.max("text_hash").alias("last_hash"), *place)
+    shared = written(seen.where("first_id <> last_id or first_hash <> last_hash" + (" or n > 1" if within else "")), "shared")
     repeat = F.when(F.col("first_id") != F.col("last_id"), key != F.col("first_id")).otherwise(F.col("text_hash") != F.col("first_hash"))
-    s = shared.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "first_id", "last_id", "first_hash")
+    if within:
+        own = (key == F.col("place")["id"]) & (F.col("text_hash") == F.col("place")["text_hash"])
+        repeat |= own & (F.col("at") > F.col("place")["at"])
+    s = shared.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "first_id", "last_id", "first_hash", *(["place"] if within else []))
     met = found.join(s, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))).where(repeat)
     by_doc = met.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("at", "bytes", "first_id"))).alias("c"))
     def run(batches):
@@ -148,13 +153,13 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES, doc_id: str
     return by_doc.mapInArrow(run, "doc_id long, text_hash long, start int, bytes int, chunks int, kept_in long")
 
 
-def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES, doc_id: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
     """docs with the repeated spans cut out of `text` (and `n_chars`, where docs has it, counted anew).
 
     A document that loses all its words goes; one without repeats stays as it is, an empty one too.
     """
     columns = docs.columns
-    spans = repeated_spans(docs, least_bytes, doc_id, text)
+    spans = repeated_spans(docs, least_bytes, doc_id, text, within)
     lists = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "bytes"))).alias("_spans"))
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans")
     rows = docs.select(F.struct(*columns).alias("_row"), F.col(doc_id).cast("long").alias("_doc"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
