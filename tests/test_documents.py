@@ -153,6 +153,10 @@ def test_declarations():
     assert [s for s, _ in rules] == ["a", "b > c", "i"]
 
 
+def test_css_strings():
+    assert css.unquoted(' "a\\"b" ') == 'a"b' and css.unquoted(r"'\26 x\2022y\41 '") == "&x•yA" and css.unquoted("word") == "word" and css.unescaped(r"\0 \d800 z") == "\ufffd\ufffdz"
+
+
 def test_cascade(spark):
     nodes = html.html_nodes(spark.createDataFrame([(1, "<div id=x><p class='a b'>t</p></div>")], "page_id long, html string"))
     sheet = "p{color:one} .a{color:two} div p{color:three} p.a.b{color:four} .a{margin:0 !important} #x p{margin:1px}"

@@ -94,8 +94,8 @@ class Options:
     author: str | None = None
     language: str | None = None
     created: str = "1980-01-01T00:00:00Z"
-    base_font: str = "Times New Roman"
-    base_size_pt: float = 12.0
+    base_font: str = "Calibri"
+    base_size_pt: float = 11.0
     base_color: str = "#000000"
     default_stylesheet: str | None = None  # in place of the editor's
     base_stylesheet: str = ""  # between the default and the page's own

@@ -7,6 +7,7 @@ import re
 from vellumite.functions.numbers import GREEK
 from vellumite.kernels.dom import Node
 from vellumite.kernels.units import alphabetic
+from vellumite.operators.css import unquoted
 
 # Fixed values: (format, text) of list-style-type; {} is the place of the number.
 FORMATS = {
@@ -18,7 +19,7 @@ FORMATS = {
 
 def literal(kind: str) -> str | None:
     """The marker that a quoted list-style-type spells out."""
-    return re.sub(r"\\(.)", r"\1", kind[1:-1] if kind[-1:] == kind[0] and len(kind) > 1 else kind[1:]).rstrip(" ") if kind[:1] in ("'", '"') else None
+    return unquoted(kind).rstrip(" ") if kind[:1] in ("'", '"') else None
 
 
 def level_format(kind: str, level: int, value: int) -> tuple[str, str]:

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from vellumite.kernels.dom import Node
 from vellumite.kernels.selectors import Test, matcher, specificity
 from vellumite.kernels.units import colour, points, rounded, twips
-from vellumite.operators.css import declarations, split_top_level, style_rules
+from vellumite.operators.css import declarations, split_top_level, style_rules, unquoted
 
 DEFAULT, BASE, AUTHOR = 0, 1, 2
 # Display types that make blocks.
@@ -203,8 +203,7 @@ def _size(value: str | None, parent: Style) -> float:
 
 def _family(value: str | None) -> str | None:
     for name in split_top_level(value or "", ","):
-        name = name.strip()
-        name = name[1:-1] if name[:1] in "\"'" and name[-1:] == name[:1] and len(name) > 1 else name
+        name = unquoted(name)
         if name.lower() in ("inherit", "initial", "unset"):
             return None
         if name and name.lower() not in SYSTEM:

@@ -28,13 +28,34 @@ th { font-weight: bold; text-align: center } td, th { padding: 1px; vertical-ali
 hr { border-top: 1px solid gray; margin: 0.5em 0 } fieldset { border: 2px solid silver; padding: 0.35em 0.75em 0.625em }
 bdo[dir=rtl] { direction: rtl } bdo[dir=ltr] { direction: ltr }
 """
-#: What an editor's own sheet changes, by profile; the plain profile is the browser's.
+# What the editors' own content sheets change, by profile; the plain profile is the browser's.
 PROFILES = {
     "plain": "",
-    "suneditor": "figcaption { text-align: center } table { width: 100% } td, th { border: 1px solid #E1E1E1; padding: 0.4em }",
-    "ckeditor": "figure { margin: 0.9em auto } figcaption { text-align: center; background-color: #F7F7F7; font-size: 0.75em } td, th { border: 1px solid #BFBFBF; padding: 0.4em }",
-    "tinymce": "td, th { border: 1px solid #CCCCCC; padding: 0.4rem } figcaption { color: #999999; text-align: center; margin-top: 0.25rem }",
-    "tiptap": "td, th { border: 1px solid #CED4DA; padding: 3px 5px; vertical-align: top }",
+    "suneditor": """
+p { margin: 0 0 10px 0 } li { margin-bottom: 5px } dl { margin: 0 0 10px } a { color: #0056b3; text-decoration: none } a[href] { color: #0056b3; text-decoration: none }
+pre { white-space: pre-wrap; color: #666; line-height: 1.45; margin: 0 0 10px; padding: 8px; background-color: #f9f9f9; border: 1px solid #e1e1e1 }
+blockquote { color: #999; margin: 1em 0; padding: 0 5px 0 20px; border-left: 5px solid #b1b1b1 }
+ol ol, ul ol { list-style-type: lower-alpha } ol ol ol, ul ol ol, ul ul ol { list-style-type: upper-roman }
+hr { border: 0; border-top: 1px solid #333; height: 20px; margin: 20px 0 0 0 } hr.__se__dotted { border-top-style: dotted } hr.__se__dashed { border-top-style: dashed }
+table { width: 100%; margin: 0 0 10px; border: 1px solid #cecece } td, th { border: 1px solid #cecece; padding: 0.4em }
+figure { margin: 0 } figcaption { text-align: center; padding: 1em 0.5em; background-color: #f9f9f9 } .se-component { margin: 0 0 10px } .se-inline-component { display: inline-block; margin: 0 }
+.__se__float-left { text-align: left } .__se__float-center { text-align: center } .__se__float-right { text-align: right }
+.__se__p-spaced { letter-spacing: 1px } .__se__p-bordered { border-top: 1px solid #b1b1b1; border-bottom: 1px solid #b1b1b1; padding: 4px 0 }
+.__se__p-neon { font-weight: 200; font-style: italic; color: #fff; background-color: #000; border: 2px solid #fff; padding: 6px 4px; text-transform: uppercase }
+.__se__t-shadow { text-shadow: 0 0 0.2rem #999 } .__se__t-code { font-family: monospace; color: #666; background-color: rgba(27, 31, 35, 0.05) }""",
+    "ckeditor": """
+table { border: 1px double #b3b3b3 } td, th { border: 1px solid #bfbfbf; padding: 0.4em } th { background-color: #f2f2f2 } table.table { margin: 0.9em auto }
+blockquote { margin-left: 0; margin-right: 0; padding-left: 1.5em; padding-right: 1.5em; font-style: italic; border-left: 5px solid #cccccc; overflow: hidden }
+pre { color: #353535; white-space: pre-wrap; background-color: #dddddd; border: 1px solid #c4c4c4; margin: 0.9em 0; padding: 1em } code { background-color: #dddddd }
+.image { text-align: center; margin: 0.9em auto } .image > figcaption { padding: 0.6em; font-size: 0.75em; text-align: center }
+.image-style-align-left { float: left; margin-right: 1.5em } .image-style-align-right, .image-style-side { float: right; margin-left: 1.5em }
+.text-tiny { font-size: 0.7em } .text-small { font-size: 0.85em } .text-big { font-size: 1.4em } .text-huge { font-size: 1.8em }
+.marker-yellow { background-color: #fdfd77 } .marker-green { background-color: #62f962 } .marker-pink { background-color: #fc7899 } .marker-blue { background-color: #72ccfd }
+.pen-red { color: #e71313 } .pen-green { color: #128a00 }""",
+    "tinymce": """
+table:not([cellpadding]) th, table:not([cellpadding]) td { padding: 0.4rem } table[border]:not([border="0"]) th, table[border]:not([border="0"]) td { border: 1px solid #cccccc }
+figure { margin: 1rem auto } figure figcaption { margin-top: 0.25rem; text-align: center }""",
+    "tiptap": "",
 }
 
 

@@ -44,6 +44,26 @@ def _words(value: str) -> list[str]:
     return [x for x in split_top_level(re.sub(r"\s+", " ", value.strip()), " ") if x]
 
 
+def unescaped(text: str) -> str:
+    """CSS escapes as the characters they stand for: \\26 and its like with one space after, or any character after a backslash."""
+
+    def one(m: re.Match) -> str:
+        if m[1]:
+            code = int(m[1], 16)
+            return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+        return "" if m[2] == "\n" else m[2]
+
+    return re.sub(r"\\(?:([0-9A-Fa-f]{1,6})[ \t\n]?|(.|\n))", one, text)
+
+
+def unquoted(text: str) -> str:
+    """A string without its quotes, or a word as it stands, escapes resolved."""
+    text = text.strip()
+    if len(text) > 1 and text[0] in "\"'" and text[-1] == text[0]:
+        text = text[1:-1]
+    return unescaped(text)
+
+
 def _four(values: list[str]) -> list[str]:
     return [values[0], values[1 % len(values)] if len(values) > 1 else values[0], values[2] if len(values) > 2 else values[0], values[3] if len(values) > 3 else (values[1] if len(values) > 1 else values[0])]
 
