@@ -109,15 +109,16 @@ def test_wide_fingerprints_and_their_keys(spark):
         node, raw, parts, weak, info = simhash.shingle_sketch(t)
         hashes = sorted({int.from_bytes(xxh3_64_digest(b" ".join(g)), "little") for g in shingle_set(t)})
         mixed = []
+        salt = [[xxh64_intdigest(k.to_bytes(2, "little") + bytes([side])) for side in (0, 1)] for k in range(9)]
         for h in hashes:
             word = []
             for k in range(9):
-                x = (h ^ int(simhash._XOR[k])) * int(simhash._TIMES[k]) % 2**64
+                x = (h ^ salt[k][0]) * (salt[k][1] | 1) % 2**64
                 x = (x ^ (x >> 32)) * 0x94D049BB133111EB % 2**64
                 word.append(x ^ (x >> 29))
             mixed.append(word)
         margin = [sum(1 if w[b // 64] >> (b % 64) & 1 else -1 for w in mixed) for b in range(576)]
-        assert simhash.votes(np.array(hashes, np.uint64)).tolist() == margin
+        assert simhash.votes(np.array(hashes, np.uint64), 536).tolist() == margin
         assert np.frombuffer(raw, "<u4").tolist() == sorted({h % 2**32 for h in hashes})
         keys = set()
         for s in range(24):
@@ -128,7 +129,8 @@ def test_wide_fingerprints_and_their_keys(spark):
             keys |= {(s * 20 + i) << 20 | value & ~(1 << i) for i in worst}
         assert sum(1 << b for b in range(56) if margin[480 + b] > 0) == (info % 2**64) >> 8 and (info % 256) == int(math.log(max(1, len(hashes))) / math.log(1.06))
         df = spark.createDataFrame([(node, list(map(int, parts)), list(map(int, weak)), info)], "node long, parts array<int>, weak array<int>, info long")
-        assert {r["key"] for r in simhash._keys(df).collect()} == keys and len(keys) == 192
+        assert {r["key"] for r in simhash._keys(df, 20).collect()} == keys and len(keys) == 192
+    assert simhash.segments(50_000) == (24, 20) and simhash.segments(250_000)[1] == 22 and simhash.segments(0)[1] == 16
 
 
 def test_recall_of_pairs_at_the_similarity(spark):
@@ -164,11 +166,40 @@ def test_crowded_keys(spark, few, monkeypatch):
     rows += [" ".join(f"z{rng.randrange(10**7)}" for _ in range(200)) for _ in range(20)]
     n = len(rows) - 23
     links = simhash.similar_links
-    monkeypatch.setattr(simhash, "similar_links", lambda classes, similarity: links(classes, similarity, few))
+    monkeypatch.setattr(simhash, "similar_links", lambda classes, shape, similarity: links(classes, shape, similarity, few))
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert kept == {0, *range(n + 3, n + 23)}  # texts n to n + 2 are within 0.8 of one copy each
 
 
+def test_pairs_meet_under_their_first_key_only(spark):
+    """Against a plain search for the first key that two classes share."""
+    rng = random.Random(2)
+    shape = (6, 12)
+    rows = []
+    base = [f"w{i}" for i in range(60)]
+    for i in range(40):
+        w = list(base)
+        for at in rng.sample(range(60), rng.randint(0, 6)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        node, _, parts, weak, info = simhash.shingle_sketch(" ".join(w), 5, shape)
+        rows.append((node, list(map(int, parts)), list(map(int, weak)), info))
+    rows = list({r[0]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "node long, parts array<int>, weak array<int>, info long")
+    keyed = simhash._keys(df, 12).join(df.select(F.col("node").alias("n"), "parts", "weak"), F.col("node") == F.col("n"))
+    other = keyed.select(*[F.col(c).alias(f"_{c}") for c in ("key", "node", "parts", "weak")])
+    got = sorted((r["key"], r["node"], r["_node"]) for r in keyed.join(other, (F.col("key") == F.col("_key")) & (F.col("node") > F.col("_node")) & simhash._near(12, 6)).collect())
+    keys = {}
+    for r in simhash._keys(df, 12).collect():
+        keys.setdefault(r["node"], set()).add(r["key"])
+    want, most = [], int(72 * 0.16 + 2.5 * math.sqrt(72 * 0.16 * 0.84))
+    for a in rows:
+        for b in rows:
+            far = sum((x ^ y).bit_count() for x, y in zip(a[1], b[1]))
+            if a[0] > b[0] and far <= most and keys[a[0]] & keys[b[0]]:
+                want.append((min(keys[a[0]] & keys[b[0]], key=lambda k: k >> 12), a[0], b[0]))
+    assert got == sorted(want) and len(want) > 50
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     rows = [(r["doc_id"], r["text"]) for r in docs] + [(9001, None), (9002, ""), (9002, ""), (None, docs[0]["text"])]

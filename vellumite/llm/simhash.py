@@ -13,11 +13,12 @@ from both, so linking every member to the minimum of its 2081 points finds the s
 that grows with the members, not with their square.
 
 keep_one, the pipeline's near-dedup, wants all pairs whose word shingles have a Jaccard similarity of 0.8. Such
-sets differ in 15 % of a SimHash's bits, so no few segments of 64 bits would do. It makes 536 bits: 24 segments
-of 20, and 56 that only the check sees. A segment's wildcard is put on its 8 weakest bits in turn (those whose
-votes were closest to even; a bit that differs between near copies is one of these), so a class has 192 keys.
-A pair meets where in some segment at most one bit differs: from 0.85 on practically always, at exactly 0.8 in
-some 98 of 100 pairs. What meets is checked by the 56 bits and the sets' sizes, which each key
+sets differ in 15 % of a SimHash's bits, so no few segments of 64 bits would do. Its fingerprints have segments of
+some 4 bits more than the logarithm of the number of texts, so that chance meetings stay few at every size, and
+as many segments as find such pairs with a probability of 0.975: 24 of 20 bits for 50,000 texts, 32 of 22 for
+250,000. A segment's wildcard is put on its 8 weakest bits in turn (those whose votes were closest to even; a bit
+that differs between near copies is one of these). A pair meets where in some segment at most one bit differs:
+from 0.85 on practically always. What meets is checked by 56 further bits and the sets' sizes, which each key
 carries along, then by the shingle sets themselves.
 """
 
@@ -164,35 +165,45 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 #: Texts of this similarity over their shingles are near duplicates.
 SIMILARITY = 0.8
-#: Segments of the wide fingerprint, bits of each, and how many of them take the wildcard.
-PARTS, PART_BITS, WEAKEST = 24, 20, 8
-#: Sets of similarity 0.8 differ in some 8 of the check's 56 bits, give or take 3; unlike ones in 28, give or take 4.
+#: Bits of a segment that take the wildcard, and the chance that a pair at the similarity is not met.
+WEAKEST, MISSED = 8, 0.025
+#: Bits that differ between sets of similarity 0.8, as a share (small sets: a little more than 0.1515).
+DIFFER = 0.16
+#: Such sets differ in some 8 of the check's 56 bits, give or take 3; unlike ones in 28, give or take 4.
 CHECK_MOST = 19
 #: A set's size is told in steps of 6 %; those of sets of similarity 0.8 are 4 steps apart at most.
 STEP, STEPS = math.log(1.06), 4
 #: Members of a key up to which its pairs are checked at once; fuller keys are folded first.
 FEW = 2
-_WORDS = (PARTS * PART_BITS + 56 + 63) // 64
-_XOR, _TIMES = (np.array([xxh64_intdigest(bytes([k, side])) for k in range(_WORDS)], np.uint64) for side in (0, 1))
-_TIMES |= np.uint64(1)
-_PLACES = np.int32(1) << np.arange(PART_BITS, dtype=np.int32)
 _COLUMNS = "node long, shingles binary, parts array<int>, weak array<int>, info long"
 
 
-def votes(hashes: np.ndarray) -> np.ndarray:
-    """Ones less zeros at every bit of the wide fingerprint, over a set of 64-bit hashes."""
-    ones = np.zeros(64 * _WORDS, np.int64)
+def segments(texts: int) -> tuple[int, int]:
+    """(number of segments, bits of each) for so many texts."""
+    bits = min(30, max(16, math.ceil(math.log2(max(2, texts))) + 4))
+    same = 1 - 0.1515
+    met = same**bits + 0.8 * bits * 0.1515 * same ** (bits - 1)  # the bit that differs is among the weakest of both in 4 of 5 pairs
+    return math.ceil(math.log(MISSED) / math.log(1 - met)), bits
+
+
+def votes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Ones less zeros at every bit of a fingerprint of `bits` bits (rounded up to 64), over a set of 64-bit hashes."""
+    words = -(-bits // 64)
+    xor, times = (np.array([xxh64_intdigest(k.to_bytes(2, "little") + bytes([side])) for k in range(words)], np.uint64) for side in (0, 1))
+    times |= np.uint64(1)
+    ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), 4080):
-        x = (hashes[at : at + 4080, None] ^ _XOR) * _TIMES
+        x = (hashes[at : at + 4080, None] ^ xor) * times
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8), axis=1, bitorder="little")
-        for k in range(0, len(bits), 255):
-            ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+        found = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(found), 255):
+            ones += np.add.reduce(found[k : k + 255], axis=0, dtype=np.uint8)
     return 2 * ones - len(hashes)
 
 
-def shingle_sketch(text: str | None, shingle: int = 5) -> tuple:
+def shingle_sketch(text: str | None, shingle: int = 5, shape: tuple[int, int] = (24, 20)) -> tuple:
     """Of the set of word shingles: a 64-bit hash, the set as sorted 32-bit hashes, the segments, masks of their weakest bits, and the check's bits beside the size."""
+    parts, size = shape
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -200,20 +211,20 @@ def shingle_sketch(text: str | None, shingle: int = 5) -> tuple:
     n = max(1, len(words) - shingle + 1) if words else 0
     starts, ends = (ends - sizes + 1)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist() if words else []
     whole = np.unique(np.frombuffer(b"".join([xxh3_64_digest(joined[a:b]) for a, b in zip(starts, ends)]), "<u8"))
-    found = votes(whole)
-    lead = found[: PARTS * PART_BITS].reshape(PARTS, PART_BITS)
+    found = votes(whole, parts * size + 56)
+    lead, places = found[: parts * size].reshape(parts, size), np.int32(1) << np.arange(size, dtype=np.int32)
     weak = np.argsort(np.abs(lead), axis=1, kind="stable")[:, :WEAKEST]
-    check = np.packbits(np.append(found[PARTS * PART_BITS :][:56] > 0, np.zeros(8, bool)), bitorder="little").view("<u8")
+    check = np.packbits(np.append(found[parts * size :][:56] > 0, np.zeros(8, bool)), bitorder="little").view("<u8")
     info = int(check[0]) << 8 | min(255, int(math.log(max(1, len(whole))) / STEP))
-    return _bits(xxh3_64_intdigest(whole.tobytes())), np.unique(whole.astype("<u4")).tobytes(), (lead > 0) @ _PLACES, _PLACES[weak].sum(1, dtype=np.int32), _bits(info)
+    return _bits(xxh3_64_intdigest(whole.tobytes())), np.unique(whole.astype("<u4")).tobytes(), (lead > 0) @ places, places[weak].sum(1, dtype=np.int32), _bits(info)
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, bits: int) -> DataFrame:
     """(key, node, info): each segment without one of its weakest bits, beside which bit of which segment it is."""
-    bits = f"filter(sequence(0, {PART_BITS - 1}), i -> (shiftright(weak[s], i) & 1) = 1)"
-    key = f"shiftleft(s * {PART_BITS} + i, {PART_BITS}) | (v & ~shiftleft(1, i))"
+    which = f"filter(sequence(0, {bits - 1}), i -> (shiftright(weak[s], i) & 1) = 1)"
+    key = f"shiftleft(cast(s * {bits} + i as bigint), {bits}) | cast(v & ~shiftleft(1, i) as bigint)"
     spread = classes.select("node", "info", "parts", "weak").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    return spread.select(F.explode(F.expr(f"flatten(transform(parts, (v, s) -> transform({bits}, i -> {key})))")).alias("key"), "node", "info")
+    return spread.select(F.explode(F.expr(f"flatten(transform(parts, (v, s) -> transform({which}, i -> {key})))")).alias("key"), "node", "info")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -245,45 +256,64 @@ def _underscored(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"_{c}") for c in columns])
 
 
-def similar_links(classes: DataFrame, similarity: float = SIMILARITY, few: int = FEW, stars: int = 3) -> DataFrame:
+def _near(bits: int, parts: int) -> Column:
+    """Whether two rows with `parts` and `weak` differ as little over all bits as sets of the similarity do, and this key is the first that they share."""
+    total = bits * parts
+    most = int(total * DIFFER + 2.5 * math.sqrt(total * DIFFER * (1 - DIFFER)))
+    far = "aggregate(zip_with(parts, _parts, (a, b) -> bit_count(a ^ b)), 0, (x, y) -> x + y)"
+    both = "(weak[t] & _weak[t])"
+    shared = f"(CASE bit_count(parts[t] ^ _parts[t]) WHEN 0 THEN {both} <> 0 WHEN 1 THEN ((parts[t] ^ _parts[t]) & {both}) <> 0 ELSE false END)"
+    slot = f"cast(shiftright(key, {bits}) as int)"
+    earlier = f"exists(filter(sequence(0, {parts - 1}), t -> t < {slot} div {bits}), t -> {shared})"
+    # Where a whole segment is equal, several keys are shared: the one of its first common bit counts.
+    own = f"{slot} div {bits}"
+    first = f"(parts[{own}] <> _parts[{own}] OR shiftleft(1, {slot} % {bits}) = ((weak[{own}] & _weak[{own}]) & -(weak[{own}] & _weak[{own}])))"
+    return F.expr(f"{far} <= {most} AND NOT {earlier} AND {first}")
+
+
+def similar_links(classes: DataFrame, shape: tuple[int, int], similarity: float = SIMILARITY, few: int = FEW, stars: int = 3) -> DataFrame:
     """Links (a, b) between classes (node, shingles, parts, weak, info) that share a key and have the similarity, enough for all components.
 
     Under keys of up to `few` members, as chance and pairs make them, all pairs are checked. Of fuller keys every
-    member is compared with one other of another component, `stars` times with different ones, which folds dense
-    groups without pairs; then members of different components meet, and there the largest component's members
-    are compared with the rest only. So a key that a dense group fills costs its members times the few that are
-    not of it, and no pair is left out.
+    member is compared with one other of another component: first with the one that shares keys with most others,
+    as the original of many copies does, then `stars` - 1 times with any. That folds dense groups without pairs.
+    Then members of different components meet, each pair under its first key only, and there the largest component's
+    members are compared with the rest only. No pair is left out but those that differ too much over all bits.
     """
-    spark = classes.sparkSession
-    keyed = _keys(classes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    spark, (parts, bits) = classes.sparkSession, shape
+    keyed = _keys(classes, bits).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     keyed = written(keyed, "keyed")
-    loose, full = keyed.where(F.col("n") <= few).drop("n"), keyed.where(F.col("n") > few).drop("n")
+    loose, full = keyed.where(F.col("n") <= few), keyed.where(F.col("n") > few)
     met = loose.join(_underscored(loose, "key", "node", "info"), (F.col("key") == F.col("_key")) & (F.col("node") > F.col("_node")) & _close())
     links = written(_alike(met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct(), classes, similarity), "links")
     if full.isEmpty():
         return links
+    company = written(full.groupBy(F.col("node").alias("_n")).agg(F.sum("n").alias("met")), "company")
     fields, other = ("node", "info", "part"), (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part"))
     path = ""
     for k in range(stars + 1):
-        folded = components(links).select(F.col("node").alias("_n"), "component")
-        parts = full.join(folded, F.col("node") == F.col("_n"), "left").select("key", "node", "info", F.coalesce("component", "node").alias("part"))
+        folded = components(links).select(F.col("node").alias("_f"), "component")
+        about = company.join(folded, F.col("_n") == F.col("_f"), "left").select("_n", "met", F.coalesce("component", "_n").alias("part"))
         before, path = path, fresh_path(spark, "parts")
-        seen = written_at(parts, path)
+        seen = written_at(full.join(about.hint("merge"), F.col("node") == F.col("_n")).select("key", "met", *fields), path)
         if before:
             remove_path(spark, before)
         if k == stars:
             break
-        heads = seen.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), *fields)).alias("m")).select(F.col("key").alias("_key"), "m.order", *[F.col(f"m.{c}").alias(f"_{c}") for c in fields])
+        order = F.struct(F.when(F.lit(k == 0), -F.col("met")).otherwise(F.lit(0)).alias("m"), F.xxhash64("node", F.lit(k)).alias("h"))
+        heads = seen.groupBy("key").agg(F.min(F.struct(order.alias("order"), *fields)).alias("m")).select(F.col("key").alias("_key"), "m.order", *[F.col(f"m.{c}").alias(f"_{c}") for c in fields])
         met = seen.join(heads, other & _close()).groupBy("node").agg(F.min(F.struct("order", "_node")).alias("m"))
         links = links.unionAll(written(_alike(met.select(F.col("node").alias("a"), F.col("m._node").alias("b")), classes, similarity), "star"))
     by_part = seen.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_part.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("large"), F.count(F.lit(1)).alias("several")).where("several > 1").select(F.col("key").alias("_k"), "large")
-    mixed = written(seen.join(mixed.hint("merge"), F.col("key") == F.col("_k")).drop("_k"), "mixed")
+    prints = classes.select(F.col("node").alias("_n"), "parts", "weak")
+    mixed = seen.join(mixed.hint("merge"), F.col("key") == F.col("_k")).join(prints.hint("merge"), F.col("node") == F.col("_n"))
+    mixed = written(mixed.select("key", "large", *fields, "parts", "weak"), "mixed")
     remove_path(spark, path)
-    rest = _underscored(mixed.where("part <> large"), "key", *fields)
+    rest = _underscored(mixed.where("part <> large"), "key", *fields, "parts", "weak")
     # A pair of which neither is of the largest component is met from both sides.
     once = (F.col("part") == F.col("large")) | (F.col("node") > F.col("_node"))
-    met = mixed.join(rest, other & once & _close()).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+    met = mixed.join(rest, other & once & _close() & _near(bits, parts)).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
     return links.unionAll(_alike(met, classes, similarity))
 
 
@@ -298,13 +328,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     keyed = docs.select(F.struct(*columns).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(*columns).alias("_hash"), F.xxhash64(F.lit(1), *columns).alias("_more"))
     slim = keyed.select("doc_id", "_hash", "text")
     kind = dict(slim.dtypes)["doc_id"]
+    shape = segments(slim.count())
 
     def sketch(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                nodes, sets, parts, weak, info = zip(*[shingle_sketch(t.as_py(), shingle) for t in part.column(2)])
-                several = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x).astype(np.int32)), PARTS).cast(pa.list_(pa.int32())) for x in (parts, weak)]
+                nodes, sets, parts, weak, info = zip(*[shingle_sketch(t.as_py(), shingle, shape) for t in part.column(2)])
+                several = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x).astype(np.int32)), shape[0]).cast(pa.list_(pa.int32())) for x in (parts, weak)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), *several, pa.array(info, pa.int64())], names=["doc_id", "_hash", "node", "shingles", "parts", "weak", "info"])
         give_back()
 
@@ -315,7 +346,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     classes = bucketed(sketched.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("first"), *alike), "node", "classes")
     different = sketched.groupBy("doc_id", "_hash").count().where("count > 1").limit(1).isEmpty()
     remove_path(spark, path)
-    groups = components(similar_links(classes, similarity)).withColumnRenamed("node", "_node")
+    groups = components(similar_links(classes, shape, similarity)).withColumnRenamed("node", "_node")
     placed = classes.select("node", "first").join(groups, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
     first = placed.select(F.col("first.doc_id").alias("_id"), F.col("first._hash").alias("_first"))
     same = (F.col("_hash") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id"))
