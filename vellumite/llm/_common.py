@@ -41,10 +41,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{_MADE[-1]}/{name}"
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all intermediates of this process; results not yet written elsewhere are lost."""
-    while _MADE:
-        remove_path(spark, _MADE.pop())
+def made() -> list[str]:
+    return list(_MADE)
+
+
+def release(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Deletes these (by default all) intermediates of this process; results not yet written elsewhere are lost."""
+    for folder in _MADE[:] if folders is None else folders:
+        if folder in _MADE:
+            _MADE.remove(folder)
+            remove_path(spark, folder)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vellumite.llm._common import SPACE_RUN, SPACES, fresh_path, give_back, remove_path, written, written_at
+from vellumite.llm._common import SPACE_RUN, SPACES, bucketed, give_back, written
 
 DISCOUNT = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -214,15 +214,14 @@ def blocks(docs: DataFrame, target_ids: DataFrame, known: frozenset[str] | None,
         if held:
             yield block()
 
-    path = fresh_path(docs.sparkSession, "encoded")
-    coded = written_at(slim.mapInArrow(encode, f"block long, doc_ids array<{kind}>, sizes binary, tokens binary, words binary"), path)
+    # A task makes a few blocks, so a few files; whatever meets the blocks later is moved to them, not they to it.
+    coded = bucketed(slim.mapInArrow(encode, f"block long, doc_ids array<{kind}>, sizes binary, tokens binary, words binary"), "block", "encoded")
     # Ids meet the target's, not texts. The same join at every size.
     chosen = target_ids.toDF("_target").where("_target is not null").distinct()
     placed = coded.select("block", F.posexplode("doc_ids").alias("at", "doc_id")).join(chosen.hint("merge"), F.col("doc_id") == F.col("_target"))
     good = placed.groupBy(F.col("block").alias("_block")).agg(F.collect_list("at").alias("good"))
-    marked = written(coded.join(good.hint("merge"), F.col("block") == F.col("_block"), "left").drop("_block"), "blocks")
-    remove_path(docs.sparkSession, path)
-    return marked
+    good = written(good, "good")
+    return coded.join(good.hint("merge"), F.col("block") == F.col("_block"), "left").drop("_block")
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
