@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vellumite.kernels import dom, images, metrics, units, user_agent, word_tables
+from vellumite.kernels import dom, images, metrics, symbols, units, user_agent, word_tables
 from vellumite.kernels.build import Builder
 from vellumite.kernels.html_write import Writer as HtmlWriter
 from vellumite.kernels.html_write import document_text
@@ -531,3 +531,11 @@ def test_any_page_survives(html):
     once, _ = to_html(m)
     strip = lambda x: [t.strip() for t in x if t.strip()]
     assert strip(document_text(model(once)["blocks"])) == strip(text)
+
+
+def test_symbol_fonts():
+    places = {name: [len(signs)] for name, signs in symbols.FONTS.items()}
+    assert places == {"symbol": [190], "wingdings": [223]}
+    known = {("Symbol", 0x61): "α", ("Symbol", 0xF0B7): "•", ("Symbol", 0xDE): "⇒", ("Symbol", 0xFE): "⎭", ("Wingdings", 0x69): "♓", ("WINGDINGS", 0xF0E0): "🡪", ("Wingdings", 0x95): "➓", ("Wingdings", 0xC2): "🕛", ("Wingdings", 0xFE): "🗹"}
+    assert {k: symbols.symbol(*k) for k in known} == known
+    assert symbols.symbol("Symbol", 0x7F) is symbols.symbol("Arial", 0x61) is symbols.symbol(None, 0x61) is symbols.symbol("Symbol", -1) is None

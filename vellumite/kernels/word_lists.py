@@ -6,7 +6,8 @@ import re
 from xml.etree.ElementTree import Element
 
 from vellumite.kernels.units import numbered, whole
-from vellumite.kernels.word_xml import Formats, Styles, attr, child, on, q, symbol, val
+from vellumite.kernels.symbols import symbol
+from vellumite.kernels.word_xml import Formats, Styles, attr, child, on, q, val
 
 
 class Numbering:

@@ -9,8 +9,9 @@ from vellumite.kernels import images, word_tables
 from vellumite.kernels.build import timestamp
 from vellumite.kernels.comments import balance
 from vellumite.kernels.units import EMU_PER_PIXEL, measure, points, rounded, whole
+from vellumite.kernels.symbols import symbol
 from vellumite.kernels.word_lists import Numbering
-from vellumite.kernels.word_xml import A, DC, DCTERMS, M, MC, O, PIC, V, W14, W15, WP, WPG, WPS, Formats, Styles, Theme, attr, below, child, flag, layered, local, on, over, q, run_properties, symbol, val
+from vellumite.kernels.word_xml import A, DC, DCTERMS, M, MC, O, PIC, V, W14, W15, WP, WPG, WPS, Formats, Styles, Theme, attr, below, child, flag, layered, local, on, over, q, run_properties, val
 from vellumite.sources.docx import PackageError, R, W, parse_xml, read_entries, relationships
 
 LETTER = {"width": 12240, "height": 15840, "top": 1440, "right": 1440, "bottom": 1440, "left": 1440}

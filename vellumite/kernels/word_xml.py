@@ -1,4 +1,4 @@
-"""Reading of word-processor XML: names, attributes, formats, theme, symbols. A format is a dict of what is set."""
+"""Reading of word-processor XML: names, attributes, formats, theme. A format is a dict of what is set."""
 
 from __future__ import annotations
 
@@ -22,12 +22,8 @@ O = "urn:schemas-microsoft-com:office:office"  # noqa: E741
 W14 = "http://schemas.microsoft.com/office/word/2010/wordml"
 W15 = "http://schemas.microsoft.com/office/word/2012/wordml"
 DC, DCTERMS = "http://purl.org/dc/elements/1.1/", "http://purl.org/dc/terms/"
-# Highlight colours; symbol fonts' most used signs (the Greek alphabet by its order in the Symbol font).
+# Highlight colours.
 HIGHLIGHTS = {"black": "000000", "blue": "0000FF", "cyan": "00FFFF", "green": "00FF00", "magenta": "FF00FF", "red": "FF0000", "yellow": "FFFF00", "white": "FFFFFF", "darkBlue": "000080", "darkCyan": "008080", "darkGreen": "008000", "darkMagenta": "800080", "darkRed": "800000", "darkYellow": "808000", "darkGray": "808080", "lightGray": "C0C0C0"}
-SYMBOLS = {
-    "symbol": dict(zip("ABCDEFGHIKLMNOPQRSTUWXYZabcdefghiklmnopqrstuwxyz", "ΑΒΧΔΕΦΓΗΙΚΛΜΝΟΠΘΡΣΤΥΩΞΨΖαβχδεφγηικλμνοπθρστυωξψζ")) | dict(zip("\xa3\xa5\xb0\xb1\xb3\xb4\xb7\xb9\xae\xde\xdb\xd7\xe5\xf2", "≤∞°±≥×•≠→⇒⇔⋅∑∫")),
-    "wingdings": dict(zip("lmnopqrstuvwx\x9f\xa1\xa7\xa8\xd8\xe0\xfb\xfc\xfd\xfe", "●❍■□❐❑❒⬧⧫◆❖⬥⌧•○▪◻➢→✗✓☒☑")),
-}
 
 
 def q(name: str, ns: str = W) -> str:
@@ -66,12 +62,6 @@ def below(e: Element | None, name: str, ns: str = W) -> Iterator[Element]:
     return iter(()) if e is None else e.iter(q(name, ns))
 
 
-def symbol(font: str | None, code: int) -> str | None:
-    """Unicode of a symbol font's place; the private-use offset does not matter."""
-    code = code - 0xF000 if code >= 0xF000 else code
-    return SYMBOLS.get((font or "").lower(), {}).get(chr(code)) if 0 < code < 256 else None
-
-
 def set_only(**values) -> dict:
     return {k: v for k, v in values.items() if v is not None}
 
