@@ -539,3 +539,12 @@ def test_symbol_fonts():
     known = {("Symbol", 0x61): "α", ("Symbol", 0xF0B7): "•", ("Symbol", 0xDE): "⇒", ("Symbol", 0xFE): "⎭", ("Wingdings", 0x69): "♓", ("WINGDINGS", 0xF0E0): "🡪", ("Wingdings", 0x95): "➓", ("Wingdings", 0xC2): "🕛", ("Wingdings", 0xFE): "🗹"}
     assert {k: symbols.symbol(*k) for k in known} == known
     assert symbols.symbol("Symbol", 0x7F) is symbols.symbol("Arial", 0x61) is symbols.symbol(None, 0x61) is symbols.symbol("Symbol", -1) is None
+
+
+def test_markers_hang_as_their_font_asks():
+    page = '<style>body {font: 10pt Arial}</style><ol><li>a<li style="font-family: Nowhere">b</ol><ul><li>c<li style="list-style-type: square; font-size: 20pt">d</ul><ul style="list-style-position: inside"><li>e</ul>'
+    m = model(page)
+    levels = {d["num_id"]: d["levels"][0] for d in m["lists"]}
+    got = [(-x["props"]["first"], levels[x["props"]["num_id"]]["hanging"], levels[x["props"]["num_id"]]["align"]) for x in m["blocks"]]
+    disc, square = round(((0.177 + 0.4645) * 10 + 4.54) * 20), round(((0.229 + 0.4645) * 20 + 4.54) * 20)
+    assert got == [(56, 56, "right"), (360, 360, "left"), (disc, disc, "left"), (square, square, "left"), (0, 0, "left")]

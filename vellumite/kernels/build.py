@@ -367,7 +367,7 @@ class Builder:
             counter = lists.Counter(node, self.lists, min(8, outer.depth), context.left, style.value("list-style-position") == "inside")
             context = replace(context, counter=counter, depth=outer.depth + 1, marker=None)
         elif style.display == "list-item" and outer.counter is not None:
-            context = replace(context, marker=outer.counter.marker(node, style.marker))
+            context = replace(context, marker=outer.counter.marker(node, style.marker, style))
         if style.breaks("before") in ("always", "page", "left", "right"):
             self.page_break = True
         first = len(out)
@@ -424,9 +424,9 @@ class Builder:
             marker = context.marker
             if marker is not None and not marker["taken"]:
                 marker["taken"] = True
-                props["num_id"], props["level"] = marker["counter"].reference(marker["value"], marker["kind"])
+                props["num_id"], props["level"], hanging = marker["counter"].reference(marker["value"], marker["kind"], marker["style"])
                 props["ordinal"] = marker["value"]
-                props["first"] = -marker["counter"].hanging
+                props["first"] = -hanging
         if self.page_break:
             props["page_break"], self.page_break = True, False
         waiting, self.waiting = self.waiting, []

@@ -6,7 +6,9 @@ import re
 
 from vellumite.functions.numbers import GREEK
 from vellumite.kernels.dom import Node
-from vellumite.kernels.units import alphabetic
+from vellumite.kernels.metrics import marker_distance
+from vellumite.kernels.styles import Style
+from vellumite.kernels.units import alphabetic, twips
 from vellumite.operators.css import unquoted
 
 # Fixed values: (format, text) of list-style-type; {} is the place of the number.
@@ -47,12 +49,12 @@ class Definitions:
     def __init__(self) -> None:
         self.made: list[dict] = []
 
-    def add(self, kind: str, level: int, start: int, indent: int, hanging: int, suffix: str) -> int:
+    def add(self, kind: str, level: int, start: int, indent: int, hanging: int, suffix: str, align: str) -> int:
         levels = []
         for k in range(9):
             form, text = level_format(kind, k, start) if k == level else ("decimal", f"%{k + 1}.")
-            own = (max(0, start), indent, hanging, suffix) if k == level else (1, 720 * (k + 1), 360, "tab")
-            levels.append(dict(zip(("level", "format", "text", "start", "indent", "hanging", "suffix"), (k, form, text, *own))))
+            own = (max(0, start), indent, hanging, suffix, align) if k == level else (1, 720 * (k + 1), 360, "tab", "left")
+            levels.append(dict(zip(("level", "format", "text", "start", "indent", "hanging", "suffix", "align"), (k, form, text, *own))))
         self.made.append({"num_id": len(self.made) + 1, "levels": levels})
         return len(self.made)
 
@@ -69,18 +71,25 @@ class Counter:
         self.step = -1 if down else 1
         self.next = start if start is not None else items if down else 1
         self.hanging, self.suffix = (0, "space") if inside else (min(360, indent), "tab")
-        self.state: tuple[int, str] | None = None  # what the current definition would give the next item
+        self.state: tuple | None = None  # what the current definition would give the next item
         self.num_id = 0
 
-    def marker(self, item: Node, kind: str) -> dict:
+    def marker(self, item: Node, kind: str, style: Style) -> dict:
         """Takes the item's number; the reference is made when a paragraph takes the marker."""
         own = _integer(item.attrs.get("value")) if self.ordered and item.tag == "li" else None
         value = self.next if own is None else own
         self.next = value + self.step
-        return {"counter": self, "value": value, "kind": kind, "taken": False}
-
-    def reference(self, value: int, kind: str) -> tuple[int, int]:
-        if self.state != (value, kind) or self.step < 0 or spelled_out(kind):
-            self.num_id = self.made.add(kind, self.level, value, self.indent, self.hanging, self.suffix)
-        self.state = (value + self.step, kind)
-        return self.num_id, self.level
+        return {"counter": self, "value": value, "kind": kind, "style": style, "taken": False}
+
+    def place(self, kind: str, style: Style) -> tuple[int, str]:
+        """(twips that the marker hangs, its side there): as far as the font asks for, 360 where that is not known."""
+        found = marker_distance(kind, style.family, style.size) if self.hanging and kind != "none" else None
+        return (max(1, twips(found[0])), found[1]) if found else (self.hanging, "left")
+
+    def reference(self, value: int, kind: str, style: Style) -> tuple[int, int, int]:
+        """(definition, level, twips that the marker hangs)."""
+        hanging, align = self.place(kind, style)
+        if self.state != (value, kind, hanging) or self.step < 0 or spelled_out(kind):
+            self.num_id = self.made.add(kind, self.level, value, self.indent, hanging, self.suffix, align)
+        self.state = (value + self.step, kind, hanging)
+        return self.num_id, self.level, hanging

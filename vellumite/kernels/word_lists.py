@@ -104,6 +104,6 @@ class Numbering:
             for k in range(9):
                 x = levels.get(k)
                 p = x["paragraph"] if x else {}
-                made.append({"level": k, "format": x["format"] if x else "decimal", "text": (x["text"] or "") if x else "", "start": self.start(name, k), "indent": p.get("left", 0), "hanging": max(0, -p.get("first", 0)), "suffix": x["suffix"] if x else "tab"})
+                made.append({"level": k, "format": x["format"] if x else "decimal", "text": (x["text"] or "") if x else "", "start": self.start(name, k), "indent": p.get("left", 0), "hanging": max(0, -p.get("first", 0)), "suffix": x["suffix"] if x else "tab", "align": x["align"] if x else "left"})
             out.append({"num_id": whole(name), "levels": made})
         return out

@@ -226,7 +226,7 @@ class Writer:
         abstract, nums = [], []
         for d in self.model["lists"]:
             levels = "".join(
-                f'<w:lvl w:ilvl="{x["level"]}"><w:start w:val="{x["start"]}"/><w:numFmt w:val="{_attribute(x["format"])}"/>{_val("suff", x["suffix"] if x["suffix"] != "tab" else None)}<w:lvlText w:val="{_attribute(x["text"])}"/><w:lvlJc w:val="left"/><w:pPr><w:ind w:left="{x["indent"]}" w:hanging="{x["hanging"]}"/></w:pPr></w:lvl>'
+                f'<w:lvl w:ilvl="{x["level"]}"><w:start w:val="{x["start"]}"/><w:numFmt w:val="{_attribute(x["format"])}"/>{_val("suff", x["suffix"] if x["suffix"] != "tab" else None)}<w:lvlText w:val="{_attribute(x["text"])}"/><w:lvlJc w:val="{x.get("align") or "left"}"/><w:pPr><w:ind w:left="{x["indent"]}" w:hanging="{x["hanging"]}"/></w:pPr></w:lvl>'
                 for x in d["levels"]
             )
             abstract.append(f'<w:abstractNum w:abstractNumId="{d["num_id"]}"><w:multiLevelType w:val="multilevel"/>{levels}</w:abstractNum>')

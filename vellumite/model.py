@@ -22,7 +22,7 @@ INLINE = f"struct<kind: string, text: string, run: {RUN}, url: string, anchor: s
 BLOCK = f"struct<place: string, place_id: int, ord: int, kind: string, props: {PARAGRAPH}, inlines: array<{INLINE}>, table_id: int>"
 CELL = f"struct<width: int, span: int, merge: string, shading: string, valign: string, borders: {BORDERS}, margins: {MARGINS}, no_wrap: boolean, header: boolean>"
 TABLE = f"struct<table_id: int, props: struct<width: int, align: string, indent: int, borders: {BORDERS}, shading: string, bidi: boolean>, grid: array<int>, top: int, bottom: int, rows: array<struct<header: boolean, height: int, cells: array<struct<cell_id: int, props: {CELL}>>>>>"
-LIST = "struct<num_id: int, levels: array<struct<level: int, format: string, text: string, start: int, indent: int, hanging: int, suffix: string>>>"
+LIST = "struct<num_id: int, levels: array<struct<level: int, format: string, text: string, start: int, indent: int, hanging: int, suffix: string, align: string>>>"
 STYLE = f"struct<id: string, name: string, based_on: string, default: boolean, props: {PARAGRAPH}, run: {RUN}>"
 SCHEMA = f"""
   doc_id long, blocks array<{BLOCK}>, tables array<{TABLE}>, lists array<{LIST}>, styles array<{STYLE}>, notes array<struct<place_id: int, type: string, number: int>>,
