@@ -304,10 +304,12 @@ def similar_links(classes: DataFrame, shape: tuple[int, int], similarity: float
         heads = seen.groupBy("key").agg(F.min(F.struct(order.alias("order"), *fields)).alias("m")).select(F.col("key").alias("_key"), "m.order", *[F.col(f"m.{c}").alias(f"_{c}") for c in fields])
         met = seen.join(heads, other & _close()).groupBy("node").agg(F.min(F.struct("order", "_node")).alias("m"))
         links = links.unionAll(written(_alike(met.select(F.col("node").alias("a"), F.col("m._node").alias("b")), classes, similarity), "star"))
-    by_part = seen.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_part.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("large"), F.count(F.lit(1)).alias("several")).where("several > 1").select(F.col("key").alias("_k"), "large")
+    by_key = Window.partitionBy("key")
+    counted = seen.repartition("key").withColumn("alike", F.count(F.lit(1)).over(Window.partitionBy("key", "part")))
+    several = F.min("part").over(by_key) < F.max("part").over(by_key)
+    mixed = counted.select("key", *fields, F.max(F.struct("alike", "part")).over(by_key)["part"].alias("large"), several.alias("several")).where("several")
     prints = classes.select(F.col("node").alias("_n"), "parts", "weak")
-    mixed = seen.join(mixed.hint("merge"), F.col("key") == F.col("_k")).join(prints.hint("merge"), F.col("node") == F.col("_n"))
+    mixed = mixed.join(prints.hint("merge"), F.col("node") == F.col("_n"))
     mixed = written(mixed.select("key", "large", *fields, "parts", "weak"), "mixed")
     remove_path(spark, path)
     rest = _underscored(mixed.where("part <> large"), "key", *fields, "parts", "weak")
