@@ -18,7 +18,8 @@ from vellumite.llm import mixing, packing, quality, simhash, substring
 from vellumite.llm._common import made, release, remove_path, shared_root, written_at
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Folders that the stage called last has made. The first stage leaves those of a run before alone.
+#: Folders that the stage called last has made. The first stage leaves those of a run before alone,
+#: and no stage deletes what its documents are still read from.
 _LEFT: list[str] = []
 
 
@@ -26,7 +27,8 @@ def _after(stage: Stage) -> Stage:
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if stage.__name__ != "quality_rules":
-            release(spark, _LEFT)
+            read = docs.inputFiles()
+            release(spark, [folder for folder in _LEFT if not any(f"{folder.rsplit('/', 1)[-1]}/" in file for file in read)])
         before = set(made())
         out = stage(spark, docs, sf_dir)
         _LEFT[:] = [folder for folder in made() if folder not in before]
