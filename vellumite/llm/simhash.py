@@ -280,7 +280,7 @@ def similar_links(classes: DataFrame, shape: tuple[int, int], similarity: float
     Then members of different components meet, each pair under its first key only, and there the largest component's
     members are compared with the rest only. No pair is left out but those that differ too much over all bits.
     """
-    spark, (parts, bits) = classes.sparkSession, shape
+    parts, bits = shape
     keyed = _keys(classes, bits).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     keyed = written(keyed, "keyed")
     loose, full = keyed.where(F.col("n") <= few), keyed.where(F.col("n") > few)
@@ -288,33 +288,30 @@ def similar_links(classes: DataFrame, shape: tuple[int, int], similarity: float
     links = written(_alike(met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct(), classes, similarity), "links")
     if full.isEmpty():
         return links
-    company = written(full.groupBy(F.col("node").alias("_n")).agg(F.sum("n").alias("met")), "company")
-    fields, other = ("node", "info", "part"), (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part"))
-    path = ""
+    # A row per class with all its keys: components are put to classes, not to keys.
+    company = written(full.groupBy("node").agg(F.first("info").alias("info"), F.sum("n").alias("met"), F.collect_list("key").alias("keys")), "company")
+    fields, by_key = ("node", "info", "part"), Window.partitionBy("key")
     for k in range(stars + 1):
         folded = components(links).select(F.col("node").alias("_f"), "component")
-        about = company.join(folded, F.col("_n") == F.col("_f"), "left").select("_n", "met", F.coalesce("component", "_n").alias("part"))
-        before, path = path, fresh_path(spark, "parts")
-        seen = written_at(full.join(about.hint("merge"), F.col("node") == F.col("_n")).select("key", "met", *fields), path)
-        if before:
-            remove_path(spark, before)
+        seen = company.join(folded.hint("merge"), F.col("node") == F.col("_f"), "left").select(F.explode("keys").alias("key"), "node", "info", "met", F.coalesce("component", "node").alias("part"))
         if k == stars:
             break
-        order = F.struct(F.when(F.lit(k == 0), -F.col("met")).otherwise(F.lit(0)).alias("m"), F.xxhash64("node", F.lit(k)).alias("h"))
-        heads = seen.groupBy("key").agg(F.min(F.struct(order.alias("order"), *fields)).alias("m")).select(F.col("key").alias("_key"), "m.order", *[F.col(f"m.{c}").alias(f"_{c}") for c in fields])
-        met = seen.join(heads, other & _close()).groupBy("node").agg(F.min(F.struct("order", "_node")).alias("m"))
+        order = F.struct(F.when(F.lit(k == 0), -F.col("met")).otherwise(F.lit(0)).alias("m"), F.xxhash64("node", F.lit(k)).alias("h")).alias("order")
+        headed = seen.select("key", *fields, F.min(F.struct(order, *fields)).over(by_key).alias("head"))
+        headed = headed.select(*fields, "head.order", *[F.col(f"head.{c}").alias(f"_{c}") for c in fields])
+        met = headed.where((F.col("part") != F.col("_part")) & _close()).groupBy("node").agg(F.min(F.struct("order", "_node")).alias("m"))
         links = links.unionAll(written(_alike(met.select(F.col("node").alias("a"), F.col("m._node").alias("b")), classes, similarity), "star"))
-    by_key = Window.partitionBy("key")
     counted = seen.repartition("key").withColumn("alike", F.count(F.lit(1)).over(Window.partitionBy("key", "part")))
     several = F.min("part").over(by_key) < F.max("part").over(by_key)
     mixed = counted.select("key", *fields, F.max(F.struct("alike", "part")).over(by_key)["part"].alias("large"), several.alias("several")).where("several")
+    mixed = mixed.groupBy("node").agg(F.first("info").alias("info"), F.first("part").alias("part"), F.collect_list(F.struct("key", "large")).alias("keys"))
     prints = classes.select(F.col("node").alias("_n"), "parts", "weak")
-    mixed = mixed.join(prints.hint("merge"), F.col("node") == F.col("_n"))
-    mixed = written(mixed.select("key", "large", *fields, "parts", "weak"), "mixed")
-    remove_path(spark, path)
+    mixed = mixed.join(prints.hint("merge"), F.col("node") == F.col("_n")).select(F.explode("keys").alias("k"), *fields, "parts", "weak")
+    mixed = written(mixed.select("k.key", "k.large", *fields, "parts", "weak"), "mixed")
     rest = _underscored(mixed.where("part <> large"), "key", *fields, "parts", "weak")
     # A pair of which neither is of the largest component is met from both sides.
     once = (F.col("part") == F.col("large")) | (F.col("node") > F.col("_node"))
+    other = (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part"))
     met = mixed.join(rest, other & once & _close() & _near(bits, parts)).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
     return links.unionAll(_alike(met, classes, similarity))
 
