@@ -387,3 +387,23 @@ def test_keep_one_has_all_pairs_of_the_similarity_and_no_others(spark):
     assert sum(0.8 <= s < 0.85 for s in between) > 15 and sum(0.7 <= s < 0.8 for s in between) > 15
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [i for i in range(len(rows)) if find(i) == i]
+
+
+def test_simhash_and_components_broadcast_nothing(spark, monkeypatch):
+    """A file of fewer than 10 MB may be many rows: a broadcast of classes or nodes fills the driver."""
+    from vellumite.llm import _common
+
+    plans, write = [], _common.written_at
+
+    def watched(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, path)
+
+    monkeypatch.setattr(_common, "written_at", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    docs = spark.createDataFrame([(i, f"a b c d e {i % 7} g h i") for i in range(60)], "doc_id long, text string")
+    for crowd in (4096, 2):
+        out = simhash.simhash_components(docs, crowd=crowd)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        assert out.count() == 60
+    assert len(plans) > 20 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)

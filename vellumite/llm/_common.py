@@ -117,7 +117,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
     Beyond"). Every step is a minimum per node, combined before the shuffle, and an equi-join that Spark
-    may split where a node is hot; a star with millions of leaves stays as many rows. Each round is
+    may split where a node is hot, and no broadcast, which would gather a column of nodes on the driver; a star with millions of leaves stays as many rows. Each round is
     written to the shared folder and the one before it deleted; the driver sees one row of totals.
     Null ends are no edges. Nodes without an edge to another node are not returned.
     """
@@ -130,9 +130,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.join(least.hint("merge"), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         floor = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("w"), "m")
-        joined = large.join(floor, F.col("hi") == F.col("w"))
+        joined = large.join(floor.hint("merge"), F.col("hi") == F.col("w"))
         small = joined.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi <> lo").distinct()
         after = fresh_path(spark, "round")
         then = written_at(small, after)

@@ -10,7 +10,8 @@ through a shared point one flip away (65 points each, a minimum per point), whic
 copies into few components; the join then only returns links between different components. Keys with more
 than `crowd` members leave the join: two members at distance 4 or less have a point at distance 2 or less
 from both, so linking every member to the minimum of its 2081 points finds the same components with work
-that grows with the members, not with their square.
+that grows with the members, not with their square. No join is a broadcast: what is small in a compressed file
+need not be so in the driver.
 
 keep_one, the pipeline's near-dedup, wants all pairs whose word shingles have a Jaccard similarity of 0.8. Such
 sets differ in 15 % of a SimHash's bits, so no few segments of 64 bits would do. Its fingerprints have segments of
@@ -87,7 +88,7 @@ def _single() -> list[int]:
 def _star(points: DataFrame) -> DataFrame:
     """Links every fingerprint at a point to the least fingerprint there: (a, b), without pairs."""
     least = points.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("c")).where("b <> c")
-    return points.join(least.select(F.col("point").alias("_p"), "b"), F.col("point") == F.col("_p")).where("fp <> b").select(F.col("fp").alias("a"), "b")
+    return points.join(least.select(F.col("point").alias("_p"), "b").hint("merge"), F.col("point") == F.col("_p")).where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
 def _spread(fps: DataFrame) -> DataFrame:
@@ -130,13 +131,13 @@ def near_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     fps = written(fps.select("fp").where("fp is not null").distinct(), "fps")
     near = written(_star(_near_points(fps, 1)), "near")
     folded = written(components(near), "folded")
-    at = fps.join(folded, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part"))
+    at = fps.join(folded.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part"))
     at = written(at, "parts")
     crowded = written(_variants(fps).groupBy("slot", "rest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd), "crowded")
     keyed = _variants(at)
     links = near
     if not crowded.isEmpty():
-        hot = crowded.select(F.col("slot").alias("_s"), F.col("rest").alias("_r"))
+        hot = crowded.select(F.col("slot").alias("_s"), F.col("rest").alias("_r")).hint("merge")
         members = keyed.join(hot, (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r")), "left_semi").select("fp").distinct()
         links = links.unionAll(_star(_near_points(members, 2)))
         keyed = keyed.join(hot, (F.col("slot") == F.col("_s")) & (F.col("rest") == F.col("_r")), "left_anti")
@@ -144,7 +145,7 @@ def near_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     same = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.rest") == F.col("y.rest"))
     check = (F.col("x.fp") < F.col("y.fp")) & (F.col("x.part") != F.col("y.part")) & (F.bit_count(differ) <= DISTANCE) & (_first_slot(differ) == F.col("x.slot"))
-    return links.unionAll(x.join(y, same & check).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
+    return links.unionAll(x.join(y.hint("merge"), same & check).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, crowd: int = CROWD) -> DataFrame:
@@ -156,11 +157,11 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     prints = written(fingerprints(docs, doc_id, text, shingle).withColumnRenamed("key", "doc_id"), "prints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     groups = components(near_links(classes, crowd))
-    placed = classes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    placed = classes.join(groups.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     placed = written(placed, "placed")
     ids = placed.groupBy("group").agg(F.min("least").alias("component_id"))
-    by_print = written(placed.join(ids, "group").select(F.col("fp").alias("_fp"), "component_id"), "by_print")
-    return prints.join(by_print, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    by_print = written(placed.join(ids.hint("merge"), "group").select(F.col("fp").alias("_fp"), "component_id"), "by_print")
+    return prints.join(by_print.hint("merge"), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 #: Texts of this similarity over their shingles are near duplicates.
