@@ -407,3 +407,22 @@ def test_simhash_and_components_broadcast_nothing(spark, monkeypatch):
         plans.append(out._jdf.queryExecution().executedPlan().toString())
         assert out.count() == 60
     assert len(plans) > 20 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_sample_of_codebooks_is_cut_before_it_is_sorted(spark, monkeypatch):
+    """Each task sent its whole share of the sample to the driver: 503 MB from 56 tasks."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(self):
+        raise AssertionError("rows of every task go to the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    rng = np.random.default_rng(3)
+    for ids in (range(3000), [i % 40 for i in range(3000)]):  # the second: few ids, and fewer below any hash than rows
+        df = spark.createDataFrame([(i, v) for i, v in zip(ids, rng.normal(size=(3000, 4)).tolist())], "id long, v array<double>").repartition(5)
+        hashed = {r["id"]: r["h"] for r in df.select("id", F.xxhash64("id").alias("h")).distinct().collect()}
+        owner = {tuple(r["v"]): r["id"] for r in df.collect()}
+        got = [owner[tuple(v)] for v in ann._sample(df, 3000, 100).tolist()]
+        assert got == sorted(ids, key=lambda i: hashed[i])[:100]
+    assert len(ann._sample(df.limit(30), 30, 100)) == 30
+    assert ann.nearest(df.withColumnsRenamed({"id": "vec_id", "v": "embedding"}), F.col("id") == 7, k=3).count() == 3

@@ -94,6 +94,25 @@ def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") ->
     return rows.where(F.size("v") == (common["d"] if common else 0))
 
 
+def _sample(good: DataFrame, count: int, sample: int) -> np.ndarray:
+    """The vectors of least xxhash64(id), `sample` at most, as the rows of an array.
+
+    Only ids below a hash that somewhat more than `sample` rows are expected under are sorted: else every task
+    would send as many candidates to where they are merged, so many gigabytes for a large table. Where too few are
+    below it (ids repeat) it is raised. They are merged in a task; the driver gets the sample alone, as Arrow.
+    """
+    hashed, share = F.xxhash64("id"), (sample + 6 * sample**0.5) / count
+    while share < 1:
+        below = good.where(hashed < F.lit(int(share * 2**64) - 2**63).cast("long"))
+        if below.count() >= sample:
+            break
+        share *= 4
+    else:
+        below = good
+    got = below.orderBy(hashed, "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    return got.flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1)
+
+
 def _packed(rows: DataFrame, count: int, size: int, encode: AdditiveQuantiser | None, name: str) -> tuple[DataFrame, int]:
     """Blocks of some `size` rows as bytes (block, ids, vectors, codes, scale), and a number that all of `block` are below.
 
@@ -185,8 +204,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id",
     schema = "query_id long, rank int, vec_id long, score double"
     if count == 0:
         return spark.createDataFrame([], schema)
-    first = good.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]  # `sample` rows at most
-    quantiser = AdditiveQuantiser.train(np.stack(first.to_numpy()), books, words)
+    quantiser = AdditiveQuantiser.train(_sample(good, count, sample), books, words)
     index, n_blocks = _packed(good, count, candidate_block, quantiser, "index")
     asked = good.where(queries)
     if asked.isEmpty():
