@@ -338,3 +338,12 @@ def test_references_without_semicolon(spark, tmp_path):
         want = con.execute(sql[name]).fetchall()
         assert sorted(map(tuple, queries[name](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str), name
     assert ("a&&amp",) in [r[2:] for r in want]
+
+
+def test_long_tables_are_dealt_over_tasks_and_made_once(spark, sf):
+    """One task made all nations' pages, and every package was made for its cells and again for their texts."""
+    from vellumite.plans import model_queries
+
+    assert model_queries._customer_tables(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = model_queries.docx_tables(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3
