@@ -347,3 +347,14 @@ def test_long_tables_are_dealt_over_tasks_and_made_once(spark, sf):
     assert model_queries._customer_tables(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = model_queries.docx_tables(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 3
+
+
+def test_batches_of_large_models_are_short():
+    import pyarrow as pa
+
+    from vellumite import model
+
+    schema = pa.schema([("doc_id", pa.int64()), ("blocks", pa.list_(pa.int32()))])
+    rows = [{"doc_id": k, "blocks": [1] * n} for k, n in enumerate([5000, 5000, 10, 5000, *[1] * 130])] + [{"doc_id": -1}]
+    made = list(model.batches(iter(rows), schema))
+    assert [b.num_rows for b in made] == [1, 1, 2, 64, 64, 3] and [x for b in made for x in b.to_pylist()] == [{"blocks": None, **r} for r in rows]
