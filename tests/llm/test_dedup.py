@@ -426,3 +426,38 @@ def test_sample_of_codebooks_is_cut_before_it_is_sorted(spark, monkeypatch):
         assert got == sorted(ids, key=lambda i: hashed[i])[:100]
     assert len(ann._sample(df.limit(30), 30, 100)) == 30
     assert ann.nearest(df.withColumnsRenamed({"id": "vec_id", "v": "embedding"}), F.col("id") == 7, k=3).count() == 3
+
+
+def test_copies_of_a_text_that_are_not_near_each_other_leave_no_pairs(spark, monkeypatch):
+    """60 copies at similarity 0.84 to their text, 60 at 0.77: those two kinds are at 0.65, which their bits alone do not tell from 0.8."""
+    rng = random.Random(5)
+    text = [f"w{i}" for i in range(120)]
+
+    def copy(edits):
+        out = list(text)
+        for k, at in enumerate(rng.sample(range(6, 114, 6), edits)):
+            out[at] = f"x{rng.random()}-{k}"
+        return " ".join(out)
+
+    rows = [" ".join(text), *(copy(2) for _ in range(60)), *(copy(3) for _ in range(60))]
+    met, alike = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *more: met.append(pairs.count()) or alike(pairs, *more))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    sets = [shingle_set(t) for t in rows]
+    assert kept == set(least_of_components(sets, lambda a, b: jaccard(a, b) >= 0.8, list(range(len(rows)))))
+    assert met[-1] < 60
+
+
+def test_parity_maps_differ_in_no_more_bits_than_the_sets(spark):
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 100, 250, 260, 3000, 9000):
+        whole = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+        for lost in (0, size // 20, size // 8):
+            a, b = np.unique(whole[lost:]), np.unique(np.append(whole[: size - lost // 2], rng.integers(0, 1 << 32, lost, dtype=np.uint32)))
+            rows = [(1, [], a.tobytes()), (2, [], b.tobytes())]
+            one, two = simhash._mapped(spark.createDataFrame(rows, "node long, parts array<int>, shingles binary").coalesce(1)).orderBy("node").collect()
+            df = spark.createDataFrame([(one["size"], one["map"], two["size"], two["map"])], "size int, map array<long>, _size int, _map array<long>")
+            both = len(np.intersect1d(a, b))
+            near = both >= 0.8 * (len(a) + len(b) - both)
+            assert (one["size"], two["size"]) == (len(a), len(b))
+            assert df.select(simhash._may_reach(0.8)).first()[0] or not near

@@ -176,6 +176,8 @@ CHECK_MOST = 19
 STEP, STEPS = math.log(1.06), 4
 #: Members of a key up to which its pairs are checked at once; fuller keys are folded first.
 FEW = 2
+#: Words of 64 bits of a set's parity map: the least, and as many as a set of some thousands fills well.
+MAP_WORDS = (8, 128)
 _COLUMNS = "node long, shingles binary, parts array<int>, weak array<int>, info long"
 
 
@@ -246,6 +248,42 @@ def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
     return met.mapInArrow(check, "a long, b long")
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """Of a set of 32-bit hashes: per place (a hash's low bits) whether an odd number falls there, as 64-bit words, a power of two of them by the set's size.
+
+    Two maps of a size differ in at most as many bits as the sets have elements that only one of them holds, and a map
+    of half the words is the exclusive or of its halves.
+    """
+    words = MAP_WORDS[0]
+    while words < MAP_WORDS[1] and 32 * words < len(shingles):
+        words *= 2
+    odd = np.bincount(shingles & np.uint32(64 * words - 1), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _mapped(rows: DataFrame) -> DataFrame:
+    """rows with the size and the parity map of `shingles`, the last column, in its place."""
+    kinds = rows.drop("shingles").schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", `size` int, `map` array<bigint>"
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(batch.num_columns - 1)]
+            columns = [pa.array([len(x) for x in sets], pa.int32()), pa.array([parity_map(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "size", "map"])
+        give_back()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _may_reach(similarity: float) -> Column:
+    """False for two rows with `size` and `map` whose sets surely have not the similarity: their maps differ in more bits than such sets have elements apart."""
+    words = "least(size(map), size(_map))"
+    half = lambda m: f"IF(size({m}) = {words}, {m}, transform(sequence(0, {words} - 1), i -> {m}[i] ^ {m}[i + {words}]))"
+    apart = f"aggregate(zip_with({half('map')}, {half('_map')}, (a, b) -> bit_count(a ^ b)), 0, (x, y) -> x + y)"
+    return F.expr(f"greatest(size(map), size(_map)) > 2 * {words} OR {apart} <= (size + _size) * {(1 - similarity) / (1 + similarity)!r}D + 0.001D")
+
+
 def _close() -> Column:
     """The check of two rows of _keys, the second's columns with an underscore first."""
     differ = F.shiftrightunsigned(F.col("info").bitwiseXOR(F.col("_info")), 8)
@@ -279,7 +317,9 @@ def similar_links(classes: DataFrame, shape: tuple[int, int], similarity: float
     member is compared with one other of another component: first with the one that shares keys with most others,
     as the original of many copies does, then `stars` - 1 times with any. That folds dense groups without pairs.
     Then members of different components meet, each pair under its first key only, and there the largest component's
-    members are compared with the rest only. No pair is left out but those that differ too much over all bits.
+    members are compared with the rest only. No pair is left out but those that differ too much over all bits, and those
+    whose parity maps prove that they have not the similarity: the copies of a text that are near it but not near each
+    other would else leave the join as pairs.
     """
     parts, bits = shape
     keyed = _keys(classes, bits).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
@@ -306,14 +346,16 @@ def similar_links(classes: DataFrame, shape: tuple[int, int], similarity: float
     several = F.min("part").over(by_key) < F.max("part").over(by_key)
     mixed = counted.select("key", *fields, F.max(F.struct("alike", "part")).over(by_key)["part"].alias("large"), several.alias("several")).where("several")
     mixed = mixed.groupBy("node").agg(F.first("info").alias("info"), F.first("part").alias("part"), F.collect_list(F.struct("key", "large")).alias("keys"))
-    prints = classes.select(F.col("node").alias("_n"), "parts", "weak")
-    mixed = mixed.join(prints.hint("merge"), F.col("node") == F.col("_n")).select(F.explode("keys").alias("k"), *fields, "parts", "weak")
-    mixed = written(mixed.select("k.key", "k.large", *fields, "parts", "weak"), "mixed")
-    rest = _underscored(mixed.where("part <> large"), "key", *fields, "parts", "weak")
+    prints = classes.select(F.col("node").alias("_n"), "parts", "weak", "shingles")
+    mixed = _mapped(mixed.join(prints.hint("merge"), F.col("node") == F.col("_n")).select("keys", *fields, "parts", "weak", "shingles"))
+    sketch = ("parts", "weak", "size", "map")
+    mixed = mixed.select(F.explode("keys").alias("k"), *fields, *sketch)
+    mixed = written(mixed.select("k.key", "k.large", *fields, *sketch), "mixed")
+    rest = _underscored(mixed.where("part <> large"), "key", *fields, *sketch)
     # A pair of which neither is of the largest component is met from both sides.
     once = (F.col("part") == F.col("large")) | (F.col("node") > F.col("_node"))
     other = (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part"))
-    met = mixed.join(rest, other & once & _close() & _near(bits, parts)).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+    met = mixed.join(rest, other & once & _close() & _near(bits, parts) & _may_reach(similarity)).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
     return links.unionAll(_alike(met, classes, similarity))
 
 
