@@ -343,3 +343,20 @@ def test_pipeline_against_plain_python(spark, tokenizer, tmp_path):
         for r in got:
             full[r["sequence_id"]] += r["length"]
         assert max(full.values()) <= 2048
+
+
+def test_words_of_letters_are_learned_together(monkeypatch):
+    """Latin words with their marks go past the way of single words; the ids are the library's."""
+    import public_tokenizers
+    import pyarrow as pa
+    from vellumite.llm.tokens import Encoder
+
+    enc, single = Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    one = enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda word: single.append(word) or one(word))
+    texts = ["Größe, naïve café; ǅ ƻ ª words words. words?! x2 can't 日本 ɐ\nnext line", "words. Größe!? ...", "", "a  b", "ÿ. Ā ɏ, 1 <|endoftext|> end."]
+    for _ in range(2):
+        ids, starts = enc.encode(pa.array([*texts, None]))
+        got = [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
+        assert got == [*map(enc.whole, texts), []]
+    assert single and not [w for w in single if w[0] != "\n" and w.rstrip(".,!?;:").isalpha() and max(w) < "ɐ"]

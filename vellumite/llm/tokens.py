@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,10 @@ _SLICE_BYTES = 6 << 20
 #: A word of no white space (as str.isspace has it) but a line feed before it.
 _PLAIN = "\\A\n?[^{0}]+\\z".format("".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace()))
 
+#: A word of Latin letters (below U+0250) after a space, with marks that may end it: two pieces at most.
+_MARKS = ".,!?;:"
+_LETTERS = f"\\A[A-Za-zªµºÀ-ÖØ-öø-ɏ]+[{_MARKS}]*\\z"
+
 
 def _byte_letters() -> dict[int, str]:
     """How byte-level BPE files write each byte: printable Latin-1 as itself, the others from U+0100 on."""
@@ -80,20 +85,44 @@ class Encoder:
         """Of a word after a space, or after a line feed if it begins with one."""
         lead, before = ("", self.feed) if word[0] == "\n" else (" ", [])
         body = word[1:] if before else word
-        core = body.rstrip(".,!?;:")
+        core = body.rstrip(_MARKS)
         if core.isalpha() and max(core) < "ɐ" and not (self.added and any(a in core for a in self.added)):
             piece = (lead + core).encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(piece)]
             if end := body[len(core) :]:
-                if end not in self.marks:
-                    self.marks[end] = self.whole(end)
-                ids += self.marks[end]
+                ids += self._mark(end)
             return before + ids
         return before + self.whole(lead + body)
 
+    def _mark(self, end: str) -> list[int]:
+        if end not in self.marks:
+            self.marks[end] = self.whole(end)
+        return self.marks[end]
+
+    def _found(self, words: pa.Array) -> list[list[int]]:
+        """The ids of each word, as _ids has them; letters are told from marks for all words at once, and met by the model once."""
+        easy = np.zeros(len(words), bool) if self.added else pc.match_substring_regex(words, _LETTERS).to_numpy(zero_copy_only=False)
+        found = [[]] * len(words)
+        for k, word in zip(np.flatnonzero(~easy).tolist(), words.filter(pa.array(~easy)).to_pylist()):
+            found[k] = self._ids(word)
+        if not easy.any():
+            return found
+        mine = words.filter(pa.array(easy))
+        cores = pc.utf8_rtrim(mine, characters=_MARKS)
+        coded, tokenize, letters = cores.dictionary_encode(), self.model.tokenize, self.letters
+        space = letters[ord(" ")]
+        once = [[t.id for t in tokenize(space + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))] for w in coded.dictionary.to_pylist()]
+        ids = [once[k] for k in coded.indices.to_numpy().tolist()]
+        marked = np.flatnonzero(pc.not_equal(pc.binary_length(mine), pc.binary_length(cores)).to_numpy(zero_copy_only=False))
+        for k, word in zip(marked.tolist(), mine.take(pa.array(marked)).to_pylist()):
+            ids[k] = ids[k] + self._mark(word[len(word.rstrip(_MARKS)) :])
+        for k, x in zip(np.flatnonzero(easy).tolist(), ids):
+            found[k] = x
+        return found
+
     def _learn(self, words: pa.Array) -> None:
         n = len(self.known)
-        found = [self._ids(w) for w in words.to_pylist()]
+        found = self._found(words)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         at = self.starts[n]
         ends = at + np.cumsum(sizes)
@@ -102,7 +131,7 @@ class Encoder:
         while ends[-1] > len(self.tokens):
             self.tokens = np.concatenate([self.tokens, np.empty(len(self.tokens), "<u4")])
         self.starts[n + 1 : n + 1 + len(words)] = ends
-        self.tokens[at : ends[-1]] = np.fromiter((i for x in found for i in x), "<u4", int(sizes.sum()))
+        self.tokens[at : ends[-1]] = np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum()))
         self.known = pa.concat_arrays([self.known, words])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +165,11 @@ class Encoder:
         strange = np.flatnonzero(np.bincount(np.searchsorted(begin, np.flatnonzero(hit), "right") - 1, minlength=len(texts)))
         if len(self.known) + len(words) > self.most:
             self._reset()
-        gids = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        # The known words are looked up among the batch's, of which there are fewer to build a table of.
+        met = pc.fill_null(pc.index_in(self.known, value_set=words), -1).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(met >= 0)
+        gids = np.full(len(words), -1, np.int64)
+        gids[met[at]] = at
         missing = np.flatnonzero((gids < 0) & ~odd)
         if len(missing):
             n = len(self.known)
