@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from vellumite import model
 from vellumite.engine import Engine, Options, PageLayout, editor_profile
@@ -51,6 +52,22 @@ def test_round_trips(spark):
     assert [tuple(r) for r in links] == [("c", "http://x/", None), ("d", None, "_t")]
 
 
+def test_docx_texts(spark):
+    """One kernel gives what the three verbs give; failures are rows, and columns go along."""
+    e = Engine.plain()
+    given = pages(spark, PAGE, None, "", "<pre>a\n b\tc</pre><img src=x alt=y><ol start=3><li value=9>i", "<p>" + "<b>" * 5000 + "deep").withColumn("own", F.col("doc_id") * 2)
+    m = e.read_docx(e.write_docx(e.read_html(given)))
+    joined = F.array_join(F.transform("blocks", lambda b: model.inline_text(F.coalesce(b["inlines"], F.array().cast(f"array<{model.INLINE}>")))), "\n")
+    verbs = {r["doc_id"]: (r["after"], r["error"] is None) for r in m.select("doc_id", joined.alias("after"), "error").collect()}
+    got = e.docx_texts(given, keep=("own",))
+    assert got.columns == ["doc_id", "own", "after", "error"]
+    rows = got.collect()
+    assert {r["doc_id"]: (r["after"], r["error"] is None) for r in rows} == verbs and all(r["own"] == 2 * r["doc_id"] for r in rows)
+    assert [r["error"]["kind"] for r in rows if r["error"]] == ["too_deep"] and "Hi there" in verbs[1][0]
+    with pytest.raises(ValueError):
+        e.with_(links=False).docx_texts(given)
+
+
 def test_feature_switches(spark):
     def kept(**off):
         m = Engine.plain().with_(**off).read_html(pages(spark, PAGE))

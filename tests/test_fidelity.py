@@ -32,6 +32,23 @@ def test_text_fidelity(spark):
     assert got == {1: (3, 0.75), 2: (0, 1.0), 3: (0, 0.0), 4: (0, 0.0)}
 
 
+def test_text_fidelity_query(spark, tmp_path):
+    """Each row of documents has a row of its own, whatever its id and characters, as in SQL; one file is dealt over tasks."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    odd = ["a\fb c", "a\x1cb\x1fc", "\x01 a\x0bb \uffff", "a\rb\r\nc\td\x85e\u2028f", "<p>&amp; &#0; \ufeff\u200b \u00ad", " \n\n", None, "\x0b"]
+    rows = [(i, "one two\nthree") for i in range(40)] + [(None, "null id"), (None, "again"), (3, "of a used id"), *((100 + i, x) for i, x in enumerate(odd))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries()["text_fidelity"](spark, str(tmp_path))
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(db.sql(oracle_sql()["text_fidelity"]).fetchall(), key=key)
+
+
 def test_quantiles_and_page_means(spark):
     values = [5.0, 1.0, 4.0, 2.0, 3.0]
     df = spark.createDataFrame([(x,) for x in values], "v double")
