@@ -103,6 +103,37 @@ def test_failures_are_rows(spark):
     assert {r["doc_id"]: r["error"] and r["error"]["kind"] for r in deep.collect()} == {1: "too_deep", 2: None}
 
 
+def test_a_failure_stays_one(spark):
+    """What failed on the way to HTML was read again as an empty document."""
+    e = Engine.plain()
+    html = e.write_html(e.read_html(pages(spark, "<div>" * 5000 + "x", "<p>ok", None)))
+    rows = {r["doc_id"]: r for r in e.read_html(html).collect()}
+    assert rows[1]["error"]["kind"] == "too_deep" and rows[1]["blocks"] is None
+    assert not rows[2]["error"] and len(rows[2]["blocks"]) == 1 and not rows[3]["error"] and len(rows[3]["blocks"]) == 1
+    other = pages(spark, "<p>ok").withColumn("error", F.lit("of its own"))
+    assert e.read_html(other).first()["error"] is None
+    deep = Engine.plain().with_(any_depth=True)
+    again = deep.read_html(deep.write_html(deep.read_html(pages(spark, "<p>a" + "<div>" * 5000 + "x", "<b>" * 2000 + "y", "<table><tr><td>" * 250 + "z"))))
+    assert {(r["doc_id"], r["text"]) for r in model.texts(again).where("text <> ''").collect()} == {(1, "a"), (1, "x"), (2, "y"), (3, "z")}
+
+
+def test_model_html_again_query(spark, tmp_path):
+    """A deep page has the paragraphs that it has in SQL; one that fails still is told."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+    from vellumite.plans.model_queries import _sound
+
+    rows = [(1, "<html><body><article><p>one</p>" + "<div>" * 600 + "<p>deep</p>" + "</div>" * 600 + "<p>two</p></article></body></html>"), (2, "<html><body><article><p>other</p></article></body></html>")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, queries()["model_html_again"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(db.sql(oracle_sql()["model_html_again"]).fetchall()) and [r[2] for r in got] == ["one", "deep", "two", "other"]
+    with pytest.raises(Exception, match="page 1: too_deep"):
+        _sound(Engine.plain().read_html(pages(spark, "<div>" * 5000 + "x"))).collect()
+
+
 def test_files(spark, tmp_path):
     e = Engine.plain()
     m = e.read_html(pages(spark, PAGE, "<p>two"))
