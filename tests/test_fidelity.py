@@ -26,6 +26,19 @@ def test_common_words():
     assert fidelity.words(" oﬃce  ﬁt\n") == ["office", "fit"]
 
 
+def test_common_words_of_long_texts(monkeypatch):
+    """Beyond 25 million cells only equal ends counted: 2 of these 8,997 words."""
+    a = [str(i) for i in range(9000)]
+    b = [*a[:1], "new", *a[2:5000], *a[5001:8998], a[8999], "end", a[8999]]
+    assert fidelity.common_words(a, b) == 8997 and fidelity.common_words(b, a) == 8997
+    assert fidelity.common_words(a, a[::-1]) == 1 and fidelity.common_words(a, [f"x{i}" for i in range(9000)]) == 0
+    monkeypatch.setattr(fidelity, "STRETCH", 5)  # several stretches
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefg"[: rng.randrange(1, 8)]) for _ in range(rng.randrange(40))] for _ in range(2))
+        assert fidelity.common_words(a, b) == longest(a, b)
+
+
 def test_text_fidelity(spark):
     rows = [(1, "a b c d", "a x c d"), (2, "", None), (3, "a", ""), (4, None, "b")]
     got = {r["doc_id"]: (r["kept"], r["share"]) for r in fidelity.text_fidelity(spark.createDataFrame(rows, "id long, a string, b string"), "id", "a", "b").collect()}
@@ -49,6 +62,19 @@ def test_text_fidelity_query(spark, tmp_path):
     assert sorted(map(tuple, out.collect()), key=key) == sorted(db.sql(oracle_sql()["text_fidelity"]).fetchall(), key=key)
 
 
+def test_text_fidelity_query_has_no_limits(spark, tmp_path, monkeypatch):
+    """Packages of the query's own making are read whatever their size: beyond an entry's 128 MiB no word was kept."""
+    from vellumite.engine import Engine, Options
+    from vellumite.plans import model_queries
+
+    monkeypatch.setattr(Engine, "plain", classmethod(lambda cls: cls(Options(most_entry_bytes=50, most_total_bytes=50))))
+    spark.createDataFrame([(1, "one two\nthree")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in model_queries.text_fidelity(spark, str(tmp_path)).collect()] == [(1, 3, 3, 1.0)]
+    failed = Engine.plain().docx_texts(spark.createDataFrame([(1, "<p>one")], "doc_id long, html string"))
+    with pytest.raises(Exception, match="document 1: too_large"):
+        model_queries._sound(failed, "document").collect()
+
+
 def test_quantiles_and_page_means(spark):
     values = [5.0, 1.0, 4.0, 2.0, 3.0]
     df = spark.createDataFrame([(x,) for x in values], "v double")
